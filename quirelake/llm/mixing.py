@@ -1,11 +1,9 @@
 """Mixing sources to target weights by hash-threshold histograms, with built-in functions only.
 
 Each row has a fixed 48-bit hash of its id. A source's budget beyond whole passes over it
-is met by the rows whose hash is below a threshold. The threshold is found without
-sorting rows: sizes are summed by source and top 12 hash bits, the bucket that holds the
-budget is found by running sums over at most 4096 buckets a source, and only that
-bucket's rows are summed by the next 12 bits, until one hash value is left. Thresholds
-are nested: a larger budget keeps every row that a smaller one takes.
+is met by the rows whose hash is below a threshold, found by nested histograms of the
+sizes by source and hash (see ``histogram``), without sorting rows. Thresholds are
+nested: a larger budget keeps every row that a smaller one takes.
 """
 
 from __future__ import annotations
@@ -16,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import durable
+from quirelake.llm.histogram import cut_points
 
-HASH_BITS, LEVEL_BITS = 48, 12
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are broadcast (their table is counted first); more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -52,30 +50,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return t.withColumn("level", line).select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), "cap").alias("target"))
 
 
-def _boundary(rows: DataFrame, wanted: DataFrame, level: int) -> DataFrame:
-    """``source, prefix, rest, unit``: the bucket in which a source's budget ends, what of the budget is left for it, and its size."""
-    shift = HASH_BITS - LEVEL_BITS * (level + 1)
-    sums = rows.groupBy("source", F.shiftright("h", shift).alias("prefix")).agg(F.sum("size").alias("unit")).where("unit > 0")
-    w = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    at = sums.withColumn("before", F.coalesce(F.sum("unit").over(w), F.lit(0)))
-    near = at.alias("a").join(wanted.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
-    return near.where("before <= want and want < before + unit").select("a.source", "prefix", (F.col("want") - F.col("before")).alias("rest"), "unit")
-
-
 def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, source_size, target, passes, below``: whole passes over a source, and the hash below which rows are taken once more."""
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     planned = durable(targets.withColumn("passes", passes).withColumn("want", F.col("target") - F.col("passes") * F.col("source_size")))
-    wanted, inside = planned.where("source_size > 0").select("source", "want"), rows
-    for level in range(HASH_BITS // LEVEL_BITS):
-        found = durable(_boundary(inside, wanted, level))
-        if level + 1 < HASH_BITS // LEVEL_BITS:
-            shift = HASH_BITS - LEVEL_BITS * (level + 1)
-            edge = found.select(F.col("source").alias("s"), "prefix")
-            inside = inside.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("prefix"))).drop("s", "prefix")
-            wanted = found.select("source", F.col("rest").alias("want"))
-    last = found.select(F.col("source").alias("s"), (F.col("prefix") + (F.col("rest") * 2 > F.col("unit")).cast("long")).alias("below"))
-    return planned.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below"))
+    cuts = cut_points(rows.select(F.col("source").alias("key"), F.col("h").alias("position"), "size"), planned.where("source_size > 0").select(F.col("source").alias("key"), "want"))
+    return planned.join(cuts, F.col("source").eqNullSafe(F.col("key")), "left").select("source", "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below"))
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import langid, mixing, pieces, secrets, simhash
+from quirelake.llm import chat, covertree, langid, media, mixing, ngram, pieces, secrets, sharding, simhash
 from quirelake.llm.common import table
 
 
@@ -20,6 +21,16 @@ def remainder(id_col: str, divisor: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probed = media.probe_media(media.store_texts(table(spark, sf_dir, "documents")))
+    keys = F.col("keyframes")
+    feature = F.format_string(
+        "%s %d Hz, %d ms, %d samples, %d keyframes of %d bytes from %d to %d", "codec", "timescale", (F.col("duration") * 1000 / F.col("timescale")).cast("long"), "n_samples",
+        F.size(keys), F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + k["length"]), keys[0]["offset"], F.element_at(keys, -1)["offset"] + F.element_at(keys, -1)["length"],
+    )
+    return probed.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -37,19 +48,52 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "kind", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.sha2("finding", 256).alias("finding_sha256"), "score", "is_secret")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remainder("doc_id", 7)
+    kind = F.when(left == 2, ngram.UNSEEN).when(left == 5, ngram.DELETED).otherwise(ngram.COUNTED)
+    scored = ngram.score_texts(table(spark, sf_dir, "documents"), kind)
+    return scored.withColumnRenamed("id", "doc_id").withColumn("held_out", F.coalesce(left == 2, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_documents(table(spark, sf_dir, "documents"), default_vocabulary())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.with_copies(docs, mixing.mixture(docs), "mix").withColumn("size", mixing.word_count(F.col("text")))
     return mixed.select("doc_id", "size", F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"), (F.col("size") * F.col("mix.copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_language_id, op4_secret_scan, op6_sentencepiece, op8_source_mixing)}
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    formatted = chat.format_conversations(turns.unionByName(extra))
+
+    @F.pandas_udf("n_turns long, turns string, loss string")
+    def read(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, marked in zip(texts, spans):
+            back = chat.read_turns(text)
+            rows.append((len(back), "".join(f"{role}\n{said}\n" for role, said in back), chat.read_loss(text, [(s["start"], s["end"]) for s in marked])))
+        return pd.DataFrame(rows, columns=["n_turns", "turns", "loss"])
+
+    found = formatted.select("conv_id", "formatted", read("formatted", "spans").alias("r"))
+    return found.select("conv_id", "r.n_turns", F.sha2("r.turns", 256).alias("turns_sha256"), F.char_length("r.loss").cast("long").alias("loss_chars"), F.sha2("r.loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash_dedup, op3_language_id, op4_secret_scan, op5_lm_scoring, op6_sentencepiece, op7_embedding_dedup, op8_source_mixing, op9_kd_sharding, op10_chat_format)}
 
 #: Water-filled targets, then the running sum of sizes by 48-bit hash against what each target leaves over whole passes.
 MIXING_SQL = r"""
