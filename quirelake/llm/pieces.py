@@ -2,13 +2,15 @@
 
 Encoding keeps a score-ordered agenda of adjacent symbol pairs: the pair whose merged
 piece has the best score (ties: the leftmost) is merged, its new neighbours join the
-agenda, and outdated entries are skipped. Symbols outside the vocabulary fall back to
+agenda, and outdated entries go. Short parts keep the agenda as a list in text order,
+whose best entry is its minimum; long ones keep it as a heap. Symbols outside the vocabulary fall back to
 their UTF-8 bytes. A text is first cut where no piece of the vocabulary could reach
 across (before a run of word marks, and round characters that no longer piece holds);
 merges never cross such a cut, so the parts are encoded alone and the results of short
 parts are kept in a bounded table.
 
-Every Arrow batch is checked against the sentencepiece library, encoding and decoding.
+Every Arrow batch is checked against the sentencepiece library: each part that the
+batch has encoded anew, every ``WHOLE``-th text as a whole, and all decoded texts.
 """
 
 from __future__ import annotations
@@ -19,14 +21,20 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+NEVER = float("inf")
 #: Parts kept per worker, and the longest part kept, in characters.
-KEPT, LONGEST = 300_000, 48
+KEPT, LONGEST = 600_000, 48
+#: Parts up to this many characters keep their agenda as a list.
+SHORT = 32
+#: One text in this many is compared whole.
+WHOLE = 16
 #: Characters encoded between two checks against the library.
 STEP = 1 << 19
 
@@ -41,9 +49,11 @@ class _Parts(dict):
     def __init__(self, encode_part):
         super().__init__()
         self.encode_part = encode_part
+        self.fresh: list[tuple[str, tuple[int, ...]]] = []  # not yet checked
 
     def __missing__(self, part: str) -> tuple[int, ...]:
         ids = self.encode_part(part)
+        self.fresh.append((part, ids))
         if len(part) <= LONGEST:
             if len(self) >= KEPT:
                 self.clear()
@@ -66,20 +76,22 @@ class PieceCodec:
         self.byte_fallback = lib.is_byte(self.bytes[0])
         #: What an id decodes to; control ids to nothing.
         self.surface = [p.replace(MARK, " ") if plain[i] else "" for i, p in enumerate(pieces)]
-        self.raw = {i: b for b, i in enumerate(self.bytes)} if self.byte_fallback else {}
+        if self.byte_fallback:
+            for b, i in enumerate(self.bytes):  # a byte above ASCII waits as a surrogate until its neighbours are known
+                self.surface[i] = bytes((b,)).decode("ascii", "surrogateescape")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.cost):
-            pattern = r".+"
+            pattern, self.lead = r".+", None
         else:
             inner = set(chain.from_iterable(self.cost))
-            alone = "".join(f"\\x{c:02x}" for c in range(128) if chr(c) not in inner)
+            solo = [chr(c) for c in range(128) if chr(c) not in inner]
+            alone = "".join(f"\\x{ord(c):02x}" for c in solo)
+            self.lead = solo[0] if solo else None  # no merge crosses it, so a part can follow it in a text of its own
             pattern = f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+"
         self.cut = re.compile(pattern, re.DOTALL).findall
         self.parts = _Parts(self.encode_part)
 
-    def encode_part(self, part: str) -> tuple[int, ...]:
-        whole = self.ids.get(part) if len(part) == 1 else None
-        if whole is not None:
-            return (whole,)
+    def _merge_long(self, part: str) -> list[str]:
+        """Symbols after all merges, the agenda being a heap; merged-away places are empty."""
         cost, n = self.cost.get, len(part)
         symbols: list[str] = list(part)
         agenda = [(c, i, pair) for i in range(n - 1) if (c := cost(pair := part[i : i + 2])) is not None]
@@ -98,6 +110,28 @@ class PieceCodec:
                     heappush(agenda, (c, left, pair))
             if (prior := before[left]) >= 0 and (c := cost(pair := symbols[prior] + merged)) is not None:
                 heappush(agenda, (c, prior, pair))
+        return symbols
+
+    def _merge_short(self, part: str) -> list[str]:
+        """Symbols after all merges, the agenda being a list of costs in text order."""
+        cost = self.cost.get
+        symbols = list(part)
+        agenda = [cost(part[i : i + 2], NEVER) for i in range(len(part) - 1)]
+        while agenda and (best := min(agenda)) is not NEVER:
+            i = agenda.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(symbols[i] + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], NEVER)
+        return symbols
+
+    def encode_part(self, part: str) -> tuple[int, ...]:
+        whole = self.ids.get(part) if len(part) == 1 else None
+        if whole is not None:
+            return (whole,)
+        symbols = self._merge_short(part) if len(part) <= SHORT else self._merge_long(part)
         out: list[int] = []
         for s in symbols:
             if s:
@@ -119,22 +153,27 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks become spaces, the first mark is dropped, runs of byte ids are read as UTF-8."""
-        surface, raw = self.surface, self.raw
-        if raw.keys().isdisjoint(ids):
-            text = "".join(map(surface.__getitem__, ids))
-        else:
-            parts: list[bytes] = []
-            for i in ids:
-                b = raw.get(i)
-                parts.append(surface[i].encode() if b is None else bytes((b,)))
-            text = b"".join(parts).decode("utf-8", "replace")
+        text = "".join(map(self.surface.__getitem__, ids))
+        try:
+            text.encode()
+        except UnicodeEncodeError:
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text.removeprefix(" ")
 
     def checked(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
         """Ids and decoded texts; raises if the library's differ."""
         ids = [self.encode(t) for t in texts]
         decoded = [self.decode(i) for i in ids]
-        if self.library.encode(texts, add_eos=True, num_threads=1) != ids:
+        fresh, self.parts.fresh = self.parts.fresh, []
+        every = WHOLE
+        if self.lead is None:
+            every = 1
+        elif fresh:
+            head = self.library.encode(self.lead)
+            found = self.library.encode([self.lead + p for p, _ in fresh], num_threads=1)
+            if any(f != [*head, *i] for f, (_, i) in zip(found, fresh)):
+                raise PieceMismatch("agenda and library give other ids for a part")
+        if self.library.encode(texts[::every], add_eos=True, num_threads=1) != ids[::every]:
             raise PieceMismatch("agenda and library give other ids")
         if self.library.decode(ids, num_threads=1) != decoded:
             raise PieceMismatch("decoder and library give other texts")
@@ -173,7 +212,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             for low, high in _steps(texts):
                 ids, decoded = tool.checked(texts[low:high])
                 offsets = pa.array([0, *_running(map(len, ids))], pa.int32())
-                values = pa.array(chain.from_iterable(ids), pa.int32())
+                values = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     return kept.mapInArrow(step, "id long, ids array<int>, decoded string")
