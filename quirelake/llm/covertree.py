@@ -49,6 +49,19 @@ class CoverTree:
     def depth(self) -> int:
         return len(self.centre)
 
+    def to_bytes(self) -> bytes:
+        """The levels, without the points."""
+        sizes = np.array([self.depth, *map(len, self.centre)], np.int64)
+        return b"".join(x.tobytes() for x in (sizes, *self.centre, *self.parent, *self.radius))
+
+    @classmethod
+    def from_bytes(cls, points: np.ndarray, data: bytes) -> CoverTree:
+        depth = int(np.frombuffer(data, np.int64, 1)[0])
+        sizes = np.frombuffer(data, np.int64, depth, 8)
+        flat = np.frombuffer(data, np.int64, offset=8 * (depth + 1))
+        parts = np.split(flat, np.cumsum(np.tile(sizes, 3))[:-1])
+        return cls(points, parts[:depth], parts[depth : 2 * depth], [p.view(np.float64) for p in parts[2 * depth :]])
+
 
 def build(points: np.ndarray) -> CoverTree:
     """A cover tree of unit vectors, built from the root down."""
@@ -105,13 +118,6 @@ def _points_below(tree: CoverTree, level: int) -> list[np.ndarray]:
     return np.split(points, np.cumsum(np.bincount(at, minlength=len(tree.centre[level])))[:-1])
 
 
-def _children(tree: CoverTree, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets into the list of the next level's nodes ordered by parent, and that list."""
-    parent = tree.parent[level + 1]
-    order = np.argsort(parent, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=len(tree.centre[level])))]), order
-
-
 def _product(starts_a: np.ndarray, list_a: np.ndarray, starts_b: np.ndarray, list_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Children of a[i] with children of b[i], for each i."""
     na, nb = starts_a[a + 1] - starts_a[a], starts_b[b + 1] - starts_b[b]
@@ -131,54 +137,88 @@ def dual_traversal(left: CoverTree, right: CoverTree, cosine: float, same: bool)
     reach = np.sqrt(max(0.0, 2.0 - 2.0 * cosine))
     depth = max(left.depth, right.depth)
     level = lambda t, k: min(k, t.depth - 1)
-    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)  # open pairs of nodes on the level above
     for k in range(depth):
         la, lb = level(left, k), level(right, k)
         last = k == depth - 1
         ca, cb = left.centre[la], right.centre[lb]
         ra, rb = left.radius[la], right.radius[lb]
-        keep_a, keep_b, whole = [], [], []
-        dense = len(ca) * len(cb) <= 16 * len(a)
-        gram = left.points[ca] @ right.points[cb].T if dense else None
-        for low in range(0, len(a), 1 << 19):
-            x, y = a[low : low + (1 << 19)], b[low : low + (1 << 19)]
-            dots = gram[x, y] if dense else np.einsum("ij,ij->i", left.points[ca[x]], right.points[cb[y]])
-            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
-            span = ra[x] + rb[y]
-            near = d - span <= reach + SLACK
+        up_a = left.parent[la] if 0 < k < left.depth else np.zeros(len(ca), np.int64) if not k else np.arange(len(ca))
+        up_b = right.parent[lb] if 0 < k < right.depth else np.zeros(len(cb), np.int64) if not k else np.arange(len(cb))
+        keep_a, keep_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y, dots in _near_children(left.points[ca], right.points[cb], ra, rb, up_a, up_b, a, b, reach, same):
             if last:
-                hit = near & (dots >= cosine)
+                hit = dots >= cosine
                 if same:
                     hit &= ca[x] < cb[y]
                 if hit.any():
                     yield ca[x[hit]], cb[y[hit]], False
                 continue
-            inside = near & (d + span < reach - SLACK) & (span > 0)
+            span = ra[x] + rb[y]
+            inside = (span > 0) & (np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots)) + span < reach - SLACK)
             if same:
                 inside &= x != y
             if inside.any():
-                whole.append((x[inside], y[inside]))
-            near &= ~inside
-            keep_a.append(x[near])
-            keep_b.append(y[near])
-        if last:
-            return
-        if whole:
-            below_a, below_b = _points_below(left, la), _points_below(right, lb)
-            for x, y in whole:
-                for i, j in zip(x.tolist(), y.tolist()):
-                    if not same or i < j:
-                        yield below_a[i], below_b[j], True
+                below_a, below_b = _points_below(left, la), _points_below(right, lb)
+                for i, j in zip(x[inside].tolist(), y[inside].tolist()):
+                    yield below_a[i], below_b[j], True
+            keep_a.append(x[~inside])
+            keep_b.append(y[~inside])
         a, b = np.concatenate(keep_a), np.concatenate(keep_b)
         if not len(a):
             return
-        stay = lambda n: (np.arange(n + 1), np.arange(n))
-        sa, oa = _children(left, la) if la + 1 < left.depth else stay(len(ca))
-        sb, ob = _children(right, lb) if lb + 1 < right.depth else stay(len(cb))
-        a, b = _product(sa, oa, sb, ob, a, b)
-        if same:  # node pairs come in one order; a pair of nodes under one parent in both
-            one = a <= b
-            a, b = a[one], b[one]
+
+
+def _near_children(pa_: np.ndarray, pb: np.ndarray, ra: np.ndarray, rb: np.ndarray, up_a: np.ndarray, up_b: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, dot product) of the nodes x under a[i] and y under b[i] whose bound allows a link; of one tree, x <= y only.
+
+    Where the open pairs are a fair share of all pairs, products are taken as matrices and
+    masked by the open pairs above; where they are few, pair by pair.
+    """
+    na, nb = np.bincount(up_a, minlength=int(a.max()) + 1), np.bincount(up_b, minlength=int(b.max()) + 1)
+    total = int((na[a] * nb[b]).sum())
+    if total > 0.02 * len(pa_) * len(pb):
+        open_ = np.zeros((len(na), len(nb)), bool)
+        open_[a, b] = True
+        if same:
+            open_ |= open_.T
+        every = bool(open_.all())
+        rows = max(1, (1 << 19) // max(1, len(pb)))
+        limit_b = reach + SLACK + rb
+        for low in range(0, len(pa_), rows):
+            part = slice(low, low + rows)
+            dots = pa_[part] @ pb.T
+            bound = ra[part, None] + limit_b
+            bound *= bound
+            bound *= -0.5
+            bound += 1.0  # distance within the bound: product of 1 - bound**2 / 2 at least
+            near = dots >= bound
+            if not every:
+                near &= open_[up_a[part]][:, up_b]
+            x, y = np.nonzero(near)
+            if same:
+                one = x + low <= y
+                x, y = x[one], y[one]
+            yield x + low, y, dots[x, y]
+        return
+    starts_a, order_a = np.concatenate([[0], np.cumsum(na)]), np.argsort(up_a, kind="stable")
+    starts_b, order_b = np.concatenate([[0], np.cumsum(nb)]), np.argsort(up_b, kind="stable")
+    ends = np.cumsum(na[a] * nb[b])
+    at = 0
+    while at < len(a):  # as many open pairs as open into about half a million
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 19), "right")))
+        x, y = _product(starts_a, order_a, starts_b, order_b, a[at:upto], b[at:upto])
+        at = upto
+        if same:  # an open pair of two nodes stands for both orders
+            x, y = np.minimum(x, y), np.maximum(x, y)
+        dots = np.einsum("ij,ij->i", pa_[x], pb[y])
+        near = dots >= 1.0 - 0.5 * (reach + SLACK + ra[x] + rb[y]) ** 2
+        if same:
+            pairs = np.unique(x[near] * len(pb) + y[near])
+            x, y = pairs // len(pb), pairs % len(pb)
+            yield x, y, np.einsum("ij,ij->i", pa_[x], pb[y])
+        else:
+            yield x[near], y[near], dots[near]
 
 
 def links_of(left: CoverTree, right: CoverTree, weights_l: np.ndarray, weights_r: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -225,11 +265,10 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         v = _unit(t["vector"].combine_chunks())
-        gap = v - v[0]
-        root = float(np.sqrt(np.einsum("ij,ij->i", gap, gap).max()))
-        row = [t["cell"][0].as_py()], [np.ascontiguousarray(v).tobytes()], [t["first"].to_numpy().tobytes()], [t["copies"].to_numpy().tobytes()], [v.shape[1]], [v[0].tolist()], [root], [len(v)]
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["cell", "vectors", "firsts", "copies", "dim", "root", "radius", "n"])
+        tree = build(v)
+        row = [t["cell"][0].as_py()], [v.tobytes()], [t["first"].to_numpy().tobytes()], [t["copies"].to_numpy().tobytes()], [tree.to_bytes()], [v.shape[1]], [v[0].tolist()], [float(tree.radius[0][0])]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["cell", "vectors", "firsts", "copies", "levels", "dim", "root", "radius"])
 
     for batch in batches:
         cells = batch.column(0).to_numpy()
@@ -247,19 +286,11 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pair_links(cosine: float):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, CoverTree] = {}
-
-        def tree(cell: int, vectors: bytes, dim: int) -> CoverTree:
-            if cell not in kept:
-                if len(kept) >= 4:
-                    kept.pop(next(iter(kept)))
-                kept[cell] = build(np.frombuffer(vectors, np.float64).reshape(-1, dim))
-            return kept[cell]
-
+        tree = lambda r, s: CoverTree.from_bytes(np.frombuffer(r[f"{s}_vectors"], np.float64).reshape(-1, r[f"{s}_dim"]), r[f"{s}_levels"])
         for batch in batches:
             for r in batch.to_pylist():
                 same = r["left"] == r["right"]
-                lt, rt = tree(r["left"], r["l_vectors"], r["l_dim"]), tree(r["right"], r["r_vectors"], r["r_dim"])
+                lt, rt = tree(r, "l"), tree(r, "r")
                 lf, rf = np.frombuffer(r["l_firsts"], np.int64), np.frombuffer(r["r_firsts"], np.int64)
                 lw, rw = np.frombuffer(r["l_copies"], np.int64), np.frombuffer(r["r_copies"], np.int64)
                 gl, gr, x, y = links_of(lt, rt, lw, rw, cosine, same)
@@ -303,7 +334,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, cell: int = CELL, id_c
     sizes = {r["pivot"]: r["count"] for r in dealt.mapInArrow(_to_cells(p, ones), schema).groupBy(F.shiftright("cell", 32).alias("pivot")).count().collect()}  # a row a pivot
     cuts = np.array([max(1, -(-sizes.get(i, 0) // cell)) for i in range(len(p))])
     cells = dealt.mapInArrow(_to_cells(p, cuts), schema).repartition("cell").sortWithinPartitions("cell", "first")
-    trees = durable(cells.mapInArrow(_trees, "cell long, vectors binary, firsts binary, copies binary, dim int, root array<double>, radius double, n long"))
+    trees = durable(cells.mapInArrow(_trees, "cell long, vectors binary, firsts binary, copies binary, levels binary, dim int, root array<double>, radius double"))
     # A row a cell, without its vectors: pairs of cells within reach of each other.
     heads = trees.select("cell", "root", "radius").orderBy("cell").toArrow()
     ids, roots, radii = heads["cell"].to_numpy(), np.array(heads["root"].to_pylist()), heads["radius"].to_numpy()
@@ -314,7 +345,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, cell: int = CELL, id_c
         pairs += [(int(ids[i]), int(ids[j])) for j in i + np.flatnonzero(d - radii[i:] - radii[i] <= reach + SLACK)]
     spark = rows.sparkSession
     table = spark.createDataFrame(pa.table({"left": [a for a, _ in pairs], "right": [b for _, b in pairs]}))
-    side = lambda s, k: trees.select(F.col("cell").alias(k), *[F.col(c).alias(f"{s}_{c}") for c in ("vectors", "firsts", "copies", "dim")])
+    side = lambda s, k: trees.select(F.col("cell").alias(k), *[F.col(c).alias(f"{s}_{c}") for c in ("vectors", "firsts", "copies", "levels", "dim")])
     units = table.join(side("l", "left"), "left").join(side("r", "right"), "right").repartition(max(1, len(pairs)), "left", "right")
     found = durable(units.mapInArrow(_pair_links(cosine), "first long, n long, other long"))
     counts = found.where("other IS NULL").groupBy("first").agg(F.sum("n").alias("n"))

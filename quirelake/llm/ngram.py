@@ -17,7 +17,9 @@ every range of the hash space, so a frequent pair costs a row a chunk, not a row
 occurrence. The task of a range adds up the counts and answers each block with the
 counts alone, in the block's order; a chunk is then scored with its own answers. No
 table of the corpus is broadcast or held whole anywhere. Two words are taken for one if
-their 64-bit hashes agree, which has a chance of about n*n / 3.7e19 for n distinct keys.
+their 64-bit hashes agree, which has a chance of about n*n / 3.7e19 for n distinct words.
+Pairs are told apart by ``PAIR_BITS`` bits more than it takes to number all tokens, so a
+pair shares its count with another one with a chance of 2**-PAIR_BITS at any size.
 """
 
 from __future__ import annotations
@@ -38,9 +40,10 @@ from quirelake.llm.simhash import LOWER_ASCII, WORD
 
 SEED = 42
 #: Tokens of a chunk, about; a text is never cut.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 #: Keys of a range, about, if every token made a key.
 RANGE = 1_500_000
+PAIR_BITS = 24
 #: Classes of texts: counted, held out of the deleted estimates, never learned from.
 COUNTED, DELETED, UNSEEN = 0, 1, 2
 #: A space can't be in a word, so no word has this hash's source.
@@ -52,18 +55,20 @@ EM_ROUNDS = 60
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block, byte plane by byte plane."""
     head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<4sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    planes = (np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays)
+    return zstandard.compress(head + b"".join(planes), 3)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(blob)
-    n, at, out = struct.unpack_from("<I", raw)[0], 4, []
-    heads = [struct.unpack_from("<4sQ", raw, 4 + 12 * i) for i in range(n)]
-    at += 12 * n
-    for kind, size in heads:
+    n, out = struct.unpack_from("<I", raw)[0], []
+    at = 4 + 12 * n
+    for kind, size in (struct.unpack_from("<4sQ", raw, 4 + 12 * i) for i in range(n)):
         dtype = np.dtype("<" + kind.rstrip(b"\0").decode())
-        out.append(np.frombuffer(raw, dtype, size, at))
+        planes = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).ravel())
         at += size * dtype.itemsize
     return out
 
@@ -150,7 +155,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 class _Chunk:
     """A chunk's tokens and its sorted distinct keys."""
 
-    def __init__(self, data: bytes, more: bytes):
+    def __init__(self, data: bytes, more: bytes, pair_bits: int):
         self.tokens, lengths, self.ids, self.null = _unpack(data)
         (self.hashes,) = _unpack(more)
         self.starts = np.cumsum(lengths, dtype=np.int64) - lengths
@@ -161,7 +166,7 @@ class _Chunk:
         self.order = np.argsort(self.hashes, kind="stable")
         self.words = self.hashes[self.order]
         self.word_counts = np.bincount(self.tokens, minlength=len(self.hashes))[self.order]
-        keys = _pair_keys(self.hashes[self.before], self.hashes[self.tokens])
+        keys = _pair_keys(self.hashes[self.before], self.hashes[self.tokens]) >> np.uint64(64 - pair_bits)
         self.pairs, self.pair_at, self.pair_counts = np.unique(keys, return_inverse=True, return_counts=True)
 
     def by_word(self, answers: np.ndarray) -> np.ndarray:
@@ -171,17 +176,15 @@ class _Chunk:
         return out
 
 
-def _ask(ranges_bits: int):
+def _ask(range_bits: int, pair_bits: int):
     """Each chunk's distinct words (kind 0) and pairs (kind 1), a block for each range; ``more`` has their counts in the chunk."""
-    shift = np.uint64(64 - ranges_bits)
-
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data, more in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4))):
-                c = _Chunk(data, more)
+                c = _Chunk(data, more, pair_bits)
                 rows: list[tuple] = []
-                for which, keys, counts in ((0, c.words, c.word_counts), (1, c.pairs, c.pair_counts)):
-                    part = (keys >> shift).astype(np.int64) if ranges_bits else np.zeros(len(keys), np.int64)
+                for which, keys, counts, bits in ((0, c.words, c.word_counts, 64), (1, c.pairs, c.pair_counts, pair_bits)):
+                    part = (keys >> np.uint64(bits - range_bits)).astype(np.int64)
                     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
                         rows.append((chunk, which, int(part[a]), _pack_sorted(keys[a:b]), _pack(_small(counts[a:b]))))
@@ -239,7 +242,7 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0)
 
 
-def _with_answers(use):
+def _with_answers(pair_bits: int, use):
     """Runs ``use(counts)`` for each chunk; rows come as the chunk (kind -1), then its words' and its pairs' answers by range."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +255,7 @@ def _with_answers(use):
                         yield use(_Counts(chunk, *blobs))
                     now, chunk, blobs = id_, None, ([], [])
                 if kind < 0:
-                    chunk = _Chunk(data, more)
+                    chunk = _Chunk(data, more, pair_bits)
                 else:
                     blobs[kind].append(data)
         if chunk is not None:
@@ -328,7 +331,8 @@ def score_texts(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col:
     chunks = durable(rows.mapInArrow(_chunks, ROW))
     tokens = chunks.agg(F.coalesce(F.sum("part"), F.lit(0))).first()[0]
     bits = max(4, int(np.ceil(np.log2(max(1, tokens / RANGE)))))
-    asked = chunks.mapInArrow(_ask(bits), ROW).repartition("part").sortWithinPartitions("part", "kind", "chunk")
+    pair_bits = min(64, int(np.ceil(np.log2(max(2, tokens)))) + PAIR_BITS)
+    asked = chunks.mapInArrow(_ask(bits, pair_bits), ROW).repartition("part").sortWithinPartitions("part", "kind", "chunk")
     answers = durable(asked.mapInArrow(_answer, ROW))
     totals = {r["kind"]: r["n"] for r in answers.where("chunk = -1").groupBy("kind").agg(F.sum("part").alias("n")).collect()}  # three rows
     counted, deleted, known = (int(totals.get(k, 0)) for k in (10, 11, 12))
@@ -337,9 +341,9 @@ def score_texts(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col:
         both = chunks.withColumn("part", F.lit(0).cast("long")).unionByName(answers.where("chunk >= 0")).where(only)
         return both.repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
 
-    held_out = answered(F.col("chunk") % 4 == DELETED).mapInArrow(_with_answers(_cells(counted, known)), "cell long, n long, p2 double, p1 double")
+    held_out = answered(F.col("chunk") % 4 == DELETED).mapInArrow(_with_answers(pair_bits, _cells(counted, known)), "cell long, n long, p2 double, p1 double")
     cells = held_out.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").toArrow()  # bounded by the bins
     n = cells["n"].to_numpy().astype(float)
     weights = learn_weights(cells["cell"].to_numpy(), n, cells["p2"].to_numpy() / np.maximum(n, 1), cells["p1"].to_numpy() / np.maximum(n, 1), 1 / (known + 1))
-    scored = answered(F.lit(True)).mapInArrow(_with_answers(_scores(weights, counted + deleted, known)), "id long, n_tokens long, n_known long, base_score double, score double")
+    scored = answered(F.lit(True)).mapInArrow(_with_answers(pair_bits, _scores(weights, counted + deleted, known)), "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", "n_tokens", "n_known", F.lit(counted + deleted).cast("long").alias("train_tokens"), "base_score", "score")
