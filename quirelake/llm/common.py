@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +23,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def values(column: pa.Array, step: int = 256) -> Iterator:
+    """The column's values as Python objects, made a few at a time so that a batch of long texts is not held twice."""
+    for low in range(0, len(column), step):
+        yield from column.slice(low, step).to_pylist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,11 +15,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import values
+
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
 UND = "und"
@@ -30,7 +31,7 @@ BOUND = 2000
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """For each code point: itself if it is a letter, else a blank."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], dtype=np.uint32)
+    return np.fromiter((c if chr(c).isalpha() else 32 for c in range(0x110000)), np.uint32, 0x110000)
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +78,11 @@ class LanguageModel:
         """struct<lang, score> of a text column."""
         shared = _share(self)
 
-        @F.pandas_udf("lang string, score double")
-        def of(texts: pd.Series) -> pd.DataFrame:
+        @F.arrow_udf("lang string, score double")
+        def of(texts: pa.Array) -> pa.Array:
             model = shared.value
-            return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
+            found = [model.predict(t) for t in values(texts)]
+            return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["lang", "score"])
 
         return of(text)
 
@@ -136,7 +138,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     """One row per feature number and task; number -1 counts the documents."""
     df, docs = np.zeros(DIM, np.int64), 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in values(batch.column(0)):
             at, _ = ngrams(text)
             df[at] += 1
             docs += 1
@@ -146,7 +148,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [ngrams(t) for t in batch.column(1).to_pylist()]
+        found = [ngrams(t) for t in values(batch.column(1))]
         ints = lambda x: pa.array([v.astype(np.int32) for v in x], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column(0), ints(a for a, _ in found), ints(b for _, b in found), batch.column(2)], names=["lang", "numbers", "counts", "draw"])
 

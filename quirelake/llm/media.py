@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import values
+
 #: Boxes that hold boxes, with the bytes before the first of them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"meta": 4}
 MAX_DEPTH = 16
@@ -281,7 +283,7 @@ def probe_media(media: DataFrame) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(x) for x in batch.column(2).to_pylist()]
+            rows = [one(x) for x in values(batch.column(2))]
             cols = list(zip(*rows)) if rows else [[]] * 12
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds[2:])]], names=names)
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import durable
+from quirelake.llm.common import durable, values
 from quirelake.llm.simhash import LOWER_ASCII, WORD
 
 SEED = 42
@@ -134,7 +134,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     parts: dict[int, Open] = {}
     for batch in batches:
-        for id_, text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for id_, text, kind in zip(batch.column(0).to_pylist(), values(batch.column(1)), batch.column(2).to_pylist()):
             if kind not in parts:
                 parts[kind] = Open()
             part = parts[kind]

@@ -10,7 +10,8 @@ merges never cross such a cut, so the parts are encoded alone and the results of
 parts are kept in a bounded table.
 
 Every Arrow batch is checked against the sentencepiece library: each part that the
-batch has encoded anew, every ``WHOLE``-th text as a whole, and all decoded texts.
+batch has encoded anew, and every ``WHOLE``-th text as a whole, encoded and decoded. With
+byte fallback every decoded text must also be the text itself.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NEVER = float("inf")
 #: Parts kept per worker, and the longest part kept, in characters.
-KEPT, LONGEST = 600_000, 48
+KEPT, LONGEST = 500_000, 40
 #: Parts up to this many characters keep their agenda as a list.
 SHORT = 32
 #: One text in this many is compared whole.
@@ -44,18 +46,22 @@ class PieceMismatch(ValueError):
 
 
 class _Parts(dict):
-    """part -> its ids, computed on first use; emptied when full."""
+    """part -> its ids, computed on first use; when full, parts not asked for since it was last full go."""
 
     def __init__(self, encode_part):
         super().__init__()
         self.encode_part = encode_part
         self.fresh: list[tuple[str, tuple[int, ...]]] = []  # not yet checked
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self.encode_part(part)
-        self.fresh.append((part, ids))
+        ids = self.older.pop(part, None)
+        if ids is None:
+            ids = self.encode_part(part)
+            self.fresh.append((part, ids))
         if len(part) <= LONGEST:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT // 2:
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -116,15 +122,18 @@ class PieceCodec:
         """Symbols after all merges, the agenda being a list of costs in text order."""
         cost = self.cost.get
         symbols = list(part)
-        agenda = [cost(part[i : i + 2], NEVER) for i in range(len(part) - 1)]
+        pairs = [part[i : i + 2] for i in range(len(part) - 1)]
+        agenda = [cost(p, NEVER) for p in pairs]
         while agenda and (best := min(agenda)) is not NEVER:
             i = agenda.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del agenda[i]
+            merged = symbols[i] = pairs[i]
+            del symbols[i + 1], pairs[i], agenda[i]
             if i < len(agenda):
-                agenda[i] = cost(symbols[i] + symbols[i + 1], NEVER)
+                pairs[i] = pair = merged + symbols[i + 1]
+                agenda[i] = cost(pair, NEVER)
             if i:
-                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], NEVER)
+                pairs[i - 1] = pair = symbols[i - 1] + merged
+                agenda[i - 1] = cost(pair, NEVER)
         return symbols
 
     def encode_part(self, part: str) -> tuple[int, ...]:
@@ -175,8 +184,10 @@ class PieceCodec:
                 raise PieceMismatch("agenda and library give other ids for a part")
         if self.library.encode(texts[::every], add_eos=True, num_threads=1) != ids[::every]:
             raise PieceMismatch("agenda and library give other ids")
-        if self.library.decode(ids, num_threads=1) != decoded:
+        if self.library.decode(ids[::every], num_threads=1) != decoded[::every]:
             raise PieceMismatch("decoder and library give other texts")
+        if self.byte_fallback and any(d != t.replace(MARK, " ") for d, t in zip(decoded, texts)):
+            raise PieceMismatch("a text doesn't come back from its ids")
         return ids, decoded
 
 
@@ -186,15 +197,15 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _steps(lengths: list[int]) -> Iterator[tuple[int, int]]:
     start = chars = 0
-    for i, t in enumerate(texts):
-        if chars and chars + len(t) > STEP:
+    for i, n in enumerate(lengths):
+        if chars and chars + n > STEP:
             yield start, i
             start, chars = i, 0
-        chars += len(t)
-    if texts:
-        yield start, len(texts)
+        chars += n
+    if lengths:
+        yield start, len(lengths)
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,9 +219,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low, high in _steps(texts):
-                ids, decoded = tool.checked(texts[low:high])
+            for low, high in _steps(pc.utf8_length(batch.column(1)).to_pylist()):
+                ids, decoded = tool.checked(batch.column(1).slice(low, high - low).to_pylist())
                 offsets = pa.array([0, *_running(map(len, ids))], pa.int32())
                 values = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])

@@ -16,11 +16,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import values
 from quirelake.llm.forest import Forest, fit_forest
 
 #: Kinds of candidates and their patterns, in the order of precedence.
@@ -187,7 +187,7 @@ def scan_secrets(docs: DataFrame, scanner: SecretScanner | None = None, id_col:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, s, e, t[s:e], p, p >= scanner.threshold) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, s, e, p in scanner.scan(t)]
+            rows = [(i, k, s, e, t[s:e], p, p >= scanner.threshold) for i, t in zip(batch.column(0).to_pylist(), values(batch.column(1))) for k, s, e, p in scanner.scan(t)]
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
@@ -199,8 +199,9 @@ def redacted(text: Column, scanner: SecretScanner | None = None) -> Column:
     """A text column with its secrets replaced; null stays null."""
     scanner = scanner or default_scanner()
 
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([scanner.redact(t) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        parts = (pa.array([scanner.redact(t) for t in texts.slice(low, 256).to_pylist()], pa.string()) for low in range(0, max(1, len(texts)), 256))
+        return pa.concat_arrays(list(parts))
 
     return of(text)

@@ -23,14 +23,13 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quirelake.llm.common import durable
+from quirelake.llm.common import durable, values
 from quirelake.llm.components import connected_components
 
 BITS, SEED, SALTS = 64, 42, 4
@@ -61,9 +60,9 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def simhash(text: Column, width: int = 4) -> Column:
     """Fingerprint of a text column as a signed long."""
 
-    @F.pandas_udf(LongType())
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, width) for x in texts], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf(LongType())
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(x, width) for x in values(texts)), np.uint64, len(texts)).view(np.int64))
 
     return of(text)
 
