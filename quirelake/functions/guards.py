@@ -7,13 +7,16 @@ sequence matcher, and is computed only for rows that every cheaper guard has let
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quirelake.functions.lexicon import LOWERS, UPPERS
-from quirelake.functions.text import WS, casefold, count_of, is_blank, strip, words
+from quirelake.functions.text import WS, casefold, count_of, is_blank, let, settle, strip, words
 
 #: Typographic quotes, in order, and the private code points that stand for them in a model's input.
 QUOTES = "“”‘’«»"
@@ -29,10 +32,7 @@ def protect_quotes(text: Column) -> Column:
 
 def restore_quotes(protected: Column, output: Column) -> Column:
     """Output with its quotes back; null if it has another number of any token than its input."""
-    same = F.lit(True)
-    for t in TOKENS:
-        same = same & (count_of(protected, t) == count_of(output, t))
-    return F.when(same, F.translate(output, TOKENS, QUOTES))
+    return let(protected, lambda p: F.when(reduce(and_, (count_of(p, t) == count_of(output, t) for t in TOKENS)), F.translate(output, TOKENS, QUOTES)))
 
 
 def clean_output(text: Column) -> Column:
@@ -48,10 +48,7 @@ def length_ok(original: Column, output: Column) -> Column:
 
 
 def quotes_ok(original: Column, output: Column) -> Column:
-    same = F.lit(True)
-    for q in QUOTES:
-        same = same & (count_of(original, q) == count_of(output, q))
-    return same
+    return reduce(and_, (count_of(original, q) == count_of(output, q) for q in QUOTES))
 
 
 def case_ok(output: Column) -> Column:
@@ -63,7 +60,7 @@ def letter_words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1)), casefold)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(original: pd.Series, output: pd.Series) -> pd.Series:
     """Ratio of matching characters; null if either is null."""
     return pd.Series([None if a is None or b is None else 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(original, output)], dtype="float64")
@@ -88,17 +85,15 @@ def decide(pairs: DataFrame, lexicon: DataFrame, key: str = "key", rules: str =
     first failing guard in the order below gives the reason.
     """
     base = pairs.select(key, F.col(rules).alias("rules"), F.col(answer).alias("answer"))
-    base = base.withColumn("restored", restore_quotes(protect_quotes(F.col("rules")), F.col("answer"))).withColumn("clean", clean_output(F.col("restored")))
-    r, c = F.col("rules"), F.col("clean")
-    early = (
-        F.when(is_blank(r), "blank").when(F.col("answer").isNull(), "unavailable").when(F.col("restored").isNull(), "tokens").when(c == "", "empty").when(~length_ok(r, c), "length")
-    )
-    base = base.withColumn("early", early)
-    passed = base.where("early IS NULL").withColumn("ratio", similarity(r, c))
-    checked = passed.withColumn("late", F.when(F.col("ratio") < LEAST_SIMILARITY, "similarity").when(~quotes_ok(r, c), "quotes"))
-    changed = checked.where((F.col("late").isNull()) & (r != c))
-    unknown = unknown_words(changed, lexicon, key, "rules", "clean").select(key).distinct().withColumn("unknown", F.lit(True))
-    judged = checked.join(unknown, key, "left").withColumn("reason", F.coalesce("late", F.when(F.col("unknown"), "vocabulary").when(~case_ok(c), "case")))
-    accepted = judged.select(key, F.when(F.col("reason").isNull(), c).otherwise(r).alias("text"), F.col("reason").alias("reject_reason"))
-    refused = base.where("early IS NOT NULL").select(key, F.when(F.col("early") == "blank", "").otherwise(r).alias("text"), F.col("early").alias("reject_reason"))
-    return accepted.unionByName(refused)
+    r = F.col("rules")
+
+    def early(restored: Column, c: Column) -> Column:
+        return F.when(is_blank(r), "blank").when(F.col("answer").isNull(), "unavailable").when(restored.isNull(), "tokens").when(c == "", "empty").when(~length_ok(r, c), "length")
+
+    judged = let(restore_quotes(protect_quotes(r), F.col("answer")), lambda x: let(clean_output(x), lambda c: F.struct(c.alias("clean"), early(x, c).alias("early"))))
+    base = settle(base, "j", judged).select(key, "rules", F.when(F.col("j.early").isNull(), F.col("j.clean")).alias("clean"), F.col("j.early").alias("early"))
+    c = F.col("clean")
+    unknown = unknown_words(base.where(c.isNotNull() & (r != c)), lexicon, key, "rules", "clean").select(key).distinct().withColumn("unknown", F.lit(True))
+    checked = base.withColumn("ratio", similarity(r, c)).join(unknown, key, "left")
+    reason = F.coalesce("early", F.when(F.col("ratio") < LEAST_SIMILARITY, "similarity").when(~quotes_ok(r, c), "quotes").when(F.col("unknown"), "vocabulary").when(~case_ok(c), "case"))
+    return checked.withColumn("reject_reason", reason).select(key, F.when(F.col("reject_reason").isNull(), c).when(F.col("reject_reason") == "blank", "").otherwise(r).alias("text"), "reject_reason")

@@ -6,20 +6,37 @@ are spelled out. All functions give null for null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as ``str.isspace`` sees it, for use inside and as a class.
 WS_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_SET}]"
-#: Word characters and their complement.
+#: A whole run of white space. What a pattern looks back at comes after its first character, so that most places fail on that alone.
+SPACE_RUN = f"{WS}(?<!{WS}{WS}){WS}*+"
+#: Word characters.
 W = r"[\p{L}\p{N}_]"
 #: Line ends as ``str.splitlines`` sees them.
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: later filters and projections use the value, not its expression.
+
+    A generator of one row is what the optimizer doesn't merge into its neighbours.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{WS}++", ""), rf"(?<!{WS}){WS}++\z", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"\A{WS}++", ""), rf"{SPACE_RUN}\z", "")
 
 
 def is_blank(text: Column) -> Column:
@@ -33,8 +50,7 @@ def casefold(text: Column) -> Column:
 
 def splitlines(text: Column) -> Column:
     """Array of lines without their ends; a line end at the end of the text adds no empty line."""
-    lines = F.split(text, LINE_END)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    return let(F.split(text, LINE_END), lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines))
 
 
 def words(text: Column) -> Column:

@@ -37,8 +37,9 @@ def chapters(blocks: DataFrame, books: DataFrame) -> DataFrame:
     """
     body = chapter_blocks(blocks.join(books.select("book_id", "title"), "book_id"))
     made = body.groupBy("book_id", "chapter_no").agg(F.first("chapter_title").alias("title"), F.count("*").alias("n_blocks"), F.sum(F.char_length("text")).alias("n_chars"))
-    empty = books.join(made.select("book_id").distinct(), "book_id", "left_anti")
-    return made.unionByName(empty.select("book_id", F.lit(1).alias("chapter_no"), "title", F.lit(0).cast("long").alias("n_blocks"), F.lit(0).cast("long").alias("n_chars")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    named = books.select("book_id", F.col("title").alias("book_title")).join(made, "book_id", "left")
+    return named.select("book_id", F.coalesce("chapter_no", F.lit(1)).alias("chapter_no"), F.coalesce("title", "book_title").alias("title"), zero("n_blocks"), zero("n_chars"))
 
 
 def image_offsets(counts: DataFrame) -> DataFrame:

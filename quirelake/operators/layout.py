@@ -7,11 +7,14 @@ or page, or an anti-join; only the repeated texts of a book are ever compared wi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.lexicon import CHAPTER_WORDS
-from quirelake.functions.text import WS, W, casefold, is_upper, splitlines, strip
+from quirelake.functions.text import WS, W, casefold, is_upper, let, splitlines, strip
 
 FOOTNOTE_BELOW, TOP_MARGIN, BOTTOM_MARGIN = 0.78, 0.12, 0.88
 LEAST_COLUMN_BLOCKS = 8
@@ -26,14 +29,13 @@ def is_page_number(text: Column) -> Column:
 
 def block_role(text: Column, y0: Column, height: Column) -> Column:
     """The first that holds: page-number, footnote, heading, table, paragraph."""
-    t = strip(text)
-    return (
-        F.when(is_page_number(text), "page-number")
+    return let(strip(text), lambda t: (
+        F.when(t.rlike(_PAGE_NUMBER), "page-number")
         .when((y0 > height * FOOTNOTE_BELOW) & (F.char_length(t) < 240), "footnote")
         .when((F.char_length(t) <= 90) & (is_upper(t) | t.rlike(_CHAPTER)), "heading")
         .when(t.rlike(rf"\t|{WS}{{3,}}"), "table")
         .otherwise("paragraph")
-    )
+    ))
 
 
 def in_margin(y0: Column, y1: Column, height: Column) -> Column:
@@ -89,17 +91,15 @@ def books_needing_ocr(books: DataFrame, flags: DataFrame) -> DataFrame:
 
 def heading_of(text: Column, role: Column) -> Column:
     """A block's chapter title or null: its first line, if it is a heading or the line is short and begins with a chapter word."""
+    opens = lambda first: let(casefold(first), lambda x: reduce(or_, (F.startswith(x, F.lit(w.casefold())) for w in CHAPTER_WORDS)))
     first = F.coalesce(F.try_element_at(splitlines(strip(text)), F.lit(1)), F.lit(""))
-    folded, opens = casefold(first), F.lit(False)
-    for w in CHAPTER_WORDS:
-        opens = opens | F.startswith(folded, F.lit(w.casefold()))
-    return F.when((role == "heading") | ((F.char_length(first) <= 80) & opens), first)
+    return let(first, lambda x: F.when((role == "heading") | ((F.char_length(x) <= 80) & opens(x)), x))
 
 
 def looks_poetic(text: Column) -> Column:
     """Three lines or more that aren't blank, over 70 % of them short; lengths count white space."""
     lines = F.filter(splitlines(text), lambda x: strip(x) != "")
-    return F.aggregate(F.array(lines), F.lit(False), lambda _, x: (F.size(x) >= 3) & (F.size(F.filter(x, lambda y: F.char_length(y) <= 42)) / F.size(x) > 0.7))
+    return let(lines, lambda x: (F.size(x) >= 3) & (F.size(F.filter(x, lambda y: F.char_length(y) <= 42)) / F.size(x) > 0.7))
 
 
 def analyse(blocks: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from quirelake.errors import Cancelled
 from quirelake.functions.guards import decide
 from quirelake.functions.providers import TextModel, ask_model
 from quirelake.functions.repair import repair
-from quirelake.functions.text import is_blank
+from quirelake.functions.text import is_blank, settle
 from quirelake.operators.cache import page_rows, repair_signature, reuse
 from quirelake.operators.chapters import chapter_blocks, chapters
 from quirelake.operators.layout import analyse
@@ -31,7 +31,7 @@ KEYS = ["book_id", "page_number", "block_no"]
 def repair_blocks(blocks: DataFrame, make_model: Callable[[], TextModel] | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """``blocks`` with ``raw_text`` and repaired ``text``; with a model, its guarded answers where they hold."""
     lines = F.coalesce(F.col("role").isin("table", "poetry"), F.lit(False))
-    done = blocks.withColumn("raw_text", F.col("text")).withColumn("text", F.when(is_blank(F.col("text")), "").otherwise(repair(F.col("text"), lines)))
+    done = settle(blocks.withColumn("raw_text", F.col("text")), "text", F.when(is_blank(F.col("raw_text")), "").otherwise(repair(F.col("raw_text"), lines)))
     if make_model is None:
         return done
     keyed = done.select(F.to_json(F.struct(*KEYS)).alias("key"), F.col("text").alias("rules"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quirelake.plans import layout_queries, repair_queries
+from quirelake.plans import book_queries, layout_queries, repair_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (layout_queries, repair_queries):
+for _module in (layout_queries, repair_queries, book_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
