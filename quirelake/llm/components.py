@@ -35,9 +35,11 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     )
     while not _is_star_forest(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are cut off before the join, whose two sides can then be split where a hub is skewed.
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = durable(large)
+        lowest = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

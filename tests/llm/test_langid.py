@@ -1,0 +1,53 @@
+import numpy as np
+from helpers import SCHEMA, edge_rows, edge_table
+from pyspark.sql import functions as F
+
+from quirelake.llm import langid
+from quirelake.llm.queries import op3_language_id
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    found = op3_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = found.where("held_out AND lang IS NOT NULL")
+    right, total, low, high = held.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*"), F.min("score"), F.max("score")).first()
+    assert total > 250 and right / total > 0.97 and 0 <= low and high <= 1
+
+
+def test_same_rows_same_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a, b = langid.train(docs), langid.train(docs.repartition(5))
+    assert a.langs == b.langs and np.array_equal(a.weights, b.weights) and a.temperature == b.temperature
+    assert 0 < (a.weights == 0).mean() < 1  # the penalties leave weights at zero
+
+
+def test_edge_rows(spark):
+    df = edge_table(spark)
+    model = langid.train(df)
+    rows = df.select("doc_id", model.column(F.col("text")).alias("r")).collect()
+    assert len(rows) == len(edge_rows())
+    assert {r.doc_id for r in rows if r.r.lang == "und"} == {2, 3, 4, 8}
+    assert all(r.r.lang in (*model.langs, "und") and 0 <= r.r.score <= 1 for r in rows)
+
+
+def test_nothing_to_learn_from(spark):
+    model = langid.train(spark.createDataFrame([], SCHEMA))
+    assert model.langs == () and model.predict("some text") == ("und", 0.0)
+    one = langid.train(spark.createDataFrame([(1, "only one", "en", None, 1)], SCHEMA))
+    assert one.predict("anything") == ("en", 1.0)
+
+
+def test_ngrams_count_every_window():
+    at, counts = langid.ngrams("abc")
+    assert counts.sum() == 3 + 4 + 3  # letters, pairs and triples with a blank at either end
+    assert langid.ngrams("12 !")[0].size == 0 == langid.ngrams(None)[0].size
+
+
+def test_temperature_calibrates():
+    r = np.random.default_rng(0)
+    labels = r.integers(0, 3, 4000)
+    logits = np.eye(3)[np.where(r.random(4000) < 0.8, labels, (labels + 1) % 3)] * 20
+    t = langid.fit_temperature(logits, labels)
+    p = np.exp(logits / t)
+    p /= p.sum(axis=1, keepdims=True)
+    assert abs(p.max(axis=1).mean() - 0.8) < 0.03
