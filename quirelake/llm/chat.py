@@ -77,7 +77,7 @@ BINARY: dict[str, Callable] = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": _same(lambda a, b: a < b), ">": _same(lambda a, b: a > b), "<=": _same(lambda a, b: a <= b), ">=": _same(lambda a, b: a >= b),
     "in": _same(lambda a, b: a in (b or ())),
 }
-LEVELS = (("or",), ("and",), ("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-", "~"), ("%",))
+LEVELS = (("or",), ("and",), ("==", "!=", "<", ">", "<=", ">=", "in"), ("~",), ("+", "-"), ("%",))
 
 
 @dataclass(frozen=True)

@@ -150,7 +150,7 @@ def dual_traversal(left: CoverTree, right: CoverTree, cosine: float, same: bool)
             if last:
                 hit = dots >= cosine
                 if same:
-                    hit &= ca[x] < cb[y]
+                    hit &= x < y
                 if hit.any():
                     yield ca[x[hit]], cb[y[hit]], False
                 continue

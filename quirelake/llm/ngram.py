@@ -345,5 +345,7 @@ def score_texts(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col:
     cells = held_out.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").toArrow()  # bounded by the bins
     n = cells["n"].to_numpy().astype(float)
     weights = learn_weights(cells["cell"].to_numpy(), n, cells["p2"].to_numpy() / np.maximum(n, 1), cells["p1"].to_numpy() / np.maximum(n, 1), 1 / (known + 1))
+    if not counted + deleted:
+        weights[:] = [0.0, 0.0, 1.0]
     scored = answered(F.lit(True)).mapInArrow(_with_answers(pair_bits, _scores(weights, counted + deleted, known)), "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", "n_tokens", "n_known", F.lit(counted + deleted).cast("long").alias("train_tokens"), "base_score", "score")

@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NEVER = float("inf")
 #: Parts kept per worker, and the longest part kept, in characters.
-KEPT, LONGEST = 500_000, 40
+KEPT, LONGEST = 700_000, 40
 #: Parts up to this many characters keep their agenda as a list.
 SHORT = 32
 #: One text in this many is compared whole.
-WHOLE = 16
+WHOLE = 64
 #: Characters encoded between two checks against the library.
 STEP = 1 << 19
 

@@ -126,4 +126,29 @@ SELECT d.doc_id, d.size, b.source_size, b.target, d.size * (b.passes + CASE WHEN
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLES = {"op8_source_mixing": MIXING_SQL}
+#: Links by brute force, then the smallest vector reachable by following them.
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), parts AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x), counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT p.x AS vec_id, coalesce(n, 0) AS n_links, component_id, p.x = component_id AS kept FROM parts p LEFT JOIN counts c ON c.x = p.x
+"""
+
+_CONTROLS = ", ".join(f"'{c}'" for c in chat.CONTROLS)
+_ESCAPED = "(length({0}) + (length({0}) - length(replace({0}, chr(92), ''))) + list_sum(list_transform([" + _CONTROLS + "], lambda c: (length({0}) - length(replace({0}, c, ''))) // length(c))))"
+#: A turn is three control strings, its role and its text; each backslash and each control string in these adds a backslash.
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum({_ESCAPED.format("role")} + {_ESCAPED.format("text")} + {len(chat.TURN + chat.TEXT + chat.END)}) AS formatted
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM g
+"""
+
+ORACLES = {"op7_embedding_dedup": EMBEDDING_SQL, "op8_source_mixing": MIXING_SQL, "op10_chat_format": CHAT_SQL}
