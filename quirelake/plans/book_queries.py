@@ -86,7 +86,7 @@ def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda text, role: F.struct(text.alias("text"), F.lit(role).cast("string").alias("role"), (n % 3 == 0).alias("bold"), F.lit(None).cast("boolean").alias("italic"))
     none = F.array().cast("array<struct<text:string,role:string,bold:boolean,italic:boolean>>")
     blocks = lambda text: F.when(n % 5 == 0, none).otherwise(F.array(part(text, None), part(F.lit("A  B\nC"), "table")))
-    return p.select(F.col("book_id").alias("source_hash"), "page_number", F.col("raw").alias("raw_text"), F.upper("text").alias("repaired_text"), F.lit("single-column").alias("layout"), blocks(F.lower("text")).alias("blocks"), blocks(F.col("raw")).alias("raw_blocks"), F.when(n % 2 == 1, "old").otherwise(CURRENT).alias("repair_signature"), (n % 11 != 0).alias("complete"))
+    return p.select(F.col("book_id").alias("source_hash"), "page_number", F.col("raw").alias("raw_text"), F.concat("text", F.lit(" stored")).alias("repaired_text"), F.lit("single-column").alias("layout"), blocks(F.lower("text")).alias("blocks"), blocks(F.col("raw")).alias("raw_blocks"), F.when(n % 2 == 1, "old").otherwise(CURRENT).alias("repair_signature"), (n % 11 != 0).alias("complete"))
 
 
 def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixtures.pages(spark, sf_dir).select(F.col("book_id").alias("source_hash"), "page_number")
     r = cache.reuse(pages, checkpoint(spark, sf_dir), CURRENT)
     first = F.try_element_at("blocks", F.lit(1))
-    return r.select("source_hash", "page_number", "action", F.size("blocks").cast("long").alias("n_blocks"), first["text"].alias("text"), first["role"].alias("role"), first["bold"].alias("bold"), first["italic"].alias("italic"))
+    return r.select("source_hash", "page_number", "action", F.coalesce(F.size("blocks"), F.lit(0)).cast("long").alias("n_blocks"), first["text"].alias("text"), first["role"].alias("role"), first["bold"].alias("bold"), first["italic"].alias("italic"))
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +310,7 @@ ORACLES = {
     "word_bags": f"SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({_letters('text')}) AS word FROM documents) GROUP BY ALL",
     "cache_reuse": f"""WITH {CHECKPOINT}, r AS (SELECT book_id, n, raw AS text, 'paragraph' AS role FROM ck WHERE NOT same AND n % 11 <> 0), {_repaired('r')}
       SELECT pg.book_id AS source_hash, pg.n AS page_number, CASE WHEN ck.n IS NULL OR ck.n % 11 = 0 THEN 'missing' WHEN same THEN 'reused' ELSE 'repaired' END AS action,
-        CASE WHEN ck.n IS NULL OR ck.n % 11 = 0 THEN NULL WHEN ck.n % 5 = 0 THEN 1 ELSE 2 END AS n_blocks, CASE WHEN ck.n % 11 = 0 THEN NULL WHEN same AND ck.n % 5 = 0 THEN upper(ck.text) WHEN same THEN lower(ck.text) ELSE f.text END AS text,
+        CAST(CASE WHEN ck.n IS NULL OR ck.n % 11 = 0 THEN 0 WHEN ck.n % 5 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_blocks, CASE WHEN ck.n % 11 = 0 THEN NULL WHEN same AND ck.n % 5 = 0 THEN ck.text || ' stored' WHEN same THEN lower(ck.text) ELSE f.text END AS text,
         CASE WHEN ck.n % 11 <> 0 THEN 'paragraph' END AS role, CASE WHEN ck.n % 11 <> 0 THEN ck.n % 5 <> 0 AND ck.n % 3 = 0 END AS bold, CASE WHEN ck.n % 11 <> 0 THEN false END AS italic
       FROM pg LEFT JOIN ck ON ck.book_id = pg.book_id AND ck.n = pg.n LEFT JOIN fixed f ON f.book_id = pg.book_id AND f.n = pg.n""",
     "signatures": """SELECT CAST(id AS BIGINT) AS id, sha256('4{"model": "' || m || '", "timeout": 120}') AS signature FROM (VALUES (0, 'a'), (1, 'b'), (2, 'ü')) v(id, m)""",

@@ -1,7 +1,9 @@
 import json
+import sys
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quirelake.functions import guards, providers
@@ -9,6 +11,7 @@ from quirelake.operators import cache
 from quirelake.sources import state
 from quirelake.sources.config import ModelSettings
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
 RULES = "“Merhaba dünya” dedi ve sonra eve gitti çocuk."
 T0, T1 = guards.TOKENS[:2]
 PROTECTED = RULES.replace("“", T0).replace("”", T1)
@@ -23,7 +26,7 @@ def decide(spark, answer, rules=RULES, lexicon=("merhaba", "dünya", "kadın")):
 
 @pytest.mark.parametrize(
     ("answer", "reason"),
-    [(PROTECTED, None), (f"```text\n{PROTECTED}\n```", None), (f"<think>hm\nx</think>\n{PROTECTED}", None), (None, "unavailable"), (RULES, "tokens"), (f"{T0}{T1}", "length"), (PROTECTED + " ek" * 9, "length"), (f"{T0}bambaşka sözler{T1} yazıldı burada hepsi yeni uydurma kelimeler", "similarity"), (PROTECTED.replace("çocuk", "zzyzx"), "vocabulary"), (PROTECTED.replace("çocuk", "kadın"), None), (PROTECTED.replace("gitti", "gitTi"), "case"), (PROTECTED.replace(" ve ", "« ve "), "tokens")],
+    [(PROTECTED, None), (f"```text\n{PROTECTED}\n```", None), (f"<think>hm\nx</think>\n{PROTECTED}", None), (None, "unavailable"), (RULES, "tokens"), (f"{T0}{T1}", "length"), (PROTECTED + " ek" * 9, "length"), (f"{T0}bambaşka sözler{T1} yazıldı burada hepsi yeni uydurma kelimeler", "similarity"), (PROTECTED.replace("çocuk", "zzyzx"), "vocabulary"), (PROTECTED.replace("çocuk", "kadın"), None), (PROTECTED.replace("gitti", "gitTi"), "case"), (PROTECTED.replace(" ve ", "« ve "), "quotes")],
 )
 def test_decisions(spark, answer, reason):
     text, got = decide(spark, answer)

@@ -41,7 +41,7 @@ def test_roles(spark, text, y0, role):
     assert column(spark, lambda c: layout.block_role(c, F.lit(y0), F.lit(840.0)), [text]) == [role]
 
 
-def block(book, page, no, text, y0=100, y1=120, x0=0, x1=100, width=600, height=840):
+def block(book, page, no, text, y0=150, y1=170, x0=0, x1=100, width=600, height=840):
     return (book, page, no, text, float(x0), float(y0), float(x1), float(y1), float(width), float(height))
 
 
@@ -56,7 +56,7 @@ def test_headers_columns_and_blank_pages(spark):
     rows += [block("c", 1, 0, "once", 10, 40), block("c", 2, 0, "once", 10, 40)]
     df = spark.createDataFrame(rows, BLOCKS)
     pages = df.select("book_id", "page_number", "width", "height").distinct()
-    assert [tuple(r) for r in layout.repeated_margins(df, pages).collect()] == [("b", "my journal #", 4)]
+    assert sorted(map(tuple, layout.repeated_margins(df, pages).collect())) == [("b", "#", 4), ("b", "my journal #", 4)]
     kept, flags = layout.analyse(df.drop("width", "height"), pages)
     assert {(r.book_id, r.page_number) for r in flags.where("is_blank").collect()} == {("b", 4)}
     assert kept.where("text LIKE 'My%'").count() == 0 and kept.where("book_id = 'c'").count() == 2

@@ -1,8 +1,10 @@
 import io
+import sys
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quirelake import errors
@@ -13,6 +15,8 @@ from quirelake.sources import images, native, ocr
 from quirelake.sources.config import OcrSettings, Settings
 from quirelake.streaming import repair_stream
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
+
 
 def test_settings(tmp_path):
     f = tmp_path / "s.toml"
