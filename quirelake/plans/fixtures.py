@@ -13,8 +13,14 @@ HEIGHT, WIDTH = 840, 600
 BROKEN_TURKISH = ". © Bug ün i çin k itap\tdegil ol du "
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer tasks than there are cores; larger inputs are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
