@@ -1,0 +1,177 @@
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least 0.8, exactly.
+
+Candidates come from prefix filtering: shingles have one order for all texts, and two sets
+that are 0.8 alike share one among the first ``n - ceil(0.8 n) + 1`` of each, wherever the
+texts differ (edits, appended or cut passages). Sizes and places in the order rule out
+most others, and every candidate is verified on the whole sets before it links. Shingles
+stand as XXH64 values (seed 42).
+
+Skew: equal sets are one node from the start. Shingles frequent in a sample of the texts
+come last in the order, so license lines and the like seldom lie among the first; any order
+gives the same groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quirelake.llm.common import durable, values
+from quirelake.llm.simhash import BLOCK, LOWER_ASCII, SEED, WORD, _grouped
+
+#: Texts link at a similarity of NUMERATOR / DENOMINATOR or more.
+NUMERATOR, DENOMINATOR = 4, 5
+#: Texts sampled for the order of shingles, and in how many of them a frequent one occurs.
+SAMPLE, FREQUENT = 20_000, 2
+#: Ids that are sent to every task rather than shuffled with the texts.
+SENT = 1_000_000
+
+
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; texts of fewer words are one shingle, those of none give none."""
+    data = " ".join(WORD.findall((text or "").translate(LOWER_ASCII))).encode("utf-8", "surrogatepass")
+    if not data:
+        return np.empty(0, np.int64)
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(data)]
+    digest = xxhash.xxh64_intdigest
+    whole = (digest(data[s:e], SEED) for s, e in zip(starts, ends[width - 1 :])) if len(ends) >= width else [digest(data, SEED)]
+    return np.unique(np.fromiter(whole, np.uint64).view(np.int64))
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """The number that stands for a set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def prefix_length(n: int) -> int:
+    return n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
+
+
+def _prints(text: Column, width: int, frequent: np.ndarray) -> Column:
+    """Node, size and first shingles of a text."""
+
+    @F.arrow_udf("struct<node:long,size:int,first:array<long>>")
+    def of(texts: pa.Array) -> pa.Array:
+        nodes, sizes, firsts, ends = [], [], [np.empty(0, np.int64)], [0]
+        for x in values(texts):
+            h = shingle_hashes(x, width)
+            late = frequent[np.searchsorted(frequent, h).clip(max=len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
+            k = prefix_length(len(h))
+            firsts.append(np.concatenate([h[~late], h[late]])[:k])
+            nodes.append(node_of(h))
+            sizes.append(len(h))
+            ends.append(ends[-1] + k)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts)))
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["node", "size", "first"])
+
+    return of(text)
+
+
+def _sets(text: Column, width: int) -> Column:
+    """Node and set (sorted longs as bytes) of a text."""
+
+    @F.arrow_udf("struct<node:long,set:binary>")
+    def of(texts: pa.Array) -> pa.Array:
+        nodes, sets = [], []
+        for x in values(texts):
+            h = shingle_hashes(x, width)
+            nodes.append(node_of(h))
+            sets.append(h.tobytes())
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return of(text)
+
+
+def _alike(left: Column, right: Column) -> Column:
+    """Whether two sets are alike, counted on the whole of both."""
+
+    def one(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+
+    @F.arrow_udf("boolean")
+    def of(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        return pa.array([one(a, b) for a, b in zip(values(lefts), values(rights))], pa.bool_())
+
+    return of(left, right)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes that may be alike, from rows ``h, size, place, node`` sorted by h and size."""
+    rest = [np.empty(0, np.int64)] * 4  # rows of the last shingle seen
+    for batch in batches:
+        seen = len(rest[0])
+        h, size, place, node = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest))
+        if not len(h):
+            continue
+        run = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
+        wide = int(size.max()) + 1
+        first = np.searchsorted(run * wide + size, run * wide + -(-NUMERATOR * size // DENOMINATOR), "left")
+        n = np.arange(len(h)) - first
+        n[:seen] = 0
+        at = np.flatnonzero(n)
+        first, n = first[at], n[at]
+        ends = np.cumsum(n)
+        low = 0
+        while low < len(at):  # as many rows as make BLOCK pairs; one with more is taken whole
+            upto = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK, "right")))
+            m = n[low:upto]
+            x = np.repeat(first[low:upto], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            y = np.repeat(at[low:upto], m)
+            # Where this is the first shingle they share, only what follows it can be shared as well.
+            most = np.minimum(size[x] - place[x], size[y] - place[y])
+            keep = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (size[x] + size[y])
+            if keep.any():
+                a, b = node[x[keep]], node[y[keep]]
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            low = upto
+        same = (run == run[-1]) & (DENOMINATOR * size >= NUMERATOR * size[-1])
+        rest = [c[same] for c in (h, size, place, node)]
+
+
+def _frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles of FREQUENT or more of about SAMPLE texts."""
+    n = docs.count()
+    share = min(1.0, SAMPLE / max(1, n))
+
+    @F.arrow_udf("array<long>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(x, width) for x in values(texts)], pa.list_(pa.int64()))
+
+    rows = docs.select("text").distinct() if share == 1 else docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).distinct()
+    counts = rows.select(F.explode(hashes(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    return np.array(sorted(r.h for r in counts.select("h").collect()), np.int64)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``id, node, component_id`` for every row of ``docs``; component_id is the smallest id reachable by links of similarity 0.8 or more.
+
+    Null and wordless texts have the empty set and link with each other only. Repeated rows
+    stay repeated. A null id keeps its row and never names a component that has another id.
+    Other columns are ignored whatever their names. An empty table gives an empty result.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = docs.select("id", _prints(F.col("text"), width, _frequent(docs, width)).alias("p")).select("id", "p.*")
+
+    def links(prints: DataFrame) -> DataFrame:
+        nodes = prints.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"))
+        rows = nodes.select("node", "size", F.posexplode("first").alias("place", "h")).select("h", "size", "place", "node")
+        pairs = durable(rows.repartition("h").sortWithinPartitions("h", "size").mapInArrow(_candidates, "a long, b long").distinct())
+        near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = durable(prints.join(near, "node", "left_semi").select(F.col("id").alias("near_id")).distinct())
+        ids = F.broadcast(ids) if ids.count() <= SENT else ids
+        # An id may stand on texts of several nodes, so nodes are taken from the texts again.
+        texts = docs.join(ids, docs["id"].eqNullSafe(ids["near_id"]), "left_semi")
+        sets = durable(texts.select(_sets(F.col("text"), width).alias("s")).select("s.*").join(near, "node", "left_semi").dropDuplicates(["node"]))
+        left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"{k}_set")) for k in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b").where(_alike(F.col("a_set"), F.col("b_set"))).select("a", "b")
+
+    return _grouped(prints, links).select("id", "node", "component_id")

@@ -1,0 +1,94 @@
+import random
+from itertools import combinations
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from helpers import SCHEMA, WORD, components, edge_rows, edge_table, lower_ascii, prose
+
+from quirelake.llm import jaccard
+
+
+def shingles(text):
+    w = WORD.findall(lower_ascii(text))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    """Jaccard similarity of 0.8 or more; empty sets are alike."""
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def plain_similar_groups(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    return components(sets, [p for p in combinations(sets, 2) if alike(sets[p[0]], sets[p[1]])])
+
+
+def changed_texts():
+    """Texts with passages appended, put before or cut off, and single words changed, on both sides of 0.8."""
+    rows = []
+    for k in range(40):
+        r, words = random.Random(k), prose(k, 30 + 11 * k).split()
+        n = len(words)
+        rows.append((100 * k, " ".join(words)))
+        for c, share in enumerate((0.02, 0.1, 0.18, 0.24, 0.26, 0.35)):
+            m = max(1, int(share * n))
+            extra = prose(1000 + 10 * k + c, m).split()
+            edits = list(words)
+            for at in r.sample(range(n), max(1, m // 8)):
+                edits[at] = f"new{at}"
+            for v, w in enumerate((words + extra, extra + words, words[: n - m], words[m:], edits)):
+                rows.append((100 * k + 10 * c + v + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("frequent", [2, 8])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rows = changed_texts()
+    want = plain_similar_groups(rows)
+    found = {r.id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want and 40 < len(set(want.values())) < len(rows) / 2
+
+
+def test_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = plain_similar_groups([tuple(r) for r in docs.collect()])
+    assert {r.id: r.component_id for r in jaccard.similar_groups(docs).collect()} == want
+
+
+def test_stage_drops_an_appended_copy(spark, sf_dir):
+    text = prose(7, 200)
+    rows = [(1, text, "en", "a", 1), (2, f"{text} {prose(8, 45)}", "en", "a", 1), (3, f"{text} {prose(9, 60)}", "en", "a", 1)]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    assert sorted(r.doc_id for r in left) == [1, 3]
+
+
+def test_runs_over_several_batches(monkeypatch):
+    """Candidates don't depend on where batches and blocks end."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    h, size = np.sort(r.integers(0, 12, 600)), r.integers(20, 60, 600)
+    rows = np.array(sorted(zip(h, size)))
+    cols = [rows[:, 0], rows[:, 1], r.integers(0, 5, 600), np.arange(600)]
+    pairs = lambda step: {(a.as_py(), b.as_py()) for batch in jaccard._candidates(pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in cols], names=["h", "size", "place", "node"]) for k in range(0, 600, step)) for a, b in zip(*batch.columns)}
+    whole = pairs(600)
+    want = {(i, j) for i, j in combinations(range(600), 2) if cols[0][i] == cols[0][j] and 5 * cols[1][i] >= 4 * cols[1][j] and 9 * min(cols[1][i] - cols[2][i], cols[1][j] - cols[2][j]) >= 4 * (cols[1][i] + cols[1][j])}
+    assert whole == want == pairs(7)
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    assert pairs(100) == want
+
+
+def test_edge_rows(spark):
+    rows = jaccard.similar_groups(edge_table(spark)).collect()
+    assert len(rows) == len(edge_rows())
+    by_id = {r.id: r.component_id for r in rows}
+    assert by_id[2] == by_id[3] == by_id[4] == 2 and by_id[5] == by_id[6] == 5 and by_id[None] is None and by_id[1] == 1 and by_id[9] == 9
+    assert jaccard.similar_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_id_on_several_texts(spark):
+    rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(2, 50) + " end"), (None, prose(1, 50) + " end")]
+    found = sorted((str(r.id), r.component_id) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [("1", 1), ("1", 1), ("2", 1), ("None", None)]
