@@ -23,18 +23,19 @@ from pyspark.sql import functions as F
 from quirelake.llm.common import values
 from quirelake.llm.forest import Forest, fit_forest
 
-#: Kinds of candidates and their patterns, in the order of precedence.
+#: Kinds of candidates and their patterns, in the order of precedence; key blocks, found by their marks, come before all.
 PATTERNS = (
-    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]{1,8192}?-----END [A-Z ]{0,20}PRIVATE KEY-----"),
     ("aws_key_id", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("github_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}"),
     ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}"),
     ("google_key", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}"),
     ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assigned", r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,256})"),
-    ("long_run", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[0-9+/_=-]{0,64}[A-Za-z])[A-Za-z0-9+/_=-]{20,512}"),
+    ("assigned", r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,})"),
+    ("long_run", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"),
 )
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
+_VENDOR = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS if k not in ("assigned", "long_run")))
+_KEY_MARK = re.compile(r"-----(?:(?P<begin>BEGIN)|END) [A-Z ]{0,20}PRIVATE KEY-----")
 #: Words that go with credentials, words that go with harmless identifiers, words found inside names and placeholders.
 CREDENTIAL_WORDS = frozenset("password passwd pwd passphrase secret token key apikey api_key access auth credential credentials bearer private login".split())
 HARMLESS_WORDS = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid guid id revision version build etag integrity serial isbn order invoice phone card example sample test placeholder dummy image base64 file path url".split())
@@ -46,19 +47,41 @@ THRESHOLD = 0.5
 NEAR = 40
 
 
-def candidates(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of each candidate from left to right, not overlapping; none for null or empty texts."""
-    if not text:
-        return []
-    out = []
-    for m in _ANY.finditer(text):
-        kind = next(k for k, _ in PATTERNS if m.group(k) is not None)
+def _key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each private-key block, from a BEGIN line to the next END line, however long."""
+    out, first = [], None
+    for m in _KEY_MARK.finditer(text):
+        if m["begin"]:
+            first = first or m
+        elif first and m.start() > first.end():
+            out.append((first.start(), m.end()))
+            first = None
+    return out
+
+
+def _between(text: str, low: int, high: int) -> Iterator[tuple[str, int, int]]:
+    """Candidates other than key blocks within a part of the text."""
+    while m := _ANY.search(text, low, high):
+        kind, low = m.lastgroup if m.lastgroup != "value" else "assigned", m.end()
         start, end = m.span("value") if kind == "assigned" else m.span()
         if kind == "assigned":
             end = start + len(text[start:end].rstrip(".!?)]}"))
+            if vendor := _VENDOR.match(text, start, high):  # of its own kind, and no shorter than the value
+                kind, end = vendor.lastgroup, max(end, vendor.end())
+                low = max(low, end)
         if end - start >= 6:
-            out.append((kind, start, end))
-    return out
+            yield kind, start, end
+
+
+def candidates(text: str | None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each candidate from left to right, not overlapping; none for null or empty texts."""
+    if not text:
+        return []
+    out, low = [], 0
+    for start, end in _key_blocks(text):
+        out += [*_between(text, low, start), ("private_key", start, end)]
+        low = end
+    return [*out, *_between(text, low, len(text))]
 
 
 def _coverage(s: str) -> float:
@@ -72,7 +95,7 @@ def _coverage(s: str) -> float:
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    s = text[start:end][:512]
+    s = text[start:end]
     n = len(s)
     cls = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in s]
     letters = [c for c in s if c.isalpha()]
