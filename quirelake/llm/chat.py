@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import python_batches, valid_utf8
+
 #: Strings that no text may hold unescaped.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROLS = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -470,23 +472,28 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, id_col: str
 
     Null roles and texts count as empty; a null conversation id is a conversation of its
     own; null turns come first; repeated rows are repeated turns. Rows are shuffled by
-    conversation and streamed in order, so a task holds one conversation at a time. Other
-    columns are ignored whatever their names. An empty table gives an empty result.
+    conversation and streamed in order, so a task holds one conversation at a time. Ids and
+    turns keep their type. Texts are taken whole, however long, and invalid UTF-8 as its
+    replacement characters. Other columns are ignored whatever their names. An empty table
+    gives an empty result.
     """
-    rows = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    python_batches(turns.sparkSession)
+    said = lambda c: F.coalesce(valid_utf8(F.col(c)), F.lit("")).alias
+    rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), said(role_col)("role"), said(text_col)("text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
         done: list[tuple] = []
         held: list[dict] = []
-        current: int | None = None
+        current = kind = None
         begun, size = False, 0
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([[{"start": a, "end": b} for a, b in r[2]] for r in rows], spans)], names=["conv_id", "formatted", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()), pa.array([[{"start": a, "end": b} for a, b in r[2]] for r in rows], spans)], names=["conv_id", "formatted", "spans"])
 
         for batch in batches:
+            kind = batch.column(0).type
             for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if begun and conv != current:
                     done.append((current, *render({"messages": held})))
@@ -501,4 +508,4 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, id_col: str
             done.append((current, *render({"messages": held})))
             yield batch_of(done)
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(step, "conv_id long, formatted string, spans array<struct<start:long,end:long>>")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(step, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, formatted string, spans array<struct<start:long,end:long>>")

@@ -5,24 +5,86 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Bytes of an Arrow batch that goes to Python; the setting below, where it has Spark's own value, is lowered to this.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that ``checkpoint()`` writes to: the session's own, or a local one where none is set."""
+    """The folder that ``checkpoint()`` writes to: the session's own, or on a local master a temporary one where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="quirelake-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def python_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches in this session, so that long texts don't fill an executor; a value that was chosen stays."""
+    now = spark.conf.get(BATCH_SETTING, None)
+    if now is not None and now.rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+#: Rows of ids or keys that are sent to every task rather than shuffled with the texts.
+SENT = 1_000_000
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """A durable table of keys, for a join: sent to every task if it is counted to be small enough."""
+    return F.broadcast(keys) if keys.count() <= SENT else keys
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as make it none of the columns, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def valid_utf8(text: Column) -> Column:
+    """A text with each invalid UTF-8 sequence as a replacement character; null stays null."""
+    return F.make_valid_utf8(text)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(key, rows) of each run of equal numbers in the first column of batches that are in its order."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+            if a == b:
+                continue
+            if held and keys[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 def values(column: pa.Array, step: int = 256) -> Iterator:
     """The column's values as Python objects, made a few at a time so that a batch of long texts is not held twice."""
     for low in range(0, len(column), step):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import values
+from quirelake.llm.common import python_batches, valid_utf8, values
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
@@ -75,7 +75,7 @@ class LanguageModel:
         return self.langs[k], float(p[k] / p.sum())
 
     def column(self, text: Column) -> Column:
-        """struct<lang, score> of a text column."""
+        """struct<lang, score> of a text column; invalid UTF-8 counts as its replacement characters."""
         shared = _share(self)
 
         @F.arrow_udf("lang string, score double")
@@ -84,14 +84,16 @@ class LanguageModel:
             found = [model.predict(t) for t in values(texts)]
             return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["lang", "score"])
 
-        return of(text)
+        return of(valid_utf8(text))
 
 
 def _share(model: LanguageModel):
     """The model has DIM weights a language, whatever the input: small enough to send to every executor."""
     from pyspark.sql import SparkSession
 
-    return SparkSession.getActiveSession().sparkContext.broadcast(model)
+    spark = SparkSession.getActiveSession()
+    python_batches(spark)
+    return spark.sparkContext.broadcast(model)
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3, seed: int = 7) -> np.ndarray:
@@ -156,10 +158,14 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = BOUND) -> LanguageModel:
     """A model from all rows of ``labelled`` with a language; document frequencies from all, weights from about ``bound`` rows.
 
-    Rows with null text or language are left out. Without any row the model knows no
-    language and predicts ``und``. The same rows give the same model.
+    Rows with null text or language are left out; rows that repeat an id and its texts are
+    drawn together and count each; texts are taken whole, however long, and invalid UTF-8
+    as its replacement characters. Other columns are ignored whatever their names. Without
+    any row the model knows no language and predicts ``und``. The same rows give the same
+    model.
     """
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    python_batches(labelled.sparkSession)
+    rows = labelled.select(F.col(id_col).cast("string").alias("id"), valid_utf8(F.col(text_col)).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return LanguageModel((), np.zeros((0, DIM)), np.zeros(DIM), 1.0)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import values
+from quirelake.llm.common import python_batches, values
 
 #: Boxes that hold boxes, with the bytes before the first of them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"meta": 4}
@@ -31,8 +31,8 @@ class MediaError(ValueError):
     """The bytes are not a container that the reader can follow."""
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[int, bytes, int, int]]:
-    """(depth, type, body start, end) of every box, a parent before its children."""
+def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(depth, type, body start, end, start) of every box, a parent before its children."""
     end = len(data) if end is None else end
     while start < end:
         if end - start < 8:
@@ -47,7 +47,7 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -
             size = end - start
         if size < body - start or start + size > end:
             raise MediaError(f"box at {start} has size {size}")
-        yield depth, kind, body, start + size
+        yield depth, kind, body, start + size, start
         if kind in CONTAINERS:
             if depth >= MAX_DEPTH:
                 raise MediaError("boxes are nested too deeply")
@@ -134,16 +134,105 @@ def _offsets(sizes: np.ndarray, chunks: np.ndarray, runs: np.ndarray) -> np.ndar
     return np.repeat(chunks - starts, each) + upto
 
 
+#: Flags of track fragments and of their runs, and the flag of a sample that is no keyframe.
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS, BASE_IS_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, FIRST_FLAGS, RUN_FIELDS = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800)
+NOT_SYNC = 0x10000
+
+
+class _Fields:
+    """Numbers of a full box, one after another; reading past its end is an error."""
+
+    def __init__(self, data: bytes, body: int, end: int):
+        self.data, self.at, self.end = data, body, end
+        self.flags = self.take(">I") & 0xFFFFFF
+
+    def take(self, form: str, given: int = 1) -> int:
+        """The next number, or 0 where a flag says that it isn't there."""
+        if not given:
+            return 0
+        if self.at + struct.calcsize(form) > self.end:
+            raise MediaError("fields cut off")
+        (value,) = struct.unpack_from(form, self.data, self.at)
+        self.at += struct.calcsize(form)
+        return value
+
+
+@dataclass
+class _Fragment:
+    """A track fragment: its track, where its data begin, and its defaults for duration, size and flags."""
+
+    track: int
+    base: int
+    defaults: tuple[int, int, int]
+
+
+class _Fragments:
+    """Samples that movie fragments add to tracks: arrays of offsets, sizes, keyframe flags and durations by track number."""
+
+    def __init__(self) -> None:
+        self.defaults: dict[int, tuple[int, int, int]] = {}
+        self.runs: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.moof = self.next = 0
+        self.open: _Fragment | None = None
+
+    def extends(self, f: _Fields) -> None:
+        track, _ = f.take(">I"), f.take(">I")
+        self.defaults[track] = (f.take(">I"), f.take(">I"), f.take(">I"))
+
+    def movie(self, start: int) -> None:
+        self.moof = self.next = start
+
+    def track(self, f: _Fields) -> None:
+        track = f.take(">I")
+        base = f.take(">Q") if f.flags & BASE_OFFSET else self.moof if f.flags & BASE_IS_MOOF else self.next
+        f.take(">I", f.flags & DESCRIPTION)
+        known = self.defaults.get(track, (0, 0, 0))
+        self.open = _Fragment(track, base, tuple(f.take(">I") if f.flags & flag else old for flag, old in zip((DURATION, SIZE, FLAGS), known)))
+        self.next = base
+
+    def run(self, f: _Fields) -> None:
+        if self.open is None:
+            raise MediaError("a run outside of a track fragment")
+        n = f.take(">I")
+        start = self.open.base + f.take(">i") if f.flags & RUN_OFFSET else self.next
+        first = f.take(">I", f.flags & FIRST_FLAGS)
+        present = [flag for flag in RUN_FIELDS if f.flags & flag]
+        if f.at + 4 * n * len(present) > f.end or (not present and n > len(f.data)):
+            raise MediaError("run longer than its box")
+        table = np.frombuffer(f.data, ">u4", n * len(present), f.at).reshape(n, len(present)).astype(np.int64)
+        column = {flag: table[:, k] for k, flag in enumerate(present)}
+        duration, size, flags = (column.get(flag, np.full(n, old, np.int64)) for flag, old in zip(RUN_FIELDS, self.open.defaults))
+        if f.flags & FIRST_FLAGS and n:
+            flags = np.concatenate([[first], flags[1:]])
+        self.runs.setdefault(self.open.track, []).append((start + np.cumsum(size) - size, size, flags & NOT_SYNC == 0, duration))
+        self.next = start + int(size.sum())
+
+
 def probe(data: bytes) -> list[Track]:
-    """The tracks of a container; raises MediaError where boxes or tables don't fit."""
+    """The tracks of a container, fragments included; raises MediaError where boxes or tables don't fit."""
     tracks: list[dict] = []
-    for depth, kind, body, end in boxes(data):
+    fragments = _Fragments()
+    for depth, kind, body, end, start in boxes(data):
         if kind == b"trak":
             tracks.append({})
+        elif kind == b"moof":
+            fragments.movie(start)
+        elif kind == b"trex":
+            fragments.extends(_Fields(data, body, end))
+        elif kind == b"tfhd":
+            fragments.track(_Fields(data, body, end))
+        elif kind == b"trun":
+            fragments.run(_Fields(data, body, end))
         elif not tracks or depth < 2:
             continue
+        elif kind == b"tkhd":
+            f = _Fields(data, body, end)
+            form = ">Q" if data[body] == 1 else ">I"
+            f.take(form), f.take(form)
+            tracks[-1]["number"] = f.take(">I")
         elif kind == b"mdhd":
-            wide = data[body] == 1
+            wide = end > body and data[body] == 1
             need = 32 if wide else 20
             if end - body < need:
                 raise MediaError("media header cut off")
@@ -166,6 +255,8 @@ def probe(data: bytes) -> list[Track]:
             tracks[-1]["ticks"] = _entries(data, body, end, 2)
         elif kind == b"stss":
             tracks[-1]["sync"] = _entries(data, body, end, 1)[:, 0]
+    if strays := fragments.runs.keys() - {t.get("number") for t in tracks}:
+        raise MediaError(f"fragments of tracks that there are not: {sorted(strays)}")
     out = []
     for t in tracks:
         missing = {"codec", "time", "sizes", "runs", "chunks"} - t.keys()
@@ -173,13 +264,17 @@ def probe(data: bytes) -> list[Track]:
             raise MediaError(f"a track lacks {', '.join(sorted(missing))}")
         sizes = t["sizes"]
         offsets = _offsets(sizes, t["chunks"], t["runs"])
-        if len(sizes) and int((offsets + sizes).max()) > len(data):
-            raise MediaError("samples beyond the end")
         keys = t["sync"] - 1 if "sync" in t else np.arange(len(sizes))
         if len(keys) and (keys.min() < 0 or keys.max() >= len(sizes)):
             raise MediaError("keyframe beyond the samples")
         ticks = t.get("ticks")
         duration = int((ticks[:, 0] * ticks[:, 1]).sum()) if ticks is not None and len(ticks) else int(t["time"][1])
+        for more_offsets, more_sizes, is_key, durations in fragments.runs.get(t.get("number"), []):
+            keys = np.concatenate([keys, len(sizes) + np.flatnonzero(is_key)])
+            offsets, sizes = np.concatenate([offsets, more_offsets]), np.concatenate([sizes, more_sizes])
+            duration += int(durations.sum())
+        if len(sizes) and (int((offsets + sizes).max()) > len(data) or int(offsets.min()) < 0):
+            raise MediaError("samples beyond the end")
         out.append(Track(t["codec"], t.get("handler", ""), int(t["time"][0]), duration, offsets, sizes, keys))
     return out
 
@@ -232,18 +327,19 @@ def mux(payload: bytes) -> bytes:
     return start + data + payload
 
 
-def padded(text: str | None) -> tuple[int, bytes]:
-    """UTF-8 length of a text (null: empty), and its bytes with zeros up to a positive multiple of SAMPLE."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def padded(raw: bytes) -> tuple[int, bytes]:
+    """Length of a payload, and its bytes with zeros up to a positive multiple of SAMPLE."""
     return len(raw), raw + bytes(-len(raw) % SAMPLE or (SAMPLE if not raw else 0))
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_bytes, media``: each whole text, padded, as a container.
 
-    Null texts count as empty ones, which store SAMPLE zero bytes. Repeated rows stay; other
+    Null texts count as empty ones, which store SAMPLE zero bytes. The bytes are stored as
+    they stand, be they valid UTF-8 or not. Repeated rows stay; ids keep their type; other
     columns are ignored whatever their names. An empty table gives an empty result.
     """
+    python_batches(docs.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,39 +348,52 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 rows = [padded(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([mux(p) for _, p in rows], pa.binary())], names=["id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(step, "id long, n_bytes long, media binary")
+    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
+    return raw.mapInArrow(step, f"id {raw.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-PROBED = "id long, n_bytes long, codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,length:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, error string"
+TRACK = pa.struct(
+    [
+        ("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))),
+        ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ]
+)
+TRACK_SQL = "struct<codec:string,handler:string,timescale:long,duration:long,n_samples:long,keyframes:array<struct<offset:long,length:long>>,payload_bytes:long,payload_sha256:string,tail_crc32:long>"
 
 
 def probe_media(media: DataFrame) -> DataFrame:
-    """One row for each row of ``id, n_bytes, media``: what the first track's tables say, and digests of its stored bytes.
+    """``id, n_bytes, tracks, media_bytes, media_sha256, error``: one row for each row of ``id, n_bytes, media``.
 
-    A null or broken container has nulls and its ``error``; its length and digest are still given.
+    ``tracks`` has for every track what its tables say and digests of its stored bytes. A
+    null or broken container, or one without a track, has null tracks and its ``error``;
+    its length and digest are still given. Ids keep their type; repeated rows stay; other
+    columns are ignored whatever their names.
     """
-    names = [x.split()[0] for x in PROBED.replace("array<struct<offset:long,length:long>>", "x").split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    python_batches(media.sparkSession)
+
+    def of_track(t: Track, data: bytes) -> dict:
+        stored = t.payload(data)
+        keys = [{"offset": a, "length": b} for a, b in t.keyframes()]
+        return {"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "keyframes": keys, "payload_bytes": len(stored), "payload_sha256": hashlib.sha256(stored).hexdigest(), "tail_crc32": zlib.crc32(stored[-64:])}
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return (*[None] * 11, "no bytes")
+            return None, None, None, "no bytes"
         whole = (len(data), hashlib.sha256(data).hexdigest())
         try:
             tracks = probe(data)
             if not tracks:
                 raise MediaError("no track")
         except MediaError as e:
-            return (*[None] * 9, *whole, str(e))
-        t = tracks[0]
-        stored = t.payload(data)
-        keys = [{"offset": a, "length": b} for a, b in t.keyframes()]
-        return t.codec, t.handler, t.timescale, t.duration, len(t.sizes), keys, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]), *whole, None
+            return None, *whole, str(e)
+        return [of_track(t, data) for t in tracks], *whole, None
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(x) for x in values(batch.column(2))]
-            cols = list(zip(*rows)) if rows else [[]] * 12
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds[2:])]], names=names)
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.list_(TRACK), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "n_bytes", "tracks", "media_bytes", "media_sha256", "error"])
 
-    return media.select("id", "n_bytes", "media").mapInArrow(step, PROBED)
+    kept = media.select("id", "n_bytes", "media")
+    return kept.mapInArrow(step, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, tracks array<{TRACK_SQL}>, media_bytes long, media_sha256 string, error string")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import durable
+from quirelake.llm.common import durable, fresh
 from quirelake.llm.histogram import cut_points
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -71,11 +71,12 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 
 def with_copies(docs: DataFrame, mix: DataFrame, name: str, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with a column ``name``: struct of copies, source_size and target. Rows are only filtered by hash, never sorted."""
-    plan = mix.select(F.col("source").alias(f"{name}_source"), F.struct("source_size", "target", "passes", "below").alias(f"{name}_plan"))
+    """``docs`` with a column ``name``, which no column of ``docs`` may have: struct of copies, source_size and target. Rows are only filtered by hash, never sorted."""
+    plan, of = fresh([*docs.columns, name], "plan", "of_source")
+    table = mix.select(F.col("source").alias(of), F.struct("source_size", "target", "passes", "below").alias(plan))
     if mix.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    p = F.col(f"{name}_plan")
+        table = F.broadcast(table)
+    p = F.col(plan)
     copies = p["passes"] + (id_hash(docs[id_col]) < p["below"]).cast("long")
-    joined = docs.join(plan, docs[source_col].eqNullSafe(F.col(f"{name}_source")))
-    return joined.withColumn(name, F.struct(copies.alias("copies"), p["source_size"].alias("source_size"), p["target"].alias("target"))).drop(f"{name}_source", f"{name}_plan")
+    joined = docs.join(table, docs[source_col].eqNullSafe(F.col(of)))
+    return joined.withColumn(name, F.struct(copies.alias("copies"), p["source_size"].alias("source_size"), p["target"].alias("target"))).drop(of, plan)

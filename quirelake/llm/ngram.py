@@ -24,6 +24,7 @@ pair shares its count with another one with a chance of 2**-PAIR_BITS at any siz
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import durable, values
+from quirelake.llm.common import durable, python_batches, valid_utf8, values
 from quirelake.llm.simhash import LOWER_ASCII, WORD
 
 SEED = 42
@@ -118,7 +119,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def __init__(self) -> None:
             self.numbers, self.tokens, self.lengths, self.ids, self.total = _Numbers(), [], [], [], 0
 
-        def add(self, id_: int | None, text: str | None) -> None:
+        def add(self, id_: str | None, text: str | None) -> None:
             words = WORD.findall(text.translate(LOWER_ASCII)) if text else []
             mine = np.zeros(len(words) + 1, np.uint32)
             mine[:-1] = np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words))
@@ -129,7 +130,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def row(self, number: int) -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in self.numbers), np.uint64, len(self.numbers))
-            data = _pack(np.concatenate(self.tokens), np.array(self.lengths, np.uint32), np.array([i or 0 for i in self.ids], np.int64), np.array([i is None for i in self.ids], np.uint8))
+            data = _pack(np.concatenate(self.tokens), np.array(self.lengths, np.uint32), np.frombuffer(json.dumps(self.ids).encode(), np.uint8))
             return _rows([(number, -1, self.total, data, _pack(np.concatenate([np.array([END_HASH], np.uint64), hashes])))])
 
     parts: dict[int, Open] = {}
@@ -156,7 +157,8 @@ class _Chunk:
     """A chunk's tokens and its sorted distinct keys."""
 
     def __init__(self, data: bytes, more: bytes, pair_bits: int):
-        self.tokens, lengths, self.ids, self.null = _unpack(data)
+        self.tokens, lengths, ids = _unpack(data)
+        self.ids = json.loads(ids.tobytes())
         (self.hashes,) = _unpack(more)
         self.starts = np.cumsum(lengths, dtype=np.int64) - lengths
         self.lengths = lengths.astype(np.int64)
@@ -313,7 +315,7 @@ def _scores(weights: np.ndarray, total: int, known: int):
         chunk = counts.chunk
         add = lambda x: np.add.reduceat(x, chunk.starts)
         base = add(np.log10((word + 1) / (total + known + 1)))
-        return pa.RecordBatch.from_arrays([pa.array(chunk.ids, mask=chunk.null.astype(bool)), pa.array(chunk.lengths), pa.array(add((word > 0).astype(np.int64))), pa.array(base), pa.array(add(np.log10(p)))], names=["id", "n_tokens", "n_known", "base_score", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(chunk.ids, pa.string()), pa.array(chunk.lengths), pa.array(add((word > 0).astype(np.int64))), pa.array(base), pa.array(add(np.log10(p)))], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     return use
 
@@ -324,10 +326,14 @@ def score_texts(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col:
     Learns from the whole texts of the first two classes. ``score`` is the model's log10
     probability of the text with its end, ``base_score`` that of add-one unigrams. Null
     texts count as empty: one token, the end. Repeated rows count and are scored each.
-    Without training rows every token is unknown and has probability 1. Other columns are
-    ignored whatever their names. An empty table gives an empty result.
+    Without training rows every token is unknown and has probability 1. Texts are taken
+    whole, however long, and invalid UTF-8 as its replacement characters. Ids keep their
+    type. Other columns are ignored whatever their names. An empty table gives an empty
+    result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), kind.cast("int").alias("kind"))
+    python_batches(docs.sparkSession)
+    id_type = docs.select(F.col(id_col)).schema[0].dataType
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), valid_utf8(F.col(text_col)).alias("text"), kind.cast("int").alias("kind"))
     chunks = durable(rows.mapInArrow(_chunks, ROW))
     tokens = chunks.agg(F.coalesce(F.sum("part"), F.lit(0))).first()[0]
     bits = max(4, int(np.ceil(np.log2(max(1, tokens / RANGE)))))
@@ -347,5 +353,5 @@ def score_texts(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col:
     weights = learn_weights(cells["cell"].to_numpy(), n, cells["p2"].to_numpy() / np.maximum(n, 1), cells["p1"].to_numpy() / np.maximum(n, 1), 1 / (known + 1))
     if not counted + deleted:
         weights[:] = [0.0, 0.0, 1.0]
-    scored = answered(F.lit(True)).mapInArrow(_with_answers(pair_bits, _scores(weights, counted + deleted, known)), "id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("id", "n_tokens", "n_known", F.lit(counted + deleted).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = answered(F.lit(True)).mapInArrow(_with_answers(pair_bits, _scores(weights, counted + deleted, known)), "id string, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("id").cast(id_type).alias("id"), "n_tokens", "n_known", F.lit(counted + deleted).cast("long").alias("train_tokens"), "base_score", "score")

@@ -29,6 +29,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import python_batches, valid_utf8
+
 MARK = "▁"
 NEVER = float("inf")
 #: Parts kept per worker, and the longest part kept, in characters.
@@ -211,10 +213,13 @@ def _steps(lengths: list[int]) -> Iterator[tuple[int, int]]:
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids array<int>, decoded string`` for every row; ids end with the end id.
 
-    Null and empty texts give the end id alone and the empty text. Repeated rows stay.
-    Other columns are ignored whatever their names. An empty table gives an empty result.
+    Null and empty texts give the end id alone and the empty text; texts are taken whole,
+    however long, and invalid UTF-8 as its replacement characters. Repeated rows stay. Ids
+    keep their type. Other columns are ignored whatever their names. An empty table gives
+    an empty result.
     """
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    python_batches(docs.sparkSession)
+    kept = docs.select(F.col(id_col).alias("id"), F.coalesce(valid_utf8(F.col(text_col)), F.lit("")).alias("text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path)
@@ -225,7 +230,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 values = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
-    return kept.mapInArrow(step, "id long, ids array<int>, decoded string")
+    return kept.mapInArrow(step, f"id {kept.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def _running(lengths) -> Iterator[int]:

@@ -22,13 +22,13 @@ def remainder(id_col: str, divisor: int) -> F.Column:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probed = media.probe_media(media.store_texts(table(spark, sf_dir, "documents")))
-    keys = F.col("keyframes")
+    probed = media.probe_media(media.store_texts(table(spark, sf_dir, "documents"))).withColumn("t", F.col("tracks")[0])
+    t, keys = F.col("t"), F.col("t.keyframes")
     feature = F.format_string(
-        "%s %d Hz, %d ms, %d samples, %d keyframes of %d bytes from %d to %d", "codec", "timescale", (F.col("duration") * 1000 / F.col("timescale")).cast("long"), "n_samples",
+        "%s %d Hz, %d ms, %d samples, %d keyframes of %d bytes from %d to %d", t["codec"], t["timescale"], (t["duration"] * 1000 / t["timescale"]).cast("long"), t["n_samples"],
         F.size(keys), F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + k["length"]), keys[0]["offset"], F.element_at(keys, -1)["offset"] + F.element_at(keys, -1)["length"],
     )
-    return probed.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return probed.select(F.col("id").alias("doc_id"), "n_bytes", t["payload_bytes"].alias("payload_bytes"), t["payload_sha256"].alias("payload_sha256"), t["tail_crc32"].alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

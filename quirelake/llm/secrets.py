@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import values
+from quirelake.llm.common import python_batches, valid_utf8, values
 from quirelake.llm.forest import Forest, fit_forest
 
 #: Kinds of candidates and their patterns, in the order of precedence; key blocks, found by their marks, come before all.
@@ -202,24 +202,28 @@ def default_scanner() -> SecretScanner:
 def scan_secrets(docs: DataFrame, scanner: SecretScanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, kind, start, end, finding, score, is_secret``: one row for each candidate of each row of ``docs``.
 
-    Positions are in code points. Null and empty texts have no row; repeated rows give
-    repeated findings. Other columns are ignored whatever their names.
+    Positions are in code points of the text, in which invalid UTF-8 stands as replacement
+    characters. Null and empty texts have no row; texts are taken whole, however long;
+    repeated rows give repeated findings. Ids keep their type. Other columns are ignored
+    whatever their names. An empty table gives an empty result.
     """
+    python_batches(docs.sparkSession)
     names = ["id", "kind", "start", "end", "finding", "score", "is_secret"]
     scanner = scanner or default_scanner()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, s, e, t[s:e], p, p >= scanner.threshold) for i, t in zip(batch.column(0).to_pylist(), values(batch.column(1))) for k, s, e, p in scanner.scan(t)]
-            cols = list(zip(*rows)) if rows else [[]] * len(names)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            rows = [(at, k, s, e, t[s:e], p, p >= scanner.threshold) for at, t in enumerate(values(batch.column(1))) for k, s, e, p in scanner.scan(t)]
+            at, *cols = list(zip(*rows)) if rows else [[]] * len(names)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(step, "id long, kind string, start long, end long, finding string, score double, is_secret boolean")
+    kept = docs.select(F.col(id_col).alias("id"), valid_utf8(F.col(text_col)).alias("text"))
+    return kept.mapInArrow(step, f"id {kept.schema['id'].dataType.simpleString()}, kind string, start long, end long, finding string, score double, is_secret boolean")
 
 
 def redacted(text: Column, scanner: SecretScanner | None = None) -> Column:
-    """A text column with its secrets replaced; null stays null."""
+    """A text column with its secrets replaced; null stays null, invalid UTF-8 becomes replacement characters."""
     scanner = scanner or default_scanner()
 
     @F.arrow_udf("string")
@@ -227,4 +231,4 @@ def redacted(text: Column, scanner: SecretScanner | None = None) -> Column:
         parts = (pa.array([scanner.redact(t) for t in texts.slice(low, 256).to_pylist()], pa.string()) for low in range(0, max(1, len(texts)), 256))
         return pa.concat_arrays(list(parts))
 
-    return of(text)
+    return of(valid_utf8(text))

@@ -28,12 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import durable, values
+from quirelake.llm.common import durable, python_batches, valid_utf8, values
 from quirelake.llm.components import connected_components
 
 BITS, SEED, SALTS = 64, 42, 4
-#: Differing bits of texts whose five-word shingles are 0.8 alike: of their distinct words, and of the shingles.
-WORD_RADIUS, SHINGLE_RADIUS = 7, 13
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER_ASCII = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Pairs compared at once in a task.
@@ -43,49 +41,32 @@ BLOCK = 1 << 20
 def _majority(hashes: np.ndarray) -> int:
     """Bits that are set in over half of big-endian 64-bit hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):  # long texts in pieces: 64 bytes a hash
-        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 16384):  # long texts in pieces: 64 bytes a hash
+        part = hashes[at : at + 16384].view(np.uint8).reshape(-1, 8)
+        ones += np.add.reduce(np.unpackbits(part, axis=1), axis=0, dtype=np.uint16)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(text: str | None, widths: tuple[int, ...]) -> list[int]:
-    """A 64-bit fingerprint, unsigned, for each width; null and texts without words give 0.
-
-    A width over 0 means shingles of so many words, repeats included (the whole text, if it
-    has fewer words); 0 means the distinct words.
-    """
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """64 bits, unsigned, of shingles of ``width`` words, repeats included (the whole text, if it has fewer words); null and texts without words give 0."""
     data = " ".join(WORD.findall((text or "").translate(LOWER_ASCII))).encode("utf-8", "surrogatepass")
     if not data:
-        return [0] * len(widths)
+        return 0
     gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(data)]
     digest = xxhash.xxh64_intdigest
-    out = []
-    for width in widths:
-        if not width:
-            hashes = [digest(w, SEED) for w in set(data.split(b" "))]
-        elif len(ends) < width:
-            hashes = [digest(data, SEED)]
-        else:
-            hashes = [digest(data[s:e], SEED) for s, e in zip(starts, ends[width - 1 :])]
-        out.append(_majority(np.array(hashes, dtype=">u8")))
-    return out
-
-
-def fingerprint(text: str | None, width: int = 4) -> int:
-    return fingerprints(text, (width,))[0]
+    hashes = [digest(data[s:e], SEED) for s, e in zip(starts, ends[width - 1 :])] if len(ends) >= width else [digest(data, SEED)]
+    return _majority(np.array(hashes, dtype=">u8"))
 
 
-def simhash(text: Column, *widths: int) -> Column:
-    """Array of the fingerprints of a text column for the widths, as signed longs."""
+def simhash(text: Column, width: int = 4) -> Column:
+    """Fingerprints of a text column as signed longs; invalid UTF-8 counts as its replacement characters."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        flat = np.fromiter((p for x in values(texts) for p in fingerprints(x, widths)), np.uint64, len(texts) * len(widths)).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(widths)), pa.array(flat))
+        return pa.array(np.fromiter((fingerprint(x, width) for x in values(texts)), np.uint64, len(texts)).view(np.int64))
 
-    return of(text)
+    return of(valid_utf8(text))
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -124,8 +105,7 @@ def choose_segments(n: int, radius: int) -> int:
 
 
 def _entries(distinct: DataFrame, radius: int, segments: int) -> DataFrame:
-    """``run, kind, fp`` and ``node``, if there is one: table rows (kind 0) and probes (kind 1); run joins segment, its value and salt."""
-    node = [c for c in distinct.columns if c == "node"]
+    """``run, kind, fp``: table rows (kind 0) and probes (kind 1); run joins segment, its value and salt."""
     table, probes = [], []
     for k, (shift, width, ball) in enumerate(segment_plan(radius, segments)):
         mask = ((1 << width) - 1) << shift
@@ -134,12 +114,12 @@ def _entries(distinct: DataFrame, radius: int, segments: int) -> DataFrame:
         flips = [sum(1 << (shift + b) for b in bits) for i in range(ball + 1) for bits in combinations(range(width), i)]
         probes += [(k, shift, signed(mask), signed(f), -1) for f in flips]
     kinds = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("k", "shift", "mask", "flip", "salt"), p)]) for p in table + probes])
-    rows = distinct.select("fp", *node, F.explode(kinds).alias("p")).select("fp", *node, "p.*")
+    rows = distinct.select("fp", F.explode(kinds).alias("p")).select("fp", "p.*")
     value = F.expr("shiftrightunsigned((fp ^ flip) & mask, cast(shift as int))")
     salt = F.when(F.col("salt") >= 0, F.col("salt")).otherwise(F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     # Segments are 32 bits wide at most, so value, segment and salt fit a long.
     run = ((F.col("k") * (1 << 32) + value) * SALTS + salt).alias("run")
-    return rows.select(run, (F.col("salt") < 0).cast("byte").alias("kind"), "fp", *node)
+    return rows.select(run, (F.col("salt") < 0).cast("byte").alias("kind"), "fp")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +142,22 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-def _linked(radius: int, node_radius: int | None):
+def blocks(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, first[i] + k) for each i and each k below n[i], at most about BLOCK pairs at a time."""
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):  # as many i as make BLOCK pairs; one with more is cut
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        for low in range(0, int(n[at]) if upto == at + 1 else 1, BLOCK):
+            m = np.minimum(n[at:upto] - low, BLOCK) if upto == at + 1 else n[at:upto]
+            offsets = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            yield np.repeat(np.arange(at, upto), m), np.repeat(first[at:upto] + low, m) + offsets
+        at = upto
+
+
+def _linked(radius: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run0 = fp0 = node0 = np.empty(0, np.int64)  # table rows of the last run seen
+        run0 = fp0 = np.empty(0, np.int64)  # table rows of the last run seen
         found_a: list[np.ndarray] = []
         found_b: list[np.ndarray] = []
         kept = 0
@@ -177,64 +170,52 @@ def _linked(radius: int, node_radius: int | None):
 
         for batch in batches:
             run, kind, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            node = batch.column(3).to_numpy(zero_copy_only=False) if batch.num_columns > 3 else fp
-            run, fp, node = np.concatenate([run0, run]), np.concatenate([fp0, fp]), np.concatenate([node0, node])
+            run, fp = np.concatenate([run0, run]), np.concatenate([fp0, fp])
             is_table = np.concatenate([np.zeros(len(run0), np.int8), kind]) == 0
             t_run, p_run, t_at, p_at = run[is_table], run[~is_table], np.flatnonzero(is_table), np.flatnonzero(~is_table)
             first, last = np.searchsorted(t_run, p_run, "left"), np.searchsorted(t_run, p_run, "right")
             n = last - first
             p_at, first, n = p_at[n > 0], first[n > 0], n[n > 0]
-            ends = np.cumsum(n)
-            at = 0
-            while at < len(n):  # as many probes as make BLOCK pairs; one with more is cut by table rows
-                done = ends[at - 1] if at else 0
-                upto = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
-                for low in range(0, int(n[at]) if upto == at + 1 else 1, BLOCK):
-                    m = np.minimum(n[at:upto] - low, BLOCK) if upto == at + 1 else n[at:upto]
-                    offsets = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    t, p = t_at[np.repeat(first[at:upto] + low, m) + offsets], np.repeat(p_at[at:upto], m)
-                    near = np.bitwise_count((fp[t] ^ fp[p]).view(np.uint64)) <= radius
-                    t, p = node[t[near]], node[p[near]]
-                    near = t != p
-                    if node_radius is not None:
-                        near &= np.bitwise_count((t ^ p).view(np.uint64)) <= node_radius
-                    if near.any():
-                        found_a.append(t[near])
-                        found_b.append(p[near])
-                        kept += int(near.sum())
-                at = upto
+            for p, t in blocks(first, n):
+                t, p = t_at[t], p_at[p]
+                near = np.bitwise_count((fp[t] ^ fp[p]).view(np.uint64)) <= radius
+                t, p = fp[t[near]], fp[p[near]]
+                near = t != p
+                if near.any():
+                    found_a.append(t[near])
+                    found_b.append(p[near])
+                    kept += int(near.sum())
                 if kept >= BLOCK:
                     yield flush()
                     kept = 0
             if len(run):
                 same = t_at[t_run == run[-1]]
-                run0, fp0, node0 = run[same], fp[same], node[same]
+                run0, fp0 = run[same], fp[same]
         if found_a:
             yield flush()
 
     return step
 
 
-def hamming_links(distinct: DataFrame, radius: int = 4, segments: int | None = None, node_radius: int | None = None) -> DataFrame:
+def hamming_links(distinct: DataFrame, radius: int = 4, segments: int | None = None) -> DataFrame:
     """Links ``a, b`` that connect every pair of fingerprints (column ``fp``, distinct longs) within ``radius``.
 
-    With a column ``node`` (a second fingerprint) the links are between nodes, and only
-    where these are within ``node_radius`` too. Not every close pair has a row of its own,
-    but its two ends are connected by rows.
+    Not every close pair has a row of its own, but its two ends are connected by rows.
     """
     segments = segments or choose_segments(distinct.count(), radius)
     rows = _entries(distinct, radius, segments)
-    return rows.repartition("run").sortWithinPartitions("run", "kind").mapInArrow(_linked(radius, node_radius), "a long, b long")
+    return rows.repartition("run").sortWithinPartitions("run", "kind").mapInArrow(_linked(radius), "a long, b long")
 
 
 def _grouped(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``prints`` (id, node and others) with ``component_id``; ``links_of`` the prints gives links between nodes."""
+    """``prints`` (id, node and others) with ``part``, the smallest node reachable, and ``component_id``, the smallest id on one; ``links_of`` the prints gives links between nodes."""
     prints = durable(prints)
     firsts = durable(prints.groupBy("node").agg(F.min("id").alias("first")))
-    links = durable(links_of(prints))
-    ends = links.join(firsts.select(F.col("node").alias("a"), F.col("first").alias("left")), "a").join(firsts.select(F.col("node").alias("b"), F.col("first").alias("right")), "b")
-    parts = connected_components(ends, "left", "right").withColumnRenamed("node", "part")
-    named = firsts.join(parts, F.col("first") == F.col("part"), "left").select("node", F.coalesce("component", "first").alias("component_id"))
+    parts = connected_components(links_of(prints), "a", "b")
+    linked = durable(firsts.join(parts, "node").select("node", F.col("component").alias("part"), "first"))
+    smallest = linked.groupBy("part").agg(F.min("first").alias("smallest"))
+    shared = linked.join(smallest, "part").select("node", "part", "smallest")
+    named = firsts.join(shared, "node", "left").select("node", F.coalesce("part", "node").alias("part"), F.coalesce("smallest", "first").alias("component_id"))
     return prints.join(named, "node")
 
 
@@ -243,22 +224,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and wordless texts have fingerprint 0 and link like any other. Repeated rows stay
     repeated. A null id keeps its row and never names a component that has another id.
-    Other columns are ignored whatever their names. An empty table gives an empty result.
+    Ids keep their type. Invalid UTF-8 counts as its replacement characters. Other columns
+    are ignored whatever their names. An empty table gives an empty result.
     """
-    prints = docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), width)[0].alias("node"))
+    python_batches(docs.sparkSession)
+    prints = docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), width).alias("node"))
     grouped = _grouped(prints, lambda p: hamming_links(p.select(F.col("node").alias("fp")).distinct(), radius, segments))
     return grouped.select("id", F.col("node").alias("fp"), "component_id")
-
-
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, word_radius: int = WORD_RADIUS, radius: int = SHINGLE_RADIUS, segments: int | None = None) -> DataFrame:
-    """``id, fp, component_id`` with groups of texts whose shingles are about 0.8 alike or more.
-
-    One changed word changes ``width`` shingles, so shingle fingerprints of such texts lie up
-    to 13 bits apart, too far for small balls; fingerprints of their distinct words lie
-    within 7. Texts link when both hold: multi-index hashing finds the word fingerprints,
-    and the shingle fingerprints decide. Edge cases are those of :func:`simhash_groups`.
-    """
-    both = simhash(F.col(text_col), 0, width)
-    prints = docs.select(F.col(id_col).alias("id"), both.alias("both")).select("id", F.col("both")[0].alias("words"), F.col("both")[1].alias("node"))
-    grouped = _grouped(prints, lambda p: hamming_links(p.select(F.col("words").alias("fp"), "node").distinct(), word_radius, segments, radius))
-    return grouped.select("id", F.col("node").alias("fp"), "component_id")

@@ -80,9 +80,9 @@ def test_edge_rows(spark):
     assert len(rows) == len(edge_rows()) and all(r.error is None for r in rows)
     want = {}
     for i, text, *_ in edge_rows():
-        n, payload = media.padded(text)
+        n, payload = media.padded((text or "").encode())
         want[i] = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    assert all((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want[r.id] for r in rows)
+    assert all((r.n_bytes, r.tracks[0].payload_bytes, r.tracks[0].payload_sha256, r.tracks[0].tail_crc32) == want[r.id] for r in rows)
     assert want[2][:2] == (0, 64)
     assert media.probe_media(media.store_texts(spark.createDataFrame([], SCHEMA))).count() == 0
 
@@ -90,10 +90,78 @@ def test_edge_rows(spark):
 def test_broken_rows(spark):
     rows = spark.createDataFrame([(1, 3, b"abc"), (2, 0, None), (3, 0, b"")], "id long, n_bytes long, media binary")
     found = {r.id: r for r in media.probe_media(rows).collect()}
-    assert all(found[i].error and found[i].codec is None for i in (1, 2, 3)) and found[1].media_bytes == 3
-
-
-def test_query(spark, sf_dir):
-    rows = op1_media_columns(spark, sf_dir)
-    assert rows.count() == 200 and rows.where("feature IS NULL").count() == 0
-    assert rows.select("payload_sha256", "media_sha256", "feature").distinct().count() == rows.select("payload_sha256").distinct().count()
+    assert all(found[i].error and found[i].tracks is None for i in (1, 2, 3)) and found[1].media_bytes == 3
+
+
+def track(number, codec, tables):
+    head = _full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0))
+    media_head = media._box(b"mdhd", struct.pack(">IIIIII", 0, 0, 0, 90, 0, 0))
+    return media._box(b"trak", head, media._box(b"mdia", media_head, _full(b"hdlr", bytes(4), b"vide" if codec == b"avc1" else b"soun"), media._box(b"minf", media._box(b"stbl", _full(b"stsd", struct.pack(">I", 1), media._box(codec, bytes(28))), *tables))))
+
+
+def plain_tables(sizes, offset, keys):
+    return [_full(b"stts", struct.pack(">III", 1, len(sizes), 10)), _full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys)), _full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)), _full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), _full(b"stco", struct.pack(">II", 1, offset))]
+
+
+def test_every_track_is_given(spark):
+    sound, video = [4, 6], [10, 20, 30]
+    movie = lambda at: media._box(b"moov", track(1, b"mp4a", plain_tables(sound, at, [1, 2])), track(2, b"avc1", plain_tables(video, at + 10, [1, 3])))
+    at = len(movie(0)) + 8
+    body = bytes(range(70))
+    data = movie(at) + media._box(b"mdat", body)
+    (row,) = media.probe_media(spark.createDataFrame([("a", 70, bytearray(data))], "id string, n_bytes long, media binary")).collect()
+    assert row.id == "a" and [(t.codec, t.handler, t.duration, t.n_samples, t.payload_sha256) for t in row.tracks] == [
+        ("mp4a", "soun", 20, 2, hashlib.sha256(body[:10]).hexdigest()), ("avc1", "vide", 30, 3, hashlib.sha256(body[10:]).hexdigest())]
+    assert [[(k.offset, k.length) for k in t.keyframes] for t in row.tracks] == [[(at, 4), (at + 4, 6)], [(at + 10, 10), (at + 40, 30)]]
+
+
+EMPTY = [_full(b"stts", struct.pack(">I", 0)), _full(b"stsc", struct.pack(">I", 0)), _full(b"stsz", struct.pack(">II", 0, 0)), _full(b"stco", struct.pack(">I", 0))]
+
+
+def flagged(kind, flags, form, *numbers):
+    return media._box(kind, struct.pack(">I" + form, flags, *numbers))
+
+
+def test_fragments():
+    """Two fragments: sizes of their own and keyframe flags for the first sample; defaults of the movie and of the track fragment; data from the fragment's start, from an offset, after the run before."""
+    movie = media._box(b"moov", track(1, b"avc1", EMPTY), track(2, b"mp4a", EMPTY), media._box(b"mvex", _full(b"trex", struct.pack(">IIIII", 1, 1, 5, 0, media.NOT_SYNC)), _full(b"trex", struct.pack(">IIIII", 2, 1, 7, 3, 0))))
+
+    def fragment(start, data_at):
+        video = media._box(b"traf", flagged(b"tfhd", media.BASE_IS_MOOF, "I", 1), flagged(b"trun", 0x205, "IiI3I", 3, data_at - start, 0, 8, 9, 10), flagged(b"trun", 0x200, "I1I", 1, 11))
+        sound = media._box(b"traf", flagged(b"tfhd", media.BASE_OFFSET | media.SIZE, "IQI", 2, data_at + 38, 4), flagged(b"trun", 0, "I", 2), flagged(b"trun", 0x100, "I2I", 2, 1, 2))
+        return media._box(b"moof", _full(b"mfhd", struct.pack(">I", 1)), video, sound)
+
+    data, starts = movie, []
+    for k in range(2):
+        start = len(data)
+        size = len(fragment(start, 0))
+        starts.append(start + size + 8)
+        data += fragment(start, starts[-1]) + media._box(b"mdat", bytes([k]) * 38 + bytes([100 + k]) * 16)
+    video, sound = media.probe(data)
+    assert video.sizes.tolist() == [8, 9, 10, 11] * 2 and video.keys.tolist() == [0, 4] and video.duration == 40
+    assert video.payload(data) == bytes(38) + bytes([1]) * 38 and video.keyframes() == [(starts[0], 8), (starts[1], 8)]
+    assert sound.sizes.tolist() == [4] * 8 and len(sound.keyframes()) == 8 and sound.duration == 2 * (14 + 3)
+    assert sound.payload(data) == bytes([100]) * 16 + bytes([101]) * 16
+    with pytest.raises(media.MediaError):
+        media.probe(data[:-1])
+    with pytest.raises(media.MediaError):
+        media.probe(media._box(b"moof", media._box(b"traf", flagged(b"tfhd", 0, "I", 9), flagged(b"trun", 0, "I", 1))))
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Every column of every document: the stored form is made by hand, box by box."""
+    found = {r.doc_id: r for r in op1_media_columns(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(found) == len(docs) == 200
+    for d in docs:
+        raw = (d.text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        n = len(payload) // 64
+        r = found[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = media.mux(payload)
+        at = stored.index(b"mdat") + 4
+        assert stored[at:] == payload and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        keys = -(-n // 256)
+        last = at + (keys - 1) * 256 * 64 + 64
+        assert r.feature == f"raw  8000 Hz, {len(payload) * 1000 // 8000} ms, {n} samples, {keys} keyframes of {64 * keys} bytes from {at} to {last}"

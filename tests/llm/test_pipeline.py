@@ -5,7 +5,7 @@ import corpus_pipeline
 import pytest
 from helpers import SCHEMA, WORD, edge_table, prose
 from test_mixing_sharding import plain_targets
-from test_simhash import plain_near_groups
+from test_near import plain_similar_groups
 
 from quirelake.llm import langid, secrets
 from quirelake.llm.mixing import id_hash
@@ -28,7 +28,7 @@ def test_run_against_brute_force(spark, tmp_path):
 
     # Language: what has a letter stays. Groups: the smallest id stays. Secrets are replaced.
     kept = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    parts = plain_near_groups([(r[0], r[1]) for r in kept])
+    parts = plain_similar_groups([(r[0], r[1]) for r in kept])
     kept = [r for r in kept if parts[r[0]] == r[0]]
     text = {r[0]: secrets.default_scanner().redact(r[1]) for r in kept}
     assert "[ASSIGNED]" in text[200]
@@ -79,12 +79,43 @@ def test_edge_tables(spark, sf_dir, name):
     assert stage(spark, df.limit(0), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_clashing_columns_stay(spark, sf_dir, name):
+    """Extra columns named like what the stages use inside keep their values."""
+    df = edge_table(spark).where("doc_id IS NOT NULL")
+    for c in ("mix_plan", "mix_copy", "mix_plan_source", "plan", "of_source", "near_key", "near_whole", "named", "text_key", "part", "node", "first", "n", "last", "source_size", "target", "copies"):
+        df = df.selectExpr("*", f"'clash' AS {c}")
+    out = dict(corpus_pipeline.STAGES)[name](spark, df, sf_dir)
+    if name == "tokenize":
+        assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() == df.count()
+        return
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert rows and all(r[c] == "clash" for r in rows for c in df.columns[5:])
+
+
 def test_dedup_of_repeated_rows(spark, sf_dir):
     rows = [(1, "one text that is here", "en", "a", 1)] * 3 + [(None, "row without id", "en", "a", 1), (4, None, None, None, None), (5, "", "en", None, 0)]
     left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
     assert sorted((r.doc_id or -1) for r in left) == [-1, 1, 4]
 
 
+def test_dedup_of_ids_on_several_texts(spark, sf_dir):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = lambda rows: sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA), sf_dir).collect())
+    assert near([(5, a), (5, b)]) == sorted([(5, a), (5, b)])
+    assert near([(3, a), (5, a), (5, b)]) == sorted([(3, a), (5, b)])
+    assert near([(5, a), (5, a.upper()), (6, c), (7, c + " end")]) == sorted([(5, min(a, a.upper(), key=lambda t: kept_key(spark, t))), (6, c)])
+
+
+def kept_key(spark, text):
+    from pyspark.sql import functions as F
+
+    from quirelake.llm.near import text_key
+
+    return spark.range(1).select(text_key(F.lit(text)).alias("k")).first().k
+
+
 def test_rejection_threshold_is_used(spark, sf_dir, monkeypatch):
     docs = spark.createDataFrame([(i, prose(i, 8), "en" if i % 2 else "fr", "a", 1) for i in range(40)], SCHEMA)
     monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)

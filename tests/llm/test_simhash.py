@@ -20,21 +20,6 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def majority(parts):
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in parts]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def plain_near_groups(rows):
-    """Groups by distinct words within 7 bits and five-word shingles within 13."""
-    prints = {}
-    for i, text in rows:
-        w = WORD.findall(lower_ascii(text))
-        prints[i] = (majority(set(w)), majority([" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))])) if w else (0, 0)
-    links = [(a, b) for a, b in combinations(prints, 2) if (prints[a][0] ^ prints[b][0]).bit_count() <= 7 and (prints[a][1] ^ prints[b][1]).bit_count() <= 13]
-    return components(prints, links)
-
-
 def plain_groups(rows):
     prints = {}
     for i, text in rows:
@@ -98,27 +83,6 @@ def test_groups_of_documents(spark, sf_dir):
     assert len(set(parts.values())) < len(parts)
 
 
-def test_near_duplicates_of_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    want = plain_near_groups([tuple(r) for r in docs.collect()])
-    assert {r.id: r.component_id for r in simhash.near_duplicate_groups(docs).collect()} == want
-
-
-def test_planted_near_copies_are_caught(spark):
-    """Copies with one word in a hundred changed are found, other documents stay alone."""
-    rows, want = [], {}
-    for k in range(60):
-        words = prose(k, 300).split()
-        for c in range(3):
-            changed = list(words)
-            for at in random.Random(100 * k + c).sample(range(300), 3 * bool(c)):
-                changed[at] = f"new{k}x{c}y{at}"
-            rows.append((10 * k + c, " ".join(changed)))
-            want[10 * k + c] = 10 * k
-    found = {r.id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(found[i] == want[i] for i in want) / len(want) > 0.97 and all(found[i] // 10 == i // 10 for i in want)
-
-
 def test_edge_rows(spark):
     rows = simhash.simhash_groups(edge_table(spark)).collect()
     assert len(rows) == len(edge_rows())
