@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,21 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+_CLEARERS: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Says how to drop what an operator keeps in a Python worker from one batch to the next."""
+    _CLEARERS[owner] = clear
+
+
+def working(owner: str) -> None:
+    """Drops what other operators keep: workers are used again by later stages, which need the room."""
+    for name, clear in _CLEARERS.items():
+        if name != owner:
+            clear()
+
+
 def valid_utf8(text: Column) -> Column:
     """A text with each invalid UTF-8 sequence as a replacement character; null stays null."""
     return F.make_valid_utf8(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import python_batches, valid_utf8, values
+from quirelake.llm.common import python_batches, valid_utf8, values, working
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
@@ -80,6 +80,7 @@ class LanguageModel:
 
         @F.arrow_udf("lang string, score double")
         def of(texts: pa.Array) -> pa.Array:
+            working("langid")
             model = shared.value
             found = [model.predict(t) for t in values(texts)]
             return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["lang", "score"])
@@ -138,6 +139,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per feature number and task; number -1 counts the documents."""
+    working("langid")
     df, docs = np.zeros(DIM, np.int64), 0
     for batch in batches:
         for text in values(batch.column(0)):

@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import python_batches, valid_utf8
+from quirelake.llm.common import keeps, python_batches, valid_utf8, working
 
 MARK = "▁"
 NEVER = float("inf")
@@ -199,6 +199,9 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+keeps("pieces", codec.cache_clear)
+
+
 def _steps(lengths: list[int]) -> Iterator[tuple[int, int]]:
     start = chars = 0
     for i, n in enumerate(lengths):
@@ -222,6 +225,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     kept = docs.select(F.col(id_col).alias("id"), F.coalesce(valid_utf8(F.col(text_col)), F.lit("")).alias("text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("pieces")
         tool = codec(model_path)
         for batch in batches:
             for low, high in _steps(pc.utf8_length(batch.column(1)).to_pylist()):

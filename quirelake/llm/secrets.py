@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import python_batches, valid_utf8, values
+from quirelake.llm.common import python_batches, valid_utf8, values, working
 from quirelake.llm.forest import Forest, fit_forest
 
 #: Kinds of candidates and their patterns, in the order of precedence; key blocks, found by their marks, come before all.
@@ -228,6 +228,7 @@ def redacted(text: Column, scanner: SecretScanner | None = None) -> Column:
 
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
+        working("secrets")
         parts = (pa.array([scanner.redact(t) for t in texts.slice(low, 256).to_pylist()], pa.string()) for low in range(0, max(1, len(texts)), 256))
         return pa.concat_arrays(list(parts))
 

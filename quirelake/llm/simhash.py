@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import durable, python_batches, valid_utf8, values
+from quirelake.llm.common import durable, python_batches, valid_utf8, values, working
 from quirelake.llm.components import connected_components
 
 BITS, SEED, SALTS = 64, 42, 4
@@ -64,6 +64,7 @@ def simhash(text: Column, width: int = 4) -> Column:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
+        working("simhash")
         return pa.array(np.fromiter((fingerprint(x, width) for x in values(texts)), np.uint64, len(texts)).view(np.int64))
 
     return of(valid_utf8(text))
@@ -142,14 +143,14 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-def blocks(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, first[i] + k) for each i and each k below n[i], at most about BLOCK pairs at a time."""
+def blocks(first: np.ndarray, n: np.ndarray, most: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, first[i] + k) for each i and each k below n[i], at most about ``most`` pairs at a time."""
     ends = np.cumsum(n)
     at = 0
-    while at < len(n):  # as many i as make BLOCK pairs; one with more is cut
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
-        for low in range(0, int(n[at]) if upto == at + 1 else 1, BLOCK):
-            m = np.minimum(n[at:upto] - low, BLOCK) if upto == at + 1 else n[at:upto]
+    while at < len(n):  # as many i as make that many pairs; one with more is cut
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        for low in range(0, int(n[at]) if upto == at + 1 else 1, most):
+            m = np.minimum(n[at:upto] - low, most) if upto == at + 1 else n[at:upto]
             offsets = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             yield np.repeat(np.arange(at, upto), m), np.repeat(first[at:upto] + low, m) + offsets
         at = upto
