@@ -5,19 +5,22 @@ piece has the best score (ties: the leftmost) is merged, its new neighbours join
 agenda, and outdated entries go. Short parts keep the agenda as a list in text order,
 whose best entry is its minimum; long ones keep it as a heap. Symbols outside the vocabulary fall back to
 their UTF-8 bytes. A text is first cut where no piece of the vocabulary could reach
-across (before a run of word marks, and round characters that no longer piece holds);
-merges never cross such a cut, so the parts are encoded alone and the results of short
-parts are kept in a bounded table.
-
-Every Arrow batch is checked against the sentencepiece library: each part that the
-batch has encoded anew, and every ``WHOLE``-th text as a whole, encoded and decoded. With
-byte fallback every decoded text must also be the text itself.
+across (before a run of word marks, and round characters that no longer piece holds), so
+the parts are encoded alone and the results of short parts are kept in a bounded table.
+
+The cuts are proven once for each vocabulary, over all its pieces (:func:`prove_cuts`): a
+merge gives a piece of the vocabulary, none of which reaches across a cut, so the merges on
+its two sides touch different symbols and leave each other alone; and the model file says
+that the library takes texts as they stand, with a mark before and for each space. Every
+Arrow batch is then checked against the sentencepiece library: each part that the batch has
+encoded anew, and the first text of each step as a whole. With byte fallback every decoded
+text must also be the text itself. A vocabulary without that proof has every text compared.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -34,11 +37,9 @@ from quirelake.llm.common import keeps, python_batches, valid_utf8, working
 MARK = "▁"
 NEVER = float("inf")
 #: Parts kept per worker, and the longest part kept, in characters.
-KEPT, LONGEST = 700_000, 40
+KEPT, LONGEST = 350_000, 40
 #: Parts up to this many characters keep their agenda as a list.
 SHORT = 32
-#: One text in this many is compared whole.
-WHOLE = 64
 #: Characters encoded between two checks against the library.
 STEP = 1 << 19
 
@@ -69,6 +70,64 @@ class _Parts(dict):
         return ids
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a serialized message: numbers as they are, others as bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or number()
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+#: Of a model, the numbers of its pieces, its text preparation; of a piece, the number of its type and the types that are matched before any merge; of the preparation, the numbers of its table of replacements and its three switches.
+PIECES, PREPARATION, TYPE, USER_DEFINED = 1, 3, 3, 4
+REPLACEMENTS, SWITCHES = 2, {3: 1, 4: 0, 5: 1}
+
+
+def taken_as_it_stands(model: bytes) -> bool:
+    """Whether a serialized model prepares texts by a mark in front and one for each space alone, and has no piece that is matched before the merges."""
+    prepared, switches = False, {3: 1, 4: 1, 5: 1}  # all three are on where the file says nothing
+    for number, value in fields(model):
+        if number == PIECES and any(n == TYPE and v == USER_DEFINED for n, v in fields(value)):
+            return False
+        if number == PREPARATION:
+            for n, v in fields(value):
+                prepared |= n == REPLACEMENTS and len(v) > 0
+                if n in switches:
+                    switches[n] = v
+    return not prepared and switches == SWITCHES
+
+
+def prove_cuts(pieces: Iterable[str]) -> str | None:
+    """The characters that no longer piece holds, if no piece has a mark after another character; else None.
+
+    All pieces are gone through. Parts are cut before each run of marks and round these
+    characters; a piece that reached across such a cut would have one of the two forms.
+    """
+    longer = [p for p in pieces if len(p) > 1]
+    if any(a != MARK == b for p in longer for a, b in zip(p, p[1:])):
+        return None
+    inner = set(chain.from_iterable(longer))
+    return "".join(c for c in map(chr, range(128)) if c not in inner)
+
+
 class PieceCodec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -87,13 +146,12 @@ class PieceCodec:
         if self.byte_fallback:
             for b, i in enumerate(self.bytes):  # a byte above ASCII waits as a surrogate until its neighbours are known
                 self.surface[i] = bytes((b,)).decode("ascii", "surrogateescape")
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.cost):
+        solo = prove_cuts(self.cost) if taken_as_it_stands(lib.serialized_model_proto()) else None
+        if not solo:
             pattern, self.lead = r".+", None
         else:
-            inner = set(chain.from_iterable(self.cost))
-            solo = [chr(c) for c in range(128) if chr(c) not in inner]
             alone = "".join(f"\\x{ord(c):02x}" for c in solo)
-            self.lead = solo[0] if solo else None  # no merge crosses it, so a part can follow it in a text of its own
+            self.lead = solo[0]  # no merge crosses it, so a part can follow it in a text of its own
             pattern = f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+"
         self.cut = re.compile(pattern, re.DOTALL).findall
         self.parts = _Parts(self.encode_part)
@@ -176,10 +234,8 @@ class PieceCodec:
         ids = [self.encode(t) for t in texts]
         decoded = [self.decode(i) for i in ids]
         fresh, self.parts.fresh = self.parts.fresh, []
-        every = WHOLE
-        if self.lead is None:
-            every = 1
-        elif fresh:
+        every = 1 if self.lead is None else max(1, len(texts))
+        if fresh and self.lead is not None:
             head = self.library.encode(self.lead)
             found = self.library.encode([self.lead + p for p, _ in fresh], num_threads=1)
             if any(f != [*head, *i] for f, (_, i) in zip(found, fresh)):

@@ -42,6 +42,32 @@ def test_kept_parts_are_bounded(monkeypatch):
     assert len(codec.parts) + len(codec.parts.older) <= 41
 
 
+def test_cuts_are_proven_over_all_pieces(monkeypatch):
+    solo = pieces.prove_cuts(CODEC.cost)
+    assert solo and all(c not in p for p in CODEC.cost for c in solo) and CODEC.lead == solo[0]
+    assert pieces.prove_cuts(["ab", "a▁b"]) is None and pieces.prove_cuts(["▁▁a", "ab", "x"]) == "".join(map(chr, range(97))) + "".join(map(chr, range(99, 128)))
+    # A vocabulary with a piece across a cut isn't cut, and every text is compared.
+    monkeypatch.setattr(pieces, "prove_cuts", lambda _: None)
+    codec = pieces.PieceCodec(default_vocabulary())
+    texts = [t for t in TEXTS if len(t) < 1000]
+    assert codec.lead is None and codec.checked(texts)[0] == [codec.library.encode(t, add_eos=True) for t in texts]
+
+
+def test_preparation_is_read_from_the_model_file():
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3, value])
+        return bytes([number << 3 | 2, len(value)]) + value
+
+    model = CODEC.library.serialized_model_proto()
+    assert pieces.taken_as_it_stands(model)
+    plain = field(3, field(1, b"identity") + field(4, 0))
+    assert pieces.taken_as_it_stands(field(1, field(1, b"a")) + plain)
+    assert list(pieces.fields(field(1, b"xy") + field(2, 5) + bytes([3 << 3 | 5]) + b"1234")) == [(1, b"xy"), (2, 5), (3, b"1234")]
+    for other in (field(3, field(2, b"table") + field(4, 0)), field(3, b""), field(3, field(3, 0) + field(4, 0)), field(3, field(4, 0) + field(5, 0)), plain + field(1, field(1, b"a") + field(3, 4)), b""):
+        assert not pieces.taken_as_it_stands(other)
+
+
 def test_mismatch_is_an_error():
     codec = pieces.PieceCodec(default_vocabulary())
     codec.cost = {p: -c for p, c in codec.cost.items()}
