@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -36,7 +40,7 @@ def python_batches(spark: SparkSession) -> None:
 
 
 #: Rows of ids or keys that are sent to every task rather than shuffled with the texts.
-SENT = 1_000_000
+SENT = 250_000
 
 
 def sent(keys: DataFrame) -> DataFrame:
@@ -56,6 +60,7 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 _CLEARERS: dict[str, Callable[[], None]] = {}
+_last = ""
 
 
 def keeps(owner: str, clear: Callable[[], None]) -> None:
@@ -64,10 +69,19 @@ def keeps(owner: str, clear: Callable[[], None]) -> None:
 
 
 def working(owner: str) -> None:
-    """Drops what other operators keep: workers are used again by later stages, which need the room."""
+    """Called by a task's Python code: on a change of operator drops what the others keep and gives free memory back, as workers are used again by later stages."""
+    global _last
+    if owner == _last:
+        return
+    _last = owner
     for name, clear in _CLEARERS.items():
         if name != owner:
             clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def valid_utf8(text: Column) -> Column:
