@@ -1,12 +1,12 @@
 """Guards on what a text model returns: each is a column expression, and one ``decide`` joins them.
 
-Only the similarity ratio needs Python: it is a pandas UDF over the standard library's
-sequence matcher, and is computed only for rows that every cheaper guard has let through.
+Only the similarity ratio needs Python: it is a pandas UDF (see ``similar``), and is computed
+only for rows that every cheaper guard has let through and whose letters alone don't rule
+them out.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import reduce
 from operator import and_
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quirelake.functions import similar
 from quirelake.functions.lexicon import LOWERS, UPPERS
 from quirelake.functions.text import WS, casefold, count_of, is_blank, let, settle, strip, words
 
@@ -63,7 +64,18 @@ def letter_words(text: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def similarity(original: pd.Series, output: pd.Series) -> pd.Series:
     """Ratio of matching characters; null if either is null."""
-    return pd.Series([None if a is None or b is None else 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(original, output)], dtype="float64")
+    return pd.Series([None if a is None or b is None else similar.ratio(a, b) for a, b in zip(original, output)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def similarity_or_bound(original: pd.Series, output: pd.Series) -> pd.Series:
+    """The ratio, or its upper bound where that is below LEAST_SIMILARITY already; null if either is null."""
+
+    def one(a: str, b: str) -> float:
+        bound = similar.most(a, b)
+        return bound if bound < LEAST_SIMILARITY else similar.ratio(a, b)
+
+    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(original, output)], dtype="float64")
 
 
 def new_words(pairs: DataFrame, key: str, original: str, output: str) -> DataFrame:
@@ -94,6 +106,6 @@ def decide(pairs: DataFrame, lexicon: DataFrame, key: str = "key", rules: str =
     base = settle(base, "j", judged).select(key, "rules", F.when(F.col("j.early").isNull(), F.col("j.clean")).alias("clean"), F.col("j.early").alias("early"))
     c = F.col("clean")
     unknown = unknown_words(base.where(c.isNotNull() & (r != c)), lexicon, key, "rules", "clean").select(key).distinct().withColumn("unknown", F.lit(True))
-    checked = base.withColumn("ratio", similarity(r, c)).join(unknown, key, "left")
+    checked = base.withColumn("ratio", similarity_or_bound(r, c)).join(unknown, key, "left")
     reason = F.coalesce("early", F.when(F.col("ratio") < LEAST_SIMILARITY, "similarity").when(~quotes_ok(r, c), "quotes").when(F.col("unknown"), "vocabulary").when(~case_ok(c), "case"))
     return checked.withColumn("reject_reason", reason).select(key, F.when(F.col("reject_reason").isNull(), c).when(F.col("reject_reason") == "blank", "").otherwise(r).alias("text"), "reject_reason")

@@ -6,7 +6,9 @@ are spelled out. All functions give null for null.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +45,23 @@ def is_blank(text: Column) -> Column:
     return text.rlike(rf"\A{WS}*+\z")
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Lower-case letters whose fold is one other letter, these letters, and those whose fold is several, with their spelling."""
+    one, several = {}, {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if c == c.lower() and (folded := c.casefold()) != c:
+            (one if len(folded) == 1 else several)[c] = folded
+    return "".join(one), "".join(one.values()), tuple(several.items())
+
+
 def casefold(text: Column) -> Column:
-    """Lower case with the letters that folding spells out: sharp and long s, final sigma, micro sign."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ſςµ", "sσμ")
+    """Lower case, then what folding does beyond it: letters that stand for others (long s, final sigma) or for several (sharp s, ligatures)."""
+    letters, folded, several = _folds()
+    low = F.translate(F.lower(text), letters, folded)
+    table = F.array(*[F.array(F.lit(letter), F.lit(spelling)) for letter, spelling in several])
+    spelt = lambda t: F.aggregate(table, t, lambda got, x: F.replace(got, x[0], x[1]))
+    return let(low, lambda t: F.when(t.rlike(f"[{''.join(x for x, _ in several)}]"), spelt(t)).otherwise(t))
 
 
 def splitlines(text: Column) -> Column:

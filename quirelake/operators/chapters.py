@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import is_blank
@@ -11,35 +11,35 @@ from quirelake.operators.layout import heading_of
 ORDER = ("page_number", "block_no")
 
 
-def chapter_blocks(blocks: DataFrame, title: Column | str = "title") -> DataFrame:
-    """Body blocks with ``chapter_no`` and ``chapter_title``.
+def chapter_blocks(blocks: DataFrame) -> DataFrame:
+    """Body blocks with ``chapter_no`` and ``chapter_title``, which is null before the first heading.
 
-    ``blocks`` has book_id, page_number, block_no, text, role and the book's title. Blank
-    blocks are passed over. A heading closes the chapter before it and gives the next one
-    its title (its first line; the rest of it is lost); of headings with nothing between
-    them the last counts, and one with nothing after it is lost.
+    ``blocks`` has book_id, page_number, block_no, text and role. Blank blocks are passed
+    over. A heading closes the chapter before it and gives the next one its title (its
+    first line; the rest of it is lost); of headings with nothing between them the last
+    counts, and one with nothing after it is lost.
     """
-    title = F.col(title) if isinstance(title, str) else title
     upto = Window.partitionBy("book_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     marked = blocks.where(~is_blank(F.col("text"))).withColumn("heading", heading_of(F.col("text"), F.col("role")))
-    body = (
-        marked.withColumn("segment", F.count("heading").over(upto))
-        .withColumn("chapter_title", F.coalesce(F.last("heading", ignorenulls=True).over(upto), title))
-        .where("heading IS NULL")
-    )
+    body = marked.withColumn("segment", F.count("heading").over(upto)).withColumn("chapter_title", F.last("heading", ignorenulls=True).over(upto)).where("heading IS NULL")
     return body.withColumn("chapter_no", F.dense_rank().over(Window.partitionBy("book_id").orderBy("segment")).cast("int")).drop("heading", "segment")
 
 
+def titled_blocks(blocks: DataFrame, books: DataFrame) -> DataFrame:
+    """:func:`chapter_blocks` of the blocks of ``books`` (book_id, title), with the book's title before the first heading."""
+    titles = books.select("book_id", F.col("title").alias("book_title"))
+    return chapter_blocks(blocks).join(titles, "book_id").withColumn("chapter_title", F.coalesce("chapter_title", "book_title")).drop("book_title")
+
+
 def chapters(blocks: DataFrame, books: DataFrame) -> DataFrame:
     """``book_id, chapter_no, title, n_blocks, n_chars``; a book without body has one empty chapter with its own title.
 
-    ``books`` has book_id and title; ``blocks`` need no title column of their own.
+    ``books`` has book_id and title.
     """
-    body = chapter_blocks(blocks.join(books.select("book_id", "title"), "book_id"))
-    made = body.groupBy("book_id", "chapter_no").agg(F.first("chapter_title").alias("title"), F.count("*").alias("n_blocks"), F.sum(F.char_length("text")).alias("n_chars"))
+    made = chapter_blocks(blocks).groupBy("book_id", "chapter_no").agg(F.first("chapter_title").alias("chapter_title"), F.count("*").alias("n_blocks"), F.sum(F.char_length("text")).alias("n_chars"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    named = books.select("book_id", F.col("title").alias("book_title")).join(made, "book_id", "left")
-    return named.select("book_id", F.coalesce("chapter_no", F.lit(1)).alias("chapter_no"), F.coalesce("title", "book_title").alias("title"), zero("n_blocks"), zero("n_chars"))
+    named = books.select("book_id", "title").join(made, "book_id", "left")
+    return named.select("book_id", F.coalesce("chapter_no", F.lit(1)).alias("chapter_no"), F.coalesce("chapter_title", "title").alias("title"), zero("n_blocks"), zero("n_chars"))
 
 
 def image_offsets(counts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from quirelake.plans import fixtures
 from quirelake.plans.fixtures import BLOCKS_SQL, BOOKS_SQL, DAMAGED_SQL, MODEL_PAIRS_SQL
 from quirelake.plans.layout_queries import KEPT_SQL, ROLE, STRIP
 from quirelake.plans.repair_queries import r1_sql, r2_sql, r3_sql, r4_sql, r5_sql, r6_sql, r7_sql, r8_sql
-from quirelake.sinks.archive import archives
+from quirelake.sinks.archive import archives, entries
 
 # --- guards ----------------------------------------------------------------------------
 
@@ -26,9 +27,9 @@ def style_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Damaged texts as answers with fences and think elements in every order."""
+    """Whole damaged texts as answers with fences and think elements in every order."""
     nl = F.lit("\n")
-    t, k = F.substring("text", 1, 80), F.col("doc_id") % 5
+    t, k = F.col("text"), F.col("doc_id") % 5
     answer = (
         F.when(k == 0, F.concat(F.lit("  ```text\n"), t, F.lit("\n``` ")))
         .when(k == 1, F.concat(F.lit("<think>a\nb</think>\n"), t))
@@ -98,7 +99,7 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of three settings: SHA-256 of version and sorted JSON."""
+    """Signatures of three settings: SHA-256 of version, bar and compact JSON."""
     made = [(i, cache.repair_signature({"model": m, "timeout": 120})) for i, m in enumerate(("a", "b", "ü"))]
     return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(s).alias("signature")) for i, s in made])).alias("s")).select("s.*")
 
@@ -131,8 +132,8 @@ def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body blocks with their chapters, unrepaired."""
-    b = _roles(spark, sf_dir).join(fixtures.books(spark, sf_dir).select("book_id", "title"), "book_id")
-    return chapters.chapter_blocks(b).select("book_id", "page_number", "block_no", F.col("chapter_no").cast("long").alias("chapter_no"), "chapter_title")
+    b = chapters.titled_blocks(_roles(spark, sf_dir), fixtures.books(spark, sf_dir))
+    return b.select("book_id", "page_number", "block_no", F.col("chapter_no").cast("long").alias("chapter_no"), "chapter_title")
 
 
 def conversation_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +168,8 @@ def block_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapter_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = fixtures.books(spark, sf_dir)
-    body = chapters.chapter_blocks(_roles(spark, sf_dir).join(books.select("book_id", "title"), "book_id"))
-    return render.chapter_pages(render.chapter_bodies(body), books).select("book_id", "name", "content")
+    body = chapters.titled_blocks(_roles(spark, sf_dir), fixtures.books(spark, sf_dir))
+    return render.chapter_pages(render.chapter_bodies(body)).select("book_id", "name", "content")
 
 
 def _toc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,8 @@ def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("a.png", "b.JPG", "c.gif", "d", "e.svg")])
-    p = fixtures.pages(spark, sf_dir).where("page_number <= 3")
+    """A picture from every page of each book."""
+    p = fixtures.pages(spark, sf_dir)
     return p.select("book_id", F.col("page_number").cast("int").alias("image_no"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("path"), F.lit(None).cast("string").alias("media_type"))
 
 
@@ -214,12 +215,15 @@ def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every book built as an archive and checked: size, digest, entries and error."""
+    """Every book built as an archive, checked and read back: size, digest of the entries in order, their number and error."""
     books = fixtures.books(spark, sf_dir)
-    b = _roles(spark, sf_dir)
-    body = chapters.chapter_blocks(b.join(books.select("book_id", "title"), "book_id"))
-    a = archives(render.book_files(chapters.chapters(b, books), books, body))
-    return a.select("book_id", F.octet_length("archive").cast("long").alias("bytes"), F.sha2("archive", 256).alias("sha256"), F.size("names").cast("long").alias("entries"), "error")
+
+    @F.pandas_udf("string")
+    def read_back(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: "".join(f"{name}\n{content.decode()}\n" for name, content in entries(bytes(x))))
+
+    a = archives(render.book_files(books, chapters.titled_blocks(_roles(spark, sf_dir), books)))
+    return a.select("book_id", F.octet_length("archive").cast("long").alias("bytes"), F.sha2(read_back("archive"), 256).alias("sha256"), F.size("names").cast("long").alias("entries"), "error")
 
 
 QUERIES = {
@@ -281,13 +285,13 @@ HTML = f"""(SELECT CASE WHEN role = 'heading' THEN '<h2>' || h || '</h2>' WHEN r
 _no = lambda c: f"lpad(CAST({c} AS VARCHAR), CAST(greatest(4, length(CAST({c} AS VARCHAR))) AS INTEGER), '0')"
 
 
-def _page(title: str, body: str, attributes: str, css: str) -> str:
-    return f"""{_q(render.HEAD)} || '<!DOCTYPE html>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="' || {_esc('language')} || '">' || chr(10) || '<head>' || chr(10) || '  <title>' || {_esc(title)}
+def _page(title: str, body: str, attributes: str, css: str, language: str = _esc("language")) -> str:
+    return f"""{_q(render.HEAD)} || '<!DOCTYPE html>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="' || {language} || '">' || chr(10) || '<head>' || chr(10) || '  <title>' || {_esc(title)}
       || '</title>' || chr(10) || '  <link rel="stylesheet" type="text/css" href="{css}"/>' || chr(10) || '</head>' || chr(10) || '<body' || {attributes} || '>' || chr(10) || {body} || chr(10) || '</body>' || chr(10) || '</html>' || chr(10)"""
 
 
 CHAPTER_NAME = f"'chapter-' || {_no('chapter_no')}"
-PICTURES = "pictures AS (SELECT book_id, page_number AS image_no, ['a.png', 'b.JPG', 'c.gif', 'd', 'e.svg'][doc_id % 5 + 1] AS path FROM pages0 WHERE page_number <= 3)"
+PICTURES = "pictures AS (SELECT book_id, page_number AS image_no, ['a.png', 'b.JPG', 'c.gif', 'd', 'e.svg'][doc_id % 5 + 1] AS path FROM pages0)"
 MIME = "CASE WHEN lower(path) LIKE '%.jpg' THEN 'image/jpeg' WHEN path LIKE '%.gif' THEN 'image/gif' WHEN path LIKE '%.svg' THEN 'image/svg+xml' ELSE 'image/png' END"
 SUFFIX = "'.' || CASE WHEN contains(path, '.') THEN string_split(path, '.')[2] ELSE '' END"
 ITEMS = f"""items AS (
@@ -298,9 +302,49 @@ ID_HASH = "sha256(book_id || chr(31) || title || chr(31) || author)"
 CHECKPOINT = f"""{DAMAGED_SQL}, pg AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, doc_id, text FROM documents),
   ck AS (SELECT book_id, n, d.text AS raw, pg.text AS text, n % 2 = 0 AS same FROM pg JOIN damaged d USING (doc_id) WHERE n % 7 <> 0)"""
 
+#: What SQL can say of the ratio: an answer that goes on after the whole source.
+DECIDED = f"""{NEW_WORDS}, {LEXICON}, judged AS (
+  SELECT key, rules, answer, {RESTORED} AS restored FROM pairs
+), cleaned AS (
+  SELECT *, {CLEAN.format("restored")} AS c FROM judged
+), unknown AS (
+  SELECT DISTINCT key FROM (SELECT key, word, sum(n) AS extra FROM (SELECT key, unnest({_letters("c")}) AS word, 1 AS n FROM cleaned WHERE c IS NOT NULL UNION ALL SELECT key, unnest({_letters("rules")}), -1 FROM cleaned) GROUP BY ALL)
+  WHERE extra > 0 AND length(word) >= 3 AND word NOT IN (SELECT word FROM lexicon)
+), decided AS (
+  SELECT key, rules, c, CASE WHEN answer IS NULL THEN 'unavailable' WHEN restored IS NULL THEN 'tokens' WHEN c = '' THEN 'empty' WHEN NOT {_WORDS.format("c")} / greatest(1, {_WORDS.format("rules")}) BETWEEN 0.65 AND 1.45 THEN 'length'
+    WHEN starts_with(c, rules) AND 2 * length(rules) / (length(rules) + length(c)) < 0.72 THEN 'similarity' WHEN {_count('rules', repr('“'))} <> {_count('c', repr('“'))} OR {_count('rules', repr('”'))} <> {_count('c', repr('”'))} THEN 'quotes'
+    WHEN key IN (SELECT key FROM unknown) THEN 'vocabulary' WHEN regexp_matches(c, '[a-zçğıöşü][A-ZÇĞİÖŞÜ]') THEN 'case' END AS reject_reason FROM cleaned
+)"""
+
+
+def _nav_sql() -> str:
+    list_ = f"'  <nav epub:type=' || chr(34) || 'toc' || chr(34) || ' id=' || chr(34) || 'toc' || chr(34) || '>' || chr(10) || '    <h1>' || {_esc('title')} || '</h1>' || chr(10) || '    <ol>' || items || '</ol>' || chr(10) || '  </nav>'"
+    return _page("title", list_, "''", "styles/book.css")
+
+
+NAV_ITEMS = f"l AS (SELECT book_id, string_agg('<li><a href=\"text/' || {CHAPTER_NAME} || '.xhtml\">' || {_esc('title')} || '</a></li>', chr(10) ORDER BY chapter_no) AS items FROM chapters GROUP BY 1)"
+PACKED = f"""p AS (SELECT book_id, string_agg('<item id="' || item_id || '" href="' || href || '" media-type="' || media_type || '"' || CASE WHEN properties IS NULL THEN '' ELSE ' properties="' || properties || '"' END || '/>', ' ' ORDER BY kind, n) AS manifest,
+    string_agg('<itemref idref="' || item_id || '"/>', ' ' ORDER BY n) FILTER (WHERE kind = 1) AS spine FROM items GROUP BY 1), h AS (SELECT *, {ID_HASH} AS h FROM books)"""
+OPF = f"""{_q(render.HEAD)} || '<package version="3.0" unique-identifier="book-id" xmlns="http://www.idpf.org/2007/opf">' || chr(10) || '  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">' || chr(10)
+        || '    <dc:identifier id="book-id">urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) || '</dc:identifier>' || chr(10) || '    <dc:title>' || {_esc('title')} || '</dc:title>' || chr(10)
+        || '    <dc:creator>' || {_esc('author')} || '</dc:creator>' || chr(10) || '    <dc:language>' || language || '</dc:language>' || chr(10) || '    <meta property="dcterms:modified">{render.MODIFIED}</meta>' || chr(10) || '  </metadata>' || chr(10) || '  <manifest>' || chr(10) || '    ' || manifest
+        || chr(10) || '  </manifest>' || chr(10) || '  <spine>' || chr(10) || '    ' || spine || chr(10) || '  </spine>' || chr(10) || '</package>' || chr(10)"""
+JOINED = f"html AS (SELECT *, {HTML} AS html FROM body), joined AS (SELECT book_id, chapter_no, any_value(chapter_title) AS title, string_agg(html, '' ORDER BY page_number, block_no) AS html FROM html GROUP BY book_id, chapter_no)"
+CHAPTER_PAGE = _page("title", f"'  <h1>' || {_esc('title')} || '</h1>' || coalesce(html, '')", f"' id=' || chr(34) || {CHAPTER_NAME} || chr(34)", "../styles/book.css", _q(render.CHAPTER_LANGUAGE))
+#: A stored entry takes its name twice, its bytes and 76 more; the end of the archive takes 22.
+ARCHIVED = f"""{JOINED}, {ITEMS}, {NAV_ITEMS}, {PACKED}, entries AS (
+  SELECT book_id, 0 AS place, 'mimetype' AS name, {_q(render.MIMETYPE)} AS content FROM books UNION ALL SELECT book_id, 1, 'META-INF/container.xml', {_q(render.CONTAINER)} FROM books UNION ALL SELECT book_id, 2, 'EPUB/styles/book.css', {_q(render.STYLE)} FROM books
+  UNION ALL SELECT book_id, 3, 'EPUB/nav.xhtml', {_nav_sql()} FROM books JOIN l USING (book_id)
+  UNION ALL SELECT book_id, 3 + chapter_no, 'EPUB/text/' || {CHAPTER_NAME} || '.xhtml', {CHAPTER_PAGE} FROM (SELECT c.book_id, c.chapter_no, c.title, j.html FROM chapters c LEFT JOIN joined j USING (book_id, chapter_no))
+  UNION ALL SELECT book_id, 1073741824, 'EPUB/package.opf', {OPF} FROM h JOIN p USING (book_id)
+)"""
+
 ORACLES = {
+    "guard_decision": f"WITH {DECIDED} SELECT key, CASE WHEN reject_reason IS NULL THEN c ELSE rules END AS text, reject_reason FROM decided",
+    "book_archives": f"""WITH {ROLES_SQL}, {_chaptered('roled')}, {ARCHIVED}
+      SELECT book_id, CAST(sum(strlen(content) + 2 * strlen(name) + 76) + 22 AS BIGINT) AS bytes, sha256(string_agg(name || chr(10) || content || chr(10), '' ORDER BY place)) AS sha256, count(*) AS entries, CAST(NULL AS VARCHAR) AS error FROM entries GROUP BY book_id""",
     "style_tokens": f"WITH {MODEL_PAIRS_SQL} SELECT key, {_count('rules', repr('“'))} AS opening, {RESTORED} AS restored FROM pairs",
-    "clean_answers": f"""WITH {DAMAGED_SQL}, a AS (SELECT doc_id, substr(text, 1, 80) AS t FROM damaged), b AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ```text' || chr(10) || t || chr(10) || '``` ' WHEN 1 THEN '<think>a' || chr(10) || 'b</think>' || chr(10) || t
+    "clean_answers": f"""WITH {DAMAGED_SQL}, a AS (SELECT doc_id, text AS t FROM damaged), b AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ```text' || chr(10) || t || chr(10) || '``` ' WHEN 1 THEN '<think>a' || chr(10) || 'b</think>' || chr(10) || t
       WHEN 2 THEN '```' || chr(10) || '<think>x</think> ' || t || chr(10) || '```' WHEN 3 THEN '<think>x</think>```' || chr(10) || t ELSE t END AS a FROM a) SELECT doc_id, {CLEAN.format('a')} AS clean FROM b""",
     "cheap_guards": f"""WITH {MODEL_PAIRS_SQL}, b AS (SELECT key, rules, {_back('answer')} AS a FROM pairs WHERE answer IS NOT NULL)
       SELECT key, {_WORDS.format('a')} / greatest(1, {_WORDS.format('rules')}) BETWEEN 0.65 AND 1.45 AS length_ok, {_count('rules', repr('“'))} = {_count('a', repr('“'))} AND {_count('rules', repr('”'))} = {_count('a', repr('”'))} AS quotes_ok,
@@ -313,7 +357,7 @@ ORACLES = {
         CAST(CASE WHEN ck.n IS NULL OR ck.n % 11 = 0 THEN 0 WHEN ck.n % 5 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_blocks, CASE WHEN ck.n % 11 = 0 THEN NULL WHEN same AND ck.n % 5 = 0 THEN ck.text || ' stored' WHEN same THEN lower(ck.text) ELSE f.text END AS text,
         CASE WHEN ck.n % 11 <> 0 THEN 'paragraph' END AS role, CASE WHEN ck.n % 11 <> 0 THEN ck.n % 5 <> 0 AND ck.n % 3 = 0 END AS bold, CASE WHEN ck.n % 11 <> 0 THEN false END AS italic
       FROM pg LEFT JOIN ck ON ck.book_id = pg.book_id AND ck.n = pg.n LEFT JOIN fixed f ON f.book_id = pg.book_id AND f.n = pg.n""",
-    "signatures": """SELECT CAST(id AS BIGINT) AS id, sha256('4{"model": "' || m || '", "timeout": 120}') AS signature FROM (VALUES (0, 'a'), (1, 'b'), (2, 'ü')) v(id, m)""",
+    "signatures": """SELECT CAST(id AS BIGINT) AS id, sha256('4|{"model":"' || m || '","timeout":120}') AS signature FROM (VALUES (0, 'a'), (1, 'b'), (2, 'ü')) v(id, m)""",
     "state_documents": f"WITH {CHECKPOINT} SELECT book_id AS source_hash, count(*) AS pages, CAST(sum(length(raw)) AS BIGINT) AS raw_chars, count(*) FILTER (WHERE n % 11 <> 0) AS complete FROM ck GROUP BY 1",
     "toc": f"WITH {ROLES_SQL}, {_repaired('roled')}, {_chaptered('fixed')} SELECT book_id, chapter_no, title, n_blocks, n_chars FROM chapters",
     "chapter_split": f"WITH {ROLES_SQL}, {_chaptered('roled')} SELECT book_id, page_number, block_no, chapter_no, chapter_title FROM body",
@@ -327,18 +371,11 @@ ORACLES = {
     "page_join": f"WITH {BLOCKS_SQL} SELECT book_id, page_number, string_agg(text, chr(10) ORDER BY block_no) AS raw, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS spaced FROM blocks GROUP BY ALL",
     "block_markup": f"""WITH {ROLES_SQL}, b AS (SELECT * FROM roled UNION ALL SELECT 'doc' || doc_id, 0, 0, replace(text, ' the ', ' _the_ '), 'paragraph', false, false FROM documents)
       SELECT book_id, page_number, block_no, {HTML} AS html FROM b""",
-    "chapter_markup": f"""WITH {ROLES_SQL}, {_chaptered('roled')}, html AS (SELECT *, {HTML} AS html FROM body), joined AS (SELECT book_id, chapter_no, any_value(chapter_title) AS title, string_agg(html, '' ORDER BY page_number, block_no) AS html FROM html GROUP BY book_id, chapter_no)
-      SELECT book_id, 'EPUB/text/' || {CHAPTER_NAME} || '.xhtml' AS name, {_page('j.title', f"'  <h1>' || {_esc('j.title')} || '</h1>' || html", f"' id=' || chr(34) || {CHAPTER_NAME} || chr(34)", '../styles/book.css')} AS content FROM joined j JOIN (SELECT book_id, language FROM books) USING (book_id)""",
-    "navigation": f"""WITH {ROLES_SQL}, {_chaptered('roled')}, l AS (SELECT book_id, string_agg('<li><a href="text/' || {CHAPTER_NAME} || '.xhtml">' || {_esc('title')} || '</a></li>', chr(10) ORDER BY chapter_no) AS items FROM chapters GROUP BY 1)
-      SELECT book_id, {_page('title', f"'  <nav epub:type=' || chr(34) || 'toc' || chr(34) || ' id=' || chr(34) || 'toc' || chr(34) || '>' || chr(10) || '    <h1>' || {_esc('title')} || '</h1>' || chr(10) || '    <ol>' || items || '</ol>' || chr(10) || '  </nav>'", "''", 'styles/book.css')} AS nav FROM books JOIN l USING (book_id)""",
+    "chapter_markup": f"""WITH {ROLES_SQL}, {_chaptered('roled')}, {JOINED} SELECT book_id, 'EPUB/text/' || {CHAPTER_NAME} || '.xhtml' AS name, {CHAPTER_PAGE} AS content FROM joined""",
+    "navigation": f"WITH {ROLES_SQL}, {_chaptered('roled')}, {NAV_ITEMS} SELECT book_id, {_nav_sql()} AS nav FROM books JOIN l USING (book_id)",
     "manifest": f"""WITH {ROLES_SQL}, {_chaptered('roled')}, {PICTURES}, {ITEMS} SELECT * FROM items
       UNION ALL SELECT book_id, 2, image_no, 'image-' || {_no('image_no')}, 'images/image-' || {_no('image_no')} || {SUFFIX}, {MIME}, NULL FROM pictures UNION ALL SELECT book_id, 3, 0, 'cover', 'images/cover' || {SUFFIX}, {MIME}, 'cover-image' FROM pictures WHERE image_no = 1""",
-    "package_file": f"""WITH {ROLES_SQL}, {_chaptered('roled')}, {ITEMS}, l AS (SELECT book_id, string_agg('<item id="' || item_id || '" href="' || href || '" media-type="' || media_type || '"' || CASE WHEN properties IS NULL THEN '' ELSE ' properties="' || properties || '"' END || '/>', ' ' ORDER BY kind, n) AS manifest,
-        string_agg('<itemref idref="' || item_id || '"/>', ' ' ORDER BY n) FILTER (WHERE kind = 1) AS spine FROM items GROUP BY 1), h AS (SELECT *, {ID_HASH} AS h FROM books)
-      SELECT book_id, {_q(render.HEAD)} || '<package version="3.0" unique-identifier="book-id" xmlns="http://www.idpf.org/2007/opf">' || chr(10) || '  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">' || chr(10)
-        || '    <dc:identifier id="book-id">urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) || '</dc:identifier>' || chr(10) || '    <dc:title>' || {_esc('title')} || '</dc:title>' || chr(10)
-        || '    <dc:creator>' || {_esc('author')} || '</dc:creator>' || chr(10) || '    <dc:language>' || language || '</dc:language>' || chr(10) || '    <meta property="dcterms:modified">{render.MODIFIED}</meta>' || chr(10) || '  </metadata>' || chr(10) || '  <manifest>' || chr(10) || '    ' || manifest
-        || chr(10) || '  </manifest>' || chr(10) || '  <spine>' || chr(10) || '    ' || spine || chr(10) || '  </spine>' || chr(10) || '</package>' || chr(10) AS opf FROM h JOIN l USING (book_id)""",
+    "package_file": f"WITH {ROLES_SQL}, {_chaptered('roled')}, {ITEMS}, {PACKED} SELECT book_id, {OPF} AS opf FROM h JOIN p USING (book_id)",
     "media_types": f"WITH {BLOCKS_SQL}, {PICTURES} SELECT book_id, image_no, {MIME} AS media_type FROM pictures",
     "required_files": """SELECT doc_id, array_to_string(list_sort(list_filter(['mimetype', 'META-INF/container.xml', 'EPUB/package.opf', 'EPUB/nav.xhtml'], lambda x, i: doc_id % (i + 1) = 0)), ',') AS missing FROM documents""",
     "escaped": f"SELECT page_id, {_esc('html')} AS html FROM pages",

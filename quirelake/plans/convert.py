@@ -1,7 +1,10 @@
-"""The whole conversion: pages and blocks to repaired, chaptered, packaged books, reusing what a checkpoint table has.
+"""The whole conversion: pages and blocks, or files, to repaired, chaptered, packaged books, reusing what a checkpoint table has.
 
-Only settings and the choice of engines touch the driver. Blank pages alone go to
-recognition; pages that the checkpoint table answers are neither repaired nor read again.
+Only settings, the choice of engines and the callers' callbacks touch the driver. Pages
+that the checkpoint table answers are neither recognised nor repaired again; of the others
+only blank pages go to recognition. Repaired pages are written once, a wave of pages at a
+time, and every output is made from what was written. Between waves progress is told and
+a stop is asked for, so a stopped run has lost one wave at most.
 """
 
 from __future__ import annotations
@@ -9,23 +12,30 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.errors import Cancelled
+from quirelake.durable import durable
+from quirelake.errors import Cancelled, MissingDependency
 from quirelake.functions.guards import decide
-from quirelake.functions.providers import TextModel, ask_model
+from quirelake.functions.providers import TextModel, ask_model, make_model
 from quirelake.functions.repair import repair
 from quirelake.functions.text import is_blank, settle
-from quirelake.operators.cache import page_rows, repair_signature, reuse
-from quirelake.operators.chapters import chapter_blocks, chapters
-from quirelake.operators.layout import analyse
-from quirelake.operators.render import book_files
+from quirelake.operators.cache import complete_rows, full_blocks, latest, page_rows, repair_signature, source_hash, with_action
+from quirelake.operators.chapters import chapters, titled_blocks
+from quirelake.operators.layout import analyse, books_needing_ocr
+from quirelake.operators.render import STYLE, book_files
 from quirelake.sinks.archive import archives
+from quirelake.sources import native, ocr
 from quirelake.sources.config import Settings
-from quirelake.sources.ocr import ImageEngine, page_texts, recognise_images
+from quirelake.sources.images import prepare_images
 
-KEYS = ["book_id", "page_number", "block_no"]
+PAGE = ["book_id", "page_number"]
+KEYS = [*PAGE, "block_no"]
+STYLED = ["text", "role", "bold", "italic"]
+Progress = Callable[[int, int, str], None]
+Preview = Callable[[str, int, str, str], None]
 
 
 def repair_blocks(blocks: DataFrame, make_model: Callable[[], TextModel] | None = None, lexicon: DataFrame | None = None) -> DataFrame:
@@ -34,49 +44,182 @@ def repair_blocks(blocks: DataFrame, make_model: Callable[[], TextModel] | None
     done = settle(blocks.withColumn("raw_text", F.col("text")), "text", F.when(is_blank(F.col("raw_text")), "").otherwise(repair(F.col("raw_text"), lines)))
     if make_model is None:
         return done
+    done = durable(done)  # the model is asked once
     keyed = done.select(F.to_json(F.struct(*KEYS)).alias("key"), F.col("text").alias("rules"))
-    answers = ask_model(keyed, make_model)
+    answers = durable(ask_model(keyed, make_model))
     words = lexicon if lexicon is not None else blocks.sparkSession.createDataFrame([], "word string")
     decided = decide(keyed.join(answers, "key"), words).select("key", F.col("text").alias("final"))
     return done.withColumn("key", F.to_json(F.struct(*KEYS))).join(decided, "key", "left").withColumn("text", F.coalesce("final", "text")).drop("key", "final")
 
 
-def recognised_blocks(images: DataFrame, flags: DataFrame, make: Callable[[], ImageEngine]) -> DataFrame:
-    """One paragraph block for each blank page that has images (book_id, page_number, image_no, image)."""
-    wanted = images.join(flags.where("is_blank").select("book_id", "page_number"), ["book_id", "page_number"], "left_semi")
-    texts = page_texts(recognise_images(wanted, make))
-    return texts.select("book_id", "page_number", F.lit(1).alias("block_no"), "text", F.lit("paragraph").alias("role"), F.lit(False).alias("bold"), F.lit(False).alias("italic"))
+def recognised_blocks(images: DataFrame, wanted: DataFrame, make: Callable[[], ocr.ImageEngine]) -> DataFrame:
+    """One paragraph block, with its ``error`` if it failed, for each of the ``wanted`` pages (book_id, page_number) that has images (book_id, page_number, image_no, image)."""
+    texts = ocr.page_texts(ocr.recognise_images(images.join(wanted.select(*PAGE), PAGE, "left_semi"), make))
+    return texts.select(*PAGE, F.lit(1).alias("block_no"), "text", F.lit("paragraph").alias("role"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), "error")
+
+
+def _blocks_of(rows: DataFrame, column: str, *more: str) -> DataFrame:
+    """Blocks of checkpoint rows, numbered from 1."""
+    spread = rows.select(F.col("source_hash").alias("book_id"), "page_number", *more, F.posexplode(column).alias("place", "b"))
+    return spread.select(*PAGE, (F.col("place") + 1).alias("block_no"), *[F.col(f"b.{c}").alias(c) for c in STYLED], *more)
+
+
+def _run(todo: DataFrame, signature: str, table: str | None, waves: int, repaired: Callable[[DataFrame], DataFrame], total: int, told: int, progress: Progress | None, preview: Preview | None, cancelled: Callable[[], bool]) -> DataFrame:
+    """Checkpoint rows of the pages of ``todo``, a wave of them after another; each is durable before the next begins."""
+    bucket = F.pmod(F.xxhash64(*PAGE), F.lit(waves))
+    written: list[DataFrame] = []
+    for wave in range(waves):
+        if cancelled():
+            raise Cancelled(f"stopped after {told} of {total} pages")
+        rows = page_rows(repaired(todo.where(bucket == wave)).withColumnRenamed("book_id", "source_hash"), signature)
+        if table is None:
+            rows = durable(rows)
+        else:
+            path = f"{table}/wave-{_next_wave(todo.sparkSession, table):06d}"
+            rows.write.parquet(path)
+            rows = todo.sparkSession.read.schema(rows.schema).parquet(path)
+        told += rows.count()
+        if preview is not None:
+            for r in rows.where("complete").select("source_hash", "page_number", "raw_text", "repaired_text").orderBy("source_hash", "page_number").toLocalIterator():
+                preview(*r)
+        if progress is not None:
+            progress(told, total, f"{told} of {total} pages")
+        written.append(rows)
+    out = written[0]
+    for rows in written[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+def _waves_of(spark: SparkSession, table: str) -> list[str]:
+    """Folders of the waves in a checkpoint table, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("wave-"))
+    return [f"{table}/{n}" for n in names]
+
+
+def _next_wave(spark: SparkSession, table: str) -> int:
+    found = _waves_of(spark, table)
+    return int(found[-1].rpartition("-")[2]) + 1 if found else 0
+
+
+def read_waves(spark: SparkSession, table: str) -> DataFrame | None:
+    """The last row of each page in a checkpoint table that runs have written, or None if there is none. A wave that wasn't finished counts as not there."""
+    parts = []
+    for k, path in enumerate(_waves_of(spark, table)):
+        try:
+            parts.append(spark.read.parquet(path).withColumn("wave", F.lit(k)))
+        except AnalysisException:  # a stop while it was being written
+            continue
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return None if out is None else latest(out)
 
 
 def convert(
-    blocks: DataFrame, pages: DataFrame, books: DataFrame, settings: Settings | None = None, checkpoint: DataFrame | None = None, images: DataFrame | None = None,
-    make_engine: Callable[[], ImageEngine] | None = None, make_model: Callable[[], TextModel] | None = None, lexicon: DataFrame | None = None, cancelled: Callable[[], bool] = lambda: False,
+    blocks: DataFrame, pages: DataFrame, books: DataFrame, settings: Settings | None = None, checkpoint: DataFrame | None = None, images: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+    make_engine: Callable[[], ocr.ImageEngine] | None = None, texts: DataFrame | None = None, make_model: Callable[[], TextModel] | None = None, lexicon: DataFrame | None = None, style: str = STYLE, table: str | None = None,
+    waves: int = 1, progress: Progress | None = None, preview: Preview | None = None, cancelled: Callable[[], bool] = lambda: False,
 ) -> dict[str, DataFrame]:
-    """``blocks``, ``chapters``, ``archives`` and the new ``checkpoint`` rows, all lazy.
+    """``blocks``, ``chapters``, ``archives``, the new ``checkpoint`` rows and the ``failed`` pages with their errors.
 
     ``blocks`` are native text blocks with geometry, ``pages`` their sizes, ``books``
     book_id, title, author, language. ``checkpoint`` has the book id as source hash.
+    ``images`` are page images, or what makes them for the blank pages (book_id,
+    page_number) that it is given. ``texts`` are pages read in another way (book_id,
+    page_number, text, error), which are paragraphs as they stand. Pages are repaired in ``waves``; each is written to the
+    folder ``table``, or else to the session's checkpoint folder, and all results are made
+    from what was written, so engines and models are asked once for a page. A page whose
+    recognition failed is written as incomplete, so that a later run tries it again, and
+    its book gets no archive. ``progress`` is told (pages done, pages, message) and
+    ``preview`` (book_id, page_number, raw text, repaired text) after each wave.
     """
     if cancelled():
         raise Cancelled("stopped before it began")
     settings = settings or Settings()
     signature = repair_signature(asdict(settings.ai))
     kept, flags = analyse(blocks, pages)
-    flagged = kept.select(*KEYS, "text", "role", F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("italic", F.lit(False)).alias("italic"))
+    if texts is not None:
+        flags = flags.unionByName(texts.select(*PAGE, F.lit("single-column").alias("layout"), F.lit(False).alias("is_blank")))
+    flags = durable(flags)
+    stored = complete_rows(checkpoint) if checkpoint is not None else None
+    state = durable(with_action(flags.select(F.col("book_id").alias("source_hash"), "page_number"), stored, signature))
+    page = [F.col("source_hash").alias("book_id"), "page_number"]
+    missing = state.where("action = 'missing'").select(*page)
+    todo = kept.select(*KEYS, "text", "role", F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("italic", F.lit(False)).alias("italic"), F.lit(None).cast("string").alias("error")).join(missing, PAGE, "left_semi")
+    blank = flags.where("is_blank").join(missing, PAGE, "left_semi").select(*PAGE)
     if images is not None and make_engine is not None:
-        flagged = flagged.unionByName(recognised_blocks(images, flags, make_engine))
-    flagged = flagged.join(flags.select("book_id", "page_number", "layout"), ["book_id", "page_number"])
-    if checkpoint is None:
-        done = repair_blocks(flagged, make_model, lexicon)
-        fresh = done
-    else:
-        state = reuse(flags.select(F.col("book_id").alias("source_hash"), "page_number"), checkpoint, signature)
-        known = state.where("action <> 'missing'").select(F.col("source_hash").alias("book_id"), "page_number", F.posexplode("blocks").alias("place", "b"))
-        old = known.select("book_id", "page_number", (F.col("place") + 1).alias("block_no"), "b.text", "b.role", "b.bold", "b.italic")
-        missing = state.where("action = 'missing'").select(F.col("source_hash").alias("book_id"), "page_number")
-        fresh = repair_blocks(flagged.join(missing, ["book_id", "page_number"], "left_semi"), make_model, lexicon)
-        done = fresh.select(*old.columns).unionByName(old)
-    made = chapters(done, books)
-    body = chapter_blocks(done.join(books.select("book_id", "title"), "book_id"))
-    rows = page_rows(fresh.withColumnRenamed("book_id", "source_hash"), signature)
-    return {"blocks": done, "chapters": made, "archives": archives(book_files(made, books, body)), "checkpoint": rows}
+        pictures = images(blank) if callable(images) else images
+        todo = todo.unionByName(durable(recognised_blocks(pictures, blank, make_engine)))
+    if texts is not None:
+        plain = [F.lit(1).alias("block_no"), "text", F.lit("paragraph").alias("role"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), "error"]
+        todo = todo.unionByName(texts.join(missing, PAGE, "left_semi").select(*PAGE, *plain))
+    todo = todo.join(flags.select(*PAGE, "layout"), PAGE)
+    if stored is not None:
+        stale = state.where("action = 'repaired'").select("source_hash", "page_number")
+        raw = full_blocks(stored.join(stale, ["source_hash", "page_number"], "left_semi"), "raw_blocks", "raw_text")
+        todo = todo.unionByName(_blocks_of(raw, "raw_blocks", "layout").withColumn("error", F.lit(None).cast("string")))
+    counts = {r["action"]: r["count"] for r in state.groupBy("action").count().collect()}  # three rows
+    fresh = _run(todo, signature, table, waves, lambda part: repair_blocks(part, make_model, lexicon), sum(counts.values()), counts.get("reused", 0), progress, preview, cancelled)
+    done = _blocks_of(fresh.where("complete"), "blocks")
+    if stored is not None:
+        reused = full_blocks(stored.join(state.where("action = 'reused'").select("source_hash", "page_number"), ["source_hash", "page_number"], "left_semi"), "blocks", "repaired_text")
+        done = done.unionByName(_blocks_of(reused, "blocks"))
+    failed = fresh.where("NOT complete").select(*page, "error")
+    good = books.join(failed.select("book_id").distinct(), "book_id", "left_anti")
+    return {"blocks": done, "chapters": chapters(done, books), "archives": archives(book_files(good, titled_blocks(done, good), style)), "checkpoint": fresh, "failed": failed}
+
+
+def convert_files(
+    files: DataFrame, settings: Settings | None = None, table: str | None = None, resume: bool = False, scan: Callable[[DataFrame], DataFrame] | None = None, render: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None, make_engine: Callable[[], ocr.ImageEngine] | None = None, recognise: Callable[[DataFrame], DataFrame] | None = None, make_text_model: Callable[[], TextModel] | None = None, **options,
+) -> dict[str, DataFrame]:
+    """:func:`convert` of PDF ``files`` (content), with the books named by the SHA-256 of their bytes.
+
+    Text layers are scanned; of pages without text images are rendered, prepared and read
+    by the recogniser that the settings name, which must be installed if any page needs it.
+    Books without a text layer go whole to the document recogniser, if that is the one.
+    With ``resume`` the rows in ``table`` are taken as the checkpoint. ``scan``, ``render``,
+    ``prepare``, ``make_engine``, ``recognise`` and ``make_text_model`` stand for the
+    installed libraries, programs and servers; ``options`` are those of :func:`convert`.
+    """
+    settings = settings or Settings()
+    spark = files.sparkSession
+    if scan is None and not native.has_pdf_library():
+        raise MissingDependency("reading PDF files needs PyMuPDF")
+    named = files.select(source_hash(F.col("content")).alias("book_id"), "content")
+    raw = durable((scan or native.scan_pdf)(named))
+    pages = raw.select(*PAGE, "width", "height").distinct()
+    blocks = native.flatten_spans(raw).drop("width", "height")
+    epub = settings.epub
+    books = named.select("book_id").distinct().select("book_id", F.lit(epub.title).alias("title"), F.lit(epub.author).alias("author"), F.lit(epub.language).alias("language"))
+    checkpoint = read_waves(spark, table) if resume and table is not None else None
+    known = complete_rows(checkpoint).select(F.col("source_hash").alias("book_id"), "page_number") if checkpoint is not None else None
+    flags = analyse(blocks, pages)[1]
+    needed = flags.join(known, PAGE, "left_anti") if known is not None else flags
+    without_text = books.join(pages.select("book_id").distinct(), "book_id", "left_anti").select("book_id")
+    open_books = without_text if known is None else without_text.join(known.select("book_id").distinct(), "book_id", "left_anti")
+    needs = books_needing_ocr(needed.select("book_id").distinct().unionByName(open_books), needed).where("needs_ocr")
+    texts = None
+    if needs.limit(1).count():
+        engine = settings.ocr.engine if make_engine or recognise else ocr.choose_engine(settings.ocr.engine)
+        if recognise is not None or engine == ocr.DOCUMENT_ENGINE:
+            read = recognise or (lambda f: ocr.recognise_documents(f, settings.ocr))
+            side = durable(read(named.join(open_books, "book_id", "left_semi")))
+            texts = native.split_sidecar(side.where("error IS NULL")).withColumn("error", F.lit(None).cast("string"))
+            texts = texts.unionByName(side.where("error IS NOT NULL").select("book_id", F.lit(1).alias("page_number"), "text", "error"))
+        if make_engine is None and needed.where("is_blank").limit(1).count():
+            name = engine if engine not in ("auto", ocr.DOCUMENT_ENGINE) else ocr.choose_engine("auto", images_only=True)
+            make_engine = ocr.engine_maker(name, settings.ocr)
+    pictures = None
+    if make_engine is not None:
+        draw = render or (lambda f, wanted: native.render_pages(f, settings.ocr.dpi, wanted))
+        ready = prepare or (lambda images: prepare_images(images, settings.ocr.split_double_pages))
+        pictures = lambda wanted: ready(draw(named, wanted))
+    asked = make_text_model or (None if settings.ai.provider == "rule" else lambda: make_model(settings.ai))
+    style = open(epub.style_path, encoding="utf-8").read() if epub.style_path else STYLE
+    return convert(blocks, pages, books, settings, checkpoint, pictures, make_engine, texts, asked, style=style, table=table, **options)

@@ -51,22 +51,29 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``book_id, page_number, block_no, text, x0, y0, x1, y1``: lines as blocks with running headers, page numbers, chapter heads, tables and notes put in."""
-    page, doc, i, n = F.col("page_number"), F.col("doc_id"), F.col("i"), F.col("n")
-    base = pages(spark, sf_dir).withColumn("lines", F.split("text", "\n")).withColumn("n", F.size("lines").cast("long")).drop("text")
+    """``book_id, page_number, block_no, text, x0, y0, x1, y1``: lines as blocks with running headers, page numbers, chapter heads, tables and notes put in.
+
+    One pass: a page makes an array of its blocks, which is then spread into rows.
+    """
+    page, doc = F.col("page_number"), F.col("doc_id")
+    base = pages(spark, sf_dir).withColumn("lines", F.split("text", "\n"))
+    n = F.size("lines").cast("long")
     long = lambda v: v.cast("long") if isinstance(v, Column) else F.lit(v).cast("long")
-    row = lambda no, text, x0, y0, x1, y1: ["book_id", "page_number", long(no).alias("block_no"), text.alias("text"), *[long(v).alias(k) for k, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))]]
+    block = lambda no, text, x0, y0, x1, y1: F.struct(long(no).alias("block_no"), text.alias("text"), *[long(v).alias(k) for k, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
     text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
-    full = page % 10 != 0
-    lines = base.where(full).select("*", F.posexplode("lines").alias("place", "line")).withColumn("i", F.col("place").cast("long") + 1)
-    two = doc % 5 == 0
+    full, two = page % 10 != 0, doc % 5 == 0
     down = lambda k: F.floor(k * 480 / n)
-    out = lines.select(*row(i + 1, F.col("line"), F.when(two & (i % 2 == 0), 330).otherwise(30), down(i - 1) + 160, F.when(two & (i % 2 == 1), 270).otherwise(570), down(i) + 160))
-    out = out.unionByName(base.select(*row(0, text("Journal ", F.col("book_id"), " - ", page), 200, 10, 400, 40)))
-    out = out.unionByName(base.where(page % 10 == 1).select(*row(1, text("Chapter ", F.floor(page / 10) + 1), 200, 120, 400, 150)))
-    out = out.unionByName(base.where(full & (page % 6 == 0)).select(*row(9000, text("left\tright\t", page), 30, 645, 570, 650)))
-    out = out.unionByName(base.where(full & (page % 4 == 0)).select(*row(9001, text("Note ", page, " see text"), 30, 700, 570, 720)))
-    return out.unionByName(base.select(*row(9999, text("- ", page, " -"), 290, 800, 310, 820)))
+    line = lambda x, k: block(k + 2, x, F.when(two & (k % 2 == 1), 330).otherwise(30), down(k) + 160, F.when(two & (k % 2 == 0), 270).otherwise(570), down(k + 1) + 160)
+    fixed = (
+        (F.lit(True), block(0, text("Journal ", F.col("book_id"), " - ", page), 200, 10, 400, 40)),
+        (page % 10 == 1, block(1, text("Chapter ", F.floor(page / 10) + 1), 200, 120, 400, 150)),
+        (full & (page % 6 == 0), block(9000, text("left\tright\t", page), 30, 645, 570, 650)),
+        (full & (page % 4 == 0), block(9001, text("Note ", page, " see text"), 30, 700, 570, 720)),
+        (F.lit(True), block(9999, text("- ", page, " -"), 290, 800, 310, 820)),
+    )
+    put_in = F.filter(F.array(*[F.when(wanted, b) for wanted, b in fixed]), lambda b: b.isNotNull())
+    every = F.concat(put_in, F.when(full, F.transform("lines", line)).otherwise(F.slice(F.transform("lines", line), 1, 0)))
+    return base.select("book_id", "page_number", F.explode(every).alias("b")).select("book_id", "page_number", "b.*")
 
 
 def sized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,28 +112,28 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``key, rules, answer``: first sentences of damaged texts with a made-up model answer of one of eight kinds by doc_id % 8.
+    """``key, rules, answer``: whole damaged texts on one line with a made-up model answer of one of eight kinds by doc_id % 8.
 
     0 the same, 1 half of it, 2 twice, 3 without quotes, 4 a capital inside a word, 5 fenced,
     6 a new word, 7 no answer.
     """
     d = damaged(spark, sf_dir)
-    text = F.concat(F.lit("“"), F.regexp_replace(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 120), " +$", ""), F.lit("”"))
+    text = F.concat(F.lit("“"), F.rtrim(F.replace("text", F.lit("\n"), F.lit(" "))), F.lit("”"))
     k, t = F.col("doc_id") % 8, F.col("rules")
     marked = F.translate(t, "“”", "")
     answer = (
-        F.when(k == 0, marked).when(k == 1, F.substring(marked, 1, 30)).when(k == 2, F.concat(marked, F.lit(" "), F.translate(marked, "", ""))).when(k == 3, F.translate(marked, "", ""))
+        F.when(k == 0, marked).when(k == 1, F.substr(marked, F.lit(1), F.floor(F.char_length(marked) / 2).cast("int"))).when(k == 2, F.concat(marked, F.lit(" "), F.translate(marked, "", ""))).when(k == 3, F.translate(marked, "", ""))
         .when(k == 4, F.concat(marked, F.lit(" aB"))).when(k == 5, F.concat(F.lit("```text\n"), marked, F.lit("\n```"))).when(k == 6, F.concat(marked, F.lit(" zzyzx")))
     )
     return d.select("doc_id", text.alias("rules")).select(F.col("doc_id").alias("key"), "rules", answer.alias("answer"))
 
 
 MODEL_PAIRS_SQL = f"""{DAMAGED_SQL}, rules0 AS (
-  SELECT doc_id AS key, '“' || regexp_replace(substr(replace(text, chr(10), ' '), 1, 120), ' +$', '') || '”' AS rules FROM damaged
+  SELECT doc_id AS key, '“' || rtrim(replace(text, chr(10), ' '), ' ') || '”' AS rules FROM damaged
 ), marked0 AS (
   SELECT key, rules, replace(replace(rules, '“', chr(57344)), '”', chr(57345)) AS m FROM rules0
 ), pairs AS (
-  SELECT key, rules, CASE key % 8 WHEN 0 THEN m WHEN 1 THEN substr(m, 1, 30) WHEN 2 THEN m || ' ' || replace(replace(m, chr(57344), ''), chr(57345), '')
+  SELECT key, rules, CASE key % 8 WHEN 0 THEN m WHEN 1 THEN substr(m, 1, length(m) // 2) WHEN 2 THEN m || ' ' || replace(replace(m, chr(57344), ''), chr(57345), '')
     WHEN 3 THEN replace(replace(m, chr(57344), ''), chr(57345), '') WHEN 4 THEN m || ' aB' WHEN 5 THEN '```text' || chr(10) || m || chr(10) || '```'
     WHEN 6 THEN m || ' zzyzx' END AS answer
   FROM marked0)"""

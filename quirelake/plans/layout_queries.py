@@ -96,8 +96,9 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut to lines of up to 60 characters, tested as verse."""
-    text = F.array_join(F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x: F.substring(x, 1, F.char_length(x) % 30 + 30)), "\n")
+    """Whole documents tested as verse; odd ones with a line end after each comma and full stop, so that some are."""
+    lines = lambda mark: lambda t: F.replace(t, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
+    text = F.when(F.col("doc_id") % 2 == 1, lines(",")(lines(".")(F.col("text")))).otherwise(F.col("text"))
     return fixtures.documents(spark, sf_dir).select("doc_id", layout.looks_poetic(text).alias("poetic"))
 
 
@@ -110,7 +111,7 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a document with made-up confidences, some of them not numbers, joined as a recogniser's word table."""
-    w = F.slice(F.split("text", "[ \n]+"), 1, 40)
+    w = F.split("text", "[ \n]+")
     conf = F.transform(w, lambda x, i: F.when(i % 7 == 3, "n/a").when(i % 5 == 4, "-1").otherwise((F.char_length(x) * 10).cast("string")))
     d = fixtures.documents(spark, sf_dir).select("doc_id", ocr.join_words(w, conf).alias("r"))
     return d.select("doc_id", "r.text", F.round(F.col("r.confidence"), 6).alias("confidence"))
@@ -160,10 +161,10 @@ ORACLES = {
     "needs_ocr": f"WITH {BLANK_SQL} SELECT b.book_id, coalesce(bool_or(is_blank), true) AS needs_ocr FROM (SELECT DISTINCT source AS book_id FROM documents UNION ALL SELECT 'no pages') b LEFT JOIN (SELECT * FROM flags WHERE NOT (is_blank AND length(book_id) = 4)) f ON f.book_id = b.book_id GROUP BY 1",
     "headings": f"""WITH {BLOCKS_SQL}, r AS (SELECT *, {ROLE} AS role, string_split({STRIP.format("text")}, chr(10))[1] AS first FROM blocks)
       SELECT book_id, page_number, block_no, first AS heading FROM r WHERE role = 'heading' OR length(first) <= 80 AND regexp_matches(lower(first), '^(bölüm|chapter|kısım)')""",
-    "poetic_blocks": r"""WITH l AS (SELECT doc_id, list_filter(list_transform(list_slice(string_split(text, chr(10)), 1, 6), lambda x: substr(x, 1, 30 + length(x) % 30)), lambda x: NOT regexp_full_match(x, '\s*')) AS lines FROM documents)
+    "poetic_blocks": r"""WITH l AS (SELECT doc_id, list_filter(string_split(CASE WHEN doc_id % 2 = 1 THEN replace(replace(text, '. ', '.' || chr(10)), ', ', ',' || chr(10)) ELSE text END, chr(10)), lambda x: NOT regexp_full_match(x, '\s*')) AS lines FROM documents)
       SELECT doc_id, len(lines) >= 3 AND len(list_filter(lines, lambda x: length(x) <= 42)) / len(lines) > 0.7 AS poetic FROM l""",
     "page_images": f"WITH {BLANK_SQL} SELECT book_id, page_number, 'rendered_' || lpad(CAST(page_number AS VARCHAR), 5, '0') || '.png' AS image FROM flags WHERE is_blank",
-    "ocr_confidence": r"""WITH w AS (SELECT doc_id, list_slice(string_split_regex(text, '[ \n]+'), 1, 40) AS w FROM documents),
+    "ocr_confidence": r"""WITH w AS (SELECT doc_id, string_split_regex(text, '[ \n]+') AS w FROM documents),
       e AS (SELECT doc_id, i, w[i] AS word, CASE WHEN (i - 1) % 7 = 3 OR (i - 1) % 5 = 4 THEN NULL ELSE length(w[i]) * 10 END AS c FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w))
       SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE word <> ''), '') AS text, round(coalesce(avg(c / 100.0) FILTER (WHERE word <> ''), 0), 6) AS confidence FROM e GROUP BY doc_id""",
     "engine_choice": """SELECT CAST(c_custkey AS BIGINT) AS host, CASE WHEN c_custkey % 2 = 1 THEN 'ocrmypdf' WHEN c_custkey // 2 % 2 = 1 THEN 'paddleocr' WHEN c_custkey // 4 % 2 = 1 THEN 'tesseract' ELSE 'easyocr' END AS engine

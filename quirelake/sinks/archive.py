@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -28,6 +28,13 @@ def build_archive(files: Iterable[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def entries(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of a zip's entries in order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name in z.namelist():
+            yield name, z.read(name)
+
+
 def check_archive(data: bytes) -> None:
     """Raises ArchiveError unless the required entries are there, the type is right and every XML entry is well formed."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:

@@ -86,8 +86,8 @@ def page_counts(files: DataFrame) -> DataFrame:
     return scan_pdf(files).groupBy("book_id").agg(F.max("page_number").alias("pages"))
 
 
-def render_pages(files: DataFrame, dpi: int = 300) -> DataFrame:
-    """``book_id, page_number, name, image``: every page as PNG bytes; raises without the PDF library."""
+def render_pages(files: DataFrame, dpi: int = 300, wanted: DataFrame | None = None) -> DataFrame:
+    """``book_id, page_number, name, image``: every page, or the ``wanted`` ones (book_id, page_number), as PNG bytes; raises without the PDF library."""
     if not has_pdf_library():
         raise MissingDependency("rendering pages needs PyMuPDF")
 
@@ -95,10 +95,16 @@ def render_pages(files: DataFrame, dpi: int = 300) -> DataFrame:
         import fitz
 
         for batch in batches:
-            for book, content in zip(batch["book_id"], batch["content"]):
+            for book, content, numbers in zip(batch["book_id"], batch["content"], batch["numbers"]):
+                chosen = None if numbers is None else set(numbers)
                 with fitz.open(stream=bytes(content), filetype="pdf") as doc:
-                    for n, page in enumerate(doc, 1):
+                    for n in (n for n in range(1, len(doc) + 1) if chosen is None or n in chosen):
+                        page = doc[n - 1]
                         image = page.get_pixmap(matrix=fitz.Matrix(dpi / 72, dpi / 72), alpha=False).tobytes("png")
                         yield pd.DataFrame({"book_id": [book], "page_number": [n], "name": [f"rendered_{n:05d}.png"], "image": [image]})
 
-    return files.select("book_id", "content").mapInPandas(step, "book_id string, page_number int, name string, image binary")
+    if wanted is None:
+        named = files.select("book_id", "content", F.lit(None).cast("array<int>").alias("numbers"))
+    else:  # the page numbers of a book, not its pages
+        named = files.select("book_id", "content").join(wanted.groupBy("book_id").agg(F.collect_set(F.col("page_number").cast("int")).alias("numbers")), "book_id")
+    return named.mapInPandas(step, "book_id string, page_number int, name string, image binary")

@@ -56,6 +56,38 @@ def test_similarity_is_the_librarys(spark):
     assert got == [None if a is None else SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
 
 
+def test_matcher_is_the_librarys(monkeypatch):
+    import random
+
+    from quirelake.functions import similar
+
+    monkeypatch.setattr(similar, "SMALL", 30)  # nearly all parts are found by hashes
+    r = random.Random(5)
+    for k in range(600):
+        letters = "ab" if k % 3 else "abcdefğ "
+        a = "".join(r.choice(letters) for _ in range(r.randint(0, 70)))
+        b = list(a)
+        for _ in range(r.randint(0, 20)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 3)] = [r.choice(letters) for _ in range(r.randint(0, 3))]
+        b = "".join(b)
+        want = SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert similar.ratio(a, b) == pytest.approx(want, abs=1e-12) and similar.most(a, b) >= want - 1e-12
+
+
+def test_similarity_of_whole_documents(spark, sf_dir):
+    from quirelake.plans.book_queries import similarity_guard
+    from quirelake.plans.fixtures import model_pairs
+
+    found = {r.key: r.ratio for r in similarity_guard(spark, sf_dir).collect()}
+    pairs = [r for r in model_pairs(spark, sf_dir).where("answer IS NOT NULL").collect()]
+    assert found.keys() == {r.key for r in pairs}
+    for r in pairs:
+        if len(r.rules) < 2500:
+            assert found[r.key] == pytest.approx(SequenceMatcher(None, r.rules, r.answer, autojunk=False).ratio(), abs=1e-8)
+    assert max(len(r.rules) for r in pairs) > 10_000
+
+
 class Shout:
     def __init__(self, fail=False, up=True):
         self.fail, self.up = fail, up
@@ -96,7 +128,7 @@ def test_request_payloads(monkeypatch):
 
     def urlopen(request, timeout):
         sent.update(url=getattr(request, "full_url", request), timeout=timeout)
-        if hasattr(request, "data"):
+        if request.data:
             sent.update(body=json.loads(request.data), auth=request.get_header("Authorization"))
         return Reply({"response": " fixed ", "choices": [{"message": {"content": " fixed "}}]})
 
@@ -145,8 +177,12 @@ def test_merge_and_save(spark, tmp_path):
 
 
 def test_signatures():
-    a = cache.repair_signature({"model": "m", "timeout": 1})
-    assert a == cache.repair_signature({"timeout": 1, "model": "m"}) != cache.repair_signature({"model": "m", "timeout": 2})
+    from dataclasses import asdict
+    from hashlib import sha256
+
+    form = '4|{"provider":"rule","base_url":"http://localhost:11434","api_key":null,"model":"ü","command":["a"],"timeout_seconds":120}'
+    assert cache.repair_signature(asdict(ModelSettings(model="ü", command=("a",)))) == sha256(form.encode()).hexdigest()
+    assert cache.repair_signature({"model": "m", "timeout": 1}) != cache.repair_signature({"model": "m", "timeout": 2})
 
 
 def test_state_round_trip(spark, tmp_path):

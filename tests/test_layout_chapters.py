@@ -18,6 +18,13 @@ def test_text_functions_are_pythons(spark, ours, python):
     assert column(spark, ours, TEXTS) == [python(t) for t in TEXTS]
 
 
+def test_casefold_of_every_letter(spark):
+    letters = [c for c in map(chr, range(1, 0x11000)) if c.casefold() != c and not 0xD800 <= ord(c) < 0xE000]
+    texts = ["".join(letters[k : k + 40]) for k in range(0, len(letters), 40)] + ["oﬃce ﬁnd Straße ẞ", "ΑΣ ſ", None]
+    fold = lambda t: t.replace("Σ", "σ").casefold()
+    assert column(spark, tx.casefold, texts) == [None if t is None else fold(t) for t in texts]
+
+
 def test_html_escape_and_counts(spark):
     import html
 
