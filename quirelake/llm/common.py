@@ -6,37 +6,28 @@ import contextlib
 import ctypes
 import gc
 import sys
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.durable import durable, ensure_checkpoint_dir
 
-#: Bytes of an Arrow batch that goes to Python; the setting below, where it has Spark's own value, is lowered to this.
-BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+__all__ = ["durable", "ensure_checkpoint_dir", "fresh", "keeps", "python_batches", "runs", "sent", "table", "valid_utf8", "values", "working"]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that ``checkpoint()`` writes to: the session's own, or on a local master a temporary one where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-            folder = tempfile.mkdtemp(prefix="quirelake-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
+#: Bytes of an Arrow batch that goes to Python; the setting below, where it has Spark's own value, is lowered to this.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def python_batches(spark: SparkSession) -> None:
     """Bounds the bytes of Arrow batches in this session, so that long texts don't fill an executor; a value that was chosen stays."""
-    now = spark.conf.get(BATCH_SETTING, None)
-    if now is not None and now.rstrip("b") == str(BATCH_DEFAULT):
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    with contextlib.suppress(PySparkException):  # a version without the setting
+        if spark.conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_DEFAULT):
+            spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 #: Rows of ids or keys that are sent to every task rather than shuffled with the texts.
@@ -89,12 +80,6 @@ def valid_utf8(text: Column) -> Column:
     return F.make_valid_utf8(text)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so a lost executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """(key, rows) of each run of equal numbers in the first column of batches that are in its order."""
     held: list[pa.RecordBatch] = []
@@ -122,7 +107,3 @@ def values(column: pa.Array, step: int = 256) -> Iterator:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,36 +1,43 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-Distinct vectors, scaled to length one, are dealt to cells of bounded size: by the nearest
-of a bounded set of pivots, and a cell that holds too many is cut by hash. Each cell
-becomes a cover tree: nested levels of centres whose radii halve (2, 1, 1/2, ...), every
-point within a level's radius of its centre, and each centre also a centre on all lower
-levels. Every node knows the true distance to its farthest point. Two trees (or one with
-itself) are traversed level by level together: a pair of nodes is dropped when the centre
-distance less both covering radii exceeds the threshold's distance, taken whole when the
-distance plus both radii is within it, and opened otherwise; pairs of points that are left
-are decided by their cosine in double precision. Pairs of cells are dropped by the same
-bound on the roots.
-
-A task of a cell pair returns one row for each of its vectors with a link (a count and one
-link of a spanning forest), never a row for each pair.
+Distinct vectors, scaled to length one, are dealt to cells: by the nearest of a bounded set
+of pivots, and a cell that holds too many is cut by hash into blocks. Each block becomes a
+cover tree: nested levels of centres whose radii halve (2, 1, 1/2, ...), every point within
+a level's radius of its centre, and each centre also a centre on all lower levels. Every
+node knows the true distance to its farthest point. Two trees (or one with itself) are
+traversed level by level together: a pair of nodes is dropped when the centre distance less
+both covering radii exceeds the threshold's distance, taken whole when the distance plus
+both radii is within it, and opened otherwise; pairs of points that are left are decided by
+their cosine in double precision. Pairs of cells are dropped by the same bound on pivots.
+
+How it is distributed: blocks that follow one another make groups, whose number follows
+the cores and, beyond ``GROUP`` vectors each, the input. The task of a pair of groups gets
+every block once, however many partners it has there; a block goes only to groups that
+have a block of a near cell, found from a few numbers for each pivot, not from a list of
+pairs. So vectors are copied as often as there are near groups, not cells. A task returns
+a row for each of its vectors with a link (a count and one link of a spanning forest),
+never a row for each pair, and keeps no more than BLOCK links before it thins them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import durable
-from quirelake.llm.components import connected_components
-from quirelake.llm.simhash import _forest
+from quirelake.llm.common import durable, python_batches, runs, working
+from quirelake.llm.simhash import _forest, _grouped
 
-#: Vectors of a cell, at most about; pivots, at most.
+#: Vectors of a block and pivots, at most about; vectors of a group, at most and at least about.
 CELL, PIVOTS = 4096, 1024
+GROUP, LEAST_GROUP = 1 << 15, 1 << 10
+#: Links kept before they are thinned to a forest, and pairs of points compared by their own rows at once.
+BLOCK, GATHERED = 1 << 20, 1 << 15
 FINEST = 2.0**-8
 #: Room for rounding in distance bounds.
 SLACK = 1e-9
@@ -184,175 +191,239 @@ def _near_children(pa_: np.ndarray, pb: np.ndarray, ra: np.ndarray, rb: np.ndarr
             open_ |= open_.T
         every = bool(open_.all())
         rows = max(1, (1 << 19) // max(1, len(pb)))
+        # Products in single precision leave out only what is beyond the bound by more than their error.
+        short_a, short_b, error = pa_.astype(np.float32), pb.T.astype(np.float32), 2.0**-22 * pa_.shape[1]
         limit_b = reach + SLACK + rb
         for low in range(0, len(pa_), rows):
             part = slice(low, low + rows)
-            dots = pa_[part] @ pb.T
             bound = ra[part, None] + limit_b
             bound *= bound
             bound *= -0.5
-            bound += 1.0  # distance within the bound: product of 1 - bound**2 / 2 at least
-            near = dots >= bound
+            bound += 1.0 - error  # distance within the bound: product of 1 - bound**2 / 2 at least
+            near = short_a[part] @ short_b >= bound
             if not every:
                 near &= open_[up_a[part]][:, up_b]
             x, y = np.nonzero(near)
             if same:
                 one = x + low <= y
                 x, y = x[one], y[one]
-            yield x + low, y, dots[x, y]
+            for at in range(0, len(x), GATHERED):
+                i, j = x[at : at + GATHERED] + low, y[at : at + GATHERED]
+                dots = np.einsum("ij,ij->i", pa_[i], pb[j])
+                within = dots >= 1.0 - 0.5 * (limit_b[j] + ra[i]) ** 2
+                yield i[within], j[within], dots[within]
         return
     starts_a, order_a = np.concatenate([[0], np.cumsum(na)]), np.argsort(up_a, kind="stable")
     starts_b, order_b = np.concatenate([[0], np.cumsum(nb)]), np.argsort(up_b, kind="stable")
     ends = np.cumsum(na[a] * nb[b])
     at = 0
-    while at < len(a):  # as many open pairs as open into about half a million
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 19), "right")))
+    while at < len(a):  # as many open pairs as open into about GATHERED
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GATHERED, "right")))
         x, y = _product(starts_a, order_a, starts_b, order_b, a[at:upto], b[at:upto])
         at = upto
         if same:  # an open pair of two nodes stands for both orders
-            x, y = np.minimum(x, y), np.maximum(x, y)
-        dots = np.einsum("ij,ij->i", pa_[x], pb[y])
-        near = dots >= 1.0 - 0.5 * (reach + SLACK + ra[x] + rb[y]) ** 2
-        if same:
-            pairs = np.unique(x[near] * len(pb) + y[near])
+            pairs = np.unique(np.minimum(x, y) * len(pb) + np.maximum(x, y))
             x, y = pairs // len(pb), pairs % len(pb)
-            yield x, y, np.einsum("ij,ij->i", pa_[x], pb[y])
-        else:
-            yield x[near], y[near], dots[near]
+        for k in range(0, len(x), GATHERED):
+            i, j = x[k : k + GATHERED], y[k : k + GATHERED]
+            dots = np.einsum("ij,ij->i", pa_[i], pb[j])
+            near = dots >= 1.0 - 0.5 * (reach + SLACK + ra[i] + rb[j]) ** 2
+            yield i[near], j[near], dots[near]
 
 
-def links_of(left: CoverTree, right: CoverTree, weights_l: np.ndarray, weights_r: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Linked weight of each point of left and right, and links (left point, right point) that connect what is linked."""
+def links_of(left: CoverTree, right: CoverTree, nodes_l: np.ndarray, nodes_r: np.ndarray, weights_l: np.ndarray, weights_r: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Linked weight of each point of left and right, and links (node, node) that connect what is linked."""
     got_l, got_r = np.zeros(len(left.points), np.int64), np.zeros(len(right.points), np.int64)
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    kept = 0
     for x, y, whole in dual_traversal(left, right, cosine, same):
         if whole:
             got_l[x] += weights_r[y].sum()
             got_r[y] += weights_l[x].sum()
-            xs += [x, np.full(len(y), x[0])]
-            ys += [np.full(len(x), y[0]), y]
+            held += [(nodes_l[x], np.full(len(x), nodes_r[y[0]])), (np.full(len(y), nodes_l[x[0]]), nodes_r[y])]
         else:
             np.add.at(got_l, x, weights_r[y])
             np.add.at(got_r, y, weights_l[x])
-            xs.append(x)
-            ys.append(y)
-    return got_l, got_r, np.concatenate(xs), np.concatenate(ys)
+            held.append((nodes_l[x], nodes_r[y]))
+        kept += len(held[-1][0])
+        if kept > BLOCK:
+            held, kept = [_forest(*map(np.concatenate, zip(*held)))], 0
+    none = np.zeros(0, np.int64)
+    a, b = _forest(*map(np.concatenate, zip(*held))) if held else (none, none)
+    return got_l, got_r, a, b
 
 
 # --- Spark -----------------------------------------------------------------------------
 
 
-def _unit(rows: pa.Array) -> np.ndarray:
-    flat = np.asarray(rows.flatten(), np.float64)
-    v = flat.reshape(len(rows), -1)
+def unit_vectors(flat: np.ndarray, dim: int) -> np.ndarray:
+    """Rows scaled to length one in double precision, whatever their magnitude: the largest part is brought to one first."""
+    v = np.asarray(flat, np.float64).reshape(-1, dim)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _to_cells(pivots: np.ndarray, cuts: np.ndarray):
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Cells and groups of cells: a few numbers for each pivot, of which there are PIVOTS and one a length at most."""
+
+    pivots: dict[int, np.ndarray]  # by length of the vectors: their unit vectors
+    offset: dict[int, int]  # by length: number of the first pivot
+    cuts: np.ndarray  # of each pivot: blocks of its cell
+    start: np.ndarray  # of each pivot: vectors in the cells before it
+    size: np.ndarray  # of each pivot: vectors in its cell
+    radius: np.ndarray  # of each pivot: distance to the farthest vector in its cell
+    group: int  # vectors of a group
+    reach: float
+
+    def group_of(self, cell: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        return (self.start[cell] + cut * self.size[cell] // self.cuts[cell]) // self.group
+
+    def near(self, cell: int, dim: int) -> np.ndarray:
+        """Pivots of the cells that may hold a vector linked with one of ``cell``: a row of the covering-radius bound."""
+        low, mine = self.offset[dim], self.pivots[dim]
+        gap = np.linalg.norm(mine - mine[cell - low], axis=1)
+        other = low + np.arange(len(mine))
+        return other[(gap - self.radius[other] - self.radius[cell] <= self.reach + SLACK) & (self.size[other] > 0)]
+
+    def groups_near(self, cell: int, dim: int) -> np.ndarray:
+        """Groups that have a block of a near cell."""
+        near = self.near(cell, dim)
+        first, last = self.group_of(near, np.zeros(len(near), np.int64)), self.group_of(near, self.cuts[near] - 1)
+        return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist())]))
+
+
+def _to_cells(pivots: dict[int, np.ndarray], offset: dict[int, int], cuts: np.ndarray):
+    """Rows ``dim, node, copies, vector`` with the number of the nearest pivot, a cut of its cell by hash, and the distance to the pivot."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _unit(batch.column(1))
-            nearest = (v @ pivots.T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(nearest * (1 << 32) + batch.column(2).to_numpy() % cuts[nearest]), *batch.columns], names=["cell", "first", "vector", "draw", "copies"])
+            dims = batch.column(0).to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows = batch.filter(pa.array(dims == dim)) if (dims != dim).any() else batch
+                v = unit_vectors(_flat(rows.column(3)), dim)
+                p = pivots[dim]
+                near = (v @ p.T).argmax(axis=1)
+                gap = np.linalg.norm(v - p[near], axis=1)
+                cell = near + offset[dim]
+                cut = (rows.column(1).to_numpy().view(np.uint64) % cuts[cell].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cut), pa.array(gap), *rows.columns], names=["cell", "cut", "gap", *batch.schema.names])
 
     return step
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by cell become one row a cell: its vectors, and the root's place and radius."""
-    held: list[pa.RecordBatch] = []
+BLOCK_ROW = "unit long, part long, cell long, cut long, dim int, vectors binary, wide boolean, nodes binary, copies binary, levels binary"
 
-    def close() -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        v = _unit(t["vector"].combine_chunks())
-        tree = build(v)
-        row = [t["cell"][0].as_py()], [v.tobytes()], [t["first"].to_numpy().tobytes()], [t["copies"].to_numpy().tobytes()], [tree.to_bytes()], [v.shape[1]], [v[0].tolist()], [float(tree.radius[0][0])]
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["cell", "vectors", "firsts", "copies", "levels", "dim", "root", "radius"])
 
-    for batch in batches:
-        cells = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(np.diff(cells)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
-            if a == b:
-                continue
-            if held and held[0].column(0)[0].as_py() != cells[a]:
-                yield close()
-                held.clear()
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield close()
+def _blocks(plan: Plan):
+    """Rows in the order of ``block`` become one row a block and unit that it is needed in: its vectors and its cover tree."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in runs(batches):
+            cell, cut, dim = (t[c][0].as_py() for c in ("cell", "cut", "dim"))
+            flat = _flat(t["vector"].combine_chunks())
+            wide = bool((flat.astype(np.float32).astype(np.float64) != flat).any())
+            tree = build(unit_vectors(flat, dim))
+            mine = int(plan.group_of(np.array([cell]), np.array([cut]))[0])
+            groups = plan.groups_near(cell, dim)
+            low, high = np.minimum(groups, mine), np.maximum(groups, mine)
+            row = [cell, cut, dim, (flat if wide else flat.astype(np.float32)).tobytes(), wide, t["node"].to_numpy().tobytes(), t["copies"].to_numpy().tobytes(), tree.to_bytes()]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            for a, b in zip(low.tolist(), high.tolist()):
+                head = [pa.array([(a << 31) | b]), pa.array([mine])]
+                yield pa.RecordBatch.from_arrays([*head, *[pa.array([x], k) for x, k in zip(row, kinds)]], names=[f.split()[0] for f in BLOCK_ROW.split(", ")])
+
+    return step
 
 
-def _pair_links(cosine: float):
+def _unit_links(plan: Plan, cosine: float):
+    """Rows ``node, n, other`` of the links between the blocks of a unit's two groups (or within its one group): linked weights, and links that connect what is linked."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = lambda r, s: CoverTree.from_bytes(np.frombuffer(r[f"{s}_vectors"], np.float64).reshape(-1, r[f"{s}_dim"]), r[f"{s}_levels"])
-        for batch in batches:
-            for r in batch.to_pylist():
-                same = r["left"] == r["right"]
-                lt, rt = tree(r, "l"), tree(r, "r")
-                lf, rf = np.frombuffer(r["l_firsts"], np.int64), np.frombuffer(r["r_firsts"], np.int64)
-                lw, rw = np.frombuffer(r["l_copies"], np.int64), np.frombuffer(r["r_copies"], np.int64)
-                gl, gr, x, y = links_of(lt, rt, lw, rw, cosine, same)
-                node, root = _forest(lf[x], rf[y]) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                counted = [np.concatenate([lf[gl > 0], rf[gr > 0]]), np.concatenate([gl[gl > 0], gr[gr > 0]])]
-                first = np.concatenate([counted[0], node])
-                n = np.concatenate([counted[1], np.zeros(len(node), np.int64)])
-                other = pa.array(np.concatenate([np.zeros(len(counted[0]), np.int64), root]), mask=np.concatenate([np.ones(len(counted[0]), bool), np.zeros(len(node), bool)]))
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(n), other], names=["first", "n", "other"])
+        working("covertree")
+        for unit, t in runs(batches):
+            low, high = unit >> 31, unit & ((1 << 31) - 1)
+            held = []
+            for r in t.sort_by([("cell", "ascending"), ("cut", "ascending")]).to_pylist():
+                flat = np.frombuffer(r["vectors"], np.float64 if r["wide"] else np.float32)
+                tree = CoverTree.from_bytes(unit_vectors(flat, r["dim"]), r["levels"])
+                held.append((r["part"], r["cell"], r["dim"], tree, np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["copies"], np.int64)))
+            near = {cell: set(plan.near(cell, dim).tolist()) for _, cell, dim, *_ in held}
+            for i, (part, cell, dim, left, ln, lw) in enumerate(held):
+                for j, (part_j, cell_j, dim_j, right, rn, rw) in enumerate(held):
+                    # Each pair of blocks once: by the order of the groups, or of the blocks in one group.
+                    if dim != dim_j or cell_j not in near[cell] or not ((part, part_j) == (low, high) and (low != high or i <= j)):
+                        continue
+                    gl, gr, node, root = links_of(left, right, ln, rn, lw, rw, cosine, i == j)
+                    first = np.concatenate([ln[gl > 0], rn[gr > 0], node])
+                    n = np.concatenate([gl[gl > 0], gr[gr > 0], np.zeros(len(node), np.int64)])
+                    other = pa.array(np.concatenate([np.zeros(len(first) - len(node), np.int64), root]), mask=np.arange(len(first)) < len(first) - len(node))
+                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(n), other], names=["node", "n", "other"])
 
     return step
 
 
+def _planned(distinct: DataFrame, n: int, reach: float, cell: int) -> tuple[Plan, DataFrame]:
+    """The plan for ``n`` distinct vectors (dim, node, copies, vector), and their rows with cell, cut and gap."""
+    spark = distinct.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    groups = max(-(-n // GROUP), min(-(-n // LEAST_GROUP), ceil(sqrt(2 * tasks))))
+    group = -(-n // groups)
+    cell = max(1, min(cell, group))
+    dims = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}  # a row a length
+    draw = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 31))
+    wanted = spark.createDataFrame([(d, float((1 << 31) * min(PIVOTS * c / n, c / cell) / c)) for d, c in dims.items()], "dim int, least double")
+    first = distinct.groupBy("dim").agg(F.min_by("vector", draw).alias("vector")).withColumn("draw", F.lit(-1).cast("long"))
+    drawn = distinct.join(F.broadcast(wanted), "dim").where(draw < F.col("least")).select("dim", "vector", draw.alias("draw"))
+    rows = drawn.unionByName(first).orderBy("dim", "draw").collect()  # about PIVOTS rows and one a length
+    pivots = {d: np.unique(unit_vectors(np.concatenate([r["vector"] for r in rows if r["dim"] == d]), d), axis=0) for d in dims}
+    offset, total = {}, 0
+    for d in sorted(dims):
+        offset[d] = total
+        total += len(pivots[d])
+    schema = "cell long, cut long, gap double, dim int, node long, copies long, vector array<double>"
+    ordered = distinct.select("dim", "node", "copies", "vector")
+    found = ordered.mapInArrow(_to_cells(pivots, offset, np.ones(total, np.int64)), schema).groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect()  # a row a pivot
+    size, radius = np.zeros(total, np.int64), np.zeros(total)
+    for r in found:
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["gap"]
+    cuts = np.maximum(1, -(-size // cell))
+    plan = Plan(pivots, offset, cuts, np.cumsum(size) - size, size, radius, group, reach)
+    return plan, ordered.mapInArrow(_to_cells(pivots, offset, cuts), schema)
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, cell: int = CELL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id, n_links, component_id, kept``: one row for each row of ``vectors``.
 
-    Rows link when the cosine of their vectors is ``cosine`` or more. Vectors that are
-    null, empty or zero, hold null or non-finite parts, or have a length other than the
-    most frequent one link with nothing. Equal vectors link with each other; repeated rows stay and
-    count. A row with a null id is kept apart like a vector that links with nothing.
-    An empty table gives an empty result.
+    Rows link when the cosine of their vectors is ``cosine`` or more in double precision,
+    whatever their magnitude. Vectors that are null, empty or zero, or hold null or
+    non-finite parts link with nothing, and none links with one of another length. Equal
+    vectors link with each other; repeated rows stay and count. Two vectors are taken for
+    one if their 64-bit hashes agree. A row with a null id is kept apart like a vector that
+    links with nothing. Ids keep their type. Other columns are ignored whatever their
+    names. An empty table gives an empty result.
     """
+    python_batches(vectors.sparkSession)
     v = F.col("vector")
-    rows = durable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")))
+    base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    sound = rows.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    dims = sound.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = dims[0]["dim"] if dims else 0
-    sound = sound.where(F.size("vector") == dim)
-    distinct = durable(sound.groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    draw = F.pmod(F.xxhash64("first"), F.lit(1 << 31))
+    sound = F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
+    base = base.withColumn("node", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.transform(v, lambda x: x + F.lit(0.0)))))  # no negative zeros
+    rows = durable(base.select("id", "node"))
+    distinct = durable(base.where("node IS NOT NULL").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")))
     n = distinct.count()
-    pivots = [r["vector"] for r in distinct.orderBy(draw, "first").limit(min(PIVOTS, -(-n // cell) or 1)).collect()]  # PIVOTS rows at most
-    if not pivots:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    p = np.array(pivots)
-    p /= np.linalg.norm(p, axis=1, keepdims=True)
-    dealt = distinct.select("first", "vector", draw.alias("draw"), "copies")
-    schema = "cell long, first long, vector array<double>, draw long, copies long"
-    ones = np.ones(len(p), np.int64)
-    sizes = {r["pivot"]: r["count"] for r in dealt.mapInArrow(_to_cells(p, ones), schema).groupBy(F.shiftright("cell", 32).alias("pivot")).count().collect()}  # a row a pivot
-    cuts = np.array([max(1, -(-sizes.get(i, 0) // cell)) for i in range(len(p))])
-    cells = dealt.mapInArrow(_to_cells(p, cuts), schema).repartition("cell").sortWithinPartitions("cell", "first")
-    trees = durable(cells.mapInArrow(_trees, "cell long, vectors binary, firsts binary, copies binary, levels binary, dim int, root array<double>, radius double"))
-    # A row a cell, without its vectors: pairs of cells within reach of each other.
-    heads = trees.select("cell", "root", "radius").orderBy("cell").toArrow()
-    ids, roots, radii = heads["cell"].to_numpy(), np.array(heads["root"].to_pylist()), heads["radius"].to_numpy()
-    reach = np.sqrt(max(0.0, 2.0 - 2.0 * cosine))
-    pairs = []
-    for i in range(len(ids)):
-        d = np.linalg.norm(roots[i:] - roots[i], axis=1)
-        pairs += [(int(ids[i]), int(ids[j])) for j in i + np.flatnonzero(d - radii[i:] - radii[i] <= reach + SLACK)]
-    spark = rows.sparkSession
-    table = spark.createDataFrame(pa.table({"left": [a for a, _ in pairs], "right": [b for _, b in pairs]}))
-    side = lambda s, k: trees.select(F.col("cell").alias(k), *[F.col(c).alias(f"{s}_{c}") for c in ("vectors", "firsts", "copies", "levels", "dim")])
-    units = table.join(side("l", "left"), "left").join(side("r", "right"), "right").repartition(max(1, len(pairs)), "left", "right")
-    found = durable(units.mapInArrow(_pair_links(cosine), "first long, n long, other long"))
-    counts = found.where("other IS NULL").groupBy("first").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("other IS NOT NULL"), "first", "other")
-    named = distinct.join(counts, "first", "left").join(parts, F.col("first") == F.col("node"), "left")
-    named = named.select(F.col("vector").alias("key"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("part"))
-    usable = F.when(F.col("id").isNotNull() & (F.size("vector") == dim) & finite & F.exists(v, lambda x: x != 0), v)
-    joined = rows.withColumn("key", usable).join(named, "key", "left")
-    part = F.coalesce("part", "id")
-    return joined.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col("id") == part, F.lit(True)).alias("kept"))
+    alone = rows.where("node IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    if not n:
+        return alone
+    plan, dealt = _planned(distinct, n, float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine))), cell)
+    ordered = dealt.select((F.col("cell") * F.lit(1 << 31) + F.col("cut")).alias("block"), "cell", "cut", "dim", "node", "copies", "vector")
+    units = ordered.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_blocks(plan), BLOCK_ROW)
+    found = durable(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_unit_links(plan, cosine), "node long, n long, other long"))
+    counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    named = _grouped(rows.where("node IS NOT NULL"), lambda _: found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    weights = distinct.select("node", "copies").join(counts, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    return named.join(weights, "node").select("id", "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")).unionByName(alone)

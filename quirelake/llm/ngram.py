@@ -15,11 +15,14 @@ keeps its tokens as local numbers with one 64-bit hash for each distinct word. A
 sends each distinct word and pair once, as a sorted, delta-coded block of hashes for
 every range of the hash space, so a frequent pair costs a row a chunk, not a row an
 occurrence. The task of a range adds up the counts and answers each block with the
-counts alone, in the block's order; a chunk is then scored with its own answers. No
-table of the corpus is broadcast or held whole anywhere. Two words are taken for one if
+counts alone, in the block's order; a chunk is then scored with its own answers. Where
+there are more than 2**LEVEL_BITS ranges, blocks go through levels that bundle them
+(:func:`_resolved`), so that their number stays in proportion to the tokens. No table of
+the corpus is broadcast or held whole anywhere. Two words are taken for one if
 their 64-bit hashes agree, which has a chance of about n*n / 3.7e19 for n distinct words.
-Pairs are told apart by ``PAIR_BITS`` bits more than it takes to number all tokens, so a
-pair shares its count with another one with a chance of 2**-PAIR_BITS at any size.
+Pairs are told apart by ``PAIR_BITS`` bits more than it takes to number all tokens, up to 64
+in all, so a pair shares its count with another one with a chance of 2**-PAIR_BITS up to
+2**40 tokens, and of tokens / 2**64 beyond.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import durable, python_batches, valid_utf8, values
+from quirelake.llm.common import durable, python_batches, valid_utf8, values, working
 from quirelake.llm.simhash import LOWER_ASCII, WORD
 
 SEED = 42
@@ -53,6 +56,8 @@ ROW = "chunk long, kind int, part long, data binary, more binary"
 #: Bins a power of two for the estimates that EM reads.
 BINS = 8
 EM_ROUNDS = 60
+#: Bits of the keys by which askers are parted at once.
+LEVEL_BITS = 12
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -112,6 +117,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A chunk's number ends in its class: number % 4.
     """
+    working("ngram")
     task = TaskContext.get().partitionId()
     made = 0
 
@@ -168,7 +174,7 @@ class _Chunk:
         self.order = np.argsort(self.hashes, kind="stable")
         self.words = self.hashes[self.order]
         self.word_counts = np.bincount(self.tokens, minlength=len(self.hashes))[self.order]
-        keys = _pair_keys(self.hashes[self.before], self.hashes[self.tokens]) >> np.uint64(64 - pair_bits)
+        keys = _pair_keys(self.hashes[self.before], self.hashes[self.tokens]) >> np.uint64(64 - pair_bits) << np.uint64(64 - pair_bits)
         self.pairs, self.pair_at, self.pair_counts = np.unique(keys, return_inverse=True, return_counts=True)
 
     def by_word(self, answers: np.ndarray) -> np.ndarray:
@@ -178,51 +184,120 @@ class _Chunk:
         return out
 
 
-def _ask(range_bits: int, pair_bits: int):
-    """Each chunk's distinct words (kind 0) and pairs (kind 1), a block for each range; ``more`` has their counts in the chunk."""
+def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of sorted keys by their top ``bits`` of 64."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+        yield int(part[a]), a, b
+
+
+def _counted(counts: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Counts by learned class."""
+    return _pack(*map(_small, counts))
+
+
+def _ask(bits: int, pair_bits: int):
+    """Each chunk's distinct words (kind 0) and pairs (kind 1), a block for each part of the keys by their top bits; ``more`` has their counts in the chunk."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("ngram")
         for batch in batches:
             for chunk, data, more in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4))):
                 c = _Chunk(data, more, pair_bits)
                 rows: list[tuple] = []
-                for which, keys, counts, bits in ((0, c.words, c.word_counts, 64), (1, c.pairs, c.pair_counts, pair_bits)):
-                    part = (keys >> np.uint64(bits - range_bits)).astype(np.int64)
-                    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-                        rows.append((chunk, which, int(part[a]), _pack_sorted(keys[a:b]), _pack(_small(counts[a:b]))))
+                for which, keys, counts in ((0, c.words, c.word_counts), (1, c.pairs, c.pair_counts)):
+                    by_class = tuple(counts if chunk % 4 == k else np.zeros_like(counts) for k in (COUNTED, DELETED))
+                    for part, a, b in _parts(keys, bits):
+                        rows.append((chunk, which, part, _pack_sorted(keys[a:b]), _counted((by_class[0][a:b], by_class[1][a:b]))))
                 yield _rows(rows)
 
     return step
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks in the order of range and kind: one answer a block with the counts of its keys, and each range's totals (kinds 10 to 12: counted and deleted tokens, known words) as chunk -1."""
+class _Merged:
+    """Blocks of several askers as one: their distinct keys with summed counts, and the place of each block's keys among these."""
 
-    def reply(kind: int, part: int, blocks: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        keys = [_unpack_sorted(d) for _, d, _ in blocks]
-        known, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.zeros((2, len(known)), np.int64)
+    def __init__(self, blocks: list[tuple[int, int, bytes, bytes]]):
+        keys = [_unpack_sorted(data) for *_, data, _ in blocks]
+        self.known, at = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([len(k) for k in keys])
-        for end, k, (chunk, _, more) in zip(ends, keys, blocks):
-            if chunk % 4 != UNSEEN:
-                counts[chunk % 4, at[end - len(k) : end]] += _unpack(more)[0].astype(np.int64)  # a block has a key once
-        rows = [(c, kind, part, _pack(_small(counts[0, at[end - len(k) : end]]), _small(counts[1, at[end - len(k) : end]])), b"") for end, k, (c, _, _) in zip(ends, keys, blocks)]
+        self.places = [at[end - len(k) : end] for end, k in zip(ends, keys)]
+        self.counts = (np.zeros(len(self.known), np.int64), np.zeros(len(self.known), np.int64))
+        for place, (*_, more) in zip(self.places, blocks):
+            for total, mine in zip(self.counts, _unpack(more)):
+                total[place] += mine.astype(np.int64)  # a block has a key once
+
+    def replies(self, blocks: list[tuple[int, int, bytes, bytes]], kind: int, counts: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        """Each block's answer, in its own order, from the counts of all keys."""
+        return _rows([(asker, kind, part, _counted((counts[0][place], counts[1][place])), b"") for place, (asker, part, *_) in zip(self.places, blocks)])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in the order of part and kind: one answer a block with the counts of its keys, and each part's totals (kinds 10 to 12: counted and deleted tokens, known words) as asker -1."""
+    working("ngram")
+    for (_, kind), blocks in _by(batches, (2, 1)):
+        merged = _Merged(blocks)
+        yield merged.replies(blocks, kind, merged.counts)
         if kind == 0:
-            totals = (counts[0].sum(), counts[1].sum(), (counts.sum(axis=0) > 0).sum())
-            rows += [(-1, 10 + i, int(x), b"", b"") for i, x in enumerate(totals)]
-        return _rows(rows)
+            totals = (merged.counts[0].sum(), merged.counts[1].sum(), (merged.counts[0] + merged.counts[1] > 0).sum())
+            yield _rows([(-1, 10 + i, int(x), b"", b"") for i, x in enumerate(totals)])
+
 
-    held: list[tuple[int, bytes, bytes]] = []
+def _by(batches: Iterator[pa.RecordBatch], columns: tuple[int, int]) -> Iterator[tuple[tuple[int, int], list[tuple[int, int, bytes, bytes]]]]:
+    """((a, b), [(asker, part, data, more)]) of each run of equal values in two columns."""
+    held: list[tuple[int, int, bytes, bytes]] = []
     now: tuple[int, int] | None = None
     for batch in batches:
-        for chunk, kind, part, data, more in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if now is not None and (part, kind) != now:
-                yield reply(now[1], now[0], held)
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for *key, asker, part, data, more in zip(cols[columns[0]], cols[columns[1]], cols[0], cols[2], cols[3], cols[4]):
+            if now is not None and tuple(key) != now:
+                yield now, held
                 held = []
-            now = (part, kind)
-            held.append((chunk, data, more))
+            now = tuple(key)
+            held.append((asker, part, data, more))
     if now is not None:
-        yield reply(now[1], now[0], held)
+        yield now, held
+
+
+def _combine(bits: int):
+    """Rows with an ``owner`` in the order of owner and kind: each owner asks for all of them at once, by more bits of the keys."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("ngram")
+        for (owner, kind), blocks in _by(batches, (5, 1)):
+            merged = _Merged(blocks)
+            yield _rows([(owner, kind, part, _pack_sorted(merged.known[a:b]), _counted((merged.counts[0][a:b], merged.counts[1][a:b]))) for part, a, b in _parts(merged.known, bits)])
+
+    return step
+
+
+def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of owner, kind and part: what each owner was told (``more`` is null) and what it was asked become an answer to each asker."""
+    working("ngram")
+    for (_, kind), rows in _by(batches, (5, 1)):
+        told = [_unpack(data) for *_, data, more in rows if more is None]
+        blocks = [r for r in rows if r[3] is not None]
+        yield _Merged(blocks).replies(blocks, kind, tuple(np.concatenate(c).astype(np.int64) for c in zip(*told)))
+
+
+def _resolved(asked: DataFrame, top: int, bits: int, askers: int) -> DataFrame:
+    """Answers to blocks (ROW, the asker as ``chunk``) of the parts of keys by their ``top`` bits, of which ``bits`` make a range that a task can hold.
+
+    Beyond LEVEL_BITS askers don't ask ranges themselves: those of one part make bundles,
+    about as many keys each as a chunk has, and a bundle asks for all of its askers. So every
+    level has at most 2**LEVEL_BITS blocks a chunk, and blocks grow with the tokens.
+    """
+    if top >= bits:
+        return durable(asked.repartition("part").sortWithinPartitions("part", "kind", "chunk").mapInArrow(_answer, ROW))
+    bundles = max(1, askers >> top)
+    asked = durable(asked.withColumn("owner", F.col("part") * bundles + F.pmod(F.xxhash64("chunk"), F.lit(bundles))))
+    further = min(bits, top + LEVEL_BITS)
+    merged = asked.repartition("owner").sortWithinPartitions("owner", "kind", "chunk").mapInArrow(_combine(further), ROW)
+    answers = _resolved(merged, further, bits, askers)
+    told = answers.where("chunk >= 0").withColumn("owner", F.col("chunk")).withColumn("more", F.lit(None).cast("binary"))
+    replies = asked.unionByName(told).repartition("owner").sortWithinPartitions("owner", "kind", "part").mapInArrow(_reply, ROW)
+    return durable(replies.unionByName(answers.where("chunk < 0")))
 
 
 class _Counts:
@@ -335,11 +410,12 @@ def score_texts(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col:
     id_type = docs.select(F.col(id_col)).schema[0].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("id"), valid_utf8(F.col(text_col)).alias("text"), kind.cast("int").alias("kind"))
     chunks = durable(rows.mapInArrow(_chunks, ROW))
-    tokens = chunks.agg(F.coalesce(F.sum("part"), F.lit(0))).first()[0]
+    whole = chunks.agg(F.coalesce(F.sum("part"), F.lit(0)).alias("tokens"), F.count("*").alias("chunks")).first()
+    tokens = whole["tokens"]
     bits = max(4, int(np.ceil(np.log2(max(1, tokens / RANGE)))))
     pair_bits = min(64, int(np.ceil(np.log2(max(2, tokens)))) + PAIR_BITS)
-    asked = chunks.mapInArrow(_ask(bits, pair_bits), ROW).repartition("part").sortWithinPartitions("part", "kind", "chunk")
-    answers = durable(asked.mapInArrow(_answer, ROW))
+    top = min(bits, LEVEL_BITS)
+    answers = _resolved(chunks.mapInArrow(_ask(top, pair_bits), ROW), top, bits, whole["chunks"])
     totals = {r["kind"]: r["n"] for r in answers.where("chunk = -1").groupBy("kind").agg(F.sum("part").alias("n")).collect()}  # three rows
     counted, deleted, known = (int(totals.get(k, 0)) for k in (10, 11, 12))
 

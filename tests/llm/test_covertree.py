@@ -71,6 +71,45 @@ def test_table_against_brute_force(spark, cell):
     assert {r.id: (r.n_links, r.component_id, r.kept) for r in found} == {i: (n[i], parts[i], parts[i] == i) for i, _ in given}
 
 
+@pytest.mark.parametrize("scale", [1e-320, 1e-200, 1.0, 1e200, 1.5e308])
+def test_any_magnitude(spark, scale):
+    """Very small and very large vectors neither lose their own links nor those of others."""
+    rows = [(1, [scale, 0.0, 0.0, 0.0]), (2, [1.0, 2.0, 3.0, 4.0]), (3, [1.0, 2.0, 3.0, 4.1]), (4, [scale, scale / 4, 0.0, 0.0]), (5, [0.0, 0.0, 1.0, -1.0])]
+    found = {r.id: (r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (1, 1), 2: (1, 2), 3: (1, 2), 4: (1, 1), 5: (0, 5)}
+
+
+def test_each_length_is_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [1.0, 0.1, 0.0]), (6, [3.0]), (7, [-3.0]), (8, [5.0])]
+    found = {r.id: (r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<float>")).collect()}
+    assert found == {"1": (1, "1"), "2": (1, "1"), "3": (2, "3"), "4": (2, "3"), "5": (2, "3"), "6": (1, "6"), "7": (0, "7"), "8": (1, "6")}
+
+
+@pytest.mark.parametrize(("group", "cell"), [(40, 9), (25, 100), (400, 50)])
+def test_groups_of_blocks(spark, monkeypatch, group, cell):
+    """Whatever the groups and blocks, a dense bunch included: each pair once."""
+    monkeypatch.setattr(covertree, "GROUP", group)
+    monkeypatch.setattr(covertree, "LEAST_GROUP", group)
+    monkeypatch.setattr(covertree, "BLOCK", 50)
+    monkeypatch.setattr(covertree, "GATHERED", 64)
+    p = np.concatenate([clustered(8, 150, 6, 0.1), unit(np.ones((90, 6)) + np.random.default_rng(1).normal(size=(90, 6)) * 0.01)])
+    rows = [(i, v.tolist()) for i, v in enumerate(p)]
+    n, parts = brute(rows, 0.9)
+    found = {r.id: (r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9, cell).collect()}
+    assert found == {i: (n[i], parts[i]) for i in n}
+
+
+def test_far_clusters_do_not_meet():
+    """Tight clusters: the bound on pivots drops most pairs of cells, and blocks go only to groups that have a near one."""
+    r = np.random.default_rng(2)
+    pivots = unit(r.normal(size=(60, 32)))
+    size = np.full(60, 100)
+    plan = covertree.Plan({32: pivots}, {32: 0}, np.ones(60, np.int64), np.arange(60) * 100, size, np.full(60, 0.2), 1000, float(np.sqrt(0.2)))
+    near = sum(len(plan.near(k, 32)) for k in range(60))
+    assert near < 0.1 * 60 * 60 and all(k in plan.near(k, 32) for k in range(60))
+    assert sum(len(plan.groups_near(k, 32)) for k in range(60)) < 60 * 6 / 2
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [2.0, 0.1])]
     found = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()

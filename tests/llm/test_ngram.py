@@ -68,6 +68,26 @@ def test_model_against_brute_force(spark):
         assert total + weights[bucket(all_one[v])][2] / (known + 1) == pytest.approx(1)
 
 
+@pytest.mark.parametrize(("level", "size"), [(2, 200), (3, 40), (1, 700)])
+def test_levels_of_the_exchange_change_nothing(spark, sf_dir, monkeypatch, level, size):
+    """Askers bundled over one or more levels get the counts that they get from the ranges themselves."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).repartition(6)
+    kind = F.when(F.col("doc_id") % 7 == 2, ngram.UNSEEN).when(F.col("doc_id") % 7 == 5, ngram.DELETED).otherwise(ngram.COUNTED)
+    scored = lambda: {r.id: tuple(r)[1:] for r in ngram.score_texts(docs, kind).collect()}
+    want = scored()
+    monkeypatch.setattr(ngram, "LEVEL_BITS", level)
+    monkeypatch.setattr(ngram, "RANGE", size)
+    found = scored()
+    assert found.keys() == want.keys() and all(found[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
+def test_blocks_grow_with_the_tokens():
+    """Blocks a chunk: at most 2**LEVEL_BITS for each level, of which there are as many as it takes to part the ranges."""
+    for tokens in (10**8, 10**10, 10**13):
+        bits = max(4, math.ceil(math.log2(tokens / ngram.RANGE)))
+        assert -(-bits // ngram.LEVEL_BITS) <= 2 and 2 ** min(bits, ngram.LEVEL_BITS) <= 4096
+
+
 def test_em_raises_held_out_likelihood():
     r = np.random.default_rng(2)
     n, p2, p1 = r.integers(1, 50, 40).astype(float), r.random(40), r.random(40) / 10
