@@ -36,6 +36,8 @@ from quirelake.llm.simhash import _forest, _grouped
 #: Vectors of a block and pivots, at most about; vectors of a group, at most and at least about.
 CELL, PIVOTS = 4096, 1024
 GROUP, LEAST_GROUP = 1 << 15, 1 << 10
+#: Tasks for the pairs of groups, at most.
+MOST_TASKS = 100_000
 #: Links kept before they are thinned to a forest, and pairs of points compared by their own rows at once.
 BLOCK, GATHERED = 1 << 20, 1 << 15
 FINEST = 2.0**-8
@@ -422,7 +424,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, cell: int = CELL, id_c
     plan, dealt = _planned(distinct, n, float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine))), cell)
     ordered = dealt.select((F.col("cell") * F.lit(1 << 31) + F.col("cut")).alias("block"), "cell", "cut", "dim", "node", "copies", "vector")
     units = ordered.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_blocks(plan), BLOCK_ROW)
-    found = durable(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_unit_links(plan, cosine), "node long, n long, other long"))
+    groups = -(-n // plan.group)
+    tasks = min(MOST_TASKS, groups * (groups + 1) // 2)
+    found = durable(units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(_unit_links(plan, cosine), "node long, n long, other long"))
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
     named = _grouped(rows.where("node IS NOT NULL"), lambda _: found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     weights = distinct.select("node", "copies").join(counts, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))

@@ -26,6 +26,8 @@ DIM = 1 << DIM_BITS
 UND = "und"
 #: Labelled rows fitted on, about; never over twice as many.
 BOUND = 2000
+#: Languages learned, at most: the most frequent labels.
+LANGUAGES = 256
 
 
 @lru_cache(maxsize=1)
@@ -160,6 +162,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = BOUND) -> LanguageModel:
     """A model from all rows of ``labelled`` with a language; document frequencies from all, weights from about ``bound`` rows.
 
+    Of more than LANGUAGES labels the most frequent are learned.
+
     Rows with null text or language are left out; rows that repeat an id and its texts are
     drawn together and count each; texts are taken whole, however long, and invalid UTF-8
     as its replacement characters. Other columns are ignored whatever their names. Without
@@ -168,7 +172,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     python_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), valid_utf8(F.col(text_col)).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return LanguageModel((), np.zeros((0, DIM)), np.zeros(DIM), 1.0)
     counted = rows.select("text").mapInArrow(_document_frequencies, "number long, docs long").groupBy("number").agg(F.sum("docs").alias("docs")).toArrow()  # DIM rows at most
@@ -177,7 +181,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     df[number[number >= 0]] = seen[number >= 0]
     idf = np.log((1 + seen[number < 0].sum()) / (1 + df)) + 1
     langs = tuple(sorted(sizes))
-    each = bound / len(langs)
+    each = max(1.0, bound / len(langs))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     keep = F.lit(False)
     for lang in langs:

@@ -1,9 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are vendor-shaped keys, private-key blocks, values assigned to a credential
-word, and long unbroken runs that mix letters and digits. A forest over the candidate's
-length, character transitions, dictionary coverage, path-like surroundings and
-neighbouring words, trained on labelled findings, then decides which are secrets.
+word or said to be it, and long unbroken runs that mix letters and digits. A forest over
+the candidate's length, character transitions, dictionary coverage, path (of the file, if
+there is a column of it, and round the candidate) and neighbouring words, trained on
+labelled findings, then decides which are secrets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ PATTERNS = (
     ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}"),
     ("google_key", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}"),
     ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assigned", r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,})"),
+    ("assigned", r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?[ \t]{0,4}(?:=|:|is[ \t](?=[ \t]{0,4}[\"']?[^\s\"'<>,;]*[0-9]))[ \t]{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,})"),
     ("long_run", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"),
 )
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
@@ -41,10 +42,13 @@ CREDENTIAL_WORDS = frozenset("password passwd pwd passphrase secret token key ap
 HARMLESS_WORDS = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid guid id revision version build etag integrity serial isbn order invoice phone card example sample test placeholder dummy image base64 file path url".split())
 DICTIONARY = frozenset("your here change changeme example sample test token password secret key api placeholder insert none null true false admin user default value name data file image index page text line word book chapter build release version module package class function object string number integer config setting service server client local host main master branch commit hash the and for with from that this have will into over under about after before between content header footer title link home about search result system process thread".split())
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-FEATURES = ("length", "digits", "uppers", "lowers", "others", "distinct", "entropy", "digit_letter_moves", "case_moves", "vowel_share", "longest_letter_run", "dictionary", "slashes", "path_before", "url_before", "assigned_before", "credential_near", "harmless_near", "vendor", "repeats", "hex_only", "groups")
+FEATURES = ("length", "digits", "uppers", "lowers", "others", "distinct", "entropy", "digit_letter_moves", "case_moves", "vowel_share", "longest_letter_run", "dictionary", "slashes", "path_before", "url_before", "assigned_before", "credential_near", "harmless_near", "vendor", "repeats", "hex_only", "groups", "trial_path", "live_path")
 THRESHOLD = 0.5
 #: Characters looked at before a candidate.
 NEAR = 40
+#: Parts of file paths that go with trials and generated files, and with settings in use.
+TRIAL_PATHS = frozenset("test tests testing spec example examples sample samples fixture fixtures mock mocks doc docs lock readme snapshot vendor node_modules dist".split())
+LIVE_PATHS = frozenset("env config conf settings credentials secrets secret deploy production prod terraform pem key ini properties".split())
 
 
 def _key_blocks(text: str) -> list[tuple[int, int]]:
@@ -94,7 +98,9 @@ def _coverage(s: str) -> float:
     return got / max(1, len(s))
 
 
-def features(text: str, kind: str, start: int, end: int) -> list[float]:
+def features(text: str, kind: str, start: int, end: int, path: str | None = None) -> list[float]:
+    """FEATURES of a candidate; without a path those of the path are 0."""
+    places = set(re.findall(r"[a-z_]+", (path or "").lower()))
     s = text[start:end]
     n = len(s)
     cls = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in s]
@@ -108,13 +114,17 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     return [
         n, cls.count("d") / n, cls.count("u") / n, cls.count("l") / n, cls.count("o") / n, len(set(s)) / n, float(-(counts * np.log2(counts)).sum()),
         sum(m in ("dl", "ld", "du", "ud") for m in moves) / n, sum(m in ("lu", "ul") for m in moves) / n, sum(c in "aeiouAEIOU" for c in letters) / max(1, len(letters)), run / n,
-        _coverage(s), s.count("/"), float(bool(re.search(r"[/\\.]$", before))), float("://" in before), float(bool(re.search(r"[=:]\s*[\"']?$", before))),
+        _coverage(s), s.count("/"), float(bool(re.search(r"[/\\.]$", before))), float("://" in before), float(bool(re.search(r"(?:[=:]|\bis)\s*[\"']?$", before))),
         float(bool(parts & CREDENTIAL_WORDS)), float(bool(parts & HARMLESS_WORDS)), float(kind not in ("assigned", "long_run")), sum(a == b for a, b in zip(s, s[1:])) / n, float(bool(re.fullmatch(r"[0-9a-fA-F]+", s))), s.count("-") / n,
+        float(bool(places & TRIAL_PATHS)), float(bool(places & LIVE_PATHS)),
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int]]:
-    """(text, finding, 1 if a secret) with invented secrets and look-alikes in invented surroundings; the same for a seed."""
+def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int, str | None]]:
+    """(text, finding, 1 if a secret, path or None) with invented secrets and look-alikes in invented surroundings; the same for a seed.
+
+    Half have a path, which goes with the label in three of four cases.
+    """
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     hexes, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
@@ -122,7 +132,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     plain = lambda k: " ".join(word() for _ in range(k))
     names = "password passwd pwd token secret api_key apikey access_key auth_key client_secret".split()
-    equals = lambda: r.choice(["=", " = ", ": ", ":", '="', " = \"", ': "'])
+    equals = lambda: r.choice(["=", " = ", ": ", ":", '="', " = \"", ': "', " is "])
     compound = lambda sep: sep.join(r.choice([word(), r.choice(sorted(DICTIONARY))]) for _ in range(r.randint(4, 8)))
     secrets = [
         lambda: (f"{plain(3)} ", "AKIA" + pick(string.ascii_uppercase + string.digits, 16)),
@@ -152,7 +162,9 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int]
     out = []
     for i in range(n):
         before, s = r.choice(secrets if i % 2 else harmless)()
-        out.append((f"{before}{s}{r.choice([' ', chr(34), chr(10)])}{plain(3)}", s, i % 2))
+        likely, other = (LIVE_PATHS, TRIAL_PATHS) if i % 2 else (TRIAL_PATHS, LIVE_PATHS)
+        path = f"{word()}/{r.choice(sorted(likely if r.random() < 0.75 else other))}/{word()}.txt" if r.random() < 0.5 else None
+        out.append((f"{before}{s}{r.choice([' ', chr(34), chr(10)])}{plain(3)}", s, i % 2, path))
     return out
 
 
@@ -161,12 +173,12 @@ class SecretScanner:
     forest: Forest
     threshold: float = THRESHOLD
 
-    def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
+    def scan(self, text: str | None, path: str | None = None) -> list[tuple[str, int, int, float]]:
         """(kind, start, end, probability) of every candidate."""
         found = candidates(text)
         if not found:
             return []
-        p = self.forest.predict(np.array([features(text, *c) for c in found], float))
+        p = self.forest.predict(np.array([features(text, *c, path) for c in found], float))
         return [(*c, float(x)) for c, x in zip(found, p)]
 
     def redact(self, text: str | None) -> str | None:
@@ -181,14 +193,14 @@ class SecretScanner:
         return "".join([*out, text[at:]])
 
 
-def fit_scanner(findings: Iterable[tuple[str, str, int]], threshold: float = THRESHOLD) -> SecretScanner:
-    """A scanner from labelled findings (text, finding, label); a finding that no pattern proposes is left out."""
+def fit_scanner(findings: Iterable[tuple], threshold: float = THRESHOLD) -> SecretScanner:
+    """A scanner from labelled findings (text, finding, label and, if known, path); a finding that no pattern proposes is left out."""
     x, y = [], []
-    for text, finding, label in findings:
+    for text, finding, label, *path in findings:
         at = text.index(finding)
         for kind, start, end in candidates(text):
             if start < at + len(finding) and at < end:
-                x.append(features(text, kind, start, end))
+                x.append(features(text, kind, start, end, *path))
                 y.append(label)
     return SecretScanner(fit_forest(np.array(x, float), np.array(y)), threshold)
 
@@ -199,8 +211,8 @@ def default_scanner() -> SecretScanner:
     return fit_scanner(labelled_findings())
 
 
-def scan_secrets(docs: DataFrame, scanner: SecretScanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, kind, start, end, finding, score, is_secret``: one row for each candidate of each row of ``docs``.
+def scan_secrets(docs: DataFrame, scanner: SecretScanner | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """``id, kind, start, end, finding, score, is_secret``: one row for each candidate of each row of ``docs``; ``path_col`` names the column of file paths, if there is one.
 
     Positions are in code points of the text, in which invalid UTF-8 stands as replacement
     characters. Null and empty texts have no row; texts are taken whole, however long;
@@ -213,12 +225,12 @@ def scan_secrets(docs: DataFrame, scanner: SecretScanner | None = None, id_col:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(at, k, s, e, t[s:e], p, p >= scanner.threshold) for at, t in enumerate(values(batch.column(1))) for k, s, e, p in scanner.scan(t)]
+            rows = [(at, k, s, e, t[s:e], p, p >= scanner.threshold) for at, (t, path) in enumerate(zip(values(batch.column(1)), values(batch.column(2)))) for k, s, e, p in scanner.scan(t, path)]
             at, *cols = list(zip(*rows)) if rows else [[]] * len(names)
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
 
-    kept = docs.select(F.col(id_col).alias("id"), valid_utf8(F.col(text_col)).alias("text"))
+    kept = docs.select(F.col(id_col).alias("id"), valid_utf8(F.col(text_col)).alias("text"), (valid_utf8(F.col(path_col)) if path_col else F.lit(None).cast("string")).alias("path"))
     return kept.mapInArrow(step, f"id {kept.schema['id'].dataType.simpleString()}, kind string, start long, end long, finding string, score double, is_secret boolean")
 
 

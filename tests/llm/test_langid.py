@@ -1,5 +1,9 @@
+import math
+import zlib
+
 import numpy as np
-from helpers import SCHEMA, edge_rows, edge_table
+import pytest
+from helpers import SCHEMA, edge_rows, edge_table, prose
 from pyspark.sql import functions as F
 
 from quirelake.llm import langid
@@ -14,6 +18,59 @@ def test_held_out_accuracy(spark):
     assert total > 250 and right / total > 0.97 and 0 <= low and high <= 1
 
 
+def plain_counts(text):
+    """Hashed features of every window of one to three characters that has a letter (of three: in the middle), one at a time."""
+    low = text.lower()
+    if not any(c.isalpha() for c in low):
+        return {}
+    c = [32, *[ord(x) if x.isalpha() else 32 for x in low], 32]
+    out, wrap = {}, (1 << 32) - 1
+
+    def add(code):
+        k = (code * 2654435761 & wrap) >> (32 - langid.DIM_BITS)
+        out[k] = out.get(k, 0) + 1
+
+    for i, x in enumerate(c):
+        if x != 32:
+            add(x)
+        if i + 1 < len(c):
+            two = (x * 0x9E3779B1 + c[i + 1]) & wrap
+            if x != 32 or c[i + 1] != 32:
+                add(two)
+            if i + 2 < len(c) and c[i + 1] != 32:
+                add((two * 0x85EBCA77 + c[i + 2]) & wrap)
+    return out
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Every prediction from the weights by sums over plain features; document frequencies counted again."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    crc = {i: zlib.crc32(str(i).encode()) % 3 for i in docs}
+    model = langid.train(spark.createDataFrame([docs[i] for i in docs if crc[i] != 1]))
+    features = {i: plain_counts(d.text or "") for i, d in docs.items()}
+    learned = [i for i, d in docs.items() if crc[i] != 1 and d.lang is not None and d.text is not None]
+    for k in (5, 777, 9000, 32000, *list(features[learned[0]])[:50]):
+        assert model.idf[k] == pytest.approx(math.log((1 + len(learned)) / (1 + sum(k in features[i] for i in learned))) + 1)
+    for r in op3_language_id(spark, sf_dir).collect():
+        assert r.held_out == (crc[r.doc_id] == 1)
+        x = {k: (1 + math.log(n)) * model.idf[k] for k, n in features[r.doc_id].items()}
+        if not x:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logits = [sum(w[k] * v for k, v in x.items()) / norm / model.temperature for w in model.weights]
+        top = max(logits)
+        p = [math.exp(z - top) for z in logits]
+        assert r.lang_pred == model.langs[p.index(max(p))] and r.score == pytest.approx(max(p) / sum(p), rel=1e-6)
+
+
+def test_dirty_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(i, prose(i, 6), ["en", "fr", "de"][i % 3] if i % 4 else f"odd{i}", "s", 1) for i in range(80)]
+    model = langid.train(spark.createDataFrame(rows, SCHEMA), bound=9)
+    assert model.langs == ("de", "en", "fr") and (model.weights != 0).any()
+
+
 def test_same_rows_same_model(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a, b = langid.train(docs), langid.train(docs.repartition(5))

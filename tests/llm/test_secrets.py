@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from helpers import SCHEMA, edge_table, prose
@@ -50,14 +53,80 @@ def test_key_marks_without_partners():
 def test_held_out_findings():
     fresh = secrets.labelled_findings(1500, seed=99)
     right = total = 0
-    for text, finding, label in fresh:
+    for text, finding, label, path in fresh:
         at = text.index(finding)
-        hit = any(s < at + len(finding) and at < e and p >= SCANNER.threshold for _, s, e, p in SCANNER.scan(text))
+        hit = any(s < at + len(finding) and at < e and p >= SCANNER.threshold for _, s, e, p in SCANNER.scan(text, path))
         right += hit == bool(label)
         total += 1
     assert right / total > 0.95
 
 
+def test_paths_and_spoken_values():
+    key = "q7Zt2LxW9vBn4KdP"
+    assert SCANNER.redact(f"my password is {key} ok") == "my password is [ASSIGNED] ok"
+    assert SCANNER.redact("the password is needed and the token is missing") == "the password is needed and the token is missing"
+    score = lambda path: SCANNER.scan(f"x token: {key[:9]}", path)[0][3]
+    assert score("deploy/prod.env") >= score("tests/fixtures/sample.txt")
+    names = dict(zip(secrets.FEATURES, secrets.features(f"token: {key}", "assigned", 7, 23, "src/Tests/data.txt")))
+    assert len(names) == len(secrets.FEATURES) and (names["trial_path"], names["live_path"], names["length"]) == (1, 0, 16)
+
+
+def plain_candidates(text):
+    """Kinds in their order tried at one place after another, key blocks before all."""
+    out, at = [], 0
+    patterns = [(k, re.compile(p)) for k, p in secrets.PATTERNS]
+    blocks = {a: b for a, b in secrets._key_blocks(text)}
+    ends = sorted(blocks)
+    while at < len(text):
+        if at in blocks:
+            out.append(("private_key", at, blocks[at]))
+            at = blocks[at]
+            continue
+        limit = next((e for e in ends if e > at), len(text))
+        found = next(((k, m) for k, p in patterns if (m := p.match(text, at, limit))), None)
+        if not found:
+            at += 1
+            continue
+        kind, m = found
+        start, end = m.span("value") if kind == "assigned" else m.span()
+        at = m.end()
+        if kind == "assigned":
+            end = start + len(text[start:end].rstrip(".!?)]}"))
+            for k, p in patterns:
+                if k not in ("assigned", "long_run") and (v := p.match(text, start, limit)):
+                    kind, end = k, max(end, v.end())
+                    at = max(at, end)
+                    break
+        if end - start >= 6:
+            out.append((kind, start, end))
+    return out
+
+
+def plain_probability(row):
+    """Each tree walked from its root."""
+    total = 0.0
+    for tree in SCANNER.forest.trees:
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] if row[tree.feature[at]] <= tree.cut[at] else tree.right[at]
+        total += tree.value[at]
+    return total / len(SCANNER.forest.trees)
+
+
+def test_query_against_brute_force(spark):
+    """All findings of all documents."""
+    from quirelake.llm.queries import op4_secret_scan
+
+    sf_dir = "/root/testdata/sf0.01"
+    found = sorted((r.doc_id, r.kind, r.start_char, r.end_char, r.finding_sha256, round(r.score, 9), r.is_secret) for r in op4_secret_scan(spark, sf_dir).collect())
+    want = []
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        for kind, a, b in plain_candidates(d.text or ""):
+            p = plain_probability(secrets.features(d.text, kind, a, b))
+            want.append((d.doc_id, kind, a, b, hashlib.sha256(d.text[a:b].encode()).hexdigest(), round(p, 9), p >= SCANNER.threshold))
+    assert found == sorted(want) and len(want) > 0
+
+
 def test_forest_learns_and_repeats():
     r = np.random.default_rng(1)
     x = r.random((600, 5))
