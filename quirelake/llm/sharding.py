@@ -41,7 +41,7 @@ def _nodes(df: DataFrame, nodes: int) -> DataFrame:
 
 
 def kd_shards(points: DataFrame, dims: list[str], shards: int, target_bytes: float) -> DataFrame:
-    """``point, shard`` from ``points`` (point, weight and the columns ``dims``, all numeric; null counts as 0).
+    """``point, weight, shard`` from ``points`` (point, weight and the columns ``dims``, all numeric; null counts as 0).
 
     Nodes are split until they have the target bytes; ``shards`` are made at most, and
     numbered without gaps.
@@ -71,18 +71,18 @@ def kd_shards(points: DataFrame, dims: list[str], shards: int, target_bytes: flo
         widest = F.greatest(*[F.col(f"spread_{d}") for d in dims]) if len(dims) > 1 else F.col(f"spread_{dims[0]}")
         chosen = F.coalesce(*[F.when(F.col(f"spread_{d}") == widest, F.lit(i)) for i, d in enumerate(dims)])
         half = F.floor((F.col("room") + 1) / 2).cast("long")
-        plan = durable(opened.select("node", "room", half.alias("half"), chosen.alias("axis"), (F.col("bytes") * half / F.col("room")).alias("want")))
+        plan = opened.select("node", "room", half.alias("half"), chosen.alias("axis"), (F.col("bytes") * half / F.col("room")).alias("want"))
         placed = state.join(_nodes(plan.select("node", "axis"), number), "node").select(F.col("node").alias("key"), position().alias("position"), F.col("weight").alias("size"))
         cuts = cut_points(placed, plan.select(F.col("node").alias("key"), "want"))
-        steps = durable(plan.join(cuts, F.col("node") == F.col("key"), "left").select("node", "axis", "half", F.coalesce("below", F.lit(1 << POSITION_BITS)).alias("below")))
+        steps = plan.join(cuts, F.col("node") == F.col("key"), "left").select("node", "axis", "half", F.coalesce("below", F.lit(1 << POSITION_BITS)).alias("below"))
         beyond = F.coalesce(position() >= F.col("below"), F.lit(False))
         moved = state.join(_nodes(steps, number), "node", "left").withColumn("to", F.when(beyond, F.col("node") + F.col("half")).otherwise(F.col("node")))
         state = durable(moved.select("point", "weight", "tie", *dims, F.col("to").alias("node")))
         left, right = plan.select("node", F.col("half").alias("room")), plan.select((F.col("node") + F.col("half")).alias("node"), (F.col("room") - F.col("half")).alias("room"))
-        tree = durable(nodes.where(~split).select("node", "room").unionByName(left).unionByName(right))
+        tree = nodes.where(~split).select("node", "room").unionByName(left).unionByName(right)
     # A row a shard: numbered in the order of the tree.
     numbers = nodes.select("node", (F.row_number().over(Window.orderBy("node")) - 1).cast("int").alias("shard"))
-    return state.join(_nodes(numbers, nodes.count()), "node").select("point", "shard")
+    return state.join(_nodes(numbers, nodes.count()), "node").select("point", "weight", "shard")
 
 
 def shard_rows(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -106,17 +106,17 @@ def shard_rows(docs: DataFrame, shards: int | None = None, target_bytes: int | N
     if shards is None:
         shards = max(1, ceil(whole["bytes"] / (target_bytes or 1 << 28)))
     placed = kd_shards(points, ["bytes", "source", "lang", "number"], shards, whole["bytes"] / shards)
-    hot = points.where(F.col("copies") > whole["rows"] * HOT_SHARE).where("copies > 64").select("point")
-    return with_slots(_spread_join(rows, placed, hot), shards, whole["rows"])
+    hot = points.where((F.col("copies") > whole["rows"] * HOT_SHARE) & (F.col("copies") > 64)).select("point")
+    return with_slots(_spread_join(rows, placed.select("point", "shard"), hot), shards, whole["rows"])
 
 
 def _spread_join(rows: DataFrame, placed: DataFrame, hot: DataFrame) -> DataFrame:
     """``rows`` with their shard. Rows of hot points stay where they are and meet a broadcast table, so that no task gets all copies of a text."""
-    placed = durable(placed.join(hot.withColumn("hot", F.lit(True)), "point", "left").select("point", "shard", F.coalesce("hot", F.lit(False)).alias("hot")))
-    first = rows.join(F.broadcast(placed.where("hot").select("point", F.col("shard").alias("hot_shard"))), "point", "left")
-    cold = first.where("hot_shard IS NULL").join(placed.where("NOT hot").select("point", "shard"), "point")
-    columns = ["id", "size", "text_crc32"]
-    return first.where("hot_shard IS NOT NULL").select(*columns, F.col("hot_shard").alias("shard")).unionByName(cold.select(*columns, "shard"))
+    kept = ["id", "size", "text_crc32", "shard"]
+    if not hot.limit(1).count():
+        return rows.join(placed, "point").select(kept)
+    known = rows.join(F.broadcast(placed.join(F.broadcast(hot), "point")), "point").select(kept)
+    return known.unionByName(rows.join(F.broadcast(hot), "point", "left_anti").join(placed, "point").select(kept))
 
 
 def with_slots(placed: DataFrame, shards: int, n: int) -> DataFrame:

@@ -116,7 +116,7 @@ def test_target_bytes(spark):
 def test_leaves_stop_at_the_target_bytes(spark):
     """A node within the target is a shard, though there is room for more of them; numbers have no gaps."""
     points = spark.createDataFrame([(i, 10, float(i), float(i % 7)) for i in range(160)], "point long, weight long, x double, y double")
-    sizes = lambda shards, target: sorted(r["sum(weight)"] for r in sharding.kd_shards(points, ["x", "y"], shards, target).join(points, "point").groupBy("shard").agg(F.sum("weight")).collect())
+    sizes = lambda shards, target: sorted(r["sum(weight)"] for r in sharding.kd_shards(points, ["x", "y"], shards, target).groupBy("shard").agg(F.sum("weight")).collect())
     assert sizes(8, 200) == [200] * 8 and sizes(64, 200) == [200] * 8 and sizes(64, 400) == [400] * 4 and sizes(3, 1) == [530, 530, 540]
     numbers = {r.shard for r in sharding.kd_shards(points, ["x", "y"], 64, 400).collect()}
     assert numbers == {0, 1, 2, 3}
