@@ -37,7 +37,7 @@ from quirelake.llm.common import keeps, python_batches, valid_utf8, working
 MARK = "▁"
 NEVER = float("inf")
 #: Parts kept per worker, and the longest part kept, in characters.
-KEPT, LONGEST = 500_000, 40
+KEPT, LONGEST = 700_000, 40
 #: Parts up to this many characters keep their agenda as a list.
 SHORT = 32
 #: Characters encoded between two checks against the library.
@@ -180,37 +180,35 @@ class PieceCodec:
 
     def _merge_short(self, part: str) -> list[str]:
         """Symbols after all merges, the agenda being a list of costs in text order."""
-        cost = self.cost.get
+        cost, never = self.cost.get, NEVER
         symbols = list(part)
-        pairs = [part[i : i + 2] for i in range(len(part) - 1)]
-        agenda = [cost(p, NEVER) for p in pairs]
-        while agenda and (best := min(agenda)) is not NEVER:
+        agenda = [cost(a + b, never) for a, b in zip(part, part[1:])]
+        while agenda and (best := min(agenda)) is not never:
             i = agenda.index(best)
-            merged = symbols[i] = pairs[i]
-            del symbols[i + 1], pairs[i], agenda[i]
+            del agenda[i]
+            merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
             if i < len(agenda):
-                pairs[i] = pair = merged + symbols[i + 1]
-                agenda[i] = cost(pair, NEVER)
+                agenda[i] = cost(merged + symbols[i + 1], never)
             if i:
-                pairs[i - 1] = pair = symbols[i - 1] + merged
-                agenda[i - 1] = cost(pair, NEVER)
+                agenda[i - 1] = cost(symbols[i - 1] + merged, never)
         return symbols
 
     def encode_part(self, part: str) -> tuple[int, ...]:
         whole = self.ids.get(part) if len(part) == 1 else None
         if whole is not None:
             return (whole,)
-        symbols = self._merge_short(part) if len(part) <= SHORT else self._merge_long(part)
+        symbols = self._merge_short(part) if len(part) <= SHORT else list(filter(None, self._merge_long(part)))
+        found = tuple(map(self.ids.get, symbols))
+        if None not in found:
+            return found
         out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                if i is not None:
-                    out.append(i)
-                elif self.byte_fallback:
-                    out += [self.bytes[b] for b in s.encode()]
-                else:
-                    out.append(self.unknown)
+        for s, i in zip(symbols, found):
+            if i is not None:
+                out.append(i)
+            elif self.byte_fallback:
+                out += [self.bytes[b] for b in s.encode()]
+            else:
+                out.append(self.unknown)
         return tuple(out)
 
     def encode(self, text: str, end: bool = True) -> list[int]:
