@@ -58,6 +58,8 @@ def _longest(a: _Hashes, b: _Hashes, alo: int, ahi: int, blo: int, bhi: int) ->
 
 def matched(a: str, b: str) -> int:
     """Matching characters of two texts."""
+    if a in b or b in a:  # nothing longer can be common
+        return min(len(a), len(b))
     ha, hb = _Hashes(a), _Hashes(b)
     total, todo = 0, [(0, len(a), 0, len(b))]
     while todo:

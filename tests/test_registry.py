@@ -41,6 +41,12 @@ def test_rule_queries_change_rows(spark, sf_dir, name):
     assert changed > 5
 
 
+@pytest.mark.parametrize(("name", "most"), [("roles", 1), ("toc", 4), ("chapter_split", 4), ("chapter_markup", 4), ("navigation", 5), ("book_archives", 5), ("blank_pages", 8), ("manifest", 8)])
+def test_inputs_are_scanned_few_times(spark, sf_dir, name, most):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("FileScan parquet") <= most
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
