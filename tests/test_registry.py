@@ -41,6 +41,28 @@ def test_rule_queries_change_rows(spark, sf_dir, name):
     assert changed > 5
 
 
+def test_paragraphs_are_repaired_alone(spark, sf_dir):
+    """The query without SQL: each paragraph by the plain rules."""
+    import re
+
+    from test_repair import PAIRS
+
+    from quirelake.plans.fixtures import damaged
+    from quirelake.plans.repair_queries import _cases
+
+    def plain(t):
+        for k in (0, 1, 2, 3, 4, 5, 6, 7, 3):
+            t = PAIRS[k][1](t)
+        return t.strip()
+
+    found = {r.doc_id: r.text for r in QUERIES["repair_keep_paragraphs"](spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in damaged(spark, sf_dir).select("doc_id", "text").unionByName(_cases(spark)).collect()}
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        if len(t) < 6000:
+            assert found[i] == "\n\n".join(p for p in map(plain, re.split(r"\n\s*\n", t)) if p), i
+
+
 @pytest.mark.parametrize(("name", "most"), [("roles", 1), ("toc", 4), ("chapter_split", 4), ("chapter_markup", 4), ("navigation", 5), ("book_archives", 5), ("blank_pages", 8), ("manifest", 8)])
 def test_inputs_are_scanned_few_times(spark, sf_dir, name, most):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
