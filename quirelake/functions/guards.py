@@ -58,7 +58,9 @@ def case_ok(output: Column) -> Column:
 
 
 def letter_words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1)), casefold)
+    """Folded runs of letters. Where every letter folds to one letter, its lower case, the whole text is made lower case first."""
+    runs = lambda t: F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), F.lit(1))
+    return F.when(text.rlike(r"[\p{L}&&[^\x00-\xb4\xb6-\xde\xe0-\xff]]"), F.transform(runs(text), casefold)).otherwise(runs(F.lower(text)))
 
 
 @F.pandas_udf(DoubleType())

@@ -46,22 +46,33 @@ def is_blank(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Lower-case letters whose fold is one other letter, these letters, and those whose fold is several, with their spelling."""
-    one, several = {}, {}
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """Lower-case letters whose fold is one other letter, these letters, those whose fold is several with their spelling, and a class of ranges that holds every letter which folding changes beyond its lower case."""
+    one, several, special = {}, {}, [ord("Σ")]  # whose lower case depends on its place
     for c in map(chr, range(sys.maxunicode + 1)):
-        if c == c.lower() and (folded := c.casefold()) != c:
+        if (folded := c.casefold()) != c.lower():
+            special.append(ord(c))
+        if c == c.lower() and folded != c:
             (one if len(folded) == 1 else several)[c] = folded
-    return "".join(one), "".join(one.values()), tuple(several.items())
+    ranges: list[list[int]] = []
+    for code in sorted(special):  # gaps up to 64 are filled: a letter too many costs time alone
+        if ranges and code - ranges[-1][1] <= 64 and code > 0x400:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(one), "".join(one.values()), tuple(several.items()), "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
 
 
 def casefold(text: Column) -> Column:
-    """Lower case, then what folding does beyond it: letters that stand for others (long s, final sigma) or for several (sharp s, ligatures)."""
-    letters, folded, several = _folds()
-    low = F.translate(F.lower(text), letters, folded)
+    """Lower case, and what folding does beyond it: letters that stand for others (long s, final sigma) or for several (sharp s, ligatures).
+
+    Texts without any such letter, found by one range and then by a few, are only made
+    lower case.
+    """
+    letters, folded, several, special = _folds()
     table = F.array(*[F.array(F.lit(letter), F.lit(spelling)) for letter, spelling in several])
-    spelt = lambda t: F.aggregate(table, t, lambda got, x: F.replace(got, x[0], x[1]))
-    return let(low, lambda t: F.when(t.rlike(f"[{''.join(x for x, _ in several)}]"), spelt(t)).otherwise(t))
+    whole = F.aggregate(table, F.translate(F.lower(text), letters, folded), lambda got, x: F.replace(got, x[0], x[1]))
+    return F.when(text.rlike(r"[^\x00-\xb4]") & text.rlike(f"[{special}]"), whole).otherwise(F.lower(text))
 
 
 def splitlines(text: Column) -> Column:
