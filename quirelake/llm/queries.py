@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import chat, covertree, langid, media, mixing, ngram, pieces, secrets, sharding, simhash
+from quirelake.llm import audit, chat, covertree, langid, lines, media, mixing, ngram, pieces, search, secrets, sharding, simhash
 from quirelake.llm.common import table
 
 
@@ -93,7 +93,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "r.n_turns", F.sha2("r.turns", 256).alias("turns_sha256"), F.char_length("r.loss").cast("long").alias("loss_chars"), F.sha2("r.loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash_dedup, op3_language_id, op4_secret_scan, op5_lm_scoring, op6_sentencepiece, op7_embedding_dedup, op8_source_mixing, op9_kd_sharding, op10_chat_format)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash_dedup, op3_language_id, op4_secret_scan, op5_lm_scoring, op6_sentencepiece, op7_embedding_dedup, op8_source_mixing, op9_kd_sharding, op10_chat_format, op11_filter_audit, op12_line_dedup, op13_lexical_search)}
 
 #: Water-filled targets, then the running sum of sizes by 48-bit hash against what each target leaves over whole passes.
 MIXING_SQL = r"""
@@ -151,4 +165,61 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM g
 """
 
-ORACLES = {"op7_embedding_dedup": EMBEDDING_SQL, "op8_source_mixing": MIXING_SQL, "op10_chat_format": CHAT_SQL}
+#: Every order and step over every document's failures.
+AUDIT_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), f AS (
+  SELECT doc_id, part, {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words), 'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)} AS x FROM w
+), m AS (
+  SELECT part, MAP {'A': x.A, 'B': x.B, 'C': x.C, 'D': x.D, 'E': x.E} AS x, x.A::INT + x.B::INT + x.C::INT + x.D::INT + x.E::INT AS failed,
+    EXISTS (FROM labels l WHERE l.doc_id = f.doc_id AND l.quality = 1) AS good, EXISTS (FROM labels l WHERE l.doc_id = f.doc_id AND l.toxic = 1) AS toxic FROM f
+), h AS (
+  SELECT part, x, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c), o AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM l a, l b, l d, l e, l g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5
+), s AS (
+  SELECT filter_order, step, filter_order[step] AS c, filter_order[1:step - 1] AS before FROM o, (SELECT unnest(generate_series(1, 5)) AS step)
+), r AS (
+  SELECT part, filter_order, step, c, n, good, toxic, x[c] AS own, failed, len(list_filter(string_split(before, ''), lambda b: b <> '' AND x[b])) > 0 AS gone FROM h, s
+), t AS (
+  SELECT part, filter_order, step, c, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (own AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (own AND failed = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (own AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT gone), 0) AS toxic_lost FROM r GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM t
+"""
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Keys of all lines, those that five documents hold, and the lines that stay in their order.
+LINES_SQL = rf"""
+WITH l AS (
+  SELECT row, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS place FROM (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents)
+), k AS (
+  SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l
+), shared AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {lines.LEAST_LENGTH} GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.LEAST_DOCUMENTS}
+), marked AS (
+  SELECT k.*, s.key IS NOT NULL AND s.last IS DISTINCT FROM k.doc_id AS gone FROM k LEFT JOIN shared s ON s.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY row, doc_id
+"""
+
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Every document's score for every item.
+SEARCH_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS t FROM documents), s AS (
+  SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0
+), q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL), p AS (
+  SELECT row, doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term, s.n
+), e AS (
+  SELECT row, doc_id, item_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * s.n) // s.total)))) AS BIGINT) AS score
+  FROM p JOIN w USING (term) JOIN q USING (term), s GROUP BY row, doc_id, item_id
+), r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, row) AS INT) AS rank, doc_id, score FROM e WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+ORACLES = {"op11_filter_audit": AUDIT_SQL, "op12_line_dedup": LINES_SQL, "op13_lexical_search": SEARCH_SQL, "op7_embedding_dedup": EMBEDDING_SQL, "op8_source_mixing": MIXING_SQL, "op10_chat_format": CHAT_SQL}

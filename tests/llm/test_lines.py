@@ -1,0 +1,98 @@
+import random
+
+from helpers import SCHEMA, edge_rows, edge_table, lower_ascii
+
+from quirelake.llm import lines
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def plain_dedup(rows, documents=5, length=40):
+    """(id, kept text, lines, dropped) of (id, text) rows, by the stated rule."""
+    held = {}
+    key = lambda line: lower_ascii(line.strip(BLANK))
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= length:
+                held.setdefault(key(line), set()).add(i)
+    last = {k: max((i for i in v if i is not None), default=None) for k, v in held.items() if len(v) >= documents}
+    out = []
+    for i, t in rows:
+        every = (t or "").split("\n")
+        kept = [x for x in every if key(x) not in last or last[key(x)] == i]
+        out.append((i, "\n".join(kept), len(every), len(every) - len(kept)))
+    return sorted(out, key=str)
+
+
+def dedup(df, *more):
+    return sorted((tuple(r) for r in lines.drop_shared_lines(df, *more).collect()), key=str)
+
+
+def made_rows():
+    r = random.Random(5)
+    long = [f"shared line number {k} " + "été" * (k % 4) + "x" * r.randint(15, 30) for k in range(30)]
+    forms = [str.upper, str, lambda x: f" \t{x}\r", lambda x: f"\x0b{x}\x0c", lambda x: x + "\xa0"]
+    rows = []
+    for i in range(200):
+        t = "\n".join(r.choice(forms)(r.choice(long[: r.randint(1, 30)])) if r.random() < 0.4 else r.choice(["", " ", f"own line {r.random()} of this document alone, long enough"]) for _ in range(r.randint(0, 12)))
+        rows.append((i // 2 if i % 9 == 0 else i, t))
+    return rows + rows[:3] + [(None, long[0] + "\n" + long[1]), (None, long[0])]
+
+
+def test_against_brute_force(spark):
+    rows = made_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    found = dedup(df)
+    assert found == plain_dedup(rows) and sum(x[3] for x in found) > 100
+    assert dedup(df, 3, 20) == plain_dedup(rows, 3, 20)
+
+
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    rows = made_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lines, "sent", lambda keys: keys)
+    monkeypatch.setattr(lines, "SENT", -1)
+    assert dedup(df) == plain_dedup(rows)
+
+
+def test_length_counts_code_points(spark):
+    key = lambda n: "é" * n
+    rows = [(i, f"{key(39)}\n{key(40)}\n  {key(39)} ") for i in range(6)]
+    assert dedup(spark.createDataFrame(rows, "doc_id long, text string")) == [(i, f"{key(39)}\n  {key(39)} ", 3, 1) for i in range(5)] + [(5, rows[5][1], 3, 0)]
+
+
+def test_a_line_repeated_within_documents(spark):
+    line = "one line that is long enough to be counted as shared"
+    few = [(i, "\n".join([line] * 3)) for i in range(4)]
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    assert dedup(df) == plain_dedup(few) and dedup(df)[0][3] == 0  # four documents, twelve lines
+    more = [*few, (4, f"{line}\nx\n{line}")]
+    assert dedup(spark.createDataFrame(more, "doc_id long, text string")) == [(i, "", 3, 3) for i in range(4)] + [(4, f"{line}\nx\n{line}", 3, 0)]
+
+
+def test_rows_without_id_are_one_document(spark):
+    line = "one line that is long enough to be counted as shared"
+    rows = [(None, line), (None, line + " "), (1, line), (2, line), (3, line)]
+    found = dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found == plain_dedup(rows) and sum(x[3] for x in found) == 0  # four documents
+    assert dedup(spark.createDataFrame([*rows, (4, line)], "doc_id long, text string")) == plain_dedup([*rows, (4, line)])
+
+
+def test_edge_cases(spark):
+    df = edge_table(spark).selectExpr("*", "1 AS line", "1 AS position", "1 AS a", "1 AS lines", "1 AS text_key", "1 AS n")
+    rows = [(i, t) for i, t, *_ in edge_rows()]
+    assert dedup(df) == plain_dedup(rows)
+    assert dedup(df, 2, 5) == plain_dedup(rows, 2, 5)  # the very long text and the repeated rows share lines
+    assert dedup(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_ids_of_another_type_and_invalid_text(spark):
+    line = "a line with an invalid byte that five documents have"
+    df = spark.createDataFrame([(f"d{i}", bytearray(f"{line} ".encode() + (b"\xff" if i % 2 else "�".encode()) + b"\nown")) for i in range(5)], "doc_id string, raw binary")
+    assert [x[3] for x in dedup(df.selectExpr("doc_id", "CAST(raw AS string) AS text"))] == [1, 1, 1, 1, 0]
+
+
+def test_many_dropped_lines_of_a_long_text(spark):
+    text = "\n".join(f"line {k} of a text that several documents have in common" if k % 2 else f"short {k}" for k in range(60_000))
+    found = dedup(spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string"))
+    assert [x[3] for x in found] == [30_000] * 4 + [0] and found[0][1] == "\n".join(f"short {k}" for k in range(0, 60_000, 2)) and found[4][1] == text
