@@ -41,7 +41,9 @@ def _best_cut(x: np.ndarray, y: np.ndarray, features: np.ndarray, least: int) ->
         gini = a * (k - a) / k + b * (n - k - b) / (n - k)
         i = int(gini.argmin())
         if best is None or gini[i] < best[0]:
-            best = (float(gini[i]), int(f), float((v[k[i] - 1] + v[k[i]]) / 2))
+            low, high = float(v[k[i] - 1]), float(v[k[i]])
+            middle = (low + high) / 2
+            best = (float(gini[i]), int(f), middle if low <= middle < high else low)  # between neighbours the middle may round up
     return best
 
 

@@ -1,14 +1,18 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are vendor-shaped keys, private-key blocks, values assigned to a credential
-word or said to be it, and long unbroken runs that mix letters and digits. A forest over
-the candidate's length, character transitions, dictionary coverage, path (of the file, if
-there is a column of it, and round the candidate) and neighbouring words, trained on
-labelled findings, then decides which are secrets.
+Candidates are vendor-shaped keys, private-key blocks (armoured ones and such as break off
+before their END line too), passwords in addresses, values assigned to a credential word or
+said to be it, and long unbroken runs that mix letters and digits. A forest over the
+candidate's length, character transitions, dictionary coverage, path (of the file, if there
+is a column of it, and round the candidate) and neighbouring words, trained on labelled
+findings, then decides which are secrets. The dictionary is the whole words of a public
+tokenizer's vocabulary, whose path is a parameter. Every pattern takes time in proportion
+to the text.
 """
 
 from __future__ import annotations
 
+import importlib.util
 import random
 import re
 import string
@@ -26,17 +30,25 @@ from quirelake.llm.forest import Forest, fit_forest
 
 #: Kinds of candidates and their patterns, in the order of precedence; key blocks, found by their marks, come before all.
 PATTERNS = (
+    ("url_password", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@\"'<>]*+:(?P<inner>[^\s/@\"'<>]{3,}+)@(?=[A-Za-z0-9\[])"),
     ("aws_key_id", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("github_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}"),
     ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}"),
     ("google_key", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}"),
-    ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("stripe_key", r"(?<![A-Za-z0-9])[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+"),
+    ("service_token", r"(?<![A-Za-z0-9_-])(?:glpat-|npm_|pypi-|hf_|sk-|dop_v1_|shpat_)(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+"),
+    ("jwt", r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?eyJ[A-Za-z0-9_-]{8})[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     ("assigned", r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?[ \t]{0,4}(?:=|:|is[ \t](?=[ \t]{0,4}[\"']?[^\s\"'<>,;]*[0-9]))[ \t]{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,})"),
     ("long_run", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"),
 )
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-_VENDOR = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS if k not in ("assigned", "long_run")))
-_KEY_MARK = re.compile(r"-----(?:(?P<begin>BEGIN)|END) [A-Z ]{0,20}PRIVATE KEY-----")
+#: Kinds of which a part alone is the candidate.
+_INNER = {"assigned": "value", "url_password": "inner"}
+_VENDOR = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS if k not in ("url_password", "assigned", "long_run")))
+_KEY_MARK = re.compile(r"-{4,5} ?(?:(?P<begin>BEGIN)|END) [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)? ?-{4,5}")
+_GAP = r"(?:\s|\\[nr]|[\"'+,;])"
+#: What follows the BEGIN line of a block that breaks off: header lines, then encoded lines; a short last line only where the text ends or by its padding.
+_KEY_BODY = re.compile(rf"(?:{_GAP}*+[A-Za-z][A-Za-z0-9-]*+: [^\n\\]*+)*+(?:{_GAP}++(?:[A-Za-z0-9+/]{{24,}}+={{0,2}}|[A-Za-z0-9+/]++={{1,2}}(?![A-Za-z0-9+/=])|=[A-Za-z0-9+/]{{4}}(?![A-Za-z0-9+/=])|[A-Za-z0-9+/]++(?=\s*+\Z)))++")
 #: Words that go with credentials, words that go with harmless identifiers, words found inside names and placeholders.
 CREDENTIAL_WORDS = frozenset("password passwd pwd passphrase secret token key apikey api_key access auth credential credentials bearer private login".split())
 HARMLESS_WORDS = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid guid id revision version build etag integrity serial isbn order invoice phone card example sample test placeholder dummy image base64 file path url".split())
@@ -52,28 +64,35 @@ LIVE_PATHS = frozenset("env config conf settings credentials secrets secret depl
 
 
 def _key_blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each private-key block, from a BEGIN line to the next END line, however long."""
+    """(start, end) of each private-key block, however long: from a BEGIN line to the END line before the next BEGIN line, or, where there is none, to the end of its encoded lines."""
     out, first = [], None
+
+    def broken_off() -> None:
+        if first and (body := _KEY_BODY.match(text, first.end())):
+            out.append((first.start(), body.end()))
+
     for m in _KEY_MARK.finditer(text):
         if m["begin"]:
-            first = first or m
+            broken_off()
+            first = m
         elif first and m.start() > first.end():
             out.append((first.start(), m.end()))
             first = None
+    broken_off()
     return out
 
 
 def _between(text: str, low: int, high: int) -> Iterator[tuple[str, int, int]]:
     """Candidates other than key blocks within a part of the text."""
     while m := _ANY.search(text, low, high):
-        kind, low = m.lastgroup if m.lastgroup != "value" else "assigned", m.end()
-        start, end = m.span("value") if kind == "assigned" else m.span()
+        kind, low = m.lastgroup, m.end()
+        start, end = m.span(_INNER.get(kind, kind))
         if kind == "assigned":
             end = start + len(text[start:end].rstrip(".!?)]}"))
             if vendor := _VENDOR.match(text, start, high):  # of its own kind, and no shorter than the value
                 kind, end = vendor.lastgroup, max(end, vendor.end())
                 low = max(low, end)
-        if end - start >= 6:
+        if end - start >= (3 if kind == "url_password" else 6):
             yield kind, start, end
 
 
@@ -88,18 +107,39 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
     return [*out, *_between(text, low, len(text))]
 
 
-def _coverage(s: str) -> float:
+def default_vocabulary() -> str | None:
+    """The merge-type vocabulary file installed beside the libraries, if there is one."""
+    if importlib.util.find_spec("public_tokenizers") is None:
+        return None
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@lru_cache(maxsize=4)
+def dictionary(vocabulary: str | None = None) -> frozenset[str]:
+    """The fixed words, and the vocabulary's pieces that are whole words of four letters or more, in lower case."""
+    if vocabulary is None:
+        return DICTIONARY
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+    pieces = (model.id_to_piece(k) for k in range(model.get_piece_size()))
+    return DICTIONARY | {p[1:].lower() for p in pieces if p.startswith("\u2581") and len(p) > 4 and p[1:].isascii() and p[1:].isalpha()}
+
+
+def _coverage(s: str, known: frozenset[str] = DICTIONARY) -> float:
     """Share of the characters that dictionary words of three letters or more cover, longest first from the left."""
     low, at, got = s.lower(), 0, 0
     while at < len(low):
-        n = next((n for n in range(min(11, len(low) - at), 2, -1) if low[at : at + n] in DICTIONARY), 0)
+        n = next((n for n in range(min(14, len(low) - at), 2, -1) if low[at : at + n] in known), 0)
         got += n
         at += n or 1
     return got / max(1, len(s))
 
 
-def features(text: str, kind: str, start: int, end: int, path: str | None = None) -> list[float]:
-    """FEATURES of a candidate; without a path those of the path are 0."""
+def features(text: str, kind: str, start: int, end: int, path: str | None = None, known: frozenset[str] = DICTIONARY) -> list[float]:
+    """FEATURES of a candidate with a dictionary; without a path those of the path are 0."""
     places = set(re.findall(r"[a-z_]+", (path or "").lower()))
     s = text[start:end]
     n = len(s)
@@ -114,7 +154,7 @@ def features(text: str, kind: str, start: int, end: int, path: str | None = None
     return [
         n, cls.count("d") / n, cls.count("u") / n, cls.count("l") / n, cls.count("o") / n, len(set(s)) / n, float(-(counts * np.log2(counts)).sum()),
         sum(m in ("dl", "ld", "du", "ud") for m in moves) / n, sum(m in ("lu", "ul") for m in moves) / n, sum(c in "aeiouAEIOU" for c in letters) / max(1, len(letters)), run / n,
-        _coverage(s), s.count("/"), float(bool(re.search(r"[/\\.]$", before))), float("://" in before), float(bool(re.search(r"(?:[=:]|\bis)\s*[\"']?$", before))),
+        _coverage(s, known), s.count("/"), float(bool(re.search(r"[/\\.]$", before))), float("://" in before), float(bool(re.search(r"(?:[=:]|\bis)\s*[\"']?$", before))),
         float(bool(parts & CREDENTIAL_WORDS)), float(bool(parts & HARMLESS_WORDS)), float(kind not in ("assigned", "long_run")), sum(a == b for a, b in zip(s, s[1:])) / n, float(bool(re.fullmatch(r"[0-9a-fA-F]+", s))), s.count("-") / n,
         float(bool(places & TRIAL_PATHS)), float(bool(places & LIVE_PATHS)),
     ]
@@ -134,8 +174,21 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int,
     names = "password passwd pwd token secret api_key apikey access_key auth_key client_secret".split()
     equals = lambda: r.choice(["=", " = ", ": ", ":", '="', " = \"", ': "', " is "])
     compound = lambda sep: sep.join(r.choice([word(), r.choice(sorted(DICTIONARY))]) for _ in range(r.randint(4, 8)))
+    common = r.sample(sorted(w for w in dictionary(default_vocabulary()) if w.islower() and 4 <= len(w) <= 9), 60)
+    term = lambda: r.choice([word(), r.choice(common)])
+    chosen = [
+        lambda: f"{term()}{pick(string.digits, r.randint(1, 4))}{term()}", lambda: f"{term().capitalize()}{pick(string.digits, r.randint(2, 4))}{r.choice('!?#$*')}",
+        lambda: f"{term()}{r.choice('_.-')}{term()}{pick(string.digits, r.randint(2, 4))}", lambda: term().replace("o", "0").replace("e", "3").replace("a", "@") + pick(string.digits, 2),
+    ]
+    person = lambda: (r.choice(chosen)() + pick(string.digits, 6))[: r.randint(8, 20)]
+    block = lambda kind: f"-----BEGIN {kind}-----\n" + "\n".join(pick(b64, 64) for _ in range(r.randint(1, 30))) + r.choice([f"\n{pick(b64, 20)}==", f"\n-----END {kind}-----"])
     secrets = [
-        lambda: (f"{plain(3)} ", "AKIA" + pick(string.ascii_uppercase + string.digits, 16)),
+        lambda: ("", block(r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "EC PRIVATE KEY", "PGP PRIVATE KEY BLOCK"]))),
+        lambda: (f"{plain(3)} {r.choice(names)}{equals()}", person()),
+        lambda: (f"{plain(3)} {r.choice(names)}{equals()}", person()),
+        lambda: (f"{plain(2)} {r.choice(['https', 'postgres', 'mysql', 'ftp', 'redis', 'mongodb'])}://{word()}:", f"{r.choice([person, lambda: pick(alnum, r.randint(8, 20))])()}@{word()}.{word()}"),
+        lambda: (f"{plain(2)} ", f"{r.choice(['sk_live_', 'rk_live_', 'npm_', 'hf_', 'glpat-', 'sk-'])}{pick(alnum, 34)}1"),
+        lambda: (f"{plain(3)} ", r.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + r.choice(["", string.digits]), 16)),
         lambda: (f"{plain(3)} {r.choice(names)}{equals()}", pick(hexes, r.choice([16, 18, 20, 24, 32, 40, 64]))),
         lambda: (f"{plain(3)} {r.choice(names)}{equals()}", pick(alnum, r.randint(10, 48))),
         lambda: (f"{plain(3)} {r.choice(names)}{equals()}", pick(string.ascii_letters, r.randint(5, 10)) + pick("!@#$%^&*0123456789", r.randint(2, 5)) + pick(alnum, 3)),
@@ -150,6 +203,11 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int,
         lambda: (f"{plain(2)} {r.choice(['id', 'uuid', 'guid', 'order'])} ", "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))),
         lambda: (f"{plain(2)} {r.choice(names)}{equals()}", r.choice(["your_api_key_here", "changeme", "placeholder", "example", "xxxxxxxxxxxx", "test_password", "insert_token_here", "none_default", "password", "********", "secret_value", "<redacted>", "${TOKEN}"])),
         lambda: (f"{plain(2)} {r.choice(names)}: ", word() + word() + word()),
+        lambda: (f"{plain(2)} {r.choice(names)}{equals()}", r.choice(["", "the ", "my_", "new-"]) + r.choice(["required", "optional", "expired", "invalid", "disabled", "missing", "unknown", "forgotten", "protected", term(), f"{term()}_{term()}", f"get{term().capitalize()}()", f"process.env.{term().upper()}", f"os.environ[{term()}]", f"${{{term()}}}", f"<{term()}>", f"{{{{{term()}}}}}", "*" * r.randint(6, 12), "x" * r.randint(6, 12)])),
+        lambda: (f"{plain(2)} {r.choice(['https', 'postgres', 'mysql'])}://{word()}:", f"{r.choice(['password', 'pass', 'PASSWORD', '${PASSWORD}', 'xxxxx', '****', 'secret', 'changeme', '{password}', term()])}@{word()}.{word()}"),
+        lambda: (f"{plain(2)} {r.choice(['integrity', 'digest', 'hash', 'etag', 'checksum'])} {r.choice(['sha512-', 'sha256:', 'sha384-', ''])}", pick(r.choice([hexes, b64]), r.choice([44, 64, 86]))),
+        lambda: (f"{plain(2)} ", "-".join(term() for _ in range(r.randint(4, 8)))),
+        lambda: (f"{plain(2)} ", "_".join(term() for _ in range(r.randint(4, 8))) + pick(string.digits, r.randint(1, 3))),
         lambda: (f"{plain(2)} ", compound("-") + pick(string.digits, 2)),
         lambda: (f"{plain(2)} ", compound("_") + pick(string.digits, 1)),
         lambda: (f"{plain(2)} https://{word()}.example/", compound("/") + pick(string.digits, 3)),
@@ -172,13 +230,14 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int,
 class SecretScanner:
     forest: Forest
     threshold: float = THRESHOLD
+    known: frozenset[str] = DICTIONARY
 
     def scan(self, text: str | None, path: str | None = None) -> list[tuple[str, int, int, float]]:
         """(kind, start, end, probability) of every candidate."""
         found = candidates(text)
         if not found:
             return []
-        p = self.forest.predict(np.array([features(text, *c, path) for c in found], float))
+        p = self.forest.predict(np.array([features(text, *c, path, self.known) for c in found], float))
         return [(*c, float(x)) for c, x in zip(found, p)]
 
     def redact(self, text: str | None) -> str | None:
@@ -193,22 +252,22 @@ class SecretScanner:
         return "".join([*out, text[at:]])
 
 
-def fit_scanner(findings: Iterable[tuple], threshold: float = THRESHOLD) -> SecretScanner:
-    """A scanner from labelled findings (text, finding, label and, if known, path); a finding that no pattern proposes is left out."""
+def fit_scanner(findings: Iterable[tuple], threshold: float = THRESHOLD, known: frozenset[str] = DICTIONARY) -> SecretScanner:
+    """A scanner from labelled findings (text, finding, label and, if known, path) and a dictionary; a finding that no pattern proposes is left out."""
     x, y = [], []
     for text, finding, label, *path in findings:
         at = text.index(finding)
         for kind, start, end in candidates(text):
             if start < at + len(finding) and at < end:
-                x.append(features(text, kind, start, end, *path))
+                x.append(features(text, kind, start, end, path[0] if path else None, known))
                 y.append(label)
-    return SecretScanner(fit_forest(np.array(x, float), np.array(y)), threshold)
+    return SecretScanner(fit_forest(np.array(x, float), np.array(y)), threshold, known)
 
 
 @lru_cache(maxsize=1)
 def default_scanner() -> SecretScanner:
-    """The scanner of :func:`labelled_findings`, trained once in each process."""
-    return fit_scanner(labelled_findings())
+    """The scanner of :func:`labelled_findings` and the default dictionary, trained once in each process."""
+    return fit_scanner(labelled_findings(), known=dictionary(default_vocabulary()))
 
 
 def scan_secrets(docs: DataFrame, scanner: SecretScanner | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
