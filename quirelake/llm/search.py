@@ -44,6 +44,8 @@ LISTS = 1_000_000
 PART = 1 << 14
 #: Items times documents whose sums a task holds at once, and entries of items that it adds at once.
 CELLS, ENTRIES = 1 << 20, 1 << 20
+#: Candidates that a task holds to let later documents rule them out.
+HELD = 1 << 19
 #: What stands in a term's place in the row of a document itself.
 DOCUMENT = -1
 
@@ -153,7 +155,7 @@ def _kth(sums: DataFrame, k: int, items: int) -> np.ndarray:
 def _partials(plan: Broadcast):
     """Rows ``item, row, low, high``: candidates with their partial scores and upper bounds, from entries ``row, term, impact`` in the order of their rows."""
 
-    def summed(p: Plan, best: np.ndarray, rows: np.ndarray, term: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def summed(p: Plan, best: np.ndarray, rows: np.ndarray, term: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
         names, place = np.unique(rows, return_inverse=True)
         items, width = len(p.least), len(names)
         low, seen = np.zeros(items * width, np.int64), np.zeros(items * width, np.int64)
@@ -175,17 +177,30 @@ def _partials(plan: Broadcast):
         best[:] = np.partition(both, both.shape[1] - p.k, axis=1)[:, -p.k :]
         high = low + p.most[:, None] - seen
         i, r = np.nonzero((low > 0) & (high >= np.maximum(p.least, best.min(axis=1))[:, None]))
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(names[r]), pa.array(low[i, r]), pa.array(high[i, r])], names=["item", "row", "low", "high"])
+        return [i.astype(np.int32), names[r], low[i, r], high[i, r]]
+
+    def reaching(p: Plan, best: np.ndarray, held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """Of the candidates held those that reach what the task knows by now."""
+        item, row, low, high = (np.concatenate(x) for x in zip(*held))
+        good = high >= np.maximum(p.least, best.min(axis=1))[item]
+        return [item[good], row[good], low[good], high[good]]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("search")
         p: Plan = plan.value
         best = np.zeros((len(p.least), p.k), np.int64)  # partial scores known in this task
         width = max(64, CELLS // len(p.least))
+        held: list[list[np.ndarray]] = []
         for rows, term, value in _whole_documents(batches):
             cuts = [*np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])[::width], len(rows)]
             for a, b in zip(cuts, cuts[1:]):
-                yield from summed(p, best, rows[a:b], term[a:b], value[a:b])
+                held.append(summed(p, best, rows[a:b], term[a:b], value[a:b]))
+            held = [reaching(p, best, held)]  # the first documents were held against less
+            if len(held[0][0]) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["item", "row", "low", "high"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["item", "row", "low", "high"])
 
     return step
 
