@@ -10,7 +10,8 @@ spread. Then
    score of an item is a lower bound of its k-th best score;
 2. an entry that adds less than that bound shared equally among the item's lists can be left
    out of all lists alike: a document that is in none of them otherwise is worse than the
-   bound. The entries above it are dealt out by document, where partial scores are summed,
+   bound. (One ``SHARE``-th of this is the threshold: what entries left out may add is then
+   so little that few documents stay candidates, while hardly more entries are read.) The entries above it are dealt out by document, where partial scores are summed,
    and each gets an upper bound: what its other lists could add at most, which is less than
    the threshold and no more than the list's first entry. Candidates are those whose upper
    bound reaches the k-th best partial score now known;
@@ -42,6 +43,8 @@ from quirelake.llm.common import durable, python_batches, sent, valid_utf8, valu
 LISTS = 1_000_000
 #: Documents by which the list of one term is parted, about.
 PART = 1 << 14
+#: By how much the threshold is below the equal share of the bound; any number from 1 is right.
+SHARE = 8
 #: Items times documents whose sums a task holds at once, and entries of items that it adds at once.
 CELLS, ENTRIES = 1 << 20, 1 << 20
 #: Candidates that a task holds to let later documents rule them out.
@@ -250,7 +253,7 @@ def _best(postings: DataFrame, block: Block, k: int) -> DataFrame | None:
     added = F.sum(F.col("factor") * F.col("impact"))
     least = _kth(heads.join(lists, "term").groupBy("item", "row").agg(added.alias("low")), k, items)
 
-    threshold = np.maximum(1, -(-least // np.maximum(1, np.bincount(item, minlength=items))))
+    threshold = np.maximum(1, -(-least // (SHARE * np.maximum(1, np.bincount(item, minlength=items)))))
     unseen = np.minimum(threshold[item] - 1, factor * top[term])
     most = np.zeros(items, np.int64)
     np.add.at(most, item, unseen)
