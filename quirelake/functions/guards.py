@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quirelake.durable import durable
 from quirelake.functions import similar
 from quirelake.functions.lexicon import LOWERS, UPPERS
 from quirelake.functions.text import WS, casefold, count_of, is_blank, let, settle, strip, words
@@ -23,6 +24,8 @@ from quirelake.functions.text import WS, casefold, count_of, is_blank, let, sett
 QUOTES = "“”‘’«»"
 TOKENS = "".join(chr(0xE000 + i) for i in range(len(QUOTES)))
 LEAST_LENGTH, MOST_LENGTH, LEAST_SIMILARITY = 0.65, 1.45, 0.72
+#: Distinct words that are sent to every task to be looked up, at most.
+SENT_WORDS = 1_000_000
 #: Shortest word that has to be known.
 LEAST_WORD = 3
 
@@ -87,16 +90,24 @@ def new_words(pairs: DataFrame, key: str, original: str, output: str) -> DataFra
 
 
 def unknown_words(pairs: DataFrame, lexicon: DataFrame, key: str, original: str, output: str) -> DataFrame:
-    """Rows of :func:`new_words` that ``lexicon`` (word) doesn't have."""
-    return new_words(pairs, key, original, output).join(lexicon.select("word").distinct(), "word", "left_anti").select(key, "word", "extra")
+    """Rows of :func:`new_words` that ``lexicon`` (word) doesn't have.
+
+    The words to look up are few beside a lexicon, so these are what is sent to its scan,
+    if they are counted to be; only what it knows of them comes back.
+    """
+    found = durable(new_words(pairs, key, original, output).select(key, "word", "extra"))
+    asked = durable(found.select("word").distinct())
+    known = lexicon.select("word").join(F.broadcast(asked) if asked.count() <= SENT_WORDS else asked, "word", "left_semi").distinct()
+    return found.join(known, "word", "left_anti").select(key, "word", "extra")
 
 
-def decide(pairs: DataFrame, lexicon: DataFrame, key: str = "key", rules: str = "rules", answer: str = "answer") -> DataFrame:
+def decide(pairs: DataFrame, lexicon: DataFrame | None, key: str = "key", rules: str = "rules", answer: str = "answer") -> DataFrame:
     """``key, text, reject_reason``: the model's text where every guard holds, else the rules' text and why.
 
     ``pairs`` has the rules' text and the model's answer with quotes as tokens; a null
-    answer means that the model was not available or failed. ``key`` must be unique. The
-    first failing guard in the order below gives the reason.
+    answer means that the model was not available or failed. ``key`` must be unique. Without
+    a ``lexicon`` (word) there is no guard of words. The first failing guard in the order
+    below gives the reason.
     """
     base = pairs.select(key, F.col(rules).alias("rules"), F.col(answer).alias("answer"))
     r = F.col("rules")
@@ -107,7 +118,11 @@ def decide(pairs: DataFrame, lexicon: DataFrame, key: str = "key", rules: str =
     judged = let(restore_quotes(protect_quotes(r), F.col("answer")), lambda x: let(clean_output(x), lambda c: F.struct(c.alias("clean"), early(x, c).alias("early"))))
     base = settle(base, "j", judged).select(key, "rules", F.when(F.col("j.early").isNull(), F.col("j.clean")).alias("clean"), F.col("j.early").alias("early"))
     c = F.col("clean")
-    unknown = unknown_words(base.where(c.isNotNull() & (r != c)), lexicon, key, "rules", "clean").select(key).distinct().withColumn("unknown", F.lit(True))
-    checked = base.withColumn("ratio", similarity_or_bound(r, c)).join(unknown, key, "left")
+    checked = base.withColumn("ratio", similarity_or_bound(r, c))
+    if lexicon is None:
+        checked = checked.withColumn("unknown", F.lit(None).cast("boolean"))
+    else:
+        unknown = unknown_words(base.where(c.isNotNull() & (r != c)), lexicon, key, "rules", "clean").select(key).distinct().withColumn("unknown", F.lit(True))
+        checked = checked.join(unknown, key, "left")
     reason = F.coalesce("early", F.when(F.col("ratio") < LEAST_SIMILARITY, "similarity").when(~quotes_ok(r, c), "quotes").when(F.col("unknown"), "vocabulary").when(~case_ok(c), "case"))
     return checked.withColumn("reject_reason", reason).select(key, F.when(F.col("reject_reason").isNull(), c).when(F.col("reject_reason") == "blank", "").otherwise(r).alias("text"), "reject_reason")

@@ -5,26 +5,22 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.errors import ArchiveError
-from quirelake.operators.render import MIMETYPE, REQUIRED_FILES
-
-#: Fixed value: the date of every entry, so that equal books give equal bytes.
-ENTRY_DATE = (1980, 1, 1, 0, 0, 0)
-XML_SUFFIXES = (".xhtml", ".opf", ".xml")
+from quirelake.sinks.books import EntryCheck, StoredArchive
 
 
 def build_archive(files: Iterable[tuple[str, bytes]]) -> bytes:
     """A zip of (name, content) in order, everything stored."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name, content in files:
-            z.writestr(zipfile.ZipInfo(name, ENTRY_DATE), content)
+    z = StoredArchive(out)
+    for name, content in files:
+        z.add(name, content)
+    z.close()
     return out.getvalue()
 
 
@@ -37,18 +33,11 @@ def entries(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 def check_archive(data: bytes) -> None:
     """Raises ArchiveError unless the required entries are there, the type is right and every XML entry is well formed."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        if missing := sorted(set(REQUIRED_FILES) - set(names)):
-            raise ArchiveError(f"missing: {', '.join(missing)}")
-        if z.read("mimetype") != MIMETYPE.encode():
-            raise ArchiveError("wrong mimetype")
-        for name in names:
-            if name.endswith(XML_SUFFIXES):
-                try:
-                    ElementTree.fromstring(z.read(name))
-                except ElementTree.ParseError as e:
-                    raise ArchiveError(f"{name} is not well formed: {e}") from e
+    check = EntryCheck()
+    for name, content in entries(data):
+        check.see(name, content)
+    if (error := check.result()) is not None:
+        raise ArchiveError(error)
 
 
 def archives(files: DataFrame) -> DataFrame:
@@ -70,9 +59,3 @@ def archives(files: DataFrame) -> DataFrame:
 
     typed = files.select("book_id", "place", "name", F.col("content").cast("binary").alias("content"))
     return typed.groupBy("book_id").applyInPandas(one, f"book_id {kind}, archive binary, names array<string>, error string")
-
-
-def image_entries(images: DataFrame) -> DataFrame:
-    """``book_id, place, name, content`` of images (book_id, image_no, path, content); they follow the chapters."""
-    suffix = F.concat(F.lit("."), F.regexp_extract("path", r"\.([^./\\]+)\z", 1))
-    return images.select("book_id", (F.col("image_no") + (1 << 28)).alias("place"), F.concat(F.format_string("EPUB/images/image-%04d", "image_no"), suffix).alias("name"), "content")

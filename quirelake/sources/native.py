@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quirelake.errors import MissingDependency
 from quirelake.functions.text import is_blank, strip
 
+#: Pages of a book that a task draws.
+SPAN = 32
 RAW_BLOCKS = "book_id string, page_number int, width double, height double, block_no int, kind int, x0 double, y0 double, x1 double, y1 double, lines array<array<struct<text:string,font:string>>>"
 
 
@@ -43,7 +45,7 @@ def split_sidecar(texts: DataFrame, id_col: str = "book_id", text_col: str = "te
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """``book_id, content``: files of a folder, named by their path."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("book_id"), "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("book_id"), "content")
 
 
 def has_pdf_library() -> bool:
@@ -53,10 +55,10 @@ def has_pdf_library() -> bool:
 def scan_pdf(files: DataFrame) -> DataFrame:
     """Raw blocks (RAW_BLOCKS) of PDF files (book_id, content); pages without blocks have one row of kind -1.
 
-    Without the PDF library the result is empty, so that every page goes to OCR.
+    Raises without the PDF library.
     """
     if not has_pdf_library():
-        return files.sparkSession.createDataFrame([], RAW_BLOCKS)
+        raise MissingDependency("reading PDF files needs PyMuPDF")
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import fitz
@@ -105,6 +107,8 @@ def render_pages(files: DataFrame, dpi: int = 300, wanted: DataFrame | None = No
 
     if wanted is None:
         named = files.select("book_id", "content", F.lit(None).cast("array<int>").alias("numbers"))
-    else:  # the page numbers of a book, not its pages
-        named = files.select("book_id", "content").join(wanted.groupBy("book_id").agg(F.collect_set(F.col("page_number").cast("int")).alias("numbers")), "book_id")
+    else:  # the numbers of a range of pages go with the file, and ranges of a book to several tasks
+        span = F.floor((F.col("page_number") - 1) / SPAN).alias("span")
+        ranges = wanted.groupBy("book_id", span).agg(F.collect_set(F.col("page_number").cast("int")).alias("numbers"))
+        named = files.select("book_id", "content").join(ranges, "book_id").repartition("book_id", "span").select("book_id", "content", "numbers")
     return named.mapInPandas(step, "book_id string, page_number int, name string, image binary")

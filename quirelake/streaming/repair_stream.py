@@ -1,14 +1,13 @@
-"""Incremental repair: micro-batches of pages are repaired and upserted into a checkpoint table."""
+"""Incremental repair: micro-batches of pages are repaired and written as waves of a page log."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quirelake.functions.repair import repair
-from quirelake.operators.cache import merge
+from quirelake.operators.pagelog import PageLog
 
 PAGES = "source_hash string, page_number int, raw_text string"
 
@@ -18,25 +17,19 @@ def repaired_pages(pages: DataFrame, signature: str) -> DataFrame:
     return pages.select("source_hash", "page_number", "raw_text", repair(F.col("raw_text")).alias("repaired_text"), F.lit(signature).alias("repair_signature"))
 
 
-def upsert(batch: DataFrame, path: str) -> None:
-    """Replaces the pages of ``batch`` in the table at ``path``; of a page's repeats in one batch any one stays.
+def upsert(batch: DataFrame, path: str, stream: str, number: int) -> None:
+    """Writes the pages of a batch as a wave of the log at ``path``; of a page's repeats in one batch any one stays.
 
-    Only the sources of the batch are rewritten. A batch that runs twice gives the same
-    table, so a restarted query may repeat its last one.
+    A batch costs what it has, not what its books have. The stream's name and the batch's
+    number stand in the commit, so a batch that runs again after a crash is not written
+    twice, and one that was written but not committed doesn't count.
     """
-    spark = batch.sparkSession
-    new = batch.dropDuplicates(["source_hash", "page_number"])
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:  # the first batch makes the table
-        old = spark.createDataFrame([], new.schema)
-    touched = old.join(new.select("source_hash").distinct(), "source_hash", "left_semi").select(new.columns)
-    # Read before it is overwritten, so it is cut from its own files first.
-    merged = merge(touched, new).checkpoint(eager=True)
-    merged.write.mode("overwrite").partitionBy("source_hash").option("partitionOverwriteMode", "dynamic").parquet(path)
+    log = PageLog(batch.sparkSession, path)
+    log.write(batch.dropDuplicates(["source_hash", "page_number"]).withColumn("complete", F.lit(True)), stream, number)
+    log.compact()
 
 
 def start(pages: DataFrame, signature: str, path: str, progress_path: str) -> StreamingQuery:
-    """Runs over what there is and stops; ``progress_path`` is the stream's own checkpoint folder."""
+    """Runs over what there is and stops; ``progress_path`` is the stream's own checkpoint folder, and names it."""
     writer = repaired_pages(pages, signature).writeStream.option("checkpointLocation", progress_path).trigger(availableNow=True)
-    return writer.foreachBatch(lambda batch, _: upsert(batch, path)).start()
+    return writer.foreachBatch(lambda batch, number: upsert(batch, path, progress_path, number)).start()
