@@ -1,19 +1,21 @@
 """Guards on what a text model returns: each is a column expression, and one ``decide`` joins them.
 
-Only the similarity ratio needs Python: it is a pandas UDF (see ``similar``), and is computed
-only for rows that every cheaper guard has let through and whose letters alone don't rule
-them out.
+Two things need Python: the similarity (see ``similar``), computed only for rows that every
+cheaper guard has let through and only as far as its threshold needs, and the difference of
+two bags of words, which stay in their row so that no word is shuffled.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import and_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from quirelake.durable import durable
 from quirelake.functions import similar
@@ -74,19 +76,22 @@ def similarity(original: pd.Series, output: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def similarity_or_bound(original: pd.Series, output: pd.Series) -> pd.Series:
-    """The ratio, or its upper bound where that is below LEAST_SIMILARITY already; null if either is null."""
+    """A number that is below LEAST_SIMILARITY if and only if the ratio is, as soon as that is certain; null if either is null."""
+    return pd.Series([None if a is None or b is None else similar.decided(a, b, LEAST_SIMILARITY) for a, b in zip(original, output)], dtype="float64")
 
-    def one(a: str, b: str) -> float:
-        bound = similar.most(a, b)
-        return bound if bound < LEAST_SIMILARITY else similar.ratio(a, b)
 
-    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(original, output)], dtype="float64")
+@F.arrow_udf(ArrayType(StructType([StructField("word", StringType()), StructField("extra", LongType())])))
+def extra_words(output: pa.Array, original: pa.Array) -> pa.Array:
+    """Words of three letters or more that one bag has more often than the other, and how much; null bags are empty."""
+    bags = [Counter(o or ()) - Counter(i or ()) for o, i in zip(output.to_pylist(), original.to_pylist())]
+    rows = [[{"word": w, "extra": n} for w, n in bag.items() if len(w) >= LEAST_WORD] for bag in bags]
+    return pa.array(rows, pa.list_(pa.struct([("word", pa.string()), ("extra", pa.int64())])))
 
 
 def new_words(pairs: DataFrame, key: str, original: str, output: str) -> DataFrame:
-    """``key, word, extra``: words of three letters or more that the output has more often than the original."""
-    both = pairs.select(key, F.explode(letter_words(F.col(output))).alias("word"), F.lit(1).alias("n")).unionByName(pairs.select(key, F.explode(letter_words(F.col(original))).alias("word"), F.lit(-1).alias("n")))
-    return both.groupBy(key, "word").agg(F.sum("n").alias("extra")).where((F.col("extra") > 0) & (F.char_length("word") >= LEAST_WORD))
+    """``key, word, extra``: words of three letters or more that the output has more often than the original. Both bags stay in their row, nothing is shuffled."""
+    fresh = extra_words(letter_words(F.col(output)), letter_words(F.col(original)))
+    return pairs.select(key, F.explode(fresh).alias("w")).select(key, "w.word", "w.extra")
 
 
 def unknown_words(pairs: DataFrame, lexicon: DataFrame, key: str, original: str, output: str) -> DataFrame:
@@ -123,6 +128,7 @@ def decide(pairs: DataFrame, lexicon: DataFrame | None, key: str = "key", rules:
         checked = checked.withColumn("unknown", F.lit(None).cast("boolean"))
     else:
         unknown = unknown_words(base.where(c.isNotNull() & (r != c)), lexicon, key, "rules", "clean").select(key).distinct().withColumn("unknown", F.lit(True))
-        checked = checked.join(unknown, key, "left")
+        unknown = durable(unknown)
+        checked = checked.join(F.broadcast(unknown) if unknown.count() <= SENT_WORDS else unknown, key, "left")
     reason = F.coalesce("early", F.when(F.col("ratio") < LEAST_SIMILARITY, "similarity").when(~quotes_ok(r, c), "quotes").when(F.col("unknown"), "vocabulary").when(~case_ok(c), "case"))
     return checked.withColumn("reject_reason", reason).select(key, F.when(F.col("reject_reason").isNull(), c).when(F.col("reject_reason") == "blank", "").otherwise(r).alias("text"), "reject_reason")

@@ -3,13 +3,16 @@
 The ratio counts the characters of the longest common part (the leftmost one in the first
 text, then in the second), and of the parts left and right of it in the same way. The
 library finds such a part by going through all equal characters, which grows with the
-product of the lengths; here it is found by halving the length and comparing hashes of all
-parts of one length, in numpy. Short parts go to the library itself.
+product of the lengths; here it is found by doubling the length as long as parts of it are
+common, comparing hashes of the parts that are left, in numpy. Short parts go to the library
+itself. Where only a threshold matters, parts are taken largest first and the search stops as
+soon as the sum found passes it, or what the letters of the parts to come allow can't reach it.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
 import numpy as np
 
@@ -29,31 +32,59 @@ class _Hashes:
     def __init__(self, text: str):
         self.levels = [_mixed((np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * _A)]
 
-    def parts(self, low: int, high: int, length: int) -> np.ndarray:
-        """A hash of each part of a length that lies from low to high: those of the two powers of two that cover it."""
-        k = length.bit_length() - 1
+    def level(self, k: int) -> np.ndarray:
+        """Hashes of the parts of length 2**k by their start."""
         while len(self.levels) <= k:
             last, step = self.levels[-1], 1 << (len(self.levels) - 1)
             self.levels.append(_mixed(last[:-step] * _A + last[step:]))
-        n, level = high - low - length + 1, self.levels[k]
-        return _mixed(level[low : low + n] * _A + level[low + length - (1 << k) : low + length - (1 << k) + n])
+        return self.levels[k]
+
+    def parts(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """A hash of each part of a length: those of the two powers of two that cover it."""
+        k = length.bit_length() - 1
+        level = self.level(k)
+        return _mixed(level[starts] * _A + level[starts + (length - (1 << k))])
 
 
 def _longest(a: _Hashes, b: _Hashes, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
     """(start in a, start in b, length) of the longest common part, leftmost in a, then in b."""
-
-    def common(length: int) -> np.ndarray:
-        return np.isin(a.parts(alo, ahi, length), b.parts(blo, bhi, length))
-
-    low, high = 0, min(ahi - alo, bhi - blo)
-    while low < high:  # every shorter length has a common part, too
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if common(middle).any() else (low, middle - 1)
+    x, y = np.arange(alo, ahi), np.arange(blo, bhi)  # starts of parts that are common so far
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = x[x <= ahi - length], y[y <= bhi - length]
+        p, q = a.parts(i, length), b.parts(j, length)
+        i = i[np.isin(p, q)]
+        return i, j[np.isin(q, p)] if len(i) else j[:0]
+
+    low = 0
+    while True:  # a part of twice the length begins where one of the length does
+        i, j = common(max(1, 2 * low))
+        if not len(i):
+            break
+        x, y, low = i, j, max(1, 2 * low)
     if not low:
         return alo, blo, 0
-    i = int(common(low).argmax())
-    wanted = a.parts(alo, ahi, low)[i]
-    return alo + i, blo + int((b.parts(blo, bhi, low) == wanted).argmax()), low
+    high = min(2 * low - 1, ahi - alo, bhi - blo)
+    while low < high:  # every shorter length has a common part, too
+        middle = (low + high + 1) // 2
+        i, j = common(middle)
+        if len(i):
+            x, y, low = i, j, middle
+        else:
+            high = middle - 1
+    first = int(x[0])
+    wanted = a.parts(x[:1], low)[0]
+    return first, int(y[(b.parts(y, low) == wanted).argmax()]), low
+
+
+def _pieces(a: str, b: str, ha: _Hashes, hb: _Hashes, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Characters that match for certain between two parts, and the parts that are left to look at."""
+    if alo == ahi or blo == bhi:
+        return 0, []
+    if (ahi - alo) * (bhi - blo) <= SMALL:
+        return sum(m.size for m in SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks()), []
+    i, j, k = _longest(ha, hb, alo, ahi, blo, bhi)
+    return (k, [(alo, i, blo, j), (i + k, ahi, j + k, bhi)]) if k else (0, [])
 
 
 def matched(a: str, b: str) -> int:
@@ -63,16 +94,9 @@ def matched(a: str, b: str) -> int:
     ha, hb = _Hashes(a), _Hashes(b)
     total, todo = 0, [(0, len(a), 0, len(b))]
     while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        if alo == ahi or blo == bhi:
-            continue
-        if (ahi - alo) * (bhi - blo) <= SMALL:
-            total += sum(m.size for m in SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks())
-            continue
-        i, j, k = _longest(ha, hb, alo, ahi, blo, bhi)
-        if k:
-            total += k
-            todo += [(alo, i, blo, j), (i + k, ahi, j + k, bhi)]
+        found, more = _pieces(a, b, ha, hb, *todo.pop())
+        total += found
+        todo += more
     return total
 
 
@@ -83,10 +107,37 @@ def ratio(a: str, b: str) -> float:
     return 2.0 * matched(a, b) / (len(a) + len(b))
 
 
-def most(a: str, b: str) -> float:
-    """What the ratio can't exceed: as if every character of the one that the other has matched."""
+def _codes(*texts: str) -> list[np.ndarray]:
+    """The texts as numbers of their distinct characters."""
+    raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    _, codes = np.unique(np.concatenate(raw), return_inverse=True)
+    return np.split(codes, np.cumsum([len(r) for r in raw])[:-1])
+
+
+def decided(a: str, b: str, least: float) -> float:
+    """A number that is below ``least`` if and only if :func:`ratio` is: the ratio of what is found, or of what could be, when either decides."""
     if a == b:
         return 1.0
-    x, y = (np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True) for t in (a, b))
-    _, ix, iy = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    return 2.0 * float(np.minimum(x[1][ix], y[1][iy]).sum()) / (len(a) + len(b))
+    n = len(a) + len(b)
+    if a in b or b in a:
+        return 2.0 * min(len(a), len(b)) / n
+    x, y = _codes(a, b)
+    letters = int(max(x.max(initial=0), y.max(initial=0))) + 1
+
+    def bound(alo: int, ahi: int, blo: int, bhi: int) -> int:
+        return int(np.minimum(np.bincount(x[alo:ahi], minlength=letters), np.bincount(y[blo:bhi], minlength=letters)).sum())
+
+    found, whole = 0, (0, len(a), 0, len(b))
+    open_ = bound(*whole)
+    todo = [(-open_, whole)]
+    ha, hb = _Hashes(a), _Hashes(b)
+    while todo and 2.0 * found / n < least <= 2.0 * (found + open_) / n:
+        most_here, part = heappop(todo)
+        open_ += most_here
+        more, parts = _pieces(a, b, ha, hb, *part)
+        found += more
+        for p in parts:
+            if can := bound(*p):
+                open_ += can
+                heappush(todo, (-can, p))
+    return 2.0 * found / n if 2.0 * found / n >= least else 2.0 * (found + open_) / n

@@ -25,6 +25,11 @@ def repair_signature(settings: Mapping[str, object]) -> str:
     return sha256(f"{RULES_VERSION}|{json.dumps(dict(settings), separators=(',', ':'), ensure_ascii=False, default=str)}".encode()).hexdigest()
 
 
+def signature_of(settings: Column) -> Column:
+    """:func:`repair_signature` of a struct of settings in each row; null settings stand as JSON's null."""
+    return F.sha2(F.concat(F.lit(f"{RULES_VERSION}|"), F.to_json(settings, {"ignoreNullFields": "false"})), 256)
+
+
 def repaired_blocks(blocks: Column) -> Column:
     """Array of block structs with repaired text; tables and verse keep their lines."""
     return F.transform(blocks, lambda b: b.withField("text", repair(b["text"], F.coalesce(b["role"].isin("table", "poetry"), F.lit(False)))))

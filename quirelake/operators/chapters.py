@@ -1,4 +1,11 @@
-"""Chapters: ordered blocks of a book become numbered chapters by a window over the total order."""
+"""Chapters: ordered blocks of a book become numbered chapters.
+
+A book's pages are parted into ranges. Within a range a window over its blocks counts the
+headings and the chapters that have a body; a range's totals, one row, say what it hands on:
+its last title, how many chapters it has, and whether its first blocks go on with a chapter
+that has begun before. Only these rows are scanned book by book, so the pages of a giant
+book are spread over all tasks.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.text import is_blank
 from quirelake.operators.layout import heading_of
+from quirelake.operators.ranges import running, span_of
 
 ORDER = ("page_number", "block_no")
 
@@ -19,10 +27,27 @@ def chapter_blocks(blocks: DataFrame) -> DataFrame:
     first line; the rest of it is lost); of headings with nothing between them the last
     counts, and one with nothing after it is lost.
     """
-    upto = Window.partitionBy("book_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    marked = blocks.where(~is_blank(F.col("text"))).withColumn("heading", heading_of(F.col("text"), F.col("role")))
-    body = marked.withColumn("segment", F.count("heading").over(upto)).withColumn("chapter_title", F.last("heading", ignorenulls=True).over(upto)).where("heading IS NULL")
-    return body.withColumn("chapter_no", F.dense_rank().over(Window.partitionBy("book_id").orderBy("segment")).cast("int")).drop("heading", "segment")
+    book = ["book_id", "_span"]
+    here = Window.partitionBy(*book).orderBy(*ORDER)
+    upto, earlier = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    marked = blocks.where(~is_blank(F.col("text"))).withColumn("heading", heading_of(F.col("text"), F.col("role"))).withColumn("_span", span_of(F.col("page_number")))
+    body, at = F.col("heading").isNull(), F.struct(*ORDER)
+    parted = marked.withColumn("_segment", F.count("heading").over(upto)).withColumn("_opened", F.last("heading", ignorenulls=True).over(upto))
+    last_body = F.last(F.when(body, F.col("_segment")), ignorenulls=True).over(earlier)
+    opens = body & (last_body.isNull() | (last_body < F.col("_segment")))
+    ranked = parted.withColumn("_opens", opens.cast("int")).withColumn("_rank", F.sum("_opens").over(upto))
+
+    totals = ranked.groupBy(*book).agg(
+        F.max("_rank").alias("chapters"), F.max_by("heading", F.when(~body, at)).alias("title"), F.max(F.when(~body, at)).alias("heading_at"), F.max(F.when(body, at)).alias("body_at"), F.bool_or(body & (F.col("_segment") == 0)).alias("goes_on")
+    )
+    before = Window.partitionBy("book_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    heading_at, body_at = F.max("heading_at").over(before), F.max("body_at").over(before)
+    within = F.coalesce(F.col("goes_on") & (heading_at.isNull() | (body_at > heading_at)) & body_at.isNotNull(), F.lit(False)).cast("int")
+    totals = totals.withColumn("_within", within).withColumn("_title", F.last("title", ignorenulls=True).over(before))
+    firsts = totals.select(*book, "_title", (F.coalesce(F.sum(F.col("chapters") - F.col("_within")).over(before), F.lit(0)) - F.col("_within")).alias("_first"))
+
+    numbered = ranked.where(body).join(firsts, book)
+    return numbered.withColumn("chapter_title", F.coalesce("_opened", "_title")).withColumn("chapter_no", (F.col("_first") + F.col("_rank")).cast("int")).drop("heading", "_span", "_segment", "_opened", "_opens", "_rank", "_title", "_first")
 
 
 def titled_blocks(blocks: DataFrame, books: DataFrame) -> DataFrame:
@@ -44,13 +69,11 @@ def chapters(blocks: DataFrame, books: DataFrame) -> DataFrame:
 
 def image_offsets(counts: DataFrame) -> DataFrame:
     """``counts`` (book_id, chapter_no, n_images) with the number of images in the book's earlier chapters."""
-    before = Window.partitionBy("book_id").orderBy("chapter_no").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("image_offset", F.coalesce(F.sum("n_images").over(before), F.lit(0)))
+    return running(counts, "book_id", "chapter_no", F.col("n_images"), "image_offset")
 
 
 def progress(pages: DataFrame) -> DataFrame:
     """``book_id, page_number, percent, step``: whole percent done after each page and the change since the page before."""
-    order = Window.partitionBy("book_id").orderBy("page_number")
-    done = F.row_number().over(order)
-    percent = F.floor(done / F.greatest(F.count("*").over(Window.partitionBy("book_id")), F.lit(1)) * 100).cast("int")
-    return pages.select("book_id", "page_number", percent.alias("percent")).withColumn("step", F.col("percent") - F.coalesce(F.lag("percent").over(order), F.lit(0)))
+    numbered = running(pages.select("book_id", "page_number"), "book_id", "page_number", F.lit(1), "_before", "_all")
+    percent = lambda done: F.floor(done / F.greatest(F.col("_all"), F.lit(1)) * 100).cast("int")
+    return numbered.select("book_id", "page_number", percent(F.col("_before") + 1).alias("percent"), (percent(F.col("_before") + 1) - percent(F.col("_before"))).alias("step"))

@@ -99,9 +99,13 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of three settings: SHA-256 of version, bar and compact JSON."""
-    made = [(i, cache.repair_signature({"model": m, "timeout": 120})) for i, m in enumerate(("a", "b", "ü"))]
-    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(s).alias("signature")) for i, s in made])).alias("s")).select("s.*")
+    """Signatures of the settings that each customer's row makes: some have no key, names have quotes and letters beyond ASCII."""
+    c, key = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    settings = F.struct(
+        F.element_at(F.array(F.lit("rule"), F.lit("ollama")), (key % 2 + 1).cast("int")).alias("provider"), F.when(key % 3 == 0, F.concat(F.lit('k"'), F.col("c_nationkey").cast("string"))).alias("api_key"),
+        F.concat(F.lit("ü "), F.col("c_name")).alias("model"), (key % 600).cast("long").alias("timeout_seconds"),
+    )
+    return c.select(key.cast("long").alias("c_custkey"), cache.signature_of(settings).alias("signature"))
 
 
 def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +122,7 @@ def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = fixtures.sized_blocks(spark, sf_dir)
-    kept = layout.drop_headers(sized, layout.repeated_margins(sized, fixtures.pages(spark, sf_dir)))
+    kept = layout.drop_headers(sized, layout.repeated_margins(sized, fixtures.book_pages(spark, sf_dir)))
     return kept.withColumn("role", layout.block_role(F.col("text"), F.col("y0"), F.col("height"))).select("book_id", "page_number", "block_no", "text", "role", (F.col("block_no") % 10 == 3).alias("bold"), (F.col("block_no") % 10 == 4).alias("italic"))
 
 
@@ -181,8 +185,8 @@ def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture from every document of each book."""
     kinds = F.array(*[F.lit(x) for x in ("a.png", "b.JPG", "c.gif", "d", "e.svg")])
-    """A picture from every page of each book."""
     p = fixtures.pages(spark, sf_dir)
     return p.select("book_id", F.col("page_number").cast("int").alias("image_no"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("path"), F.lit(None).cast("string").alias("media_type"))
 
@@ -291,9 +295,9 @@ def _page(title: str, body: str, attributes: str, css: str, language: str = _esc
 
 
 CHAPTER_NAME = f"'chapter-' || {_no('chapter_no')}"
-PICTURES = "pictures AS (SELECT book_id, page_number AS image_no, ['a.png', 'b.JPG', 'c.gif', 'd', 'e.svg'][doc_id % 5 + 1] AS path FROM pages0)"
+PICTURES = "pictures AS (SELECT book_id, k AS image_no, ['a.png', 'b.JPG', 'c.gif', 'd', 'e.svg'][doc_id % 5 + 1] AS path FROM docs0)"
 MIME = "CASE WHEN lower(path) LIKE '%.jpg' THEN 'image/jpeg' WHEN path LIKE '%.gif' THEN 'image/gif' WHEN path LIKE '%.svg' THEN 'image/svg+xml' ELSE 'image/png' END"
-SUFFIX = "'.' || CASE WHEN contains(path, '.') THEN string_split(path, '.')[2] ELSE '' END"
+SUFFIX = "CASE WHEN contains(path, '.') THEN '.' || string_split(path, '.')[2] ELSE '' END"
 ITEMS = f"""items AS (
   SELECT book_id, CAST(0 AS BIGINT) AS kind, CAST(0 AS BIGINT) AS n, 'nav' AS item_id, 'nav.xhtml' AS href, 'application/xhtml+xml' AS media_type, 'nav' AS properties FROM books
   UNION ALL SELECT book_id, 0, 1, 'css', 'styles/book.css', 'text/css', NULL FROM books
@@ -357,7 +361,8 @@ ORACLES = {
         CAST(CASE WHEN ck.n IS NULL OR ck.n % 11 = 0 THEN 0 WHEN ck.n % 5 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_blocks, CASE WHEN ck.n % 11 = 0 THEN NULL WHEN same AND ck.n % 5 = 0 THEN ck.text || ' stored' WHEN same THEN lower(ck.text) ELSE f.text END AS text,
         CASE WHEN ck.n % 11 <> 0 THEN 'paragraph' END AS role, CASE WHEN ck.n % 11 <> 0 THEN ck.n % 5 <> 0 AND ck.n % 3 = 0 END AS bold, CASE WHEN ck.n % 11 <> 0 THEN false END AS italic
       FROM pg LEFT JOIN ck ON ck.book_id = pg.book_id AND ck.n = pg.n LEFT JOIN fixed f ON f.book_id = pg.book_id AND f.n = pg.n""",
-    "signatures": """SELECT CAST(id AS BIGINT) AS id, sha256('4|{"model":"' || m || '","timeout":120}') AS signature FROM (VALUES (0, 'a'), (1, 'b'), (2, 'ü')) v(id, m)""",
+    "signatures": """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, sha256('4|{"provider":"' || ['rule', 'ollama'][c_custkey % 2 + 1] || '","api_key":' || CASE WHEN c_custkey % 3 = 0 THEN '"k\\"' || c_nationkey || '"' ELSE 'null' END
+      || ',"model":"ü ' || c_name || '","timeout_seconds":' || c_custkey % 600 || '}') AS signature FROM customer""",
     "state_documents": f"WITH {CHECKPOINT} SELECT book_id AS source_hash, count(*) AS pages, CAST(sum(length(raw)) AS BIGINT) AS raw_chars, count(*) FILTER (WHERE n % 11 <> 0) AS complete FROM ck GROUP BY 1",
     "toc": f"WITH {ROLES_SQL}, {_repaired('roled')}, {_chaptered('fixed')} SELECT book_id, chapter_no, title, n_blocks, n_chars FROM chapters",
     "chapter_split": f"WITH {ROLES_SQL}, {_chaptered('roled')} SELECT book_id, page_number, block_no, chapter_no, chapter_title FROM body",

@@ -5,10 +5,14 @@ Each has an SQL statement that DuckDB runs to the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.operators.ranges import running
+
 HEIGHT, WIDTH = 840, 600
+#: Document numbers in a range of a book's pages.
+DOCUMENTS = 8192
 #: What kind 7 puts after a sentence.
 BROKEN_TURKISH = ". © Bug ün i çin k itap\tdegil ol du "
 
@@ -46,23 +50,33 @@ DAMAGED_SQL = """damaged AS (
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, page_number, width, height, doc_id, text``: a book for each source, a page for each document."""
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
-    return documents(spark, sf_dir).select(F.col("source").alias("book_id"), number.alias("page_number"), F.lit(WIDTH).cast("long").alias("width"), F.lit(HEIGHT).cast("long").alias("height"), "doc_id", "text")
+    d = documents(spark, sf_dir).select(F.col("source").alias("book_id"), "doc_id", "text")
+    numbered = running(d, "book_id", "doc_id", F.lit(1), "_before", span=DOCUMENTS)
+    return numbered.select("book_id", (F.col("_before") + 1).alias("page_number"), F.lit(WIDTH).cast("long").alias("width"), F.lit(HEIGHT).cast("long").alias("height"), "doc_id", "text")
+
+
+def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`pages`, after every nine of them one page more that has neither document nor text, so that every tenth page of a book is blank."""
+    page = lambda number, doc, text: F.struct(number.alias("page_number"), doc.alias("doc_id"), text.alias("text"))
+    number = F.col("page_number") + F.floor((F.col("page_number") - 1) / 9)
+    own, blank = page(number, F.col("doc_id"), F.col("text")), page(number + 1, F.lit(None).cast("long"), F.lit(None).cast("string"))
+    both = F.when(F.col("page_number") % 9 == 0, F.array(own, blank)).otherwise(F.array(own))
+    return pages(spark, sf_dir).select("book_id", "width", "height", F.explode(both).alias("p")).select("book_id", "p.page_number", "width", "height", "p.doc_id", "p.text")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, page_number, block_no, text, x0, y0, x1, y1``: lines as blocks with running headers, page numbers, chapter heads, tables and notes put in.
 
     One pass: a page makes an array of its blocks, which is then spread into rows. Pages are
-    dealt out by book and number first, so that a book with most of the pages isn't one task.
+    dealt out by book and range of numbers, so that a book with most of the pages isn't one task.
     """
     page, doc = F.col("page_number"), F.col("doc_id")
-    base = pages(spark, sf_dir).repartition("book_id", "page_number").withColumn("lines", F.split("text", "\n"))
+    base = book_pages(spark, sf_dir).withColumn("lines", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))
     n = F.size("lines").cast("long")
     long = lambda v: v.cast("long") if isinstance(v, Column) else F.lit(v).cast("long")
     block = lambda no, text, x0, y0, x1, y1: F.struct(long(no).alias("block_no"), text.alias("text"), *[long(v).alias(k) for k, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
     text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
-    full, two = page % 10 != 0, doc % 5 == 0
+    full, two = page % 10 != 0, F.coalesce(doc % 5 == 0, F.lit(False))
     down = lambda k: F.floor(k * 480 / n)
     line = lambda x, k: block(k + 2, x, F.when(two & (k % 2 == 1), 330).otherwise(30), down(k) + 160, F.when(two & (k % 2 == 0), 270).otherwise(570), down(k + 1) + 160)
     fixed = (
@@ -73,7 +87,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(True), block(9999, text("- ", page, " -"), 290, 800, 310, 820)),
     )
     put_in = F.filter(F.array(*[F.when(wanted, b) for wanted, b in fixed]), lambda b: b.isNotNull())
-    every = F.concat(put_in, F.when(full, F.transform("lines", line)).otherwise(F.slice(F.transform("lines", line), 1, 0)))
+    every = F.concat(put_in, F.transform("lines", line))
     return base.select("book_id", "page_number", F.explode(every).alias("b")).select("book_id", "page_number", "b.*")
 
 
@@ -81,10 +95,12 @@ def sized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).withColumns({"width": F.lit(WIDTH).cast("long"), "height": F.lit(HEIGHT).cast("long")})
 
 
-BLOCKS_SQL = """pages0 AS (
-  SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, doc_id, string_split(text, chr(10)) AS lines FROM documents
+BLOCKS_SQL = """docs0 AS (
+  SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, doc_id, string_split(text, chr(10)) AS lines FROM documents
+), pages0 AS (
+  SELECT book_id, k + (k - 1) // 9 AS page_number, doc_id, lines FROM docs0 UNION ALL SELECT book_id, k + (k - 1) // 9 + 1, NULL, [] FROM docs0 WHERE k % 9 = 0
 ), lines0 AS (
-  SELECT *, unnest(generate_series(1, len(lines))) AS i, len(lines) AS n FROM pages0 WHERE page_number % 10 <> 0
+  SELECT *, unnest(generate_series(1, len(lines))) AS i, len(lines) AS n FROM pages0
 ), blocks AS (
   SELECT book_id, page_number, i + 1 AS block_no, lines[i] AS text, CASE WHEN doc_id % 5 = 0 AND i % 2 = 0 THEN 330 ELSE 30 END AS x0,
          (i - 1) * 480 // n + 160 AS y0, CASE WHEN doc_id % 5 = 0 AND i % 2 = 1 THEN 270 ELSE 570 END AS x1, i * 480 // n + 160 AS y1 FROM lines0

@@ -66,12 +66,12 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.repeated_margins(fixtures.sized_blocks(spark, sf_dir), fixtures.pages(spark, sf_dir))
+    return layout.repeated_margins(fixtures.sized_blocks(spark, sf_dir), fixtures.book_pages(spark, sf_dir))
 
 
 def header_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = fixtures.sized_blocks(spark, sf_dir)
-    return layout.drop_headers(b, layout.repeated_margins(b, fixtures.pages(spark, sf_dir))).select(*ID, "text")
+    return layout.drop_headers(b, layout.repeated_margins(b, fixtures.book_pages(spark, sf_dir))).select(*ID, "text")
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +79,12 @@ def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.analyse(fixtures.blocks(spark, sf_dir), fixtures.pages(spark, sf_dir))[1]
+    return layout.analyse(fixtures.blocks(spark, sf_dir), fixtures.book_pages(spark, sf_dir))[1]
 
 
 def needs_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd-numbered sources lose their page 10s' blankness, so both answers occur; one more book has no page at all."""
-    flags = layout.analyse(fixtures.blocks(spark, sf_dir), fixtures.pages(spark, sf_dir))[1]
+    flags = layout.analyse(fixtures.blocks(spark, sf_dir), fixtures.book_pages(spark, sf_dir))[1]
     books = fixtures.books(spark, sf_dir).select("book_id").unionByName(spark.range(1).select(F.lit("no pages").alias("book_id")))
     return layout.books_needing_ocr(books, flags.where(~(F.col("is_blank") & (F.char_length("book_id") == 4))))
 
@@ -104,8 +104,8 @@ def poetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank pages with the image that stands at their place."""
-    flags = layout.analyse(fixtures.blocks(spark, sf_dir), fixtures.pages(spark, sf_dir))[1]
-    images = fixtures.pages(spark, sf_dir).select("book_id", (F.col("page_number") - 1).alias("place"), F.concat(F.lit("rendered_"), F.format_string("%05d", "page_number"), F.lit(".png")).alias("image"))
+    flags = layout.analyse(fixtures.blocks(spark, sf_dir), fixtures.book_pages(spark, sf_dir))[1]
+    images = fixtures.book_pages(spark, sf_dir).select("book_id", (F.col("page_number") - 1).alias("place"), F.concat(F.lit("rendered_"), F.format_string("%05d", "page_number"), F.lit(".png")).alias("image"))
     return flags.where("is_blank").join(images.withColumn("page_number", F.col("place") + 1), ["book_id", "page_number"]).select("book_id", "page_number", "image")
 
 

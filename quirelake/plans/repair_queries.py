@@ -139,17 +139,22 @@ def r5_sql(t: str) -> str:
     return once(once(t))
 
 
-def _steps(*names: str) -> str:
+def _steps(*names: str, first: str = "input", keys: str = "doc_id", last_select: str = "SELECT doc_id, text FROM {last}") -> str:
     """One CTE for each rule, so that a text is computed once."""
     by_name = {"r1": r1_sql, "r2": r2_sql, "r3": r3_sql, "r4": r4_sql, "r5": r5_sql, "r6": r6_sql, "r7": r7_sql, "r8": r8_sql, "blanks": lambda t: _replace(f"replace({t}, chr(160), ' ')", r"[ \t]{2,}", " "), "strip": _strip}
-    out, last = f"WITH {INPUT}", "input"
+    out, last = f"WITH {INPUT}{'' if first == 'input' else PARAGRAPHS}", first
     for k, n in enumerate(names):
-        out += f", s{k} AS MATERIALIZED (SELECT doc_id, {by_name[n]('text')} AS text FROM {last})"
+        out += f", s{k} AS MATERIALIZED (SELECT {keys}, {by_name[n]('text')} AS text FROM {last})"
         last = f"s{k}"
-    return f"{out} SELECT doc_id, text FROM {last}"
+    return f"{out} {last_select.format(last=last)}"
 
 
+#: The paragraphs of each text with their places.
+PARAGRAPHS = f", parted AS (SELECT doc_id, string_split_regex(text, '\\n{SPACE}*\\n') AS p FROM input), paragraphs AS (SELECT doc_id, i AS place, p[i] AS text FROM parted, unnest(generate_series(1, len(p))) u(i))"
+_CHAIN = ("r1", "r2", "r3", "r4", "r5", "r6", "r7", "r8", "r4", "strip")
 ORACLES = {
     "r1_phrases": _steps("r1"), "r2_hyphens": _steps("r2"), "r3_confusions": _steps("r3"), "r4_space": _steps("r4"), "r4_space_kept": _steps("blanks"), "r5_merge": _steps("r5"), "r6_punctuation": _steps("r6"), "r7_artifacts": _steps("r7"), "r8_paragraphs": _steps("r8"),
-    "repair_full": _steps("r1", "r2", "r3", "r4", "r5", "r6", "r7", "r8", "r4", "strip"), "repair_keep_lines": _steps("r1", "r2", "r3", "blanks", "r5", "r6", "r7", "r8", "blanks", "strip"),
+    "repair_full": _steps(*_CHAIN),
+    "repair_keep_paragraphs": _steps(*_CHAIN, first="paragraphs", keys="doc_id, place", last_select="SELECT doc_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY place) FILTER (WHERE text <> ''), '') AS text FROM {last} GROUP BY doc_id"),
+    "repair_keep_lines": _steps("r1", "r2", "r3", "blanks", "r5", "r6", "r7", "r8", "blanks", "strip"),
 }

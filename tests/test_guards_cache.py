@@ -72,7 +72,27 @@ def test_matcher_is_the_librarys(monkeypatch):
             b[at : at + r.randint(0, 3)] = [r.choice(letters) for _ in range(r.randint(0, 3))]
         b = "".join(b)
         want = SequenceMatcher(None, a, b, autojunk=False).ratio()
-        assert similar.ratio(a, b) == pytest.approx(want, abs=1e-12) and similar.most(a, b) >= want - 1e-12
+        assert similar.ratio(a, b) == pytest.approx(want, abs=1e-12)
+        for least in (0.3, 0.72, want):
+            assert (similar.decided(a, b, least) < least) == (want < least)
+
+
+def test_long_texts_are_decided_early():
+    """Shuffled words have every letter in common; whole texts near the threshold are decided rightly."""
+    import random
+    import time
+
+    from quirelake.functions import similar
+
+    r = random.Random(2)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    text = [r.choice(words) for _ in range(16_000)]
+    a, b = " ".join(text), " ".join(r.sample(text, len(text)))
+    began = time.process_time()
+    assert similar.decided(a, b, 0.72) < 0.72 and time.process_time() - began < 1.5 and len(a) > 90_000
+    for cut in (10_000, 30_000, 60_000):
+        c = a[:cut] + b[: len(a) - cut]
+        assert (similar.decided(a[:40_000], c[:40_000], 0.72) < 0.72) == (similar.ratio(a[:40_000], c[:40_000]) < 0.72)
 
 
 def test_similarity_of_whole_documents(spark, sf_dir):
@@ -185,6 +205,15 @@ def test_signatures():
     assert cache.repair_signature({"model": "m", "timeout": 1}) != cache.repair_signature({"model": "m", "timeout": 2})
 
 
+def test_signatures_of_rows(spark):
+    from dataclasses import asdict
+
+    s = ModelSettings(model='a "b" ü', command=("x", "y"), api_key=None)
+    kinds = "provider string, base_url string, api_key string, model string, command array<string>, timeout_seconds int"
+    rows = spark.createDataFrame([(tuple(asdict(s).values()),)], f"s struct<{', '.join(k.replace(' ', ':', 1) for k in kinds.split(', '))}>")
+    assert rows.select(cache.signature_of(F.col("s")).alias("x")).first().x == cache.repair_signature(asdict(s))
+
+
 def test_state_round_trip(spark, tmp_path):
     table = spark.createDataFrame([page(2, "a", [("x", "table")]), page(10, "a", []), page(1, None, [])], SCHEMA)
     (row,) = state.state_json(table).collect()
