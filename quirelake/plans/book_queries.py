@@ -109,12 +109,11 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and characters in each book's state document, read back from its JSON."""
-    from quirelake.sources.state import state_json
+    """Pages and characters in each book's state document, written as JSON and read back page by page."""
+    from quirelake.sources.state import state_json, state_pages
 
-    j = state_json(checkpoint(spark, sf_dir))
-    pages = F.map_values(F.from_json(F.get_json_object("json", "$.pages"), "map<string,struct<page_number:long,raw_text:string,complete:boolean>>"))
-    return j.select("source_hash", F.size(pages).cast("long").alias("pages"), F.aggregate(pages, F.lit(0).cast("long"), lambda a, p: a + F.char_length(p["raw_text"])).alias("raw_chars"), F.size(F.filter(pages, lambda p: p["complete"])).cast("long").alias("complete"))
+    rows = state_pages(state_json(checkpoint(spark, sf_dir)).select(F.col("json").alias("value")))
+    return rows.groupBy("source_hash").agg(F.count("*").alias("pages"), F.sum(F.char_length("raw_text")).alias("raw_chars"), F.count_if("complete").alias("complete"))
 
 
 # --- chapters and markup ---------------------------------------------------------------

@@ -6,20 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = "struct<text:string,role:string,bold:boolean,italic:boolean>"
-PAGE = f"struct<page_number:int,raw_text:string,repaired_text:string,layout:string,blocks:array<{BLOCK}>,raw_blocks:array<{BLOCK}>,repair_signature:string,complete:boolean>"
 COLUMNS = ("page_number", "raw_text", "repaired_text", "layout", "blocks", "raw_blocks", "repair_signature", "complete")
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Checkpoint rows of state files: one for each page.
+def state_pages(documents: DataFrame, errors: bool = False) -> DataFrame:
+    """Checkpoint rows of state documents (``value``): one for each page.
 
-    The page's number is its key. Pages that aren't objects are left out; the files' own
-    source hash is taken as it stands.
+    A document is parsed once, as a variant, and each page and field of it by itself: what has
+    another type than it should is null, its page incomplete, so that it is made again, and
+    all other pages stay as they are. The page's number is its key. Pages that aren't objects
+    are left out, and so are texts that aren't JSON; with ``errors`` both have rows, too,
+    and a column says what is wrong with a row.
     """
-    files = spark.read.text(path, wholetext=True)
-    raw = files.select(F.from_json("value", "struct<source_hash:string,pages:map<string,string>>").alias("s")).select("s.source_hash", F.explode("s.pages").alias("key", "page"))
-    pages = raw.where(F.startswith(F.ltrim("page"), F.lit("{"))).select("source_hash", F.col("key").cast("int").alias("page_number"), F.from_json("page", PAGE).alias("p"))
-    return pages.select("source_hash", "page_number", *[F.col(f"p.{c}").alias(c) for c in COLUMNS[1:-1]], F.coalesce("p.complete", F.lit(True)).alias("complete"))
+    parsed = documents.select(F.try_parse_json("value").alias("v"))
+    book = parsed.select("v", F.try_variant_get("v", "$.source_hash", "string").alias("source_hash"), F.try_variant_get("v", "$.pages", "map<string,variant>").alias("pages"))
+    each = book.select("source_hash", F.explode_outer("pages").alias("key", "page"), F.when(F.col("v").isNull(), "not JSON").when(F.col("pages").isNull(), "no pages").alias("wrong"))
+    kinds = {c.split(":", 1)[0]: c.split(":", 1)[1] for c in ("raw_text:string", "repaired_text:string", "layout:string", f"blocks:array<{BLOCK}>", f"raw_blocks:array<{BLOCK}>", "repair_signature:string", "complete:boolean")}
+    shape = F.schema_of_variant
+    is_object = F.startswith(shape(F.col("page")), F.lit("OBJECT"))
+    given = {c: F.variant_get("page", f"$.{c}", "variant") for c in kinds}
+    # Anything can be read as a string, so a text must be one.
+    typed = {c: F.when((shape(given[c]) == "STRING") if kind == "string" else F.lit(True), F.try_variant_get("page", f"$.{c}", kind)) for c, kind in kinds.items()}
+    odd = [F.when(given[c].isNotNull() & ~F.is_variant_null(given[c]) & typed[c].isNull(), c) for c in kinds]
+    number = F.col("key").try_cast("int")
+    wrong = F.coalesce("wrong", F.when(F.col("key").isNull(), "no pages").when(~is_object, "not an object").when(number.isNull(), "no page number"), F.nullif(F.concat_ws(", ", *odd), F.lit("")))
+    rows = each.select("source_hash", number.alias("page_number"), *[value.alias(c) for c, value in typed.items()], is_object.alias("object"), wrong.alias("error"))
+    rows = rows.withColumn("complete", F.when(F.col("error").isNotNull(), False).otherwise(F.coalesce("complete", F.lit(True))))
+    out = ["source_hash", *COLUMNS]
+    return rows.select(*out, "error") if errors else rows.where("object AND page_number IS NOT NULL").select(*out)
+
+
+def read_state(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """:func:`state_pages` of state files, whole; the files' own source hash is taken as it stands."""
+    return state_pages(spark.read.text(path, wholetext=True), errors)
 
 
 def state_json(checkpoint: DataFrame) -> DataFrame:

@@ -223,3 +223,16 @@ def test_state_round_trip(spark, tmp_path):
     (tmp_path / "h.state.json").write_text(json.dumps(data, indent=2))
     back = state.read_state(spark, str(tmp_path / "h.state.json"))
     assert sorted(map(str, back.collect())) == sorted(map(str, table.collect()))
+
+
+def test_odd_state_pages(spark, tmp_path):
+    """A page with fields of other types is incomplete with its error; the others, of the same document, are whole."""
+    good = {"page_number": 1, "raw_text": "a", "repaired_text": "b", "layout": "single-column", "blocks": [{"text": "x", "role": "table", "bold": True, "italic": None}], "raw_blocks": [], "repair_signature": "s", "complete": True}
+    pages = {"1": good, "2": good | {"blocks": "none"}, "3": 7, "x": good, "4": {"raw_text": "only"}, "5": good | {"complete": False, "layout": None}, "6": good | {"raw_text": {"a": 1}}}
+    (tmp_path / "a.state.json").write_text(json.dumps({"source_hash": "h", "pages": pages}))
+    (tmp_path / "b.state.json").write_text("{broken")
+    rows = {(r.page_number, r.error): r for r in state.read_state(spark, str(tmp_path), errors=True).collect()}
+    assert set(rows) == {(1, None), (2, "blocks"), (3, "not an object"), (None, "no page number"), (4, None), (5, None), (6, "raw_text"), (None, "not JSON")}
+    assert rows[1, None].blocks[0].text == "x" and rows[1, None].complete and not rows[2, "blocks"].complete and rows[2, "blocks"].raw_text == "a" and rows[4, None].complete and not rows[5, None].complete
+    plain = state.read_state(spark, str(tmp_path))
+    assert sorted(r.page_number for r in plain.collect()) == [1, 2, 4, 5, 6] and "error" not in plain.columns
