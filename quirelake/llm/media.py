@@ -22,7 +22,6 @@ from quirelake.llm.common import python_batches, values
 
 #: Boxes that hold boxes, with the bytes before the first of them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"meta": 4}
-MAX_DEPTH = 16
 #: The writer's layout: bytes of a sample, samples of a chunk, samples from one keyframe to the next, ticks a second.
 SAMPLE, CHUNK, KEY_EVERY, RATE = 64, 1024, 256, 8000
 
@@ -31,10 +30,14 @@ class MediaError(ValueError):
     """The bytes are not a container that the reader can follow."""
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[int, bytes, int, int, int]]:
-    """(depth, type, body start, end, start) of every box, a parent before its children."""
-    end = len(data) if end is None else end
-    while start < end:
+def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(depth, type, body start, end, start) of every box, a parent before its children, however deep they are nested."""
+    ends = [len(data) if end is None else end]  # of the boxes that are open
+    while ends:
+        end = ends[-1]
+        if start >= end:
+            ends.pop()
+            continue
         if end - start < 8:
             raise MediaError(f"{end - start} stray bytes at {start}")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -47,12 +50,12 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -
             size = end - start
         if size < body - start or start + size > end:
             raise MediaError(f"box at {start} has size {size}")
-        yield depth, kind, body, start + size, start
+        yield len(ends) - 1, kind, body, start + size, start
         if kind in CONTAINERS:
-            if depth >= MAX_DEPTH:
-                raise MediaError("boxes are nested too deeply")
-            yield from boxes(data, body + CONTAINERS[kind], start + size, depth + 1)
-        start += size
+            ends.append(start + size)
+            start = min(body + CONTAINERS[kind], start + size)
+        else:
+            start += size
 
 
 @dataclass

@@ -148,6 +148,43 @@ def test_fragments():
         media.probe(media._box(b"moof", media._box(b"traf", flagged(b"tfhd", 0, "I", 9), flagged(b"trun", 0, "I", 1))))
 
 
+def by_hand(payload):
+    """The stored form with every size and field written out from the format's rules, without the operator's code."""
+    n = len(payload) // 64
+    full, rest = divmod(n, 1024)
+    runs = [[1, 1024, 1]] * (full > 0) + [[full + 1, rest, 1]] * (rest > 0)
+    keys, chunks = list(range(1, n + 1, 256)), full + (rest > 0)
+    stbl = 152 + 4 * len(keys) + 12 * len(runs) + 4 * chunks
+    first = 24 + (8 + 120 + 8 + 104 + 8 + 44 + 33 + 8 + 16 + 36 + stbl) + 8
+    u = lambda *numbers: b"".join(x.to_bytes(4, "big") for x in numbers)
+    long = lambda x: x.to_bytes(8, "big")
+    unity = u(0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+    return b"".join([
+        u(24), b"ftypisom", u(512), b"isomiso2", u(first - 32), b"moov", u(120), b"mvhd", u(0x01000000), bytes(16), u(8000), long(64 * n), u(0x10000), b"\x01\x00", bytes(10), unity, bytes(24), u(2),
+        u(385 - 128 + stbl), b"trak", u(104), b"tkhd", u(0x01000007), bytes(16), u(1, 0), long(64 * n), bytes(8), b"\0\0\0\0\x01\0\0\0", unity, bytes(8), u(145 + stbl), b"mdia",
+        u(44), b"mdhd", u(0x01000000), bytes(16), u(8000), long(64 * n), u(0x55C40000), u(33), b"hdlr", bytes(8), b"soun", bytes(13), u(60 + stbl), b"minf", u(16), b"smhd", bytes(8),
+        u(36), b"dinf", u(28), b"dref", u(0, 1, 12), b"url ", u(1), u(stbl), b"stbl", u(52), b"stsd", u(0, 1, 36), b"raw ", bytes(6), b"\0\x01", bytes(8), b"\0\x01\0\x08\0\0\0\0", u(8000 << 16),
+        u(24), b"stts", u(0, 1, n, 64), u(16 + 4 * len(keys)), b"stss", u(0, len(keys), *keys), u(16 + 12 * len(runs)), b"stsc", u(0, len(runs)), *[u(*r) for r in runs], u(20), b"stsz", u(0, 64, n),
+        u(16 + 4 * chunks), b"stco", u(0, chunks, *[first + 65536 * k for k in range(chunks)]), u(8 + len(payload)), b"mdat", payload,
+    ])
+
+
+@pytest.mark.parametrize("samples", [1, 2, 256, 257, 1023, 1024, 1025, 5000])
+def test_stored_form_by_hand(samples):
+    payload = bytes(range(256)) * (samples // 4) + bytes(64 * (samples % 4))
+    assert media.mux(payload) == by_hand(payload)
+
+
+def test_boxes_of_any_depth():
+    """Boxes are walked without recursion: ten thousand levels are no error."""
+    data = b""
+    for _ in range(10_000):
+        data = struct.pack(">I4s", 8 + len(data), b"moov") + data
+    assert [d for d, *_ in media.boxes(data)] == list(range(10_000))
+    with pytest.raises(media.MediaError, match="size"):
+        list(media.boxes(data[:-4]))
+
+
 def test_query_against_brute_force(spark, sf_dir):
     """Every column of every document: the stored form is made by hand, box by box."""
     found = {r.doc_id: r for r in op1_media_columns(spark, sf_dir).collect()}
@@ -159,7 +196,7 @@ def test_query_against_brute_force(spark, sf_dir):
         n = len(payload) // 64
         r = found[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        stored = media.mux(payload)
+        stored = by_hand(payload)
         at = stored.index(b"mdat") + 4
         assert stored[at:] == payload and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
         keys = -(-n // 256)
