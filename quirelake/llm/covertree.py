@@ -1,7 +1,8 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-Distinct vectors, scaled to length one, are dealt to cells: by the nearest of a bounded set
-of pivots, and a cell that holds too many is cut by hash into blocks. Each block becomes a
+Distinct vectors, scaled to length one, are dealt to cells by the nearest of the pivots, of
+which there are as many as cells are wanted, up to ``PIVOT_BYTES`` in all; only a cell that
+still holds too many is cut by hash into blocks. Each block becomes a
 cover tree: nested levels of centres whose radii halve (2, 1, 1/2, ...), every point within
 a level's radius of its centre, and each centre also a centre on all lower levels. Every
 node knows the true distance to its farthest point. Two trees (or one with itself) are
@@ -27,15 +28,17 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import durable, python_batches, runs, working
 from quirelake.llm.simhash import _forest, _grouped
 
-#: Vectors of a block and pivots, at most about; vectors of a group, at most and at least about.
-CELL, PIVOTS = 4096, 1024
-GROUP, LEAST_GROUP = 1 << 15, 1 << 10
+#: Vectors of a block, and bytes of all pivots, at most about; pivots by which the others are ordered.
+CELL, PIVOT_BYTES, ORDERING = 4096, 1 << 25, 64
+#: Vectors of a group, at most and at least about, and bytes of its vectors at most.
+GROUP, LEAST_GROUP, GROUP_BYTES = 1 << 15, 1 << 10, 1 << 27
 #: Tasks for the pairs of groups, at most.
 MOST_TASKS = 100_000
 #: Links kept before they are thinned to a forest, and pairs of points compared by their own rows at once.
@@ -271,7 +274,7 @@ def _flat(column: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Plan:
-    """Cells and groups of cells: a few numbers for each pivot, of which there are PIVOTS and one a length at most."""
+    """Cells and groups of cells: a few numbers for each pivot, of which there are PIVOT_BYTES at most."""
 
     pivots: dict[int, np.ndarray]  # by length of the vectors: their unit vectors
     offset: dict[int, int]  # by length: number of the first pivot
@@ -299,6 +302,18 @@ class Plan:
         return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist())]))
 
 
+def nearest(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The nearest pivot of each vector, some vectors at a time."""
+    rows = max(1, (1 << 22) // len(pivots))
+    return np.concatenate([(v[low : low + rows] @ pivots.T).argmax(axis=1) for low in range(0, len(v), rows)])
+
+
+def in_order(pivots: np.ndarray) -> np.ndarray:
+    """Pivots with those beside each other that lie about the same one of a few: cells that are near stand together, so a block goes to few groups."""
+    few = pivots[:: -(-len(pivots) // ORDERING)]
+    return pivots[np.argsort(nearest(pivots, few), kind="stable")]
+
+
 def _to_cells(pivots: dict[int, np.ndarray], offset: dict[int, int], cuts: np.ndarray):
     """Rows ``dim, node, copies, vector`` with the number of the nearest pivot, a cut of its cell by hash, and the distance to the pivot."""
 
@@ -309,7 +324,7 @@ def _to_cells(pivots: dict[int, np.ndarray], offset: dict[int, int], cuts: np.nd
                 rows = batch.filter(pa.array(dims == dim)) if (dims != dim).any() else batch
                 v = unit_vectors(_flat(rows.column(3)), dim)
                 p = pivots[dim]
-                near = (v @ p.T).argmax(axis=1)
+                near = nearest(v, p)
                 gap = np.linalg.norm(v - p[near], axis=1)
                 cell = near + offset[dim]
                 cut = (rows.column(1).to_numpy().view(np.uint64) % cuts[cell].astype(np.uint64)).astype(np.int64)
@@ -373,25 +388,40 @@ def _planned(distinct: DataFrame, n: int, reach: float, cell: int) -> tuple[Plan
     """The plan for ``n`` distinct vectors (dim, node, copies, vector), and their rows with cell, cut and gap."""
     spark = distinct.sparkSession
     tasks = 4 * spark.sparkContext.defaultParallelism
-    groups = max(-(-n // GROUP), min(-(-n // LEAST_GROUP), ceil(sqrt(2 * tasks))))
+    dims = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}  # a row a length
+    room = max(1, min(GROUP, GROUP_BYTES // (8 * max(dims))))
+    groups = max(-(-n // room), min(-(-n // LEAST_GROUP), ceil(sqrt(2 * tasks))))
     group = -(-n // groups)
     cell = max(1, min(cell, group))
-    dims = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}  # a row a length
     draw = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 31))
-    wanted = spark.createDataFrame([(d, float((1 << 31) * min(PIVOTS * c / n, c / cell) / c)) for d, c in dims.items()], "dim int, least double")
+    most = {d: max(1.0, PIVOT_BYTES / (8 * d) * c / n) for d, c in dims.items()}  # pivots of a length: its share of the bytes
+    wanted = spark.createDataFrame([(d, float((1 << 31) * min(most[d], c / cell) / c)) for d, c in dims.items()], "dim int, least double")
     first = distinct.groupBy("dim").agg(F.min_by("vector", draw).alias("vector")).withColumn("draw", F.lit(-1).cast("long"))
     drawn = distinct.join(F.broadcast(wanted), "dim").where(draw < F.col("least")).select("dim", "vector", draw.alias("draw"))
-    rows = drawn.unionByName(first).orderBy("dim", "draw").collect()  # about PIVOTS rows and one a length
-    pivots = {d: np.unique(unit_vectors(np.concatenate([r["vector"] for r in rows if r["dim"] == d]), d), axis=0) for d in dims}
-    offset, total = {}, 0
-    for d in sorted(dims):
-        offset[d] = total
-        total += len(pivots[d])
+    rows = drawn.unionByName(first).select("dim", "vector").toArrow()  # about PIVOT_BYTES and a row a length
+    pivots = {d: in_order(np.unique(unit_vectors(_flat(rows.filter(pc.field("dim") == d)["vector"].combine_chunks()), d), axis=0)) for d in dims}
     schema = "cell long, cut long, gap double, dim int, node long, copies long, vector array<double>"
     ordered = distinct.select("dim", "node", "copies", "vector")
-    found = ordered.mapInArrow(_to_cells(pivots, offset, np.ones(total, np.int64)), schema).groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect()  # a row a pivot
+
+    def offsets() -> tuple[dict[int, int], int]:
+        starts = np.cumsum([0, *(len(pivots[d]) for d in sorted(dims))]).tolist()
+        return dict(zip(sorted(dims), starts)), starts[-1]
+
+    # A bunch that no pivot was drawn from lies far from all of them: such vectors give further pivots.
+    offset, total = offsets()
+    gaps = ordered.mapInArrow(_to_cells(pivots, offset, np.ones(total, np.int64)), schema)
+    far = gaps.join(F.broadcast(gaps.groupBy("dim").agg(F.percentile_approx("gap", 0.5).alias("middle"))), "dim").where((F.col("gap") > 2 * F.col("middle")) & (F.col("gap") > reach))
+    some = {r["dim"]: r["count"] for r in far.groupBy("dim").count().collect()}  # a row a length
+    if some:
+        share = {d: min(1.0, max(64.0, 8 * c / cell) / c, PIVOT_BYTES / (8 * d) / c) for d, c in some.items()}
+        wanted = spark.createDataFrame([(d, float((1 << 31) * x)) for d, x in share.items()], "dim int, least double")
+        more = far.join(F.broadcast(wanted), "dim").where(draw < F.col("least")).select("dim", "vector").toArrow()
+        for d in some:
+            found = unit_vectors(_flat(more.filter(pc.field("dim") == d)["vector"].combine_chunks()), d)
+            pivots[d] = in_order(np.unique(np.concatenate([pivots[d], found]), axis=0))
+        offset, total = offsets()
     size, radius = np.zeros(total, np.int64), np.zeros(total)
-    for r in found:
+    for r in ordered.mapInArrow(_to_cells(pivots, offset, np.ones(total, np.int64)), schema).groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).toArrow().to_pylist():  # a row a pivot
         size[r["cell"]], radius[r["cell"]] = r["n"], r["gap"]
     cuts = np.maximum(1, -(-size // cell))
     plan = Plan(pivots, offset, cuts, np.cumsum(size) - size, size, radius, group, reach)

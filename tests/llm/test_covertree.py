@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import components
 
@@ -110,6 +111,43 @@ def test_far_clusters_do_not_meet():
     assert sum(len(plan.groups_near(k, 32)) for k in range(60)) < 60 * 6 / 2
 
 
+@pytest.mark.parametrize("pivots", [3, 100])
+def test_pivots_and_groups_bounded_by_bytes(spark, monkeypatch, pivots):
+    monkeypatch.setattr(covertree, "PIVOT_BYTES", 8 * 6 * pivots)
+    monkeypatch.setattr(covertree, "LEAST_GROUP", 40)
+    monkeypatch.setattr(covertree, "GROUP_BYTES", 8 * 6 * 50)
+    p = np.concatenate([clustered(8, 250, 6, 0.1), unit(np.ones((90, 6)) + np.random.default_rng(1).normal(size=(90, 6)) * 0.01)])
+    rows = [(i, v.tolist()) for i, v in enumerate(p)]
+    n, parts = brute(rows, 0.9)
+    found = {r.id: (r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9, 8).collect()}
+    assert found == {i: (n[i], parts[i]) for i in n}
+
+
+def work(spark, n, clusters, cell, seed=3):
+    """Products of the sizes of near cells, for vectors in clusters, and the largest cell."""
+    r = np.random.default_rng(seed)
+    centres = unit(r.normal(size=(clusters, 32)))
+    v = unit(centres[r.integers(0, clusters, n)] + r.normal(size=(n, 32)) * 0.02)
+    rows = pa.table({"dim": pa.array(np.full(n, 32, np.int32)), "node": pa.array(np.arange(n)), "copies": pa.array(np.ones(n, np.int64)), "vector": pa.array(v.tolist())})
+    plan, _ = covertree._planned(spark.createDataFrame(rows), n, float(np.sqrt(0.2)), cell)
+    return sum(int(plan.size[k] * plan.size[plan.near(k, 32)].sum()) for k in range(len(plan.size)) if plan.size[k]), int(plan.size.max())
+
+
+def test_cells_of_clustered_vectors_grow_in_number(spark):
+    """Five times the clusters: as many times the cells, and so about the comparisons, not their square, which few pivots leave."""
+    (small, _), (large, widest) = work(spark, 4_000, 40, 20), work(spark, 20_000, 200, 20)
+    assert large < 8 * small and widest < 500
+    assert work(spark, 20_000, 200, 20_000 // 64)[0] > 3 * large
+
+
+def test_near_pivots_stand_together():
+    r = np.random.default_rng(1)
+    centres = unit(r.normal(size=(20, 16)))
+    p = covertree.in_order(unit(np.repeat(centres, 30, axis=0)[r.permutation(600)] + r.normal(size=(600, 16)) * 0.02))
+    of = covertree.nearest(p, centres)
+    assert (np.diff(of) != 0).sum() < 100 and len(np.unique(p, axis=0)) == 600
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [2.0, 0.1])]
     found = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
