@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
+#: Fixed values, here and in the classes below: names of engines, services, sections and keys of a settings file, their defaults and limits.
 OCR_ENGINES = ("auto", "ocrmypdf", "paddleocr", "tesseract", "easyocr")
 PROVIDERS = ("rule", "openai-compatible", "ollama", "local")
 DEFAULT_FILE = "quirelake.toml"
