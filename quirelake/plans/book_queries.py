@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.durable import durable
 from quirelake.functions import guards
 from quirelake.functions.repair import repair
 from quirelake.functions.text import count_of, html_escape, mime_type, settle
@@ -229,11 +230,25 @@ def book_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("book_id", F.octet_length("archive").cast("long").alias("bytes"), F.sha2(read_back("archive"), 256).alias("sha256"), F.size("names").cast("long").alias("entries"), "error")
 
 
+def illustrated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of every book that shows a figure from each of its documents and has a cover: place, name, size and digest."""
+    books, kinds = fixtures.books(spark, sf_dir), F.array(*[F.lit(x) for x in ("a.png", "b.JPG", "c.gif", "d", "e.svg")])
+    blocks = durable(chapters.titled_blocks(_roles(spark, sf_dir), books))  # chapters, markup and figures are made from them
+    d = F.col("doc_id")
+    drawn = fixtures.book_pages(spark, sf_dir).where("doc_id IS NOT NULL").select(
+        "book_id", "page_number", F.lit(1).alias("figure_no"), F.element_at(kinds, (d % 5 + 1).cast("int")).alias("path"), F.concat(F.lit('"'), d.cast("string"), F.lit('" & more')).alias("alt"),
+        F.when(d % 2 == 0, "image/x-made").alias("media_type"), F.col("text").cast("binary").alias("content"),
+    )
+    covers = books.select("book_id", F.lit("front.jpg").alias("path"), F.col("title").cast("binary").alias("content"))
+    files = render.book_files(books, blocks, images=render.placed_figures(drawn, blocks), covers=covers)
+    return files.select("book_id", "place", "name", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         style_tokens, clean_answers, cheap_guards, new_words, vocabulary_guard, similarity_guard, guard_decision, word_bags, cache_reuse, signatures, state_documents, toc, chapter_split, conversation_chapters,
-        image_offset, progress, page_join, block_markup, chapter_markup, navigation, manifest, package_file, media_types, required_files, escaped, book_archives,
+        image_offset, progress, page_join, block_markup, chapter_markup, navigation, manifest, package_file, media_types, required_files, escaped, book_archives, illustrated_files,
     )
 }
 
@@ -342,7 +357,24 @@ ARCHIVED = f"""{JOINED}, {ITEMS}, {NAV_ITEMS}, {PACKED}, entries AS (
   UNION ALL SELECT book_id, 1073741824, 'EPUB/package.opf', {OPF} FROM h JOIN p USING (book_id)
 )"""
 
+#: Figures in the last chapter that has begun by their page, numbered through the book, behind their chapters' text; their files and items, and the cover's.
+PICTURED = f"""starts AS (SELECT book_id, chapter_no, min(page_number) AS first FROM body GROUP BY ALL), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_no, page_number) AS image_no FROM (
+    SELECT p.book_id, p.page_number, p.doc_id, any_value(['a.png', 'b.JPG', 'c.gif', 'd', 'e.svg'][p.doc_id % 5 + 1]) AS path, any_value('"' || p.doc_id || '" & more') AS alt, coalesce(max(s.chapter_no), 1) AS chapter_no
+    FROM pages0 p LEFT JOIN starts s ON s.book_id = p.book_id AND s.first <= p.page_number WHERE p.doc_id IS NOT NULL GROUP BY ALL)
+), shown AS (
+  SELECT book_id, chapter_no, string_agg('<figure><img src="../images/image-' || {_no('image_no')} || {SUFFIX} || '" alt="' || {_esc('alt')} || '"/></figure>', '' ORDER BY image_no) AS figures FROM placed GROUP BY ALL
+), pictured AS (
+  SELECT book_id, chapter_no, coalesce(j.html, '') || coalesce(figures, '') AS html FROM joined j FULL JOIN shown USING (book_id, chapter_no))"""
+ILLUSTRATED = (
+    ARCHIVED.replace(f"{JOINED}, ", f"{JOINED}, {PICTURED}, ").replace("LEFT JOIN joined j USING", "LEFT JOIN pictured j USING")
+    .replace(ITEMS, ITEMS[:-1] + f""" UNION ALL SELECT book_id, 2, image_no, 'image-' || {_no('image_no')}, 'images/image-' || {_no('image_no')} || {SUFFIX}, CASE WHEN doc_id % 2 = 0 THEN 'image/x-made' ELSE {MIME} END, NULL FROM placed
+  UNION ALL SELECT book_id, 3, 0, 'cover', 'images/cover.jpg', 'image/jpeg', 'cover-image' FROM books)""")
+    .rstrip()[:-1] + f""" UNION ALL SELECT book_id, 268435456 + image_no, 'EPUB/images/image-' || {_no('image_no')} || {SUFFIX}, text FROM placed JOIN documents USING (doc_id) UNION ALL SELECT book_id, 536870912, 'EPUB/images/cover.jpg', title FROM books)"""
+)
+
 ORACLES = {
+    "illustrated_files": f"WITH {ROLES_SQL}, {_chaptered('roled')}, {ILLUSTRATED} SELECT book_id, CAST(place AS BIGINT) AS place, name, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM entries",
     "guard_decision": f"WITH {DECIDED} SELECT key, CASE WHEN reject_reason IS NULL THEN c ELSE rules END AS text, reject_reason FROM decided",
     "book_archives": f"""WITH {ROLES_SQL}, {_chaptered('roled')}, {ARCHIVED}
       SELECT book_id, CAST(sum(strlen(content) + 2 * strlen(name) + 76) + 22 AS BIGINT) AS bytes, sha256(string_agg(name || chr(10) || content || chr(10), '' ORDER BY place)) AS sha256, count(*) AS entries, CAST(NULL AS VARCHAR) AS error FROM entries GROUP BY book_id""",

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from dataclasses import asdict
 from pathlib import Path
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -60,9 +61,9 @@ def repair_blocks(blocks: DataFrame, make_model: Callable[[], TextModel] | None
     return done.withColumn("key", F.to_json(F.struct(*KEYS))).join(decided, "key", "left").withColumn("text", F.coalesce("final", "text")).drop("key", "final")
 
 
-def recognised_blocks(images: DataFrame, wanted: DataFrame, make: Callable[[], ocr.ImageEngine]) -> DataFrame:
+def recognised_blocks(images: DataFrame, wanted: DataFrame, make: Callable[[], ocr.ImageEngine], profile: ResourceProfile | None = None) -> DataFrame:
     """One paragraph block, with its ``error`` if it failed, for each of the ``wanted`` pages (book_id, page_number) that has images (book_id, page_number, image_no, image)."""
-    texts = ocr.page_texts(ocr.recognise_images(images.join(wanted.select(*PAGE), PAGE, "left_semi"), make))
+    texts = ocr.page_texts(ocr.recognise_images(images.join(wanted.select(*PAGE), PAGE, "left_semi"), make, profile))
     return texts.select(*PAGE, F.lit(1).alias("block_no"), "text", F.lit("paragraph").alias("role"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), "error")
 
 
@@ -179,7 +180,7 @@ def convert(
     def made(part: DataFrame, blank: DataFrame) -> DataFrame:
         if images is not None and make_engine is not None:
             pictures = images(blank.select(*PAGE)) if callable(images) else images
-            part = stacked(part, recognised_blocks(pictures, blank, make_engine).join(blank, PAGE).select(part.columns))
+            part = stacked(part, recognised_blocks(pictures, blank, make_engine, ocr.gpu_profile(spark, settings.ocr)).join(blank, PAGE).select(part.columns))
         return repair_blocks(part, make_model, lexicon)
 
     log = PageLog(spark, table if table is not None else scratch_path(spark, "pages"))

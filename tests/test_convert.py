@@ -291,6 +291,19 @@ def test_engines_are_asked_on_every_machine(spark):
         ocr.choose_engine("paddleocr", is_available=ocr.available_everywhere(spark, lambda name: False).__contains__)
 
 
+def test_a_gpu_is_asked_for(spark, monkeypatch):
+    """On a cluster the stage of recognition asks for a GPU a task; locally there is nobody to ask."""
+    wish = Settings().merged({"ocr.gpu": True}).ocr
+    assert ocr.gpu_profile(spark, wish) is None
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+    profile = ocr.gpu_profile(Cluster, wish)
+    assert profile.taskResources["gpu"].amount == 1 and profile.executorResources["gpu"].amount == 1 and ocr.gpu_profile(Cluster, Settings().ocr) is None
+
+
 def test_work_is_read_by_waves(spark, tmp_path):
     """Each wave reads its own folder, not the whole work."""
     from quirelake.plans.convert import _Work
