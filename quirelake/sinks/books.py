@@ -30,6 +30,8 @@ from quirelake.errors import ArchiveError
 from quirelake.operators.render import MIMETYPE, REQUIRED_FILES
 
 FORMAT, ERRORS = "quirelake_books", "_errors.json"
+#: Bytes of the rows that go to a worker at once, at most, and the session's setting of them.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 XML_SUFFIXES = (".xhtml", ".opf", ".xml")
 #: Marks of the archive format's three records, the date of every entry (the first day that it knows), and the flag of names beyond ASCII.
 LOCAL, CENTRAL, END, DATE, UNICODE_NAME = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", 0x21, 0x800
@@ -172,7 +174,12 @@ def write_books(files: DataFrame, names: DataFrame, path: str) -> dict[str, str]
     at, root = file_system(path)
     if at.get_file_info(f"{root}/{ERRORS}").type != pafs.FileType.NotFound:
         at.delete_file(f"{root}/{ERRORS}")
-    rows.repartition("target").sortWithinPartitions("target", "place").write.format(FORMAT).mode("append").option("path", path).save()
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(BATCH_BYTES, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))))  # what a worker holds of a book at once
+    try:
+        rows.repartition("target").sortWithinPartitions("target", "place").write.format(FORMAT).mode("append").option("path", path).save()
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     if at.get_file_info(f"{root}/{ERRORS}").type == pafs.FileType.NotFound:
         return {}
     with at.open_input_stream(f"{root}/{ERRORS}") as stream:
