@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.durable import durable
 from quirelake.functions.text import is_blank
 from quirelake.operators.layout import heading_of
 from quirelake.operators.ranges import running, span_of
@@ -35,7 +36,8 @@ def chapter_blocks(blocks: DataFrame) -> DataFrame:
     parted = marked.withColumn("_segment", F.count("heading").over(upto)).withColumn("_opened", F.last("heading", ignorenulls=True).over(upto))
     last_body = F.last(F.when(body, F.col("_segment")), ignorenulls=True).over(earlier)
     opens = body & (last_body.isNull() | (last_body < F.col("_segment")))
-    ranked = parted.withColumn("_opens", opens.cast("int")).withColumn("_rank", F.sum("_opens").over(upto))
+    # Both the totals and the rows are made from this, and a heading may be costly to tell.
+    ranked = durable(parted.withColumn("_opens", opens.cast("int")).withColumn("_rank", F.sum("_opens").over(upto)))
 
     totals = ranked.groupBy(*book).agg(
         F.max("_rank").alias("chapters"), F.max_by("heading", F.when(~body, at)).alias("title"), F.max(F.when(~body, at)).alias("heading_at"), F.max(F.when(body, at)).alias("body_at"), F.bool_or(body & (F.col("_segment") == 0)).alias("goes_on")

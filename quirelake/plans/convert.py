@@ -105,7 +105,10 @@ def _run(work: _Work, log: PageLog, signature: str, made: Callable[[DataFrame, D
         if cancelled is not None and cancelled():
             raise Cancelled(f"stopped after {told} of {total} pages")
         rows = page_rows(made(work.of("blocks", wave), work.of("blank", wave)).withColumnRenamed("book_id", "source_hash"), signature)
-        name = stoppable(work.spark, cancelled, lambda: log.write(rows))  # noqa: B023
+        try:
+            name = stoppable(work.spark, cancelled, lambda: log.write(rows))  # noqa: B023
+        except Cancelled as e:
+            raise Cancelled(f"stopped after {told} of {total} pages") from e
         written.append(name)
         done = log.rows([name])
         told += done.count()

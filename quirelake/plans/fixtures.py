@@ -68,10 +68,10 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, page_number, block_no, text, x0, y0, x1, y1``: lines as blocks with running headers, page numbers, chapter heads, tables and notes put in.
 
     One pass: a page makes an array of its blocks, which is then spread into rows. Pages are
-    dealt out by book and range of numbers, so that a book with most of the pages isn't one task.
+    dealt out by book and number first, so that a book with most of the pages isn't one task.
     """
     page, doc = F.col("page_number"), F.col("doc_id")
-    base = book_pages(spark, sf_dir).withColumn("lines", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))
+    base = book_pages(spark, sf_dir).repartition("book_id", "page_number").withColumn("lines", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))
     n = F.size("lines").cast("long")
     long = lambda v: v.cast("long") if isinstance(v, Column) else F.lit(v).cast("long")
     block = lambda no, text, x0, y0, x1, y1: F.struct(long(no).alias("block_no"), text.alias("text"), *[long(v).alias(k) for k, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
