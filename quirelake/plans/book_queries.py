@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from quirelake.plans import fixtures
 from quirelake.plans.fixtures import BLOCKS_SQL, BOOKS_SQL, DAMAGED_SQL, MODEL_PAIRS_SQL
 from quirelake.plans.layout_queries import KEPT_SQL, ROLE, STRIP
 from quirelake.plans.repair_queries import r1_sql, r2_sql, r3_sql, r4_sql, r5_sql, r6_sql, r7_sql, r8_sql
-from quirelake.sinks.archive import archives, entries
+from quirelake.sinks.archive import archive_digests
 
 # --- guards ----------------------------------------------------------------------------
 
@@ -221,13 +220,7 @@ def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def book_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every book built as an archive, checked and read back: size, digest of the entries in order, their number and error."""
     books = fixtures.books(spark, sf_dir)
-
-    @F.pandas_udf("string")
-    def read_back(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: "".join(f"{name}\n{content.decode()}\n" for name, content in entries(bytes(x))))
-
-    a = archives(render.book_files(books, chapters.titled_blocks(_roles(spark, sf_dir), books)))
-    return a.select("book_id", F.octet_length("archive").cast("long").alias("bytes"), F.sha2(read_back("archive"), 256).alias("sha256"), F.size("names").cast("long").alias("entries"), "error")
+    return archive_digests(render.book_files(books, chapters.titled_blocks(_roles(spark, sf_dir), books)))
 
 
 def illustrated_files(spark: SparkSession, sf_dir: str) -> DataFrame:

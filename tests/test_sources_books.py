@@ -1,6 +1,7 @@
 import io
 import sys
 import zipfile
+from hashlib import sha256
 
 import numpy as np
 import pytest
@@ -334,3 +335,22 @@ def test_stream_upserts(spark, tmp_path):
     go("s2", 2)
     found = {(r.source_hash, r.page_number): (r.repaired_text, r.repair_signature) for r in read_waves(spark, table).collect()}
     assert found == {("a", 1): ("Bugün", "s1"), ("a", 2): ("new", "s2"), ("b", 1): ("için", "s1"), ("c", 1): ("z", "s2")}
+
+
+def test_archives_are_streamed(spark):
+    """Figures of archives that no value or task holds whole, of several books in one task; a chapter is a row of its own all the way."""
+    good = {n: b"<a/>" for n in render.REQUIRED_FILES} | {"mimetype": b"application/epub+zip"}
+    rows = [(b, i, n, c) for b in ("b", "c") for i, (n, c) in enumerate(good.items())] + [("bad", 0, "mimetype", b"x"), ("c", 9, "ü.xml", b"<z/>")]
+    files = spark.createDataFrame(rows[::-1], "book_id string, place int, name string, content binary")
+    found = {r.book_id: r for r in archive.archive_digests(files).collect()}
+    for r in archive.archives(files).collect():
+        parts = b"".join(n.encode() + b"\n" + c + b"\n" for n, c in archive.entries(bytes(r.archive)))
+        assert found.pop(r.book_id)[1:] == (len(r.archive), sha256(parts).hexdigest(), len(r.names), r.error)
+    assert not found
+    books = spark.createDataFrame([("b", "T", "A", "en"), ("none", "N", "A", "en")], "book_id string, title string, author string, language string")
+    blocks = spark.createDataFrame([("b", 1, k, f"text {k}", "paragraph", False, False, k, f"C{k}") for k in (1, 2)], "book_id string, page_number long, block_no long, text string, role string, bold boolean, italic boolean, chapter_no int, chapter_title string")
+    made = render.book_files(books, blocks)
+    gathered = [x for x in made._jdf.queryExecution().optimizedPlan().toString().split("collect_list(")[1:] if "page_number" not in x.split(", 0, 0)")[0]]
+    assert gathered and not any("body" in x.split(", 0, 0)")[0] for x in gathered)
+    by = {(r.book_id, r.place): r.content for r in made.collect()}
+    assert "text 2" in by["b", 5] and "<h1>N</h1>" in by["none", 4] and by["b", 3].count("<li>") == 2 and by["none", 1 << 30].count("itemref") == 1
