@@ -109,10 +109,10 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and characters in each book's state document, written as JSON and read back page by page."""
-    from quirelake.sources.state import state_json, state_pages
+    """Pages and characters in each book's state document, written as JSON in parts and read back page by page."""
+    from quirelake.sources.state import pages_of_parts, state_parts
 
-    rows = state_pages(state_json(checkpoint(spark, sf_dir)).select(F.col("json").alias("value")))
+    rows = pages_of_parts(state_parts(checkpoint(spark, sf_dir)))
     return rows.groupBy("source_hash").agg(F.count("*").alias("pages"), F.sum(F.char_length("raw_text")).alias("raw_chars"), F.count_if("complete").alias("complete"))
 
 

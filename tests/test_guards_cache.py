@@ -236,3 +236,19 @@ def test_odd_state_pages(spark, tmp_path):
     assert rows[1, None].blocks[0].text == "x" and rows[1, None].complete and not rows[2, "blocks"].complete and rows[2, "blocks"].raw_text == "a" and rows[4, None].complete and not rows[5, None].complete
     plain = state.read_state(spark, str(tmp_path))
     assert sorted(r.page_number for r in plain.collect()) == [1, 2, 4, 5, 6] and "error" not in plain.columns
+
+
+def test_state_documents_in_parts(spark):
+    """The same document part by part: cut anywhere it gives the same pages, and no value holds more than one of them."""
+    table = spark.createDataFrame([page(2, "a", [("x", "table")]), page(10, 'q"\\{', []), page(1, None, [])], SCHEMA)
+    (row,) = state.state_json(table).collect()
+    parts = state.state_parts(table)
+    assert "".join(r.part for r in sorted(parts.collect(), key=lambda r: r.place)) == row.json and parts.count() == 5
+    assert "collect_list" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    cut = spark.createDataFrame([("d", k, row.json[k : k + 3]) for k in range(0, len(row.json), 3)], "document string, place int, part string")
+    for given in (parts, cut):
+        assert sorted(map(str, state.pages_of_parts(given).collect())) == sorted(map(str, table.collect()))
+    odd = {"a": '{"source_hash":"h","pages":{"1":{"raw_text":"r"},"2":7,"x":{},"3":{"a":tru}}, "more":[1]}', "b": '{"pages":{"1":{}},', "c": '{"pages":3,"source_hash":"k"}', "d": '{"pages":{"1":{},"1":{}}}', "e": "[1", "f": '{"pages":{}} x', "g": "", "h": "5"}
+    rows = spark.createDataFrame([(n, 0, t) for n, t in odd.items()], "document string, place int, part string")
+    found = sorted((r.source_hash or "", r.page_number or 0, r.error or "") for r in state.pages_of_parts(rows, errors=True).collect())
+    assert found == sorted([("h", 1, ""), ("h", 2, "not an object"), ("h", 0, "no page number"), ("h", 3, "not JSON"), ("k", 0, "no pages"), ("", 0, "no pages")] + [("", 0, "not JSON")] * 5)
