@@ -15,8 +15,10 @@ number of texts, so that neither a range nor the chance hits of a lookup grow wi
 lookups of a range are dealt over ``SALTS`` tasks. Within a task pairs are compared block
 by block, and of those within the distance only ``FORESTS`` minimum spanning forests leave
 it, closest pairs first: a group sends a few rows a member, never its pairs, and any two of
-its members stay connected by pairs at least as close as they are. That, and MISS, is what
-may lose a link: one near 0.8 whose ends are connected only by pairs that the sets refuse.
+its members stay connected by pairs at least as close as they are. Where the sets refuse such
+pairs, so that a group falls apart, its members are compared again, and now every pair
+between its parts is verified. So only MISS, the agreement in no segment, and SPREADS may
+lose a link.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import durable, keeps, python_batches, runs, sent, valid_utf8, values, working
+from quirelake.llm.components import connected_components
 from quirelake.llm.simhash import LOWER_ASCII, SEED, WORD, _grouped, blocks
 
 #: Texts link at a similarity of NUMERATOR / DENOMINATOR or more.
@@ -176,7 +179,7 @@ TABLE, OWN, GUEST = 0, 1, 2
 
 
 def _dealt(width: int, segments: int, top: int):
-    """Rows ``range, part, node, fp`` of fingerprints ``node, fp``; a range joins segment, top bits of its value and salt."""
+    """Rows ``range, part, node, fp`` of fingerprints ``node, fp``, with further columns as they are; a range joins segment, top bits of its value and salt."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("near")
@@ -191,7 +194,7 @@ def _dealt(width: int, segments: int, top: int):
                     places = [(head * SALTS + s, np.where(salt == s, OWN, TABLE)) for s in range(SALTS)]
                     places += [((head ^ (1 << b)) * SALTS + salt, np.full(len(node), GUEST)) for b in range(top)]
                     for place, part in places:
-                        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(part.astype(np.int8)), rows.column(0), _fixed(fp)], names=["range", "part", "node", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(part.astype(np.int8)), rows.column(0), _fixed(fp), *rows.columns[2:]], names=["range", "part", "node", "fp", *rows.schema.names[2:]])
 
     return step
 
@@ -234,8 +237,8 @@ def _merged(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         part = new
 
 
-def _close_pairs(width: int, top: int, bits: int):
-    """Links ``a, b, distance`` that span the pairs of close fingerprints, from rows of :func:`_dealt` in the order of their range."""
+def _close_pairs(width: int, top: int, bits: int, apart: bool = False):
+    """Links ``a, b, distance`` that span the pairs of close fingerprints, from rows of :func:`_dealt` in the order of their range; ``apart``: all pairs whose ends differ in ``group``."""
     low_bits, limit, lane_limit = width - top, distance_limit(bits), distance_limit(64)
 
     def of_range(place: int, rows: pa.Table) -> Iterator[np.ndarray]:
@@ -246,6 +249,7 @@ def _close_pairs(width: int, top: int, bits: int):
         table = np.flatnonzero(part != GUEST)
         table = table[np.argsort(value[table], kind="stable")]
         known = value[table]
+        group = rows["group"].to_numpy() if apart else None
         for kind, flips in ((OWN, [0, *(1 << b for b in range(low_bits))]), (GUEST, [0])):
             asking = np.flatnonzero(part == kind)
             for flip in flips:
@@ -254,6 +258,8 @@ def _close_pairs(width: int, top: int, bits: int):
                 for p, t in blocks(first, np.searchsorted(known, wanted, "right") - first, BLOCK):
                     p, t = asking[p], table[t]
                     near = node[p] < node[t]
+                    if apart:
+                        near &= group[p] != group[t]
                     p, t = p[near], t[near]
                     near = np.bitwise_count(lanes[p, 0] ^ lanes[t, 0]) <= lane_limit
                     p, t = p[near], t[near]
@@ -261,6 +267,9 @@ def _close_pairs(width: int, top: int, bits: int):
                     near = far <= limit
                     yield np.stack([far[near], node[p[near]], node[t[near]]], 1)
 
+    def batch(links: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 1]), pa.array(links[:, 2]), pa.array(links[:, 0])], names=["a", "b", "distance"])
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("near")
         held, rows = [], 0
@@ -269,22 +278,38 @@ def _close_pairs(width: int, top: int, bits: int):
                 held.append(found)
                 rows += len(found)
                 if rows > BLOCK:
-                    held = [spanning(np.concatenate(held))]
+                    if apart:
+                        yield batch(np.unique(np.concatenate(held), axis=0))
+                        held = []
+                    else:
+                        held = [spanning(np.concatenate(held))]
                     rows = 0
-        if held and len(kept := spanning(np.concatenate(held))):
-            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 1]), pa.array(kept[:, 2]), pa.array(kept[:, 0])], names=["a", "b", "distance"])
+        if held and len(kept := np.unique(np.concatenate(held), axis=0) if apart else spanning(np.concatenate(held))):
+            yield batch(kept)
 
     return step
 
 
 def candidates(prints: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Pairs ``a, b`` of nodes that may be alike, from distinct ``node, fp``."""
+    """Pairs ``a, b`` of nodes that may be alike, from distinct ``node, fp``: those of spanning forests, or with a column ``group`` all whose ends differ in it."""
     width, segments, top = shape
-    rows = prints.mapInArrow(_dealt(width, segments, top), "range long, part byte, node long, fp binary")
-    spans = rows.repartition("range").sortWithinPartitions("range").mapInArrow(_close_pairs(width, top, 64 * lanes_of(shape)), "a long, b long, distance long")
+    apart = "group" in prints.columns
+    rows = prints.mapInArrow(_dealt(width, segments, top), "range long, part byte, node long, fp binary" + ", group long" * apart)
+    spans = rows.repartition("range").sortWithinPartitions("range").mapInArrow(_close_pairs(width, top, 64 * lanes_of(shape), apart), "a long, b long, distance long")
     return spans.select("a", "b").distinct()
 
 
+def torn_groups(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, group`` of the groups that ``pairs`` connect but ``links``, those of them that hold, don't; a group is what links connect. Where every two members have been a pair nothing is left to ask."""
+    whole = durable(connected_components(pairs, "a", "b").select("node", F.col("component").alias("whole")))
+    held = connected_components(links, "a", "b").withColumnRenamed("component", "group")
+    members = durable(whole.join(held, "node", "left").select("node", "whole", F.coalesce("group", "node").alias("group")))
+    sizes = members.groupBy("whole").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+    asked = pairs.join(whole, pairs["a"] == whole["node"]).groupBy("whole").agg(F.count("*").alias("asked"))
+    torn = sizes.join(asked, "whole").where("low < high AND 2 * asked < n * (n - 1)").select("whole")
+    return members.join(torn, "whole", "left_semi").select("node", "group")
+
+
 def text_key(text: Column) -> Column:
     """A hash of the text's bytes, 0 for null."""
     return F.coalesce(F.xxhash64(text.cast("binary")), F.lit(0).cast("long"))
@@ -307,8 +332,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shape = index_shape(docs.count())
     prints = docs.select("id", text_key(F.col("text")).alias("text_key"), _prints(F.col("text"), width, lanes_of(shape)).alias("p")).select("id", "text_key", "p.*")
 
-    def links(prints: DataFrame) -> DataFrame:
-        pairs = durable(candidates(prints.where("size > 0").select("node", "fp").dropDuplicates(["node"]), shape))
+    def verified(prints: DataFrame, pairs: DataFrame) -> DataFrame:
         near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = durable(prints.join(near, "node", "left_semi").select(F.col("id").alias("near_id")).distinct())
         ids = sent(ids)
@@ -318,4 +342,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"{k}_set")) for k in ("a", "b"))
         return pairs.join(left, "a").join(right, "b").where(_alike(F.col("a_set"), F.col("b_set"))).select("a", "b")
 
+    def links(prints: DataFrame) -> DataFrame:
+        nodes = prints.where("size > 0").select("node", "fp").dropDuplicates(["node"])
+        pairs = durable(candidates(nodes, shape))
+        found = durable(verified(prints, pairs))
+        torn = durable(torn_groups(pairs, found))
+        if torn.isEmpty():
+            return found
+        again = durable(candidates(nodes.join(sent(torn), "node"), shape).join(pairs, ["a", "b"], "left_anti"))
+        return found.unionByName(verified(prints, again))
+
     return _grouped(prints, links).select("id", "text_key", "node", "part", "component_id")

@@ -195,3 +195,20 @@ def test_id_on_several_texts(spark):
     rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(2, 50) + " end"), (None, prose(1, 50) + " end")]
     found = sorted((str(r.id), r.component_id) for r in near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert found == [("1", 1), ("1", 1), ("2", 1), ("None", 1)]
+
+
+def test_links_behind_refused_pairs_are_found(spark):
+    """Two sets that are 0.8 alike among many parts of theirs, as close to both by their fingerprints but 0.79 alike at most: forests alone leave the link out."""
+    rows, ends = [], []
+    for k in range(20):
+        r = random.Random(k)
+        shared, own = [f"s{k}x{i}" for i in range(360)], [[f"{c}{k}x{i}" for i in range(45)] for c in "ab"]
+        texts = [shared + own[0], shared + own[1], *(r.sample(shared, 318) for _ in range(14))]
+        ends.append((100 * k, 100 * k + 1))
+        rows += [(100 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    assert all(alike(sets[a], sets[b]) for a, b in ends) and not any(alike(sets[a], sets[c]) for a, b in ends for c in range(b + 1, b + 15))
+    groups = {r.id: r.component_id for r in near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()}
+    assert sum(groups[a] == groups[b] for a, b in ends) >= 19
+    plain = components(sets, [p for k in range(20) for p in combinations(range(100 * k, 100 * k + 16), 2) if alike(sets[p[0]], sets[p[1]])])
+    assert all(plain[i] == plain[groups[i]] for i in sets)
