@@ -7,12 +7,13 @@ two bags of words, which stay in their row so that no word is shuffled.
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
@@ -83,9 +84,18 @@ def similarity_or_bound(original: pd.Series, output: pd.Series) -> pd.Series:
 @F.arrow_udf(ArrayType(StructType([StructField("word", StringType()), StructField("extra", LongType())])))
 def extra_words(output: pa.Array, original: pa.Array) -> pa.Array:
     """Words of three letters or more that one bag has more often than the other, and how much; null bags are empty."""
-    bags = [Counter(o or ()) - Counter(i or ()) for o, i in zip(output.to_pylist(), original.to_pylist())]
-    rows = [[{"word": w, "extra": n} for w, n in bag.items() if len(w) >= LEAST_WORD] for bag in bags]
-    return pa.array(rows, pa.list_(pa.struct([("word", pa.string()), ("extra", pa.int64())])))
+    words = pa.concat_arrays([output.flatten(), original.flatten()]).dictionary_encode()
+    row = np.concatenate([pc.list_parent_indices(bags).to_numpy() for bags in (output, original)]).astype(np.int64)
+    code = words.indices.to_numpy().astype(np.int64)
+    sign = np.where(np.arange(len(row)) < len(output.flatten()), 1, -1)
+    kinds = max(1, len(words.dictionary))
+    keys, place = np.unique(row * kinds + code, return_inverse=True)
+    extra = np.bincount(place, sign, len(keys)).astype(np.int64)
+    keep = (extra > 0) & (pc.utf8_length(words.dictionary).to_numpy() >= LEAST_WORD)[keys % kinds] if len(keys) else np.zeros(0, bool)
+    keys, extra = keys[keep], extra[keep]
+    offsets = np.searchsorted(keys, np.arange(len(output) + 1) * kinds).astype(np.int32)
+    rows = pa.StructArray.from_arrays([words.dictionary.take(pa.array(keys % kinds)), pa.array(extra)], names=["word", "extra"])
+    return pa.ListArray.from_arrays(pa.array(offsets), rows)
 
 
 def new_words(pairs: DataFrame, key: str, original: str, output: str) -> DataFrame:
