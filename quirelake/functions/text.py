@@ -6,9 +6,11 @@ are spelled out. All functions give null for null.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 #: White space as ``str.isspace`` sees it, for use inside and as a class.
 WS_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_SET}]"
+#: The same as a text of all its characters.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(WS, c))
 #: A whole run of white space. What a pattern looks back at comes after its first character, so that most places fail on that alone.
 SPACE_RUN = f"{WS}(?<!{WS}{WS}){WS}*+"
 #: Word characters.
@@ -38,7 +42,17 @@ def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{WS}++", ""), rf"{SPACE_RUN}\z", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def has(text: Column, *parts: str) -> Column:
+    """Whether a text holds one of some literals, which is found without a pattern."""
+    return reduce(or_, (F.contains(text, F.lit(p)) for p in parts))
+
+
+def where(text: Column, guard: Callable[[Column], Column], rule: Callable[[Column], Column]) -> Column:
+    """``rule`` of the texts for which the cheaper ``guard`` holds; the others, which it would leave alone, as they are."""
+    return let(text, lambda t: F.when(guard(t), rule(t)).otherwise(t))
 
 
 def is_blank(text: Column) -> Column:
@@ -66,13 +80,13 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
 def casefold(text: Column) -> Column:
     """Lower case, and what folding does beyond it: letters that stand for others (long s, final sigma) or for several (sharp s, ligatures).
 
-    Texts without any such letter, found by one range and then by a few, are only made
+    Texts without any such letter, as are those of ASCII characters alone, are only made
     lower case.
     """
     letters, folded, several, special = _folds()
     table = F.array(*[F.array(F.lit(letter), F.lit(spelling)) for letter, spelling in several])
     whole = F.aggregate(table, F.translate(F.lower(text), letters, folded), lambda got, x: F.replace(got, x[0], x[1]))
-    return F.when(text.rlike(r"[^\x00-\xb4]") & text.rlike(f"[{special}]"), whole).otherwise(F.lower(text))
+    return F.when((F.octet_length(text) != F.char_length(text)) & text.rlike(f"[{special}]"), whole).otherwise(F.lower(text))
 
 
 def splitlines(text: Column) -> Column:

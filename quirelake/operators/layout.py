@@ -13,11 +13,14 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.durable import durable
 from quirelake.functions.lexicon import CHAPTER_WORDS
-from quirelake.functions.text import WS, W, casefold, is_upper, let, splitlines, strip
+from quirelake.functions.text import WS, WS_SET, W, casefold, is_upper, let, splitlines, strip, where
 
 FOOTNOTE_BELOW, TOP_MARGIN, BOTTOM_MARGIN = 0.78, 0.12, 0.88
 LEAST_COLUMN_BLOCKS = 8
+#: Repeated texts of all books that are sent to every task, at most; beyond, blocks are shuffled to them.
+SENT_HEADERS = 250_000
 _CHAPTER = rf"(?iu)\A(?:{'|'.join(CHAPTER_WORDS)})(?!{W})"
 _PAGE_NUMBER = rf"(?iu)\A[-–—]?{WS}*(?:\p{{Nd}}{{1,4}}|[ivxlcdm]{{1,12}}){WS}*[-–—]?\z"
 
@@ -44,7 +47,8 @@ def in_margin(y0: Column, y1: Column, height: Column) -> Column:
 
 def header_key(text: Column) -> Column:
     """Folded text with white space as single spaces and digit runs as one sign, so that page numbers don't tell headers apart."""
-    return strip(F.regexp_replace(F.regexp_replace(casefold(text), f"{WS}+", " "), r"\p{Nd}+", "#"))
+    odd_run = f" {WS}++|[{WS_SET}&&[^ ]]{WS}*+"  # single spaces stay as they are
+    return let(strip(text), lambda t: F.regexp_replace(where(casefold(t), lambda t: t.rlike(odd_run), lambda t: F.regexp_replace(t, odd_run, " ")), r"\p{Nd}+", "#"))
 
 
 def repeated_margins(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -60,8 +64,9 @@ def with_page_size(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 def drop_headers(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
     """Blocks without page numbers and without the repeated texts of their book, wherever on the page they stand."""
+    found = durable(repeated.select("book_id", "header"))
     keyed = blocks.where(~is_page_number(F.col("text"))).withColumn("header", header_key(F.col("text")))
-    return keyed.join(repeated.select("book_id", "header"), ["book_id", "header"], "left_anti").drop("header")
+    return keyed.join(F.broadcast(found) if found.count() <= SENT_HEADERS else found, ["book_id", "header"], "left_anti").drop("header")
 
 
 def page_layout(blocks: DataFrame) -> DataFrame:
