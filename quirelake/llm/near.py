@@ -18,7 +18,10 @@ it, closest pairs first: a group sends a few rows a member, never its pairs, and
 its members stay connected by pairs at least as close as they are. Where the sets refuse such
 pairs, so that a group falls apart, its members are compared again, and now every pair
 between its parts is verified. So only MISS, the agreement in no segment, and SPREADS may
-lose a link.
+lose a link. Of these pairs a task sends those of members that meet ``FEW`` others; members
+that meet more are named only, and their whole sets are sent to the blocks of their group,
+where each pair is compared in place and what leaves is a forest of the links. So the rows
+sent follow the members, not their pairs; what stays a square is the comparisons in a group.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +48,8 @@ DIFFER = 0.152
 MISS, SPREADS = 0.006, 5
 #: Fingerprints of a range, about; tasks for the lookups of a range; spanning forests that leave a task.
 RANGE, SALTS, FORESTS = 1 << 19, 2, 2
+#: Others that a member of a torn group may meet in a range for its pairs to be sent; members and hashes of a block of those that meet more.
+FEW, MEMBERS, HASHES = 2, 1024, 1 << 19
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 100_000
 #: Pairs compared at once in a task, and links kept before they are thinned to forests.
@@ -238,7 +244,11 @@ def _merged(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _close_pairs(width: int, top: int, bits: int, apart: bool = False):
-    """Links ``a, b, distance`` that span the pairs of close fingerprints, from rows of :func:`_dealt` in the order of their range; ``apart``: all pairs whose ends differ in ``group``."""
+    """Links ``a, b, distance`` that span the pairs of close fingerprints, from rows of :func:`_dealt` in the order of their range.
+
+    ``apart``: of the pairs whose ends differ in ``group`` all that have an end with ``FEW``
+    or less of them; both ends of every other one as loops.
+    """
     low_bits, limit, lane_limit = width - top, distance_limit(bits), distance_limit(64)
 
     def of_range(place: int, rows: pa.Table) -> Iterator[np.ndarray]:
@@ -250,6 +260,7 @@ def _close_pairs(width: int, top: int, bits: int, apart: bool = False):
         table = table[np.argsort(value[table], kind="stable")]
         known = value[table]
         group = rows["group"].to_numpy() if apart else None
+        met = np.zeros(len(node), np.int64)
         for kind, flips in ((OWN, [0, *(1 << b for b in range(low_bits))]), (GUEST, [0])):
             asking = np.flatnonzero(part == kind)
             for flip in flips:
@@ -265,7 +276,14 @@ def _close_pairs(width: int, top: int, bits: int, apart: bool = False):
                     p, t = p[near], t[near]
                     far = np.bitwise_count(lanes[p] ^ lanes[t]).sum(axis=1, dtype=np.int64)
                     near = far <= limit
-                    yield np.stack([far[near], node[p[near]], node[t[near]]], 1)
+                    p, t, far = p[near], t[near], far[near]
+                    if apart:
+                        met += np.bincount(np.concatenate([p, t]), minlength=len(node))
+                        few = np.minimum(met[p], met[t]) <= FEW
+                        many = np.unique(node[np.concatenate([p[~few], t[~few]])])
+                        yield np.stack([np.zeros(len(many), np.int64), many, many], 1)
+                        p, t, far = p[few], t[few], far[few]
+                    yield np.stack([far, node[p], node[t]], 1)
 
     def batch(links: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(links[:, 1]), pa.array(links[:, 2]), pa.array(links[:, 0])], names=["a", "b", "distance"])
@@ -291,7 +309,7 @@ def _close_pairs(width: int, top: int, bits: int, apart: bool = False):
 
 
 def candidates(prints: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Pairs ``a, b`` of nodes that may be alike, from distinct ``node, fp``: those of spanning forests, or with a column ``group`` all whose ends differ in it."""
+    """Pairs ``a, b`` of nodes that may be alike, from distinct ``node, fp``: those of spanning forests, or with a column ``group`` all whose ends differ in it, save that nodes with many of them are loops."""
     width, segments, top = shape
     apart = "group" in prints.columns
     rows = prints.mapInArrow(_dealt(width, segments, top), "range long, part byte, node long, fp binary" + ", group long" * apart)
@@ -300,14 +318,63 @@ def candidates(prints: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
 
 
 def torn_groups(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, group`` of the groups that ``pairs`` connect but ``links``, those of them that hold, don't; a group is what links connect. Where every two members have been a pair nothing is left to ask."""
+    """``node, whole, group`` of the groups that ``pairs`` connect but ``links``, those of them that hold, don't; a group is what links connect. Where every two members have been a pair nothing is left to ask."""
     whole = durable(connected_components(pairs, "a", "b").select("node", F.col("component").alias("whole")))
     held = connected_components(links, "a", "b").withColumnRenamed("component", "group")
     members = durable(whole.join(held, "node", "left").select("node", "whole", F.coalesce("group", "node").alias("group")))
     sizes = members.groupBy("whole").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
     asked = pairs.join(whole, pairs["a"] == whole["node"]).groupBy("whole").agg(F.count("*").alias("asked"))
-    torn = sizes.join(asked, "whole").where("low < high AND 2 * asked < n * (n - 1)").select("whole")
-    return members.join(torn, "whole", "left_semi").select("node", "group")
+    torn = durable(sizes.join(asked, "whole").where("low < high AND 2 * asked < n * (n - 1)").select("whole"))
+    return members.join(sent(torn), "whole", "left_semi").select("node", "whole", "group")
+
+
+def _block_links(bits: int):
+    """Links ``a, b`` between alike sets of different groups, as many as join the groups, from rows ``pair, side, node, group, fp, set`` in the order of their pair of blocks."""
+    limit, lane_limit = distance_limit(bits), distance_limit(64)
+
+    def of_blocks(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        side, node, group = (rows[c].to_numpy() for c in ("side", "node", "group"))
+        fp, sets = (np.frombuffer(b"".join(b"".join(c.to_pylist()) for c in rows[k].chunks), np.uint64) for k in ("fp", "set"))
+        lanes, n = fp.reshape(len(node), -1), pc.binary_length(rows["set"]).to_numpy().astype(np.int64) // 8
+        first, known, code = np.cumsum(n) - n, *np.unique(sets, return_inverse=True)
+        root = np.unique(group, return_inverse=True)[1]
+        right = np.flatnonzero(side >= 0)
+        has = np.zeros(len(known), bool)
+        for p in np.flatnonzero(side <= 0):
+            t = right[(root[right] != root[p]) & ((side[right] > 0) | (node[right] > node[p]))]
+            t = t[DENOMINATOR * np.minimum(n[t], n[p]) >= NUMERATOR * np.maximum(n[t], n[p])]
+            t = t[np.bitwise_count(lanes[t, 0] ^ lanes[p, 0]) <= lane_limit]
+            t = t[np.bitwise_count(lanes[t] ^ lanes[p]).sum(axis=1, dtype=np.int64) <= limit]
+            own = code[first[p] : first[p] + n[p]]
+            has[own] = True
+            both = np.zeros(len(t), np.int64)
+            for i, k in blocks(first[t], n[t], BLOCK):
+                both += np.bincount(i[has[code[k]]], minlength=len(t))
+            has[own] = False
+            t = t[DENOMINATOR * both >= NUMERATOR * (n[t] + n[p] - both)]
+            joined, one = np.unique(root[t], return_index=True)
+            yield from ((int(node[p]), int(node[x])) for x in t[one])
+            root[np.isin(root, joined)] = root[p]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("near")
+        for _, rows in runs(batches):
+            if found := list(of_blocks(rows)):
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return step
+
+
+def dense_links(members: DataFrame, bits: int) -> DataFrame:
+    """Links ``a, b`` that join the groups of ``node, whole, group, fp, set`` as all their alike pairs within a whole do; pairs are compared where two blocks of a whole meet."""
+    hashes = F.sum(F.octet_length("set") / 8)
+    sizes = durable(members.groupBy("whole").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(hashes / HASHES)).alias("blocks")))
+    placed = members.join(sent(sizes), "whole").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.xxhash64("whole", F.least("block", "other"), F.greatest("block", "other")).alias("pair")
+    rows = dealt.select(pair, F.signum(F.col("block") - F.col("other")).cast("byte").alias("side"), "node", "group", "fp", "set")
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_block_links(bits), "a long, b long")
 
 
 def text_key(text: Column) -> Column:
@@ -332,13 +399,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shape = index_shape(docs.count())
     prints = docs.select("id", text_key(F.col("text")).alias("text_key"), _prints(F.col("text"), width, lanes_of(shape)).alias("p")).select("id", "text_key", "p.*")
 
-    def verified(prints: DataFrame, pairs: DataFrame) -> DataFrame:
-        near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(prints: DataFrame, near: DataFrame) -> DataFrame:
         ids = durable(prints.join(near, "node", "left_semi").select(F.col("id").alias("near_id")).distinct())
         ids = sent(ids)
         # An id may stand on texts of several nodes, so nodes are taken from the texts again.
         texts = docs.join(ids, docs["id"].eqNullSafe(ids["near_id"]), "left_semi")
-        sets = durable(_sets(texts, width).join(near, "node", "left_semi").dropDuplicates(["node"]))
+        return durable(_sets(texts, width).join(near, "node", "left_semi").dropDuplicates(["node"]))
+
+    def verified(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+        sets = sets_of(prints, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"{k}_set")) for k in ("a", "b"))
         return pairs.join(left, "a").join(right, "b").where(_alike(F.col("a_set"), F.col("b_set"))).select("a", "b")
 
@@ -349,7 +418,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         torn = durable(torn_groups(pairs, found))
         if torn.isEmpty():
             return found
-        again = durable(candidates(nodes.join(sent(torn), "node"), shape).join(pairs, ["a", "b"], "left_anti"))
-        return found.unionByName(verified(prints, again))
+        torn = durable(nodes.join(sent(torn), "node"))
+        again = durable(candidates(torn.select("node", "fp", "group"), shape).join(pairs, ["a", "b"], "left_anti"))
+        found = found.unionByName(verified(prints, again.where("a < b")))
+        dense = durable(again.where("a = b").select(F.col("a").alias("node")))
+        if dense.isEmpty():
+            return found
+        members = torn.join(sets_of(prints, dense), "node")
+        return found.unionByName(dense_links(members, 64 * lanes_of(shape)))
 
     return _grouped(prints, links).select("id", "text_key", "node", "part", "component_id")

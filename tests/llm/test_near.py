@@ -212,3 +212,54 @@ def test_links_behind_refused_pairs_are_found(spark):
     assert sum(groups[a] == groups[b] for a, b in ends) >= 19
     plain = components(sets, [p for k in range(20) for p in combinations(range(100 * k, 100 * k + 16), 2) if alike(sets[p[0]], sets[p[1]])])
     assert all(plain[i] == plain[groups[i]] for i in sets)
+
+
+def test_pairs_of_a_dense_group_are_not_sent(spark):
+    """Each of 400 fingerprints is close to each other: rows sent grow with the members, and whatever isn't sent has both ends named."""
+    r = random.Random(4)
+    shape = (16, 16, 0)
+    bits = 64 * near.lanes_of(shape)
+    centre = r.getrandbits(bits)
+    sent = {}
+    for m in (100, 400):
+        prints = {r.getrandbits(40): (centre ^ sum(1 << b for b in r.sample(range(bits), 15))).to_bytes(bits // 8, "big") for _ in range(m)}
+        far = next(iter(prints)) + 1  # meets one of them in one segment only
+        alone = np.frombuffer(next(iter(prints.values())), np.uint8).copy()
+        alone[2:32:2] ^= 3
+        prints[far] = alone.tobytes()
+        df = spark.createDataFrame([(n, bytearray(p), n) for n, p in prints.items()], "node long, fp binary, group long")
+        rows = near.candidates(df, shape).collect()
+        named, pairs = {x.a for x in rows if x.a == x.b}, {(x.a, x.b) for x in rows if x.a < x.b}
+        near_by = lambda a, b: all(np.bitwise_count(np.frombuffer(prints[a][:k], np.uint8) ^ np.frombuffer(prints[b][:k], np.uint8)).sum() <= near.distance_limit(8 * k) for k in (8, bits // 8))
+        segment = lambda n: {(k, prints[n][2 * k : 2 * k + 2]) for k in range(16)}
+        cut = {n: segment(n) for n in prints}
+        want = {(a, b) for a, b in combinations(sorted(prints), 2) if cut[a] & cut[b] and near_by(a, b)}  # a part of them: equal in a segment
+        assert len(want) > m * m / 8 and all(x in pairs or named.issuperset(x) for x in want)
+        sent[m] = len(rows)
+    assert sent[400] < 2 * near.FEW * 400 * 16 and sent[400] < 5 * sent[100], sent
+
+
+@pytest.mark.parametrize("members, hashes", [(1024, 1 << 19), (16, 1 << 19), (1024, 4096)])
+def test_links_within_a_dense_group_are_found(spark, monkeypatch, members, hashes):
+    """Ten links among 150 parts of one text, all as close by their fingerprints, whether one block holds them or many; no other link is made."""
+    monkeypatch.setattr(near, "MEMBERS", members)
+    monkeypatch.setattr(near, "HASHES", hashes)
+    r = random.Random(9)
+    shared = [f"s{i}" for i in range(360)]
+    rows = [(i, " ".join(r.sample(shared, 318) + [f"a{i}x{k}" for k in range(20)])) for i in range(150)]
+    for k in range(10):
+        words = rows[k][1].split()
+        rows.append((1000 + k, " ".join(words[: len(words) - 30] + [f"b{k}x{i}" for i in range(12)])))
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    want = components(sets, [p for p in combinations(sets, 2) if alike(sets[p[0]], sets[p[1]])])
+    assert 5 <= len(sets) - len(set(want.values())) < len(sets) / 4
+    assert {x.id: x.component_id for x in near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()} == want
+
+
+def test_blocks_join_groups_once(spark):
+    """Each set of a block that is alike all others gives as many links as join the groups, and groups of one number stay unasked."""
+    sets = [near.shingle_hashes(" ".join(f"w{i}" for i in range(40 + k)), 1) for k in range(9)]
+    fp = bytearray(near.wide_fingerprint(sets[0], 4))
+    rows = [(k, 7, k // 2, fp, bytearray(h.tobytes())) for k, h in enumerate(sets)] + [(20, 8, 20, fp, bytearray(sets[0].tobytes()))]
+    links = near.dense_links(spark.createDataFrame(rows, "node long, whole long, group long, fp binary, set binary"), 256).collect()
+    assert len(links) == 4 and len(set(components(range(5), [(x.a // 2, x.b // 2) for x in links]).values())) == 1
