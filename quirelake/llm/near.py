@@ -407,7 +407,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return durable(_sets(texts, width).join(near, "node", "left_semi").dropDuplicates(["node"]))
 
     def verified(prints: DataFrame, pairs: DataFrame) -> DataFrame:
-        sets = sets_of(prints, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = sets_of(prints, durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"{k}_set")) for k in ("a", "b"))
         return pairs.join(left, "a").join(right, "b").where(_alike(F.col("a_set"), F.col("b_set"))).select("a", "b")
 
@@ -420,10 +420,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return found
         torn = durable(nodes.join(sent(torn), "node"))
         again = durable(candidates(torn.select("node", "fp", "group"), shape).join(pairs, ["a", "b"], "left_anti"))
-        found = found.unionByName(verified(prints, again.where("a < b")))
         dense = durable(again.where("a = b").select(F.col("a").alias("node")))
         if dense.isEmpty():
-            return found
+            return found.unionByName(verified(prints, again))
+        # Pairs of two named members meet in the blocks.
+        named = sent(dense)
+        flags = [named.select(F.col("node").alias(k), F.lit(True).alias(f"{k}_named")) for k in ("a", "b")]
+        rest = durable(again.where("a < b").join(flags[0], "a", "left").join(flags[1], "b", "left").where("a_named IS NULL OR b_named IS NULL").select("a", "b"))
+        found = found.unionByName(verified(prints, rest))
         members = torn.join(sets_of(prints, dense), "node")
         return found.unionByName(dense_links(members, 64 * lanes_of(shape)))
 
