@@ -95,6 +95,36 @@ def test_long_texts_are_decided_early():
         assert (similar.decided(a[:40_000], c[:40_000], 0.72) < 0.72) == (similar.ratio(a[:40_000], c[:40_000]) < 0.72)
 
 
+def test_runs_are_found_once(monkeypatch):
+    """A text with hundreds of changed marks costs one search of its runs, not a search of its length for each piece; repeated lines, whose places are too many, are searched in longer runs."""
+    import random
+    import time
+
+    from quirelake.functions import similar
+
+    r = random.Random(3)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    a = " ".join(r.choice(words) + (" “" if k % 9 == 0 else "") for k in range(6000))
+    began = time.process_time()
+    assert similar.matched(a, a.replace("“", "")) == len(a) - a.count("“") and time.process_time() - began < 0.6  # 1.7 s before
+    monkeypatch.setattr(similar, "SMALL", 30)
+    for run, places in ((1, 1), (2, 4), (3, 1), (16, 4)):
+        monkeypatch.setattr(similar, "RUN", run)
+        monkeypatch.setattr(similar, "PLACES", places)
+        for _ in range(60):
+            lines = ["".join(r.choice("abcdefğ ") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 12))]
+            a = "".join(r.choice(lines) for _ in range(r.randint(0, 60)))
+            b = list(r.choice((a, a + " " + a, a[::-1])))
+            for _ in range(r.randint(0, 12)):
+                at = r.randrange(len(b) + 1)
+                b[at : at + r.randint(0, 6)] = [r.choice("abc “") for _ in range(r.randint(0, 3))]
+            b = "".join(b)
+            want = SequenceMatcher(None, a, b, autojunk=False).ratio()
+            assert similar.ratio(a, b) == pytest.approx(want, abs=1e-12)
+            for least in (0.3, 0.72, want):
+                assert (similar.decided(a, b, least) < least) == (want < least)
+
+
 def test_similarity_of_whole_documents(spark, sf_dir):
     from quirelake.plans.book_queries import similarity_guard
     from quirelake.plans.fixtures import model_pairs
