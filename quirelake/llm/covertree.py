@@ -44,6 +44,12 @@ MOST_TASKS = 100_000
 #: Links kept before they are thinned to a forest, and pairs of points compared by their own rows at once.
 BLOCK, GATHERED = 1 << 20, 1 << 15
 FINEST = 2.0**-8
+#: Nodes of a level for each one of the next level, at most, in the trees that are traversed.
+THIN = 0.8
+#: Coordinates of the products that sort out pairs (of the others only the length is used), and the share of the pairs that may be left by them.
+SHORT, LEFT = 32, 1 / 64
+#: Products taken at once.
+STRIP = 1 << 20
 #: Room for rounding in distance bounds.
 SLACK = 1e-9
 
@@ -61,6 +67,21 @@ class CoverTree:
     def depth(self) -> int:
         return len(self.centre)
 
+    def thinned(self) -> CoverTree:
+        """The tree without the levels that have nearly as many nodes as the next one left: to open these would spare few pairs."""
+        kept = [self.depth - 1]
+        for k in range(self.depth - 2, -1, -1):
+            if len(self.centre[k]) <= THIN * len(self.centre[kept[-1]]):
+                kept.append(k)
+        kept.reverse()
+        parent = [np.zeros(len(self.centre[kept[0]]), np.int64)]
+        for above, k in zip(kept, kept[1:]):
+            up = self.parent[k]
+            for between in range(k - 1, above, -1):
+                up = self.parent[between][up]
+            parent.append(up)
+        return CoverTree(self.points, [self.centre[k] for k in kept], parent, [self.radius[k] for k in kept])
+
     def to_bytes(self) -> bytes:
         """The levels, without the points."""
         sizes = np.array([self.depth, *map(len, self.centre)], np.int64)
@@ -75,6 +96,26 @@ class CoverTree:
         return cls(points, parts[:depth], parts[depth : 2 * depth], [p.view(np.float64) for p in parts[2 * depth :]])
 
 
+def _covered(points: np.ndarray, rest: np.ndarray, first: int, reach: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Centres for the points ``rest``, each the first one that no centre before it has within ``reach``, with the points that it takes; ``first`` is the first centre."""
+    rest = np.concatenate([[first], rest[rest != first]])
+    own, free = points[rest], np.ones(len(rest), bool)
+    rows, low = max(1, STRIP // len(rest)), 0
+    while low < len(rest):
+        asked = low + np.flatnonzero(free[low:])[:rows]
+        if not len(asked):
+            return
+        near = own[asked] @ own[asked[0] :].T >= 1.0 - 0.5 * reach * reach
+        left = free[asked[0] :]
+        for k, i in enumerate((asked - asked[0]).tolist()):
+            if left[i]:
+                took = near[k] & left
+                took[i] = True
+                left[took] = False
+                yield int(rest[asked[k]]), rest[asked[0] :][took]
+        low = int(asked[-1]) + 1
+
+
 def build(points: np.ndarray) -> CoverTree:
     """A cover tree of unit vectors, built from the root down."""
     n = len(points)
@@ -94,40 +135,43 @@ def build(points: np.ndarray) -> CoverTree:
             parent.append(owner)
             radius.append(np.zeros(n))
             break
-        new_centre: list[int] = []
-        new_parent: list[int] = []
-        new_owner = np.empty(n, np.int64)
         order = np.argsort(owner, kind="stable")
-        ends = np.cumsum(np.bincount(owner, minlength=len(centre[-1])))
-        for node, end in enumerate(ends.tolist()):
-            rest = order[ends[node - 1] if node else 0 : end]
-            at = int(centre[-1][node])  # nested: the node's own centre comes first
-            while len(rest):
-                if len(rest) == 1:
-                    near = np.ones(1, bool)
-                else:
-                    d = points[rest] - points[at]
-                    near = np.einsum("ij,ij->i", d, d) <= reach * reach
-                    near |= rest == at
-                new_owner[rest[near]] = len(new_centre)
+        many = np.bincount(owner, minlength=len(centre[-1]))
+        ends = np.cumsum(many)
+        one = np.flatnonzero(many == 1)  # such nodes stay as they are
+        new_centre, new_parent = centre[-1][one].tolist(), one.tolist()
+        new_owner = np.empty(n, np.int64)
+        new_owner[centre[-1][one]] = np.arange(len(one))
+        for node in np.flatnonzero(many > 1).tolist():
+            end = int(ends[node])
+            for at, near in _covered(points, order[end - int(many[node]) : end], int(centre[-1][node]), reach):  # nested: the node's own centre comes first
+                new_owner[near] = len(new_centre)
                 new_centre.append(at)
                 new_parent.append(node)
-                rest = rest[~near]
-                at = int(rest[0]) if len(rest) else -1
         centre.append(np.array(new_centre))
         parent.append(np.array(new_parent))
         owner = new_owner
     return CoverTree(points, centre, parent, radius)
 
 
+class _Below:
+    """Points under each node of a level."""
+
+    def __init__(self, tree: CoverTree, level: int):
+        at = np.arange(len(tree.centre[-1]))
+        for k in range(tree.depth - 1, level, -1):
+            at = tree.parent[k][at]
+        self.points = tree.centre[-1][np.argsort(at, kind="stable")]
+        self.ends = np.cumsum(np.bincount(at, minlength=len(tree.centre[level])))
+
+    def __getitem__(self, node: int) -> np.ndarray:
+        return self.points[self.ends[node - 1] if node else 0 : self.ends[node]]
+
+
 def _points_below(tree: CoverTree, level: int) -> list[np.ndarray]:
     """Points under each node of a level."""
-    at = np.arange(len(tree.centre[-1]))
-    for k in range(tree.depth - 1, level, -1):
-        at = tree.parent[k][at]
-    order = np.argsort(at, kind="stable")
-    points = tree.centre[-1][order]
-    return np.split(points, np.cumsum(np.bincount(at, minlength=len(tree.centre[level])))[:-1])
+    below = _Below(tree, level)
+    return [below[node] for node in range(len(below.ends))]
 
 
 def _product(starts_a: np.ndarray, list_a: np.ndarray, starts_b: np.ndarray, list_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +215,7 @@ def dual_traversal(left: CoverTree, right: CoverTree, cosine: float, same: bool)
             if same:
                 inside &= x != y
             if inside.any():
-                below_a, below_b = _points_below(left, la), _points_below(right, lb)
+                below_a, below_b = _Below(left, la), _Below(right, lb)
                 for i, j in zip(x[inside].tolist(), y[inside].tolist()):
                     yield below_a[i], below_b[j], True
             keep_a.append(x[~inside])
@@ -195,28 +239,45 @@ def _near_children(pa_: np.ndarray, pb: np.ndarray, ra: np.ndarray, rb: np.ndarr
         if same:
             open_ |= open_.T
         every = bool(open_.all())
-        rows = max(1, (1 << 19) // max(1, len(pb)))
-        # Products in single precision leave out only what is beyond the bound by more than their error.
-        short_a, short_b, error = pa_.astype(np.float32), pb.T.astype(np.float32), 2.0**-22 * pa_.shape[1]
+        # A distance d is within the bound if 1 - d * d / 2, the product, is 1 - (r + limit)**2 / 2 at least, r being a row's
+        # radius: so r and limit are taken into the products, and each row has one least value.
         limit_b = reach + SLACK + rb
-        for low in range(0, len(pa_), rows):
-            part = slice(low, low + rows)
-            bound = ra[part, None] + limit_b
-            bound *= bound
-            bound *= -0.5
-            bound += 1.0 - error  # distance within the bound: product of 1 - bound**2 / 2 at least
-            near = short_a[part] @ short_b >= bound
+        least = 1.0 - 0.5 * ra * ra
+        # Products in single precision leave out only what is beyond the bound by more than their error.
+        least -= 2.0**-22 * (pa_.shape[1] + 3) * (1.0 + (ra + 0.5 * limit_b.max()) * limit_b.max())
+        least = least.astype(np.float32)[:, None]
+
+        def sides(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+            tails = [[np.linalg.norm(p[:, coordinates:], axis=1)] if coordinates < p.shape[1] else [] for p in (pa_, pb)]
+            x = np.column_stack([pa_[:, :coordinates], *tails[0], ra, np.ones(len(pa_))])
+            return x.astype(np.float32), np.column_stack([pb[:, :coordinates], *tails[1], limit_b, 0.5 * limit_b * limit_b]).astype(np.float32).T.copy()
+
+        # The product of two tails is that of their lengths at most.
+        coordinates = SHORT if 2 * SHORT <= pa_.shape[1] else pa_.shape[1]
+        short_a, short_b = sides(coordinates)
+        rows = max(1, STRIP // max(1, len(pb)))
+        low = 0
+        while low < len(pa_):
+            part, start = slice(low, low + rows), low if same else 0  # of one tree, what is below the diagonal is left out
+            at_once = np.flatnonzero(short_a[part] @ short_b[:, start:] >= least[part])
+            if coordinates < pa_.shape[1] and len(at_once) > LEFT * min(rows, len(pa_) - low) * (len(pb) - start):
+                coordinates = pa_.shape[1]  # these vectors differ in their tails
+                short_a, short_b = sides(coordinates)
+                continue
+            x, y = np.divmod(at_once, len(pb) - start)
+            x, y = x + low, y + start
             if not every:
-                near &= open_[up_a[part]][:, up_b]
-            x, y = np.nonzero(near)
+                kept = open_[up_a[x], up_b[y]]
+                x, y = x[kept], y[kept]
             if same:
-                one = x + low <= y
+                one = x <= y
                 x, y = x[one], y[one]
             for at in range(0, len(x), GATHERED):
-                i, j = x[at : at + GATHERED] + low, y[at : at + GATHERED]
+                i, j = x[at : at + GATHERED], y[at : at + GATHERED]
                 dots = np.einsum("ij,ij->i", pa_[i], pb[j])
                 within = dots >= 1.0 - 0.5 * (limit_b[j] + ra[i]) ** 2
                 yield i[within], j[within], dots[within]
+            low += rows
         return
     starts_a, order_a = np.concatenate([[0], np.cumsum(na)]), np.argsort(up_a, kind="stable")
     starts_b, order_b = np.concatenate([[0], np.cumsum(nb)]), np.argsort(up_b, kind="stable")
@@ -344,7 +405,7 @@ def _blocks(plan: Plan):
             cell, cut, dim = (t[c][0].as_py() for c in ("cell", "cut", "dim"))
             flat = _flat(t["vector"].combine_chunks())
             wide = bool((flat.astype(np.float32).astype(np.float64) != flat).any())
-            tree = build(unit_vectors(flat, dim))
+            tree = build(unit_vectors(flat, dim)).thinned()
             mine = int(plan.group_of(np.array([cell]), np.array([cut]))[0])
             groups = plan.groups_near(cell, dim)
             low, high = np.minimum(groups, mine), np.maximum(groups, mine)
