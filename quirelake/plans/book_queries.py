@@ -82,8 +82,8 @@ CURRENT = "current"
 def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages of all books but every seventh; odd ones have an old signature, every fifth no blocks, every eleventh isn't complete."""
     p = fixtures.pages(spark, sf_dir).where("page_number % 7 <> 0")
-    n, d = F.col("page_number"), fixtures.damaged(spark, sf_dir).select("doc_id", F.col("text").alias("raw"))
-    p = p.join(d, "doc_id")
+    n = F.col("page_number")
+    p = p.withColumn("raw", fixtures.damage(F.col("doc_id"), F.col("text")))
     part = lambda text, role: F.struct(text.alias("text"), F.lit(role).cast("string").alias("role"), (n % 3 == 0).alias("bold"), F.lit(None).cast("boolean").alias("italic"))
     none = F.array().cast("array<struct<text:string,role:string,bold:boolean,italic:boolean>>")
     blocks = lambda text: F.when(n % 5 == 0, none).otherwise(F.array(part(text, None), part(F.lit("A  B\nC"), "table")))

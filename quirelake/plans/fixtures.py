@@ -27,15 +27,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, kind, text``: one of nine kinds of damage by doc_id % 9, made by literal replacements."""
-    t, kind = F.col("text"), F.col("doc_id") % 9
+def damage(doc_id: Column, t: Column) -> Column:
+    """One of nine kinds of damage of a document's text by doc_id % 9, made by literal replacements."""
+    kind = doc_id % 9
     put = lambda text, old, new: F.replace(text, F.lit(old), F.lit(new))
     kinds = [put(t, " ", "  "), put(t, "er", "e-\nr"), put(t, ", ", " ,"), put(t, ". ", "."), put(t, "\n", "\n\n\n"), F.concat(t, F.lit(" 15")), put(put(t, " the ", " “ the ” "), "tion", "tTon"), put(t, ". ", BROKEN_TURKISH), put(t, "\n", "\n- ")]
     text = kinds[-1]
     for k, c in reversed(list(enumerate(kinds[:-1]))):
         text = F.when(kind == k, c).otherwise(text)
-    return documents(spark, sf_dir).select("doc_id", kind.alias("kind"), text.alias("text"))
+    return text
+
+
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, kind, text``: every document with its kind of :func:`damage`."""
+    return documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 9).alias("kind"), damage(F.col("doc_id"), F.col("text")).alias("text"))
 
 
 DAMAGED_SQL = """damaged AS (

@@ -2,6 +2,7 @@
 
 A document is one value, or a row for each of its parts in order: a book's document holds each
 page's text four times, so that of a large book is only ever written and read part by part.
+For the same reason parts are compressed, each by itself, before they are dealt out.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from quirelake.operators.rows import stacked
 
 #: Documents whose heads are sent to every task, at most.
 SENT_DOCUMENTS = 1_000_000
+#: Bytes of pages that a task hands on at once, about.
+HANDED = 1 << 20
 #: Place of a document's opening and, with the other sign, of its end.
 OPENING = -(1 << 40)
 #: Strings, marks, other values and white space of JSON.
@@ -130,35 +133,72 @@ def scan_document(parts: Iterable[str]) -> Iterator[tuple[str | None, str | None
     yield None, None, None if wrong == "not JSON" else found, wrong
 
 
-def pages_of_parts(parts: DataFrame, errors: bool = False) -> DataFrame:
-    """:func:`state_pages` of documents whose texts are rows (document, place, part): a task goes through a document's parts in order and hands on page by page.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (document, place, part) with the part compressed, its length first."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        texts = batch.column("part").cast(pa.binary())
+        parts = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in (texts[k].as_buffer() if texts[k].is_valid else None for k in range(len(texts)))]
+        yield pa.RecordBatch.from_arrays([batch.column("document"), batch.column("place"), pa.array(parts, pa.binary())], names=["document", "place", "part"])
 
-    A page's own text that isn't JSON makes that page wrong, no other one.
-    """
-    kind = parts.schema["document"].dataType.simpleString()
+
+def _unpacked(part: pa.Scalar) -> str:
+    if not part.is_valid:
+        return ""
+    packed = part.as_buffer()
+    size = int.from_bytes(packed.slice(0, 8).to_pybytes(), "little")
+    return pa.Codec("zstd").decompress(packed.slice(8), size, asbytes=True).decode() if size else ""
+
+
+def _scanned(heads: bool):
+    """Rows ``document, key, page, source_hash, wrong`` of :func:`scan_document` over packed parts in order: of the documents' heads, or of their pages."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((batch.column("document").slice(k, 1), batch.column("part")[k].as_py()) for batch in batches for k in range(batch.num_rows))
+        rows = ((batch.column("document").slice(k, 1), batch.column("part")[k]) for batch in batches for k in range(batch.num_rows))
         ahead = next(rows, None)
 
         def of_document(name: pa.Array) -> Iterator[str]:
             nonlocal ahead
             while ahead is not None and ahead[0].equals(name):
-                yield ahead[1] or ""
+                yield _unpacked(ahead[1])
                 ahead = next(rows, None)
 
+        def handed(name: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+            names = pa.concat_arrays([name] * len(found))
+            return pa.RecordBatch.from_arrays([names, *[pa.array(column, pa.string()) for column in zip(*found)]], names=["document", "key", "page", "source_hash", "wrong"])
+
         while ahead is not None:
             name = ahead[0]
-            mine = of_document(name)
+            mine, found, size = of_document(name), [], 0
             for row in scan_document(mine):
-                yield pa.RecordBatch.from_arrays([name, *[pa.array([v], pa.string()) for v in row]], names=["document", "key", "page", "source_hash", "wrong"])
+                if (row[0] is None) != heads:
+                    continue
+                found.append(row)
+                size += len(row[1] or "") + 64
+                if size > HANDED:
+                    yield handed(name, found)
+                    found, size = [], 0
+            if found:
+                yield handed(name, found)
             for _ in mine:  # what follows a mistake
                 pass
 
-    dealt = parts.select("document", "place", "part").repartition("document").sortWithinPartitions("document", "place")
-    found = dealt.mapInArrow(step, f"document {kind}, key string, page string, source_hash string, wrong string")
-    heads = durable(found.where("key IS NULL").select("document", "source_hash", "wrong"))
-    texts = found.where("key IS NOT NULL").select("document", "key", F.try_parse_json("page").alias("page"))
+    return step
+
+
+def pages_of_parts(parts: DataFrame, errors: bool = False) -> DataFrame:
+    """:func:`state_pages` of documents whose texts are rows (document, place, part): a task goes through a document's parts in order and hands on a few pages at a time.
+
+    Parts are dealt out and put in order once, compressed, and kept so: a document is gone
+    through for its head, which its end decides, and again for its pages. A page's own text
+    that isn't JSON makes that page wrong, no other one.
+    """
+    kind, place = (parts.schema[c].dataType.simpleString() for c in ("document", "place"))
+    packed = parts.select("document", "place", "part").mapInArrow(_packed, f"document {kind}, place {place}, part binary")
+    dealt = durable(packed.repartition("document").sortWithinPartitions("document", "place"))
+    row = f"document {kind}, key string, page string, source_hash string, wrong string"
+    heads = durable(dealt.mapInArrow(_scanned(True), row).select("document", "source_hash", "wrong"))
+    texts = dealt.mapInArrow(_scanned(False), row).select("document", "key", F.try_parse_json("page").alias("page"))
     sent = F.broadcast(heads) if heads.count() <= SENT_DOCUMENTS else heads
     each = texts.join(sent.where("wrong IS NULL").select(F.col("document").alias("of"), "source_hash"), F.col("document").eqNullSafe(F.col("of"))).select("source_hash", "key", "page", F.when(F.col("page").isNull(), "not JSON").alias("wrong"))
     none = heads.where("wrong IS NOT NULL").select("source_hash", F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("page"), "wrong")
@@ -185,11 +225,12 @@ def state_json(checkpoint: DataFrame) -> DataFrame:
 def state_parts(checkpoint: DataFrame) -> DataFrame:
     """``document, place, part``: the state document of each source, named by it, as a row for its opening, each page and its end; the parts in order of place are the text of :func:`state_json`."""
     name = F.regexp_replace(F.to_json(F.struct("source_hash"), {"ignoreNullFields": "false"}), r"\}\z", "")
-    sources = checkpoint.groupBy("source_hash").agg(F.min("page_number").cast("long").alias("first"))
+    sources = durable(checkpoint.groupBy("source_hash").agg(F.min("page_number").cast("long").alias("first")))
+    sent = F.broadcast(sources) if sources.count() <= SENT_DOCUMENTS else sources  # pages stay where they are
     frame = F.array(F.struct(F.lit(OPENING).alias("place"), F.concat(name, F.lit(',"pages":{')).alias("part")), F.struct(F.lit(-OPENING).alias("place"), F.lit("}}").alias("part")))
     ends = sources.select(F.col("source_hash").alias("document"), F.explode(frame).alias("f")).select("document", "f.*")
     place = F.col("page_number").cast("long")
     entry = F.concat(F.lit('"'), F.col("page_number").cast("string"), F.lit('":'), F.to_json(_page(), {"ignoreNullFields": "false"}))
     pages = checkpoint.select(F.col("source_hash").alias("document"), place.alias("place"), entry.alias("entry"))
-    pages = pages.join(sources, pages["document"].eqNullSafe(sources["source_hash"]))
+    pages = pages.join(sent, F.col("document").eqNullSafe(F.col("source_hash")))
     return stacked(ends, pages.select("document", "place", F.concat(F.when(F.col("place") > F.col("first"), ",").otherwise(""), "entry").alias("part")), key="document")

@@ -282,3 +282,33 @@ def test_state_documents_in_parts(spark):
     rows = spark.createDataFrame([(n, 0, t) for n, t in odd.items()], "document string, place int, part string")
     found = sorted((r.source_hash or "", r.page_number or 0, r.error or "") for r in state.pages_of_parts(rows, errors=True).collect())
     assert found == sorted([("h", 1, ""), ("h", 2, "not an object"), ("h", 0, "no page number"), ("h", 3, "not JSON"), ("k", 0, "no pages"), ("", 0, "no pages")] + [("", 0, "not JSON")] * 5)
+
+
+def test_state_documents_are_dealt_out_once_and_compressed(spark, sf_dir):
+    """Pages aren't joined with their own damage or shuffled to their document's head; parts are dealt out once for both readings, and take less room than the text that they hold four times."""
+    from quirelake.plans.book_queries import checkpoint
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = checkpoint(spark, sf_dir)
+        parts = state.state_parts(kept)
+        assert plan(kept).count("SortMergeJoin") == plan(parts).count("SortMergeJoin") == 1  # that of the running page numbers
+        assert "REPARTITION_BY" not in plan(state.pages_of_parts(parts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    texts = spark.createDataFrame([(1, 0, None), (1, 1, ""), (None, 2, "ş\U0001f600\x00"), (2, 3, "word " * 9999)], "document long, place int, part string")
+    packed = next(state._packed(iter(texts.toArrow().combine_chunks().to_batches())))
+    assert [state._unpacked(p) for p in packed.column("part")] == ["", "", "ş\U0001f600\x00", "word " * 9999]
+    sizes = parts.mapInArrow(state._packed, "document string, place long, part binary").selectExpr("sum(length(part)) AS n").first().n
+    assert sizes < kept.selectExpr("sum(length(raw_text)) AS n").first().n
+
+
+def test_state_documents_hand_on_some_pages_at_a_time(spark, monkeypatch):
+    rows = [page(k, "a" * 50, []) for k in range(1, 40)]
+    monkeypatch.setattr(state, "HANDED", 300)
+    table = spark.createDataFrame(rows, SCHEMA)
+    batch = next(state._packed(iter(state.state_parts(table).orderBy("place").toArrow().combine_chunks().to_batches())))
+    pages = list(state._scanned(False)(iter([batch])))
+    assert len(pages) > 5 and sum(b.num_rows for b in pages) == 39 and [b.num_rows for b in state._scanned(True)(iter([batch]))] == [1]
