@@ -4,7 +4,8 @@ Distinct vectors, scaled to length one, are dealt to cells by the nearest of the
 which there are as many as cells are wanted, up to ``PIVOT_BYTES`` in all; only a cell that
 still holds too many is cut by hash into blocks. Each block becomes a
 cover tree: nested levels of centres whose radii halve (2, 1, 1/2, ...), every point within
-a level's radius of its centre, and each centre also a centre on all lower levels. Every
+a level's radius of its centre, and each centre also a centre on all lower levels; levels
+with nearly as many nodes as the next one are left out. Every
 node knows the true distance to its farthest point. Two trees (or one with itself) are
 traversed level by level together: a pair of nodes is dropped when the centre distance less
 both covering radii exceeds the threshold's distance, taken whole when the distance plus
